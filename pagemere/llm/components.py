@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 from .common import Tables
 
 
+def _join_low(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """Joins on the node; the key is negated so that both sides are dealt anew and a hot node's rows can be split."""
+    return rows.join(low.select((-F.col("u")).alias("k"), "m"), -F.col("u") == F.col("k")).drop("k")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is joined to the smallest of u and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return _join_low(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of u, and u itself, is joined to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(low, "u")
+    linked = _join_low(down, low)
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
