@@ -28,8 +28,8 @@ b AS (
   SELECT item_id::VARCHAR AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, array_to_string(w[i : least(i + 9, len(w))], ' ') AS win, least(10, len(w)) AS n FROM b, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i) WHERE len(w) > 0),
 lens AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM d, lens, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
-hit AS (SELECT DISTINCT at.doc_id, at.i, at.n, win.item_id FROM at JOIN win ON at.win = win.win AND at.n = win.n),
+spot AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM d, lens, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+hit AS (SELECT DISTINCT spot.doc_id, spot.i, spot.n, win.item_id FROM spot JOIN win ON spot.win = win.win AND spot.n = win.n),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(pos.n_hit, 0)::BIGINT AS n_hit, coalesce(its.n_items, 0)::BIGINT AS n_items,
