@@ -79,13 +79,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_b
     broadcast = n_bytes * TOKEN <= broadcast_bytes
 
     d = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"), words(F.col("text")).alias("w"))
+    d = tables.write(d.withColumn("n_words", F.size("w").cast("bigint")), "words", "lz4")  # split once, read three times
     n = F.least(F.lit(TOKEN), F.size("window"))
     spots = unique.select("id", "window", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("window") - n)).alias("off"))
     token = F.when(F.col("n") == 1, _token(F.col("window"), F.col("off"), 1)).when(F.col("n") == 2, _token(F.col("window"), F.col("off"), 2)).otherwise(_token(F.col("window"), F.col("off"), TOKEN))
     spots = tables.write(spots.select("id", "window", "n", "off", token.alias("token")), "tokens")
     sizes = sorted(r[0] for r in spots.select("n").distinct().collect())  # 1, 2 and 3 at most
     if not sizes:
-        return d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return d.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     # how often each token of the benchmark stands in the documents
     kinds = spots.select("n", "token").distinct()
@@ -112,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_b
     named = hits.select("doc_id", "h", "id").distinct().join(F.broadcast(of) if broadcast else of, "id").select("doc_id", "h", "item_id").distinct()
     n_items = named.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     found = n_hit.join(n_items, (n_hit.h == n_items.h) & n_hit.doc_id.eqNullSafe(n_items.doc_id)).select(n_hit.doc_id.alias("d"), n_hit.h.alias("g"), "n_hit", "items")
-    rows = d.select("doc_id", "h", F.size("w").cast("bigint").alias("n_words"))
+    rows = d.select("doc_id", "h", "n_words")
     out = rows.join(found, rows.doc_id.eqNullSafe(F.col("d")) & (rows.h == F.col("g")), "left")
     hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
