@@ -27,10 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, small
 from .components import components
 
-_WORDS: dict[bytes, int] = {}
 _WORDS_MAX = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -86,14 +85,13 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, hashes: int, bands: int) ->
     a, b = coefficients(hashes)
     rows = hashes // bands
     for batch in batches:
-        ids, digests, sizes, keys, sigs, sets = [], [], [], [], [], []
+        ids, digests, sizes, keys, sigs = [], [], [], [], []
         seen: dict[bytes, tuple] = {}
-        held = 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = shingle_set(text.as_py(), k)
-            raw = s.tobytes()
-            digest = hashlib.blake2b(raw, digest_size=16).digest()
+            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             if (made := seen.get(digest)) is None:
+                made = ([], b"")
                 if len(s):
                     sig = signature(s, a, b)
                     parts = sig.astype(np.uint64).reshape(bands, rows)
@@ -101,32 +99,22 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, hashes: int, bands: int) ->
                     for r in range(rows):
                         key = _mix(key * _STEP + parts[:, r])
                     made = (key.view(np.int64).tolist(), sig.tobytes())
-                else:
-                    made = ([], b"")
                 seen[digest] = made
             ids.append(doc_id)
             digests.append(digest)
             sizes.append(len(s))
             keys.append(made[0])
             sigs.append(made[1])
-            sets.append(raw)
-            held += len(raw)
-            if held > 16 << 20:
-                yield _batch(ids, digests, sizes, keys, sigs, sets)
-                ids, digests, sizes, keys, sigs, sets = [], [], [], [], [], []
-                held = 0
-        if ids:
-            yield _batch(ids, digests, sizes, keys, sigs, sets)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "digest", "n_shingles", "bands", "sig"])
 
 
-_SETS = "id bigint, digest binary, n_shingles bigint, bands array<bigint>, sig binary, shingles binary"
+_SETS = "id bigint, digest binary, n_shingles bigint, bands array<bigint>, sig binary"
 
 
-def _batch(ids, digests, sizes, keys, sigs, sets) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())],
-        ["id", "digest", "n_shingles", "bands", "sig", "shingles"],
-    )
+def _full(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(text.as_py(), k).tobytes() for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
 def _pairs_out(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
@@ -160,13 +148,23 @@ def _with(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").select("u", "v", "x", "y")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, hashes: int, percent: int, tables: Tables) -> DataFrame:
-    t = percent / 100
-    least = t - 6 * (t * (1 - t) / hashes) ** 0.5
-    near = tables.write(_with(pairs, reps, "sig").mapInArrow(lambda it: _plausible(it, hashes, least), "u bigint, v bigint"), "plausible")
-    out = tables.write(_with(near, reps, "shingles").mapInArrow(lambda it: _similar(it, percent), "u bigint, v bigint"), "links")
-    tables.drop(near)
-    return out
+class _Verifier:
+    """Checks candidate pairs by their signatures, then the rest by the full sets, made again from the texts."""
+
+    def __init__(self, docs: DataFrame, sigs: DataFrame, repeated: bool, k: int, hashes: int, percent: int, tables: Tables):
+        self.docs, self.sigs, self.repeated, self.k, self.hashes, self.percent, self.tables = docs, sigs, repeated, k, hashes, percent, tables
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        t, k, hashes, percent = self.percent / 100, self.k, self.hashes, self.percent
+        least = t - 6 * (t * (1 - t) / hashes) ** 0.5
+        near = self.tables.write(_with(pairs, self.sigs, "sig").mapInArrow(lambda it: _plausible(it, hashes, least), "u bigint, v bigint").distinct(), "plausible")
+        ids = self.tables.write(near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct(), "ids")
+        texts = self.docs.join(small(ids, 16 * ids.count()), "id", "left_semi")
+        full = texts.mapInArrow(lambda it: _full(it, k), "id bigint, shingles binary")
+        full = self.tables.write(full.distinct() if self.repeated else full, "full", "lz4")
+        out = self.tables.write(_with(near, full, "shingles").mapInArrow(lambda it: _similar(it, percent), "u bigint, v bigint"), "links")
+        self.tables.drop(near, ids, full)
+        return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hashes: int = 128, bands: int = 32) -> DataFrame:
@@ -176,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the full sets of some hundred long rows fit a batch
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     got = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = tables.write(got.mapInArrow(lambda it: _sets(it, k, hashes, bands), _SETS), "sets")
+    sets = tables.write(got.mapInArrow(lambda it: _sets(it, k, hashes, bands), _SETS), "sets", "lz4")
     groups = tables.write(sets.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "groups")
 
     # one row for each different set; an id that is repeated with other words is one node with several sets
@@ -186,10 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = tables.write(members.join(leaders, "bucket"), "buckets")
     tables.drop(leaders)
     wanted = live.select(F.col("id")).union(live.select(F.col("leader"))).distinct()
-    facts = tables.write(reps.join(wanted, "id", "left_semi").select("id", "digest", "sig", "shingles").dropDuplicates(["id", "digest"]), "facts")
+    sigs = tables.write(reps.join(wanted, "id", "left_semi").select("id", "digest", "sig").dropDuplicates(["id", "digest"]).drop("digest"), "sigs")
+    repeated = not sets.groupBy("id").count().filter("count > 1").isEmpty()
+    check = _Verifier(got, sigs, repeated, k, hashes, percent, tables)
 
     pairs = live.filter("id != leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
-    links = _verified(pairs, facts, hashes, percent, tables)
+    links = check.links(pairs)
     found = components(links, tables)
     tables.drop(links)
     rest = live.filter("id != leader").select("bucket", "id")
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lead = open_.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(step)).alias("part")).agg(F.min_by(F.struct("id", "class"), "id").alias("lead"))
         lead = tables.write(lead.select("bucket", F.col("lead.id").alias("leader"), F.col("lead.class").alias("leader_class")), "lead")
         pairs = open_.join(lead, "bucket").filter("class != leader_class and id != leader").select(F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v")).distinct()
-        links = _verified(pairs, facts, hashes, percent, tables)
+        links = check.links(pairs)
         if not links.isEmpty():
             more = components(found.union(links), tables)
             tables.drop(found)
