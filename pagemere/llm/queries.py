@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import grade_documents, ratings
+
+    return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ratings())
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -63,6 +75,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read, write
 
@@ -79,7 +97,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "piece", "n_tokens", "slot", "shard", "byte_offset", F.crc32("ids").alias("ids_crc32"))
 
 
-_ALL = (op3_minhash_near_dedup, op4_benchmark_decontamination, op5_best_fit_packing, op6_media_columns, op7_license_scan, op9_warc_salvage, op10_training_order)
+_ALL = (op1_quality_classifier, op2_toxicity, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_best_fit_packing, op6_media_columns, op7_license_scan, op8_pseudo_likelihood, op9_warc_salvage, op10_training_order)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _OP4_SQL = r"""
