@@ -6,10 +6,8 @@ Slots are dense, so slot s lies in shard s // per_shard at byte (s % per_shard)
 from any slot without an index.  A record: doc_id (int64), piece (int32), tokens (int32), then ``length``
 unsigned 16-bit ids, zero-padded, all little-endian.
 
-Two passes read the documents: the first only counts sequences in each scan partition (a number for each
-partition comes to the driver), the second makes the records and deals them by shard.  Ids are made twice
-instead of being stored twice.  The scan's splits are pinned for both, and the second pass fails if its counts
-differ, so a changed input can't give gaps or doubles.  ``docs`` must be a scan (write other plans first).
+Sequences are written once as they come, with their number within the scan's task; only the count of each task
+comes to the driver.  Records are then dealt to ranges of shards and written.
 
 Shards are rows of a binary column in the shared folder, which any store can hold; ``export`` writes them as
 files.  Defined results: a null or empty text is one sequence of the end id; a null doc_id is stored as
@@ -18,8 +16,8 @@ files.  Defined results: a null or empty text is one sequence of the end id; a n
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,34 +57,31 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
     encode = byte_ids(path).encode_to_numpy
-    end = np.array([end_id], np.uint32)
+    end = np.array([end_id], "<u2").tobytes()
+    part, nth, size = TaskContext.get().partitionId(), 0, 2 * length
     for batch in batches:
-        yield batch.column(0).to_pylist(), [np.concatenate((encode(t.as_py() or "", disallowed_special=()), end)) for t in batch.column(1)]
-
-
-def _count(batches, path: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
-    n = sum(-(-len(x) // length) for _, ids in _texts(batches, path, end_id) for x in ids)
-    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
-
-
-def _records(batches, path: str, end_id: int, length: int, starts: dict[int, tuple[int, int]], total: int, key: int, per_shard: int) -> Iterator[pa.RecordBatch]:
-    begin, expected = starts.get(TaskContext.get().partitionId(), (0, 0))
-    at = begin
-    for doc_ids, ids in _texts(batches, path, end_id):
         records = []
-        for doc_id, x in zip(doc_ids, ids, strict=True):
-            head = np.int64(_NO_ID if doc_id is None else doc_id).tobytes()
-            raw = x.astype("<u2")
-            for p, i in enumerate(range(0, len(raw), length)):
-                part = raw[i : i + length]
-                records.append(head + np.array([p, len(part)], "<i4").tobytes() + part.tobytes())
-        slots = permute(np.arange(at, at + len(records)), total, key)
-        at += len(records)
-        yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), pa.array(records, pa.binary())], ["shard", "slot", "record"])
-    if at - begin != expected:
-        raise RuntimeError("the documents changed between counting and writing")
+        for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            head = struct.pack("<q", _NO_ID if doc_id is None else doc_id)
+            raw = encode(t.as_py() or "", disallowed_special=()).astype("<u2").tobytes() + end
+            for p, i in enumerate(range(0, len(raw), size)):
+                ids = raw[i : i + size]
+                records.append(head + struct.pack("<ii", p, len(ids) // 2) + ids)
+        n = len(records)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(nth, nth + n)), pa.array(records, pa.binary())], ["part", "nth", "record"])
+        nth += n
+
+
+def _slots(batches, starts: dict[int, int], total: int, key: int, per_shard: int, parts: int) -> Iterator[pa.RecordBatch]:
+    shards = -(-total // per_shard)
+    for b in batches:
+        if b.num_rows:
+            at = np.fromiter((starts[p] for p in b.column(0).to_pylist()), np.int64, b.num_rows) + b.column(1).to_numpy()
+            slots = permute(at, total, key)
+            shard = slots // per_shard
+            yield pa.RecordBatch.from_arrays([pa.array((shard * parts // shards).astype(np.int32)), pa.array(shard), pa.array(slots), b.column(2)], ["range", "shard", "slot", "record"])
 
 
 def _shards(batches, stride: int, per_shard: int) -> Iterator[pa.RecordBatch]:
@@ -97,7 +92,7 @@ def _shards(batches, stride: int, per_shard: int) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([first], pa.int64()), pa.array([len(held)], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["shard", "first_slot", "n", "payload"])
 
     for b in batches:
-        for s, slot, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for s, slot, record in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             if s != shard:
                 if held:
                     yield done()
@@ -107,33 +102,23 @@ def _shards(batches, stride: int, per_shard: int) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-@contextmanager
-def _pinned_splits(spark):
-    """The number of splits of a scan must not follow the number of executors that are alive just now."""
-    name = "spark.sql.files.minPartitionNum"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def materialise(docs: DataFrame, tokenizer: str, key: int, end_id: int = 50_256, length: int = 1024, per_shard: int = 512) -> DataFrame:
     """Writes the shards; returns their table (shard, first_slot, n, payload)."""
     spark = docs.sparkSession
     tables = Tables(spark, "order")
     got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stride = 16 + 2 * length
-    with _pinned_splits(spark):
-        starts, total = {}, 0
-        for part, n in sorted(got.mapInArrow(lambda it: _count(it, tokenizer, end_id, length), "part int, n bigint").collect()):
-            starts[part] = (total, n)
-            total += n
-        made = got.mapInArrow(lambda it: _records(it, tokenizer, end_id, length, starts, total, key, per_shard), "shard bigint, slot bigint, record binary")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * stride // (64 << 20)))
-        dealt = made.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
-        return tables.write(dealt.mapInArrow(lambda it: _shards(it, stride, per_shard), "shard bigint, first_slot bigint, n int, payload binary"), "shards")
+    rows = tables.write(got.mapInArrow(lambda it: _sequences(it, tokenizer, end_id, length), "part int, nth bigint, record binary"), "sequences")
+    starts, total = {}, 0
+    for part, n in sorted(rows.groupBy("part").count().collect()):  # a row for each task of the scan
+        starts[part] = total
+        total += n
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * stride // (64 << 20)))
+    made = rows.mapInArrow(lambda it: _slots(it, starts, total, key, per_shard, parts), "range int, shard bigint, slot bigint, record binary")
+    dealt = made.repartitionById(parts, "range").sortWithinPartitions("slot")
+    out = tables.write(dealt.mapInArrow(lambda it: _shards(it, stride, per_shard), "shard bigint, first_slot bigint, n int, payload binary"), "shards")
+    tables.drop(rows)
+    return out
 
 
 def _read(batches, length: int, start: int) -> Iterator[pa.RecordBatch]:
