@@ -38,14 +38,14 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
 
     Self-links and repeated edges are ignored; an empty table gives an empty result.
     """
-    now = tables.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
-    mark = None
+    now, first = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), True
     while True:
         step = tables.write(_small_star(_large_star(now)), "star")
-        tables.drop(now)
-        now = step
-        # a star forest is a fixed point: no centre is itself a leaf, and each leaf has one centre
-        n, leaves, total = now.agg(F.count("*"), F.count_distinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if n == 0 or (n == leaves and (mark == (n, total) or now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty())):
+        if not first:
+            tables.drop(now)
+        now, first = step, False
+        # a forest of stars is done: no leaf has two centres, and no centre is a leaf
+        sides = now.select(F.col("u").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(now.select("v", F.lit(0), F.lit(1)))
+        nodes = sides.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        if nodes.filter("leaf > 1 or (leaf > 0 and centre > 0)").isEmpty():
             return now
-        mark = (n, total)

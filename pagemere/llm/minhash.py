@@ -2,14 +2,15 @@
 
 A document's set is its distinct k-word shingles, as 64-bit hashes.  ``hashes`` universal hash functions give
 a signature of minima; ``bands`` bands of it put documents into buckets.  In each bucket all members are
-compared with the bucket's leader (its smallest id).  Where members of one bucket are still in different
-classes, the leader, which is now compared with everybody, leaves, and further leaders follow (1, 4, 16, ...
-a round) until one class or one member is left.  So no bucket is collected, members of a class already found
-cost nothing more, and no candidate pair of a bucket between two classes stays unchecked.  A pair counts if
-its signatures' agreement is not implausible for the threshold (six standard deviations) and then only if the
-full sets pass.
+compared with the bucket's leader (its smallest id), which settles most buckets.  Where members of one bucket
+are still in different classes, the rest is compared in blocks of bounded size: the members outside the
+bucket's largest class with each other and with that class.  A task gets two blocks, compares signatures as
+matrices and emits the links of a spanning forest only.  So no bucket is collected, no pairs are emitted that
+are not links, and no candidate pair of a bucket between two classes stays unchecked.  A pair counts if its
+signatures' agreement is not implausible for the threshold (six standard deviations) and then only if the full
+sets pass.
 
-With 32 bands of 4 rows a pair at a similarity of 0.8 is missed with a probability of 5e-8.
+With 48 bands of 6 rows a pair at a similarity of 0.8 is missed with a probability of 5e-7.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; repeated rows and ties
 fall into one class, as do the rows of one id with several texts; a null id keeps its row, with a null class, and is kept; an empty table gives an empty
@@ -31,6 +32,8 @@ from .common import Tables, small
 from .components import components
 
 _WORDS_MAX = 1_000_000
+#: So many of the minima are kept to verify candidates.
+VERIFIED = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -70,15 +73,16 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 def coefficients(hashes: int, seed: int = 20_240_601) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**64, hashes, np.uint64) | np.uint64(1), rng.integers(0, 2**64, hashes, np.uint64)
+    return rng.integers(0, 2**32, hashes, np.uint32) | np.uint32(1), rng.integers(0, 2**32, hashes, np.uint32)
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minima of a*x + b mod 2**64 over the set, their upper 32 bits; in slices, so memory stays small."""
-    low = np.full(len(a), 2**64 - 1, np.uint64)
-    for i in range(0, len(shingles), 512):
-        np.minimum(low, (a[:, None] * shingles[None, i : i + 512] + b[:, None]).min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype("<u4")
+    """Minima of a*x + b mod 2**32 over the set's hashes folded to 32 bits; in slices, so memory stays small."""
+    x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    low = np.full(len(a), 2**32 - 1, np.uint32)
+    for i in range(0, len(x), 256):
+        np.minimum(low, (a[:, None] * x[None, i : i + 256] + b[:, None]).min(axis=1), out=low)
+    return low.astype("<u4")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, hashes: int, bands: int) -> Iterator[pa.RecordBatch]:
@@ -98,7 +102,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, hashes: int, bands: int) ->
                     key = np.arange(bands, dtype=np.uint64) * _MIX
                     for r in range(rows):
                         key = _mix(key * _STEP + parts[:, r])
-                    made = (key.view(np.int64).tolist(), sig.tobytes())
+                    made = (key.view(np.int64).tolist(), sig[:VERIFIED].tobytes())
                 seen[digest] = made
             ids.append(doc_id)
             digests.append(digest)
@@ -148,26 +152,60 @@ def _with(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").select("u", "v", "x", "y")
 
 
-class _Verifier:
-    """Checks candidate pairs by their signatures, then the rest by the full sets, made again from the texts."""
-
-    def __init__(self, docs: DataFrame, sigs: DataFrame, repeated: bool, k: int, hashes: int, percent: int, tables: Tables):
-        self.docs, self.sigs, self.repeated, self.k, self.hashes, self.percent, self.tables = docs, sigs, repeated, k, hashes, percent, tables
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        t, k, hashes, percent = self.percent / 100, self.k, self.hashes, self.percent
-        least = t - 6 * (t * (1 - t) / hashes) ** 0.5
-        near = self.tables.write(_with(pairs, self.sigs, "sig").mapInArrow(lambda it: _plausible(it, hashes, least), "u bigint, v bigint").distinct(), "plausible")
-        ids = self.tables.write(near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct(), "ids")
-        texts = self.docs.join(small(ids, 16 * ids.count()), "id", "left_semi")
-        full = texts.mapInArrow(lambda it: _full(it, k), "id bigint, shingles binary")
-        full = self.tables.write(full.distinct() if self.repeated else full, "full", "lz4")
-        out = self.tables.write(_with(near, full, "shingles").mapInArrow(lambda it: _similar(it, percent), "u bigint, v bigint"), "links")
-        self.tables.drop(near, ids, full)
-        return out
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hashes: int = 128, bands: int = 32) -> DataFrame:
+def _least(percent: int, kept: int) -> float:
+    t = percent / 100
+    return t - 6 * (t * (1 - t) / kept) ** 0.5
+
+
+def _forest(group: pa.Table, kept: int, percent: int) -> pa.Table:
+    """Links between different classes within two blocks, as many as join what can be joined."""
+    ids, classes = group["id"].to_numpy(), group["class"].to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in group["shingles"]]
+    sigs = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u4").reshape(-1, kept)
+    sizes = np.array([len(x) for x in sets])
+    root = {c: c for c in classes}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    least, u, v = _least(percent, kept) * kept, [], []
+    for i in range(len(ids) - 1):
+        fits = (sigs[i + 1 :] == sigs[i]).sum(axis=1) >= least
+        fits &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
+        for j in (np.flatnonzero(fits) + i + 1).tolist():
+            a, b = top(classes[i]), top(classes[j])
+            if a != b and len(root) > 1:
+                both = np.concatenate((sets[i], sets[j]))
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    root[a] = b
+                    u.append(int(ids[i]))
+                    v.append(int(ids[j]))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _blocks(open_: DataFrame, size: int) -> DataFrame:
+    """(id, class, bucket, low, high): every two members of a bucket in different classes meet in some (bucket, low, high)."""
+    of_class = open_.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    of_bucket = of_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("total"))
+    of_bucket = of_bucket.filter("total > m.n").select("bucket", F.col("m.class").alias("major"), F.col("m.n").alias("m"), "total")
+    small_ = F.col("total") <= 2 * size
+    n_major = F.when(small_, 0).otherwise(F.ceil(F.col("m") / size)).cast("int")
+    n_other = F.when(small_, 1).otherwise(F.ceil((F.col("total") - F.col("m")) / size)).cast("int")
+    rows = open_.join(of_bucket, "bucket").select("id", "class", "bucket", n_major.alias("a"), n_other.alias("b"), (F.col("class") == F.col("major")).alias("is_major"))
+    mix = F.xxhash64("id")
+    own = F.when(F.col("is_major") & (F.col("a") > 0), F.pmod(mix, F.greatest("a", F.lit(1)))).otherwise(F.col("a") + F.pmod(mix, F.col("b")))
+    rows = rows.withColumn("own", own.cast("int"))
+    other = F.explode(F.sequence(F.when(F.col("own") < F.col("a"), F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1))
+    rows = rows.withColumn("other", other)
+    return rows.select("id", "class", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hashes: int = 288, bands: int = 48, block: int = 512) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``; see the module's text."""
     spark = docs.sparkSession
     tables = Tables(spark, "near")
@@ -186,35 +224,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = live.select(F.col("id")).union(live.select(F.col("leader"))).distinct()
     sigs = tables.write(reps.join(wanted, "id", "left_semi").select("id", "digest", "sig").dropDuplicates(["id", "digest"]).drop("digest"), "sigs")
     repeated = not sets.groupBy("id").count().filter("count > 1").isEmpty()
-    check = _Verifier(got, sigs, repeated, k, hashes, percent, tables)
+    kept = min(VERIFIED, hashes)
+    least = _least(percent, kept)
+
+    def full(ids: DataFrame, what: str) -> DataFrame:
+        texts = got.join(small(ids, 32 * ids.count()), "id", "left_semi")
+        made = texts.mapInArrow(lambda it: _full(it, k), "id bigint, shingles binary")
+        return tables.write(made.distinct() if repeated else made, what, "lz4")
 
     pairs = live.filter("id != leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
-    links = check.links(pairs)
+    near = tables.write(_with(pairs, sigs, "sig").mapInArrow(lambda it: _plausible(it, kept, least), "u bigint, v bigint"), "plausible")
+    sets_of = full(tables.write(near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct(), "ids"), "full")
+    links = tables.write(_with(near, sets_of, "shingles").mapInArrow(lambda it: _similar(it, percent), "u bigint, v bigint"), "links")
+    tables.drop(near, sets_of)
     found = components(links, tables)
-    tables.drop(links)
+
     rest = live.filter("id != leader").select("bucket", "id")
-    step = 1
-    while True:
-        named = rest.join(found.withColumnRenamed("u", "id"), "id", "left").select("bucket", "id", F.coalesce("v", "id").alias("class"))
-        named = tables.write(named, "named")
-        split = tables.write(named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("bucket"), "split")
-        if split.isEmpty():
-            tables.drop(named, split)
-            break
-        open_ = tables.write(named.join(split, "bucket", "left_semi"), "open")
-        tables.drop(named, split)
-        lead = open_.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(step)).alias("part")).agg(F.min_by(F.struct("id", "class"), "id").alias("lead"))
-        lead = tables.write(lead.select("bucket", F.col("lead.id").alias("leader"), F.col("lead.class").alias("leader_class")), "lead")
-        pairs = open_.join(lead, "bucket").filter("class != leader_class and id != leader").select(F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v")).distinct()
-        links = check.links(pairs)
-        if not links.isEmpty():
-            more = components(found.union(links), tables)
-            tables.drop(found)
-            found = more
-        tables.drop(links)
-        rest = tables.write(open_.join(lead.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "rest")
-        tables.drop(open_)
-        step *= 4
+    rest = tables.write(rest.join(found.withColumnRenamed("u", "id"), "id", "left").select("bucket", "id", F.coalesce("v", "id").alias("class")), "rest")
+    blocks = tables.write(_blocks(rest, block), "blocks")
+    if not blocks.isEmpty():
+        sets_of = full(tables.write(blocks.select("id").distinct(), "ids"), "full")
+        rows = blocks.join(sigs, "id").join(sets_of, "id")
+        more = rows.groupBy("bucket", "low", "high").applyInArrow(lambda t: _forest(t, kept, percent), "u bigint, v bigint")
+        found = components(found.union(tables.write(more, "more")), tables)
     classes = groups.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("v", "rep").alias("component"))
     out = sets.select("id", "digest", "n_shingles").join(classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
