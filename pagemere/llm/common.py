@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 _own_dir: dict[str, str] = {}
+_caches: list[dict] = []
+
+
+def only(cache: dict) -> None:
+    """A Python worker serves many stages; it keeps one operator's word cache at a time."""
+    if not any(c is cache for c in _caches):
+        _caches.append(cache)
+    for c in _caches:
+        if c is not cache:
+            c.clear()
 
 
 def shared_dir(spark: SparkSession) -> str:

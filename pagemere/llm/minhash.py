@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, small
+from .common import Tables, only, small
 from .components import components
 
-_WORDS_MAX = 1_000_000
+_WORDS_MAX = 300_000
 #: So many of the minima are kept to verify candidates.
 VERIFIED = 128
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +86,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, hashes: int, bands: int) -> Iterator[pa.RecordBatch]:
+    only(_CACHE)
     a, b = coefficients(hashes)
     rows = hashes // bands
     for batch in batches:

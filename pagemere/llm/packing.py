@@ -24,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, only
 from .tokens import word_ids
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     encode = word_ids(path).ids
+    only(word_ids(path).kept)
     end = np.array([end_id], "<u4").tobytes()
     size = 4 * capacity
     for batch in batches:

@@ -23,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, only
 from .labelled import held_out, training_rows
 
 WORD_SLOTS, SHAPE_SLOTS, DENSE = 4096, 2048, 4
 SLOTS = WORD_SLOTS + SHAPE_SLOTS + DENSE
 BOUND = 6000
 _RUN = re.compile(r"(.)\1+")
-_KEPT = 400_000
+_KEPT = 200_000
 
 
 def _slots(word: str) -> tuple[int, int]:
@@ -120,6 +120,7 @@ class _Weights(dict):
 def _score(batches: Iterator[pa.RecordBatch], shared, least: int) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     of = _Weights(model.weights)
+    only(of)
     dense = model.weights[SLOTS - DENSE :]
     grades = np.array(model.grades, np.float64)
     for b in batches:

@@ -18,7 +18,7 @@ import numpy as np
 _L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\s\x85\xa0"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
-_KEPT = 600_000
+_KEPT = 300_000
 
 
 class WordIds:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, only
 from .labelled import held_out, training_rows
 
 BOUND = 12_000
@@ -42,7 +42,7 @@ REPORTING = frozenset("said says called calls wrote writes word words term quote
 _QUOTES = "\"“”«»„‘’"
 _LEET = str.maketrans("013457@$", "oleastas")
 _WORD = re.compile(r"[\w@$]+")
-_KEPT = 400_000
+_KEPT = 200_000
 WINDOW = 6
 #: Prior: bias, then log(1 + hits) of exact abuse, misspelled abuse, exact quoted, misspelled quoted.
 PRIOR = np.array([-3.0, 4.0, 1.5, 1.0, 0.4])
@@ -264,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Model = shared.value
     lexicon = _lexicon(tuple(model.terms))
+    only(lexicon.kept)
     for b in batches:
         hits = np.array([lexicon.hits(t.as_py()) for t in b.column(1)]).reshape(-1, 4)
         s = 1 / (1 + np.exp(-np.clip(model.weights[0] + np.log1p(hits) @ model.weights[1:], -30, 30)))
