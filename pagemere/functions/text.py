@@ -18,9 +18,9 @@ _BROKEN = re.compile(r"([^\W\d_])[-‐‑]\s*\n\s*([^\W\d_])")
 
 def normalize(text: str) -> str:
     """NFC; no soft hyphens or superscripts; words broken at a line end are joined; lines and blanks become one blank."""
-    t = _SUPERSCRIPT.sub("", unicodedata.normalize("NFC", text).replace("­", ""))
+    t = _SUPERSCRIPT.sub("", unicodedata.normalize("NFC", text).replace("\u00ad", ""))
     t = re.sub(r"\s*\n\s*", " ", _BROKEN.sub(r"\1\2", t))
-    return re.sub(r"[ \t ]+", " ", t).strip()
+    return re.sub(r"[ \t\u00a0]+", " ", t).strip()
 
 
 def key(text: str) -> str:
@@ -40,7 +40,7 @@ def fold(text: str, mode: str = "a") -> str:
     f: as a, runs of others to one hyphen, none at the ends.
     """
     if mode == "d":
-        return "".join(c for c in unicodedata.normalize("NFD", text) if not "̀" <= c <= "ͯ").lower()
+        return "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f").lower()
     if mode == "c":
         return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
     parts = unicodedata.normalize("NFKD", text)
@@ -87,22 +87,24 @@ def percent_label(matched: Column, length: Column) -> Column:
     return F.concat(F.lit("close ("), F.bround(matched * 100 / length, 0).cast("int").cast("string"), F.lit("%)"))
 
 
+def _weighted(x: Column, n: int, weight) -> Column:
+    """Sum over the first n characters of digit times weight(place from 0); null where one isn't a digit."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0), lambda s, i: s + x.substr(i + 1, F.lit(1)).try_cast("int") * weight(i))
+
+
 def isbn13(c: Column) -> Column:
     """Canonical ISBN-13 of a valid ISBN-10 or -13, else null; X only in the last place of ten."""
     raw = F.upper(F.regexp_replace(c, r"[^\dXx]", ""))
 
-    def digits(x: Column, n: int) -> list[Column]:
-        return [F.substring(x, i + 1, 1).try_cast("int") if hasattr(x, "try_cast") else F.expr("null") for i in range(n)]
+    def three(i):
+        return 1 + 2 * F.pmod(i, F.lit(2))
 
-    d10 = digits(raw, 10)
-    last = F.when(F.substring(raw, 10, 1) == "X", 10).otherwise(d10[9])
-    sum10 = sum((d10[i] * (10 - i) for i in range(9)), F.lit(0)) + last
-    d13 = digits(raw, 13)
-    sum13 = sum((d13[i] * (1 if i % 2 == 0 else 3) for i in range(13)), F.lit(0))
+    last = F.when(F.substring(raw, 10, 1) == "X", 10).otherwise(F.substring(raw, 10, 1).try_cast("int"))
+    good10 = (F.length(raw) == 10) & (F.pmod(_weighted(raw, 9, lambda i: 10 - i) + last, F.lit(11)) == 0)
+    good13 = (F.length(raw) == 13) & (F.pmod(_weighted(raw, 13, three), F.lit(10)) == 0)
     body = F.concat(F.lit("978"), F.substring(raw, 1, 9))
-    db = digits(body, 12)
-    check = F.pmod(10 - F.pmod(sum((db[i] * (1 if i % 2 == 0 else 3) for i in range(12)), F.lit(0)), F.lit(10)), F.lit(10))
-    return F.when((F.length(raw) == 13) & (F.pmod(sum13, F.lit(10)) == 0), raw).when((F.length(raw) == 10) & (F.pmod(sum10, F.lit(11)) == 0), F.concat(body, check.cast("string")))
+    check = F.pmod(10 - F.pmod(_weighted(body, 12, three), F.lit(10)), F.lit(10))
+    return F.when(good13, raw).when(good10, F.concat(body, check.cast("string")))
 
 
 def uninvert(name: Column) -> Column:

@@ -80,4 +80,4 @@ def corpus_map(vectors: DataFrame) -> DataFrame:
         at = mds(s)
         return pd.DataFrame({"work_id": frame["work_id"][: len(at)], "x": at[:, 0].round(6), "y": at[:, 1].round(6)})
 
-    return vectors.groupBy(F.lit(1)).applyInPandas(run, "work_id string, x double, y double")
+    return vectors.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "work_id string, x double, y double")

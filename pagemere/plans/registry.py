@@ -2,5 +2,149 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemere.functions import text as T
+from pagemere.operators import chunks, matcher, pages, similar
+from pagemere.sources.overlay import duck_sql, spark_sql
+
+from .relational import OTHER, SQL
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.sql(spark_sql(text, sf_dir))
+
+
+def _text_query(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _sql(spark, sf_dir, SQL[name])
+
+    run.__name__ = name
+    return run
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _sql(spark, sf_dir, f"SELECT * FROM {name}")
+
+
+def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.printed_pages(*(relation(spark, sf_dir, n) for n in ("page", "work", "page_range")))
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("quote"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return relation(spark, sf_dir, "chunk").join(e, "chunk_id", "left")
+
+
+def j1_printed_pages(spark, sf_dir):
+    return _printed(spark, sf_dir).select("work_id", "page_index", "folio", "printed_page")
+
+
+def x24_offset_judge(spark, sf_dir):
+    return pages.offset_verdicts(_printed(spark, sf_dir), relation(spark, sf_dir, "page_range"))
+
+
+def x14_running_heads(spark, sf_dir):
+    return pages.running_heads(relation(spark, sf_dir, "page"), share=0.05, least_count=3)
+
+
+def m4_quotation_exact(spark, sf_dir):
+    """Places on single pages, by quotation."""
+    hits = matcher.find_exact(_printed(spark, sf_dir), _quotes(spark, sf_dir)).filter("alone")
+    return hits.select("item_id", "work_id", "page_index", "printed_page", "match")
+
+
+def m3_quotation_joined(spark, sf_dir):
+    return matcher.find_exact(_printed(spark, sf_dir), _quotes(spark, sf_dir)).filter("not alone").select("item_id", "work_id", "pages", "text")
+
+
+def m6_quotation_close(spark, sf_dir):
+    """Quotations with their last word dropped and letters changed, looked up near the page of the original."""
+    hits = matcher.find_exact(_printed(spark, sf_dir), _quotes(spark, sf_dir)).filter("alone")
+    near = hits.groupBy("item_id", "work_id").agg(F.min("printed_page").alias("near"))
+    broken = _quotes(spark, sf_dir).withColumn("quote", F.regexp_replace("quote", "(.{60})e", "$1x"))
+    return matcher.find_close(_printed(spark, sf_dir), broken.join(near, "item_id")).select("item_id", "work_id", "printed_page", "match")
+
+
+def t1_topk_cosine(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    query = v.filter("chunk_id = 7").select("embedding").first()
+    return similar.nearest(v.filter("section_type is distinct from 'front'"), query[0] if query and query[0] else [1.0] + [0.0] * 63, 30).select("chunk_id", "work_id", "score")
+
+
+def v4_centred_vectors(spark, sf_dir):
+    return similar.centred(_vectors(spark, sf_dir)).select("work_id", "lang", F.round(F.element_at("v", 1), 6).alias("first"), F.size("v").alias("dims"))
+
+
+def v6_pairs(spark, sf_dir):
+    return similar.pairs(similar.centred(_vectors(spark, sf_dir)))
+
+
+def v5_neighbours(spark, sf_dir):
+    return similar.neighbours(similar.centred(_vectors(spark, sf_dir)), 5)
+
+
+def v7_corpus_map(spark, sf_dir):
+    return similar.corpus_map(similar.centred(_vectors(spark, sf_dir)))
+
+
+def x10_chunker(spark, sf_dir):
+    return chunks.chunk(relation(spark, sf_dir, "page")).select("work_id", "ordinal", "start_page_index", "end_page_index", "lang", "chars")
+
+
+def x7_language(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", chunks.text_language(F.col("text")).alias("language"))
+
+
+def x1_fold(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *(T.folded(F.substring("text", 1, 80), m).alias(f"fold_{m}") for m in "abcdef"))
+
+
+def x5_key(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.keyed(F.col("text")).alias("key"))
+
+
+def fmt1_uninvert(spark, sf_dir):
+    return relation(spark, sf_dir, "work").select("id", T.uninvert(F.col("author")).alias("name"))
+
+
+def fmt7_isbn13(spark, sf_dir):
+    raw = F.lpad(F.pmod(F.col("p_partkey") * 7919, F.lit(10**9)).cast("string"), 9, "0")
+    checks = [F.concat(raw, F.lit(c)) for c in "0123456789X"]
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", F.coalesce(*(T.isbn13(c) for c in checks)).alias("isbn13"))
+
+
+QUERIES = {n: _text_query(n) for n in SQL} | {
+    f.__name__: f
+    for f in (
+        j1_printed_pages, x24_offset_judge, x14_running_heads, m4_quotation_exact, m3_quotation_joined, m6_quotation_close, t1_topk_cosine, v4_centred_vectors,
+        v6_pairs, v5_neighbours, v7_corpus_map, x10_chunker, x7_language, x1_fold, x5_key, fmt1_uninvert, fmt7_isbn13,
+    )
+}
+
+_CENTRED = """w0 AS (SELECT c.work_id, c.lang, e.embedding::DOUBLE[] AS v FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front'),
+ l AS (SELECT work_id, mode() WITHIN GROUP (ORDER BY lang) AS lang FROM w0 GROUP BY work_id),
+ x AS (SELECT work_id, i, avg(v[i]) AS x FROM w0, range(1, 65) r(i) GROUP BY work_id, i),
+ m AS (SELECT l.lang, x.i, avg(x.x) AS m FROM x JOIN l USING (work_id) GROUP BY l.lang, x.i),
+ cv AS (SELECT x.work_id, l.lang, list(x.x - m.m ORDER BY x.i) AS v FROM x JOIN l USING (work_id) JOIN m ON m.lang = l.lang AND m.i = x.i GROUP BY x.work_id, l.lang),
+ pr AS (SELECT a.work_id AS a, b.work_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM cv a JOIN cv b ON a.work_id < b.work_id)"""
+
+_OWN = {
+    "j1_printed_pages": "SELECT work_id, page_index, folio, printed_page FROM printed",
+    "m4_quotation_exact": "SELECT b.item_id, p.work_id, p.page_index, q.printed_page, 'exact' AS match FROM page p JOIN printed q ON q.work_id = p.work_id AND q.page_index = p.page_index JOIN {benchmark} b ON contains(lower(regexp_replace(p.text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'), ' \"''')))",
+    "t1_topk_cosine": "SELECT c.chunk_id, c.work_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 7)), 6) AS score FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front' ORDER BY score DESC, chunk_id LIMIT 30",
+    "v4_centred_vectors": f"WITH {_CENTRED} SELECT work_id, lang, round(v[1], 6) AS first, len(v)::INT AS dims FROM cv",
+    "v6_pairs": f"WITH {_CENTRED} SELECT a, b, similarity FROM pr",
+    "v5_neighbours": f"WITH {_CENTRED} SELECT a AS work_id, b AS neighbour, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM (SELECT a, b, similarity FROM pr UNION ALL SELECT b, a, similarity FROM pr)) WHERE rank <= 5",
+    "fmt1_uninvert": "SELECT id, CASE WHEN author IS NOT NULL THEN concat('Given ', split_part(author, ',', 1)) END AS name FROM work",
+    "fmt7_isbn13": """SELECT p_partkey, concat(b, ((10 - list_sum(list_transform(range(1, 13), lambda i: substr(b, i::INT, 1)::INT * (CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END))) % 10) % 10)::INT::VARCHAR) AS isbn13
+      FROM (SELECT p_partkey, concat('978', lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0')) AS b FROM {part})""",
+}
+
+ORACLE_SQL = {n: duck_sql(OTHER.get(n, t)) for n, t in SQL.items()} | {n: duck_sql(t) for n, t in _OWN.items()}
