@@ -13,7 +13,8 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
+    """Null where a vector has no length."""
+    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a) * _dot(b, b)))
 
 
 def nearest(chunks: DataFrame, query: list[float], k: int = 8) -> DataFrame:
