@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes of its columns, that an operator broadcasts after measuring it.
 BROADCAST_BYTES = 32 << 20
+#: Most rows of an Arrow batch: some hundred long texts fit a worker's memory.
+BATCH_ROWS = 512
 
 _own_dir: dict[str, str] = {}
 _caches: list[dict] = []
@@ -42,7 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it."""
+    """Lets Python workers import this package where the driver found it, and bounds their batches of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

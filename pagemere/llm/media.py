@@ -93,7 +93,6 @@ def _features(batches: Iterator[pa.RecordBatch], unit: int) -> Iterator[pa.Recor
 def store(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     """docs(doc_id, text) to the written table (doc_id, n_bytes, media)."""
     tables = Tables(docs.sparkSession, "media")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return tables.write(got.mapInArrow(lambda it: _store(it, unit), "doc_id bigint, n_bytes bigint, media binary"), "wav")
 

@@ -210,8 +210,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``; see the module's text."""
     spark = docs.sparkSession
     tables = Tables(spark, "near")
-    # the full sets of some hundred long rows fit a batch
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     got = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = tables.write(got.mapInArrow(lambda it: _sets(it, k, hashes, bands), _SETS), "sets", "lz4")
     groups = tables.write(sets.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "groups")
