@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemere.functions import text as T
-from pagemere.operators import chunks, matcher, pages, similar
+from pagemere.operators import chunks, citations, link, matcher, pages, similar, writes
+from pagemere.sources import files
 from pagemere.sources.overlay import duck_sql, spark_sql
 
 from .relational import OTHER, SQL
@@ -120,11 +121,58 @@ def fmt7_isbn13(spark, sf_dir):
     return part.select("p_partkey", F.coalesce(*(T.isbn13(c) for c in checks)).alias("isbn13"))
 
 
+def fmt2_bibliography(spark, sf_dir):
+    w = citations.with_container(relation(spark, sf_dir, "work"))
+    return w.select("id", citations.bibliography("chicago").alias("chicago"), citations.bibliography("mla").alias("mla"), citations.html(citations.bibliography("mla")).alias("html"))
+
+
+def fmt3_footnote(spark, sf_dir):
+    w = citations.with_container(relation(spark, sf_dir, "work"))
+    note = citations.footnote(F.col("n"))
+    return w.select("id", note.alias("footnote"), citations.mark_page(note, F.col("n")).alias("marked"))
+
+
+def _fresh(spark, sf_dir):
+    """New rows for half the customers, and some that are not there yet."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    return c, c.filter("c_custkey % 2 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 4 == 0, 1_000_000).otherwise(0)).alias("c_custkey"), F.lit("new").alias("c_name"), F.col("c_mktsegment"))
+
+
+def snk5_upsert(spark, sf_dir):
+    return writes.upsert(*_fresh(spark, sf_dir), ["c_custkey"])
+
+
+def snk6_append_absent(spark, sf_dir):
+    return writes.append_absent(*_fresh(spark, sf_dir), ["c_custkey"])
+
+
+def snk9_history(spark, sf_dir):
+    return writes.revise(*_fresh(spark, sf_dir), "c_custkey", ["c_name", "c_mktsegment"])[1]
+
+
+def snk11_csv_lines(spark, sf_dir):
+    return files.csv_lines(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props"))
+
+
+def _parts(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("surname"), F.col("p_size").alias("year"))
+    return p.filter("id <= 40"), p.filter("id > 20 and id <= 90")
+
+
+def e4_coverage(spark, sf_dir):
+    return link.ready(link.candidates(*_parts(spark, sf_dir)))
+
+
+def e2_one_to_one(spark, sf_dir):
+    return link.one_to_one(link.candidates(*_parts(spark, sf_dir)).filter("score >= 0.5"))
+
+
 QUERIES = {n: _text_query(n) for n in SQL} | {
     f.__name__: f
     for f in (
         j1_printed_pages, x24_offset_judge, x14_running_heads, m4_quotation_exact, m3_quotation_joined, m6_quotation_close, t1_topk_cosine, v4_centred_vectors,
         v6_pairs, v5_neighbours, v7_corpus_map, x10_chunker, x7_language, x1_fold, x5_key, fmt1_uninvert, fmt7_isbn13,
+        fmt2_bibliography, fmt3_footnote, snk5_upsert, snk6_append_absent, snk9_history, snk11_csv_lines, e4_coverage, e2_one_to_one,
     )
 }
 
@@ -135,7 +183,19 @@ _CENTRED = """w0 AS (SELECT c.work_id, c.lang, e.embedding::DOUBLE[] AS v FROM c
  cv AS (SELECT x.work_id, l.lang, list(x.x - m.m ORDER BY x.i) AS v FROM x JOIN l USING (work_id) JOIN m ON m.lang = l.lang AND m.i = x.i GROUP BY x.work_id, l.lang),
  pr AS (SELECT a.work_id AS a, b.work_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM cv a JOIN cv b ON a.work_id < b.work_id)"""
 
+_FRESH = "c AS (SELECT c_custkey, c_name, c_mktsegment FROM {customer}), f AS (SELECT c_custkey + CASE WHEN c_custkey % 4 = 0 THEN 1000000 ELSE 0 END AS c_custkey, 'new' AS c_name, c_mktsegment FROM c WHERE c_custkey % 2 = 0)"
+_PARTS = """t AS (SELECT p_partkey AS id, p_brand AS s, p_size AS y, list_distinct(list_filter(string_split(regexp_replace(lower(concat_ws(' ', p_name, p_type)), '[^a-z0-9]+', ' ', 'g'), ' '),
+  lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'of', 'for', 'los', 'las', 'del', 'una', 'con', 'der', 'die', 'das', 'les', 'des'))) AS k FROM {part}),
+ pr AS (SELECT x.id AS a, z.id AS b, x.k AS ka, z.k AS kb, len(list_intersect(x.k, z.k)) AS n, x.s = z.s AS ss, x.y = z.y AS yy FROM t x JOIN t z ON x.id <= 40 AND z.id > 20 AND z.id <= 90),
+ sc AS (SELECT a, b, round(least(1.0, n::DOUBLE / len(ka) + CASE WHEN ss THEN 0.35 ELSE 0 END + CASE WHEN yy THEN 0.1 ELSE 0 END), 6) AS score, round(n::DOUBLE / (len(ka) + len(kb) - n), 6) AS jaccard FROM pr WHERE n > 0),
+ rk AS (SELECT a, b, score, jaccard, row_number() OVER w AS rank, lead(score) OVER w AS second FROM sc WHERE score >= 0.35 WINDOW w AS (PARTITION BY a ORDER BY score DESC, jaccard DESC, b))"""
+
 _OWN = {
+    "e4_coverage": f"WITH {_PARTS} SELECT a, b, score, jaccard, rank::INT AS rank, rank = 1 AND score >= 0.6 AND score - coalesce(second, 0) > 0.15 AS ready FROM rk WHERE rank <= 4",
+    "snk5_upsert": f"WITH {_FRESH} SELECT * FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM f) UNION ALL SELECT * FROM f",
+    "snk6_append_absent": f"WITH {_FRESH} SELECT * FROM f WHERE c_custkey NOT IN (SELECT c_custkey FROM c)",
+    "snk9_history": f"WITH {_FRESH} SELECT c.* FROM c JOIN f USING (c_custkey) WHERE c.c_name IS DISTINCT FROM f.c_name OR c.c_mktsegment IS DISTINCT FROM f.c_mktsegment",
+    "snk11_csv_lines": "SELECT concat_ws(',', event_id::VARCHAR, event_type, CASE WHEN props LIKE '%\"%' THEN concat('\"', replace(props, '\"', '\"\"'), '\"') ELSE props END) AS value FROM {events}",
     "j1_printed_pages": "SELECT work_id, page_index, folio, printed_page FROM printed",
     "m4_quotation_exact": "SELECT b.item_id, p.work_id, p.page_index, q.printed_page, 'exact' AS match FROM page p JOIN printed q ON q.work_id = p.work_id AND q.page_index = p.page_index JOIN {benchmark} b ON contains(lower(regexp_replace(p.text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'), ' \"''')))",
     "t1_topk_cosine": "SELECT c.chunk_id, c.work_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 7)), 6) AS score FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front' ORDER BY score DESC, chunk_id LIMIT 30",
