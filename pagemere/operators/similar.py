@@ -48,7 +48,7 @@ def pairs(vectors: DataFrame) -> DataFrame:
 def neighbours(vectors: DataFrame, k: int = 5) -> DataFrame:
     p = pairs(vectors)
     both = p.union(p.select("b", "a", "similarity"))
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    w = Window.partitionBy("a").orderBy(F.desc_nulls_last("similarity"), "b")
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("a").alias("work_id"), F.col("b").alias("neighbour"), "similarity", "rank")
 
 

@@ -181,7 +181,8 @@ _CENTRED = """w0 AS (SELECT c.work_id, c.lang, e.embedding::DOUBLE[] AS v FROM c
  x AS (SELECT work_id, i, avg(v[i]) AS x FROM w0, range(1, 65) r(i) GROUP BY work_id, i),
  m AS (SELECT l.lang, x.i, avg(x.x) AS m FROM x JOIN l USING (work_id) GROUP BY l.lang, x.i),
  cv AS (SELECT x.work_id, l.lang, list(x.x - m.m ORDER BY x.i) AS v FROM x JOIN l USING (work_id) JOIN m ON m.lang = l.lang AND m.i = x.i GROUP BY x.work_id, l.lang),
- pr AS (SELECT a.work_id AS a, b.work_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM cv a JOIN cv b ON a.work_id < b.work_id)"""
+ pr0 AS (SELECT a.work_id AS a, b.work_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM cv a JOIN cv b ON a.work_id < b.work_id),
+ pr AS (SELECT a, b, CASE WHEN NOT isnan(similarity) THEN similarity END AS similarity FROM pr0)"""
 
 _FRESH = "c AS (SELECT c_custkey, c_name, c_mktsegment FROM {customer}), f AS (SELECT c_custkey + CASE WHEN c_custkey % 4 = 0 THEN 1000000 ELSE 0 END AS c_custkey, 'new' AS c_name, c_mktsegment FROM c WHERE c_custkey % 2 = 0)"
 _PARTS = """t AS (SELECT p_partkey AS id, p_brand AS s, p_size AS y, list_distinct(list_filter(string_split(regexp_replace(lower(concat_ws(' ', p_name, p_type)), '[^a-z0-9]+', ' ', 'g'), ' '),
@@ -201,7 +202,7 @@ _OWN = {
     "t1_topk_cosine": "SELECT c.chunk_id, c.work_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 7)), 6) AS score FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front' ORDER BY score DESC, chunk_id LIMIT 30",
     "v4_centred_vectors": f"WITH {_CENTRED} SELECT work_id, lang, round(v[1], 6) AS first, len(v)::INT AS dims FROM cv",
     "v6_pairs": f"WITH {_CENTRED} SELECT a, b, similarity FROM pr",
-    "v5_neighbours": f"WITH {_CENTRED} SELECT a AS work_id, b AS neighbour, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM (SELECT a, b, similarity FROM pr UNION ALL SELECT b, a, similarity FROM pr)) WHERE rank <= 5",
+    "v5_neighbours": f"WITH {_CENTRED} SELECT a AS work_id, b AS neighbour, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC NULLS LAST, b) AS rank FROM (SELECT a, b, similarity FROM pr UNION ALL SELECT b, a, similarity FROM pr)) WHERE rank <= 5",
     "fmt1_uninvert": "SELECT id, CASE WHEN author IS NOT NULL THEN concat('Given ', split_part(author, ',', 1)) END AS name FROM work",
     "fmt7_isbn13": """SELECT p_partkey, concat(b, ((10 - list_sum(list_transform(range(1, 13), lambda i: substr(b, i::INT, 1)::INT * (CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END))) % 10) % 10)::INT::VARCHAR) AS isbn13
       FROM (SELECT p_partkey, concat('978', lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0')) AS b FROM {part})""",
