@@ -50,13 +50,16 @@ def offset_verdicts(pages: DataFrame, ranges: DataFrame, confident: float = 0.9,
 
 
 def running_heads(pages: DataFrame, share: float = 0.25, least_pages: int = 12, least_count: int = 8) -> DataFrame:
-    """(work_id, head): first or last lines, digits masked, that stand on enough pages of their work."""
+    """(work_id, head, n): first and last lines, numbers masked, that stand on enough pages of their work.
+
+    A page whose first and last lines mask alike counts twice; a page of one line once.
+    """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    edge = pages.select("work_id", "page_index", lines.alias("l")).filter(F.size("l") > 0)
-    heads = edge.select("work_id", "page_index", F.explode(F.array_distinct(F.array(F.element_at("l", 1), F.element_at("l", -1)))).alias("line"))
-    heads = heads.filter(F.length("line") < 120).select("work_id", "page_index", F.regexp_replace("line", r"\d", "#").alias("head")).distinct()
-    counts = heads.groupBy("work_id", "head").agg(F.count("*").alias("n"))
-    totals = pages.groupBy("work_id").agg(F.count("*").alias("total"))
-    often = (F.col("total") >= least_pages) & (F.col("n") >= share * F.col("total"))
-    short = (F.col("n") >= least_count) & (F.length("head") <= 60) & ~F.col("head").rlike(r"[.!?…:;,]$")
+    edge = pages.select("work_id", lines.alias("l")).filter(F.size("l") > 0)
+    ends = F.when(F.size("l") > 1, F.array(F.element_at("l", 1), F.element_at("l", -1))).otherwise(F.slice("l", 1, 1))
+    heads = edge.select("work_id", F.explode(ends).alias("line")).select("work_id", F.trim(F.regexp_replace("line", r"\d+", "#")).alias("head"))
+    counts = heads.filter((F.col("head") != "") & (F.length("head") < 120)).groupBy("work_id", "head").agg(F.count("*").alias("n"))
+    totals = pages.groupBy("work_id").agg(F.count("*").alias("total")).filter(F.col("total") >= least_pages)
+    often = F.col("n") >= share * F.col("total")
+    short = (F.col("n") >= least_count) & (F.length("head") <= 60) & ~F.col("head").rlike(r"[.!?:;,]$")
     return counts.join(totals, "work_id").filter(often | short).select("work_id", "head", "n")

@@ -61,3 +61,27 @@ def retag(notes: DataFrame, ids: list[int], add: list[str], remove: list[str]) -
     with_new = F.array_sort(F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, add)).cast("array<string>"))))
     now = F.filter(with_new, lambda t: ~t.isin(*remove) if remove else F.lit(True))
     return notes.withColumn("tags", F.when(F.col("id").isin(*ids), now).otherwise(F.col("tags")))
+
+
+def anchors_of(notes: DataFrame, arrays: list[str]) -> DataFrame:
+    """notes(note_id, arrays of equal length): one row a place, numbered from 1 in order."""
+    at = notes.select("note_id", F.posexplode(F.arrays_zip(*arrays)).alias("at", "z"))
+    return at.select("note_id", (F.col("at") + 1).alias("ordinal"), *(F.col(f"z.{a}").alias(a) for a in arrays))
+
+
+def manifest(df: DataFrame, name: str) -> DataFrame:
+    """(name, row_count, checksum) of a table; the checksum doesn't depend on the order of rows."""
+    row = F.xxhash64(*df.columns)
+    return df.agg(F.count("*").alias("row_count"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("checksum")).select(F.lit(name).alias("name"), "row_count", "checksum")
+
+
+def changed(applied: DataFrame, now: DataFrame) -> DataFrame:
+    """(name): entries of a manifest(name, checksum) whose checksum is no longer the one applied."""
+    n = now.select("name", F.col("checksum").alias("_now"))
+    return applied.join(n, "name").filter(~F.col("checksum").eqNullSafe(F.col("_now"))).select("name")
+
+
+def served(documents: DataFrame, payload: str, most: int = 8 << 20) -> DataFrame:
+    """Binary documents in base 64 (``encoded``, null over the limit) and whether each ``fits``."""
+    fits = F.length(payload) <= most
+    return documents.select(*documents.columns, F.when(fits, F.regexp_replace(F.base64(payload), r"\s", "")).alias("encoded"), fits.alias("fits"))

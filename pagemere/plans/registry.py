@@ -10,6 +10,7 @@ from pagemere.operators import chunks, citations, link, matcher, pages, similar,
 from pagemere.sources import files
 from pagemere.sources.overlay import duck_sql, spark_sql
 
+from . import derived
 from .relational import OTHER, SQL
 
 
@@ -103,7 +104,7 @@ def x7_language(spark, sf_dir):
 
 
 def x1_fold(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *(T.folded(F.substring("text", 1, 80), m).alias(f"fold_{m}") for m in "abcdef"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *(T.folded(F.col("text"), m).alias(f"fold_{m}") for m in "abcdef"))
 
 
 def x5_key(spark, sf_dir):
@@ -133,9 +134,9 @@ def fmt3_footnote(spark, sf_dir):
 
 
 def _fresh(spark, sf_dir):
-    """New rows for half the customers, and some that are not there yet."""
+    """Customers, and new rows by the customers of all orders, some of whom are not there yet."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
-    return c, c.filter("c_custkey % 2 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 4 == 0, 1_000_000).otherwise(0)).alias("c_custkey"), F.lit("new").alias("c_name"), F.col("c_mktsegment"))
+    return c, _sql(spark, sf_dir, "SELECT o_custkey + 100 AS c_custkey, 'new' AS c_name, min(o_orderpriority) AS c_mktsegment FROM {orders} GROUP BY o_custkey")
 
 
 def snk5_upsert(spark, sf_dir):
@@ -155,8 +156,10 @@ def snk11_csv_lines(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("surname"), F.col("p_size").alias("year"))
-    return p.filter("id <= 40"), p.filter("id > 20 and id <= 90")
+    """Every name of the parts, and every name with its type; texts that are alike are one row."""
+    left = "SELECT min(p_partkey) AS id, p_name AS title, min(p_brand) AS surname, min(p_size) AS year FROM {part} GROUP BY p_name"
+    right = "SELECT min(p_partkey) AS id, concat_ws(' ', p_name, p_type) AS title, min(p_brand) AS surname, min(p_size) AS year FROM {part} GROUP BY p_name, p_type"
+    return _sql(spark, sf_dir, left), _sql(spark, sf_dir, right)
 
 
 def e4_coverage(spark, sf_dir):
@@ -174,7 +177,7 @@ QUERIES = {n: _text_query(n) for n in SQL} | {
         v6_pairs, v5_neighbours, v7_corpus_map, x10_chunker, x7_language, x1_fold, x5_key, fmt1_uninvert, fmt7_isbn13,
         fmt2_bibliography, fmt3_footnote, snk5_upsert, snk6_append_absent, snk9_history, snk11_csv_lines, e4_coverage, e2_one_to_one,
     )
-}
+} | derived.QUERIES
 
 _CENTRED = """w0 AS (SELECT c.work_id, c.lang, e.embedding::DOUBLE[] AS v FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front'),
  l AS (SELECT work_id, mode() WITHIN GROUP (ORDER BY lang) AS lang FROM w0 GROUP BY work_id),
@@ -184,10 +187,12 @@ _CENTRED = """w0 AS (SELECT c.work_id, c.lang, e.embedding::DOUBLE[] AS v FROM c
  pr0 AS (SELECT a.work_id AS a, b.work_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM cv a JOIN cv b ON a.work_id < b.work_id),
  pr AS (SELECT a, b, CASE WHEN NOT isnan(similarity) THEN similarity END AS similarity FROM pr0)"""
 
-_FRESH = "c AS (SELECT c_custkey, c_name, c_mktsegment FROM {customer}), f AS (SELECT c_custkey + CASE WHEN c_custkey % 4 = 0 THEN 1000000 ELSE 0 END AS c_custkey, 'new' AS c_name, c_mktsegment FROM c WHERE c_custkey % 2 = 0)"
-_PARTS = """t AS (SELECT p_partkey AS id, p_brand AS s, p_size AS y, list_distinct(list_filter(string_split(regexp_replace(lower(concat_ws(' ', p_name, p_type)), '[^a-z0-9]+', ' ', 'g'), ' '),
-  lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'of', 'for', 'los', 'las', 'del', 'una', 'con', 'der', 'die', 'das', 'les', 'des'))) AS k FROM {part}),
- pr AS (SELECT x.id AS a, z.id AS b, x.k AS ka, z.k AS kb, len(list_intersect(x.k, z.k)) AS n, x.s = z.s AS ss, x.y = z.y AS yy FROM t x JOIN t z ON x.id <= 40 AND z.id > 20 AND z.id <= 90),
+_FRESH = "c AS (SELECT c_custkey, c_name, c_mktsegment FROM {customer}), f AS (SELECT o_custkey + 100 AS c_custkey, 'new' AS c_name, min(o_orderpriority) AS c_mktsegment FROM {orders} GROUP BY o_custkey)"
+_WORDS = """list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '),
+  lambda w: len(w) > 2 AND w NOT IN ('the', 'and', 'of', 'for', 'los', 'las', 'del', 'una', 'con', 'der', 'die', 'das', 'les', 'des')))"""
+_PARTS = f"""x AS (SELECT id, s, y, {_WORDS} AS k FROM (SELECT min(p_partkey) AS id, p_name AS title, min(p_brand) AS s, min(p_size) AS y FROM {{part}} GROUP BY p_name)),
+ z AS (SELECT id, s, y, {_WORDS} AS k FROM (SELECT min(p_partkey) AS id, concat_ws(' ', p_name, p_type) AS title, min(p_brand) AS s, min(p_size) AS y FROM {{part}} GROUP BY p_name, p_type)),
+ pr AS (SELECT x.id AS a, z.id AS b, x.k AS ka, z.k AS kb, len(list_intersect(x.k, z.k)) AS n, x.s = z.s AS ss, x.y = z.y AS yy FROM x, z),
  sc AS (SELECT a, b, round(least(1.0, n::DOUBLE / len(ka) + CASE WHEN ss THEN 0.35 ELSE 0 END + CASE WHEN yy THEN 0.1 ELSE 0 END), 6) AS score, round(n::DOUBLE / (len(ka) + len(kb) - n), 6) AS jaccard FROM pr WHERE n > 0),
  rk AS (SELECT a, b, score, jaccard, row_number() OVER w AS rank, lead(score) OVER w AS second FROM sc WHERE score >= 0.35 WINDOW w AS (PARTITION BY a ORDER BY score DESC, jaccard DESC, b))"""
 
@@ -208,4 +213,4 @@ _OWN = {
       FROM (SELECT p_partkey, concat('978', lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0')) AS b FROM {part})""",
 }
 
-ORACLE_SQL = {n: duck_sql(OTHER.get(n, t)) for n, t in SQL.items()} | {n: duck_sql(t) for n, t in _OWN.items()}
+ORACLE_SQL = {n: duck_sql(OTHER.get(n, t)) for n, t in SQL.items()} | {n: duck_sql(t) for n, t in (_OWN | derived.ORACLE).items()}
