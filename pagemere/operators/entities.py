@@ -64,7 +64,7 @@ def item_file_scores(items: DataFrame, files: DataFrame) -> DataFrame:
     opening = F.array_join("ft", " ").contains(F.array_join(F.slice("it", 1, 3), " "))
     base = F.when(opening, 85).when((ratio >= 0.75) & (n >= 2), 65).when((ratio >= 0.5) & (n >= 2), 45).when(n >= 3, 40).otherwise(0)
     short = F.when(whole & named, 90).when(whole & (F.size("ft") <= 3), 65).otherwise(0)
-    score = F.when(F.col("ii") == F.col("fi"), 100).when((F.size("it") == 0) | (F.size("ft") == 0), 0).when(F.size("it") <= 2, short).otherwise(base + F.when(named, 25).otherwise(0))
+    score = F.when((F.col("ii") == F.col("fi")) & (F.col("ii") != ""), 100).when((F.size("it") == 0) | (F.size("ft") == 0), 0).when(F.size("it") <= 2, short).otherwise(base + F.when(named, 25).otherwise(0))
     return p.select("item", "file", score.alias("score")).filter("score > 0")
 
 

@@ -432,7 +432,7 @@ ORACLE = {
     "tl3_list_gaps": "SELECT id, author, title, year, state, state IN ('blocked', 'loaded') AS readable FROM (SELECT w.id, w.author, w.title, w.year, CASE WHEN w.path IS NULL THEN 'no_pdf' WHEN NOT EXISTS (SELECT 1 FROM page p WHERE p.work_id = w.id) THEN 'held' WHEN w.offset_problem IS NOT NULL AND NOT w.accepted THEN 'blocked' WHEN EXISTS (SELECT 1 FROM chunk c WHERE c.work_id = w.id AND c.embedded) THEN 'searchable' ELSE 'loaded' END AS state FROM work w WHERE w.container_id IS NULL AND w.id IN (SELECT id FROM examinable_work)) WHERE state <> 'searchable'",
     "tl8_list_claims": "SELECT n.id, n.tag, (SELECT count(*) FROM anchor b WHERE b.note_id = n.id)::INT AS n_quotations FROM reviewed_note n WHERE n.tag = 'dossier' AND EXISTS (SELECT 1 FROM anchor a WHERE a.note_id = n.id AND a.work_id = 'src5')",
     "tl9_list_notes": "SELECT id, kind, tag, (SELECT count(*) FROM anchor b WHERE b.note_id = x.id)::INT AS n_quotations, row_number() OVER (ORDER BY id DESC) <= 50 AS shown FROM (SELECT id, kind, tag FROM note WHERE NOT rejected AND tag = 'owls' ORDER BY id DESC LIMIT 51) x",
-    "r14_anchors": f"SELECT a.note_id, count(*)::INT AS n, string_agg(coalesce(concat(a.printed_page::VARCHAR, CASE WHEN {_UNVERIFIED} THEN '*' ELSE '' END), '-'), ',' ORDER BY a.ordinal) AS labels FROM anchor a JOIN work w ON w.id = a.work_id GROUP BY a.note_id",
+    "r14_anchors": f"SELECT a.note_id, count(*)::INT AS n, string_agg(CASE WHEN a.printed_page IS NULL THEN '-' ELSE concat(a.printed_page::VARCHAR, CASE WHEN {_UNVERIFIED} THEN '*' ELSE '' END) END, ',' ORDER BY a.ordinal) AS labels FROM anchor a JOIN work w ON w.id = a.work_id GROUP BY a.note_id",
     "r19_preview": "SELECT min(printed_page) AS first, max(printed_page) AS last, max(printed_page) AS wanted, max_by(page_index, printed_page * 1000000 + page_index) AS page_index, NULL::INT AS before, NULL::INT AS after FROM printed WHERE work_id = 'src3'",
     "v8_motif_rows": "WITH h AS (SELECT c.work_id, len(regexp_extract_all(lower(strip_accents(p.text)), '(?:^|[^\\pL\\pN_])the')) + len(regexp_extract_all(lower(strip_accents(p.text)), '(?:^|[^\\pL\\pN_])owl')) AS hits FROM chunk c JOIN page p ON p.chunk_id = c.chunk_id), m AS (SELECT w.id, min(l.sort) AS s FROM work w JOIN list_item i ON i.work_id = w.id OR i.work_id = w.container_id JOIN list l ON l.id = i.list_id GROUP BY w.id) SELECT w.id AS work_id, coalesce(w.author, w.title) AS name, m.s AS list_sort, sum(h.hits)::BIGINT AS hits, count(*)::INT AS n_marks FROM h JOIN work w ON w.id = h.work_id LEFT JOIN m ON m.id = w.id WHERE h.hits > 0 GROUP BY 1, 2, 3",
 }
