@@ -36,14 +36,11 @@ class WordIds:
     def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Encodes new pieces in one call, a blank between them, and cuts the ids at the words' ends."""
-        if len(self.kept) + len(pieces) > _KEPT:
-            self.kept.clear()
-        new = list(pieces)
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            ids = np.array(self.t.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for i in range(0, len(new), 200):
+            part = new[i : i + 200]
+            ids = np.array(self.t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
                 self.kept.update((w, self.whole(w)) for w in part)
@@ -62,12 +59,13 @@ class WordIds:
         if any(x in text for x in self.special) or _ODD.search(text):
             return self.whole(text)
         pieces = _PIECE.findall(text.lower())
-        try:
-            return b"".join(map(self.kept.__getitem__, pieces))
-        except KeyError:
-            if new := {w for w in pieces if w not in self.kept}:
-                self._learn(new)
-            return b"".join([self.kept.get(w) or self.whole(w) for w in pieces])
+        used = set(pieces)
+        if new := used.difference(self.kept):
+            if len(self.kept) + len(new) > _KEPT:
+                self.kept.clear()
+                new = used
+            self._learn(list(new))
+        return b"".join(map(self.kept.__getitem__, pieces))
 
 
 @cache
