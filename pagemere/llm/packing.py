@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, only
-from .tokens import word_ids
+from .tokens import KEPT, word_ids
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    encode = word_ids(path).ids
-    only(word_ids(path).kept)
+def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, words: int) -> Iterator[pa.RecordBatch]:
+    known = word_ids(path, words)
+    encode = known.ids
+    only(known.kept)
     end = np.array([end_id], "<u4").tobytes()
     size = 4 * capacity
     for batch in batches:
@@ -44,10 +45,10 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, words: int = KEPT) -> DataFrame:
     """docs(doc_id, text) to (doc_id, piece, start, length, ids); ids: little-endian unsigned 32-bit, end id included."""
     got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return got.mapInArrow(lambda it: _cut(it, tokenizer, end_id, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    return got.mapInArrow(lambda it: _cut(it, tokenizer, end_id, capacity, words), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, ...]:
@@ -142,8 +143,11 @@ def pack(rows: DataFrame, capacity: int = 2048, tables: Tables | None = None, pa
     return out.unionByName(rest)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The written pieces with their ids, and each piece's place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, words: int = KEPT) -> tuple[DataFrame, DataFrame]:
+    """The written pieces with their ids, and each piece's place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    ``words`` bounds the words a worker remembers; the ids are the same whatever it is.
+    """
     tables = Tables(docs.sparkSession, "pack")
-    cut = tables.write(pieces(docs, tokenizer, capacity, end_id).withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    cut = tables.write(pieces(docs, tokenizer, capacity, end_id, words).withColumn("ids_crc32", F.crc32("ids")), "pieces")
     return cut, pack(cut.drop("ids"), capacity, tables)

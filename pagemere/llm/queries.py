@@ -37,7 +37,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)[1]
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, words=1_000_000)[1]
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

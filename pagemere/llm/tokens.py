@@ -18,11 +18,12 @@ import numpy as np
 _L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\s\x85\xa0"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
-_KEPT = 300_000
+#: Words whose ids a Python worker remembers; some 200 bytes each.
+KEPT = 300_000
 
 
 class WordIds:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -31,6 +32,7 @@ class WordIds:
         for w, i in vocab.items():
             self.ends[i] = w.endswith("</w>")
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        self.most = most
         self.kept: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -61,7 +63,7 @@ class WordIds:
         pieces = _PIECE.findall(text.lower())
         used = set(pieces)
         if new := used.difference(self.kept):
-            if len(self.kept) + len(new) > _KEPT:
+            if len(self.kept) + len(new) > self.most:
                 self.kept.clear()
                 new = used
             self._learn(list(new))
@@ -69,8 +71,8 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, most: int = KEPT) -> WordIds:
+    return WordIds(path, most)
 
 
 @cache
