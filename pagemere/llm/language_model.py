@@ -1,14 +1,19 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained here in numpy, scores documents.
 
-Words are counted over all documents; the most frequent get ids of their own, the rest share hashed ids.  An id
-is a pair (a, b) of digits.  The network sees ``REACH`` words on each side of a place, not the word itself:
-h = tanh(sum over offsets of d_o * E[word] + c).  It gives P(a | h) and P(b | a, h), so every id has a
-probability and they sum to 1.  A document's score is the sum over its words of log P(word | both sides).
+Words are counted over all documents.  An id is three digits (a, b, c) whose base grows with the counted vocabulary,
+up to 64 (262,144 ids, what a worker holds).  Words seen often enough have an id of their own, on a small corpus all
+of them; the rest share the ids left, by a hash.  The network sees ``REACH`` words on each side of a place, not the
+word itself: h = tanh(sum over offsets of d_o * E[word] + c).  It gives P(a | h), P(b | a, h) and P(c | a, b, h), so
+every id has a probability and they sum to 1; before training they are the ids' shares of all words.  A word of a
+shared id has P(id | h) * count(word) / count(all words of the id), from the full counts, so probabilities are of
+words.  A document's score is the sum over its words of log P(word | both sides).
 
 Training is data-parallel over all documents: in each round every partition starts from the shared parameters,
 learns from the masked share of its places (every document has some, chosen by a hash), and the new parameters
-are averaged, weighted by places.  Averages are grouped sums in Spark, so only one set of parameters comes to
-the driver whatever the number of partitions.  Counts, masked places and partitions all grow with the input.
+are averaged: rows that belong to an id or to leading digits by how often a partition saw them, the rest by places.
+Averages are grouped sums in Spark of the rows that changed, so only one set of parameters comes to the driver
+whatever the number of partitions.  Counts, masked places and partitions all grow with the input.  Texts are cut
+into ids once, in a table that both training and scoring read.
 
 Defined results: null, empty and wordless texts have 0 tokens, a score of 0 and a null mean; repeated rows get
 equal scores; an empty table gives an empty result.
@@ -16,25 +21,32 @@ equal scores; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, on_workers
+from .common import Tables
 
-BASE = 48
-OWN = 2048
-SIZE = BASE * BASE
+BASES = (16, 32, 48, 64)  # multiples of DIM, so that a row of any table is whole blocks of DIM
+SHARED = 9  # one id in so many, at least, is for words without their own
+BASE = BASES[0]
+SIZE = BASE**3
 DIM, REACH, ROUNDS = 16, 3, 2
 MASKED = 24  # one place in so many
+NEVER = -1e4  # the bias of an id that no word has
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
-SHAPES = {"E": (SIZE + 1, DIM), "d": (2 * REACH, DIM), "c": (DIM,), "A": (DIM, BASE), "a": (BASE,), "B": (DIM, BASE), "b": (BASE, BASE)}
-_KEPT = 200_000
+
+
+def shapes(base: int) -> dict[str, tuple[int, ...]]:
+    return {"E": (base**3 + 1, DIM), "d": (2 * REACH, DIM), "c": (DIM,), "A": (DIM, base), "a": (base,), "B": (DIM, base), "b": (base, base), "G": (DIM, base), "g": (base * base, base)}
+
+
+SHAPES = shapes(BASE)
 
 
 def _words(text: str | None) -> list[str]:
@@ -57,44 +69,70 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield done()
 
 
-def vocabulary(texts: DataFrame, size: int = OWN) -> list[str]:
-    """The most frequent words over all documents; ties by the word.
+def counted(texts: DataFrame, tables: Tables) -> DataFrame:
+    """Every word of all documents and how often it occurs."""
+    return tables.write(texts.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+
 
-    A histogram of the counts' magnitudes (at most 64 rows) gives a least count that still leaves ``size`` words, so
-    that only the few above it are sorted, not the best of every partition.
+def vocabulary(counts: DataFrame, bases: tuple[int, ...] = BASES) -> tuple[int, list[str], list[int]]:
+    """The base, the words with ids of their own, the most frequent first (ties by the word), and their counts.
+
+    The base is the least that holds all words, or the largest.  A histogram of counts (some 120 rows) gives the least
+    count from which on all words fit; only those words come to the driver, at most 8/9 of the largest base's ids.
     """
-    tables = Tables(texts.sparkSession, "words")
-    counts = tables.write(texts.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    least, above = 1, 0
-    for power, n in sorted(counts.groupBy(F.floor(F.log2("n")).cast("int")).count().collect(), reverse=True):
-        above += n
-        if above >= size:
-            least = 2**power
+    exact = F.when(F.col("n") < 64, F.col("n")).otherwise(F.lit(2).cast("bigint") ** F.floor(F.log2("n")))
+    steps = sorted(((int(x), k) for x, k in counts.groupBy(exact.alias("x")).count().collect()), reverse=True)
+    distinct = sum(k for _, k in steps)
+    base = next((x for x in bases if x**3 - x**3 // SHARED >= distinct), bases[-1])
+    room, least = base**3 - base**3 // SHARED, None
+    for x, k in steps:
+        room -= k
+        if room < 0:
             break
-    top = [r[0] for r in counts.filter(F.col("n") >= least).repartition(1).orderBy(F.desc("n"), "word").limit(size).collect()]
-    tables.drop(counts)
-    return top
+        least = x
+    got = [] if least is None else sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+    return base, [r["word"] for r in got], [r["n"] for r in got]
+
+
+def shared_id(word: str, own: int, size: int) -> int:
+    return own + zlib.crc32(word.encode()) % (size - own)
+
+
+def within(counts: DataFrame, base: int, n_own: int, own_least: int | None) -> DataFrame:
+    """word, id, n and log(n / the id's n) of each word without an id of its own; ``shared_id`` in Spark."""
+    rest = counts.filter(F.col("n") < own_least) if own_least is not None else counts
+    rest = rest.withColumn("id", F.lit(n_own) + F.crc32(F.col("word").cast("binary")) % F.lit(base**3 - n_own))
+    total = rest.groupBy("id").agg(F.sum("n").alias("total"))
+    return rest.join(total, "id").select("word", "id", "n", F.log(F.col("n") / F.col("total")).alias("log_within"))
 
 
 class _Ids(dict):
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], size: int):
         super().__init__((w, i) for i, w in enumerate(words))
-        self.own = dict(self)
+        self.n_own, self.size = len(words), size
 
     def __missing__(self, w: str) -> int:
-        if len(self) >= _KEPT:
-            self.clear()
-            self.update(self.own)
-        i = self[w] = OWN + xxhash.xxh32_intdigest(w) % (SIZE - OWN)
-        return i
+        return shared_id(w, self.n_own, self.size)
 
 
-def initial(seed: int = 11) -> dict[str, np.ndarray]:
+def initial(seed: int = 11, base: int = BASE, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Parameters to start from; counts by id make the biases those of the ids' shares, of ids without words none."""
     rng = np.random.default_rng(seed)
-    out = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    for k, scale in (("E", 0.3), ("A", 0.1), ("B", 0.1)):
-        out[k] = rng.normal(0, scale, SHAPES[k]).astype(np.float32)
+    shape = shapes(base)
+    out = {k: np.zeros(s, np.float32) for k, s in shape.items()}
+    for k, scale in (("E", 0.3), ("A", 0.1), ("B", 0.1), ("G", 0.1)):
+        out[k] = rng.normal(0, scale, shape[k]).astype(np.float32)
     out["d"] += 0.5
+    if counts is not None:
+        n = counts.reshape(base, base, base).astype(np.float64)
+        ab = n.sum(axis=2)
+
+        def log_share(x, of):
+            return np.where(x > 0, np.log(np.maximum(x, 1) / np.maximum(of, 1)), NEVER).astype(np.float32)
+
+        out["a"] = log_share(ab.sum(axis=1), n.sum())
+        out["b"] = log_share(ab, ab.sum(axis=1, keepdims=True))
+        out["g"] = log_share(n, ab[:, :, None]).reshape(base * base, base)
     return out
 
 
@@ -102,129 +140,219 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in SHAPES])
 
 
-def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(x: np.ndarray, base: int = BASE) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes(base).items():
         n = int(np.prod(s))
         out[k] = x[at : at + n].reshape(s).astype(np.float32)
         at += n
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _exp(z: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """z becomes exp(z) and the sums of its rows are given; each row is first lowered by its most where z could overflow."""
+    if np.abs(weights).sum(axis=0).max() + bias.max() > 30:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z @ np.ones(z.shape[1], np.float32)
+
+
+def _window(ids: np.ndarray, at: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first place of the run of ids around ``at``, and the run."""
+    first = int(at.min()) - REACH
+    return first, ids[first : int(at.max()) + REACH + 1]
+
 
+def _shifted(x: np.ndarray, o: int) -> np.ndarray:
+    """x at o from each place but the REACH at either end."""
+    return x[REACH + o : len(x) - REACH + o]
 
-def _hidden(p, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = np.repeat(p["c"][None, :], len(at), axis=0)
+
+def _hidden(p, near: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """The hidden layer of the places ``inner`` of a run, from ``near``, the run's embeddings: each is fetched once."""
+    h = np.zeros((len(near) - 2 * REACH, DIM), np.float32)
     for k, o in enumerate(OFFSETS):
-        h += p["d"][k] * p["E"][ids[at + o]]
+        h += p["d"][k] * _shifted(near, o)
+    h = h[inner] + p["c"]
     return np.tanh(h, out=h)
 
 
+def _digits(p, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first digit, the first two as one number, and the last."""
+    base = len(p["a"])
+    return ids // (base * base), ids // base, ids % base
+
+
+_LEVELS = (("A", "a"), ("B", "b"), ("G", "g"))
+
+
+def _logits(p, h: np.ndarray, a: np.ndarray, ab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return h @ p["A"] + p["a"], h @ p["B"] + p["b"][a], h @ p["G"] + p["g"][ab]
+
+
 def log_probabilities(p, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log P(ids[at] | both sides); ids are padded with REACH pads on either side of each text."""
-    h = _hidden(p, ids, at)
-    a, b = ids[at] // BASE, ids[at] % BASE
+    if not len(at):
+        return np.zeros(0, np.float32)
+    first, run = _window(ids, at)
+    h = _hidden(p, p["E"][run], at - first - REACH)
+    a, ab, c = _digits(p, ids[at])
     i = np.arange(len(at))
-    return np.log(_softmax(h @ p["A"] + p["a"])[i, a] + 1e-12) + np.log(_softmax(h @ p["B"] + p["b"][a])[i, b] + 1e-12)
+    out = np.zeros(len(at), np.float32)
+    for z, digit, (w, bias) in zip(_logits(p, h, a, ab), (a, ab % len(p["a"]), c), _LEVELS):
+        sums = _exp(z, p[w], p[bias])
+        out += np.log(np.maximum(z[i, digit], 1e-30) / sums)
+    return out
+
+
+def _by_row(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and the sum of x over each."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return rows[heads], np.add.reduceat(x[order], heads, axis=0)
 
 
 def learn(p, square, ids: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None:
     """One Adagrad step on the places ``at``."""
-    h = _hidden(p, ids, at)
-    a, b = ids[at] // BASE, ids[at] % BASE
+    first, run = _window(ids, at)
+    inner = at - first - REACH
+    near = p["E"][run]
+    h = _hidden(p, near, inner)
+    a, ab, c = _digits(p, ids[at])
     i = np.arange(len(at))
-    za, zb = _softmax(h @ p["A"] + p["a"]), _softmax(h @ p["B"] + p["b"][a])
-    za[i, a] -= 1
-    zb[i, b] -= 1
-    dh = (za @ p["A"].T + zb @ p["B"].T) * (1 - h * h)
-    g = {"A": h.T @ za, "a": za.sum(axis=0), "B": h.T @ zb, "c": dh.sum(axis=0)}
-    order = np.argsort(a, kind="stable")
-    heads = np.flatnonzero(np.r_[True, np.diff(a[order]) != 0])
-    g["b"] = np.zeros(SHAPES["b"], np.float32)
-    g["b"][a[order][heads]] = np.add.reduceat(zb[order], heads, axis=0)
-    near = np.concatenate([ids[at + o] for o in OFFSETS])
-    de = np.concatenate([dh * p["d"][k] for k in range(len(OFFSETS))])
-    g["d"] = np.stack([(dh * p["E"][ids[at + o]]).sum(axis=0) for o in OFFSETS])
-    order = np.argsort(near, kind="stable")
-    heads = np.flatnonzero(np.r_[True, np.diff(near[order]) != 0])
-    which, sums = near[order][heads], np.add.reduceat(de[order], heads, axis=0)
+    za, zb, zc = _logits(p, h, a, ab)
+    for z, digit, (w, bias) in zip((za, zb, zc), (a, ab % len(p["a"]), c), _LEVELS):
+        z /= _exp(z, p[w], p[bias])[:, None]
+        z[i, digit] -= 1
+    dh = (za @ p["A"].T + zb @ p["B"].T + zc @ p["G"].T) * (1 - h * h)
+    g = {"A": h.T @ za, "a": za.sum(axis=0), "B": h.T @ zb, "G": h.T @ zc, "c": dh.sum(axis=0)}
+    # gradients are summed by place of the run first, then by id
+    dp = np.zeros((len(run) - 2 * REACH, DIM), np.float32)
+    if np.all(at[1:] > at[:-1]):
+        dp[inner] = dh
+    else:
+        np.add.at(dp, inner, dh)
+    de = np.zeros_like(near)
+    for k, o in enumerate(OFFSETS):
+        into = _shifted(de, o)
+        into += dp * p["d"][k]
+    g["d"] = np.stack([np.einsum("ij,ij->j", dp, _shifted(near, o)) for o in OFFSETS])
+    rows = {"E": _by_row(run, de), "b": _by_row(a, zb), "g": _by_row(ab, zc)}
     for k, x in g.items():
         square[k] += x * x
         p[k] -= rate * x / np.sqrt(square[k] + 1e-6)
-    square["E"][which] += sums * sums
-    p["E"][which] -= rate * sums / np.sqrt(square["E"][which] + 1e-6)
+    for k, (which, x) in rows.items():
+        now = square[k][which] + x * x
+        square[k][which] = now
+        p[k][which] -= rate * x / np.sqrt(now + 1e-6)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], words, size: int) -> Iterator[pa.RecordBatch]:
+    """Each text's ids as int32 bytes, and its words that share an id."""
+    ids = _Ids(words.value, size)
+    for b in batches:
+        codes, rare = [], []
+        for t in b.column(2):
+            got = _words(t.as_py())
+            x = np.fromiter(map(ids.__getitem__, got), np.int32, len(got))
+            codes.append(x.tobytes())
+            rare.append([got[i] for i in np.flatnonzero(x >= ids.n_own)])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["row", "doc_id", "ids", "rare"])
 
 
-def _joined(texts: pa.Array, ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
+def _joined(codes: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a batch's texts with pads between, and the number of words of each."""
-    pad = [SIZE] * REACH
-    out, sizes = list(pad), []
-    for t in texts:
-        words = _words(t.as_py())
-        sizes.append(len(words))
-        out.extend(map(ids.__getitem__, words))
-        out.extend(pad)
-    return np.array(out, np.int32), np.array(sizes, np.int64)
-
-
-def _train(batches: Iterator[pa.RecordBatch], words, params, salt: int) -> Iterator[pa.RecordBatch]:
-    ids = _Ids(words.value)
-    p = unflat(params.value)
-    square = {k: np.full(s, 0.1, np.float32) for k, s in SHAPES.items()}
-    places = 0
+    pads = np.full(REACH, pad, np.int32)
+    out, sizes = [pads], []
+    for x in codes:
+        got = np.frombuffer(x.as_py(), np.int32)
+        sizes.append(len(got))
+        out += [got, pads]
+    return np.concatenate(out), np.array(sizes, np.int64)
+
+
+def _blocks(k: str, weight: np.ndarray | float, base: int) -> np.ndarray:
+    """A weight for each block of DIM of a table; weights are by row, or one for all."""
+    n = int(np.prod(shapes(base)[k])) // DIM
+    return np.full(n, weight, np.float64) if np.isscalar(weight) else np.repeat(weight.astype(np.float64), n // len(weight))
+
+
+SUMS = [f"x{i}" for i in range(DIM)]
+SENT = "k int, w double, " + ", ".join(f"{x} float" for x in SUMS)
+
+
+def _train(batches: Iterator[pa.RecordBatch], params, base: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of DIM parameters that changed: their weight, and weight times the change."""
+    p = unflat(params.value, base)
+    square = {k: np.full(s, 0.1, np.float32) for k, s in shapes(base).items()}
+    pad = base**3
+    places, seen, first = 0, np.zeros(pad + 1, np.int64), np.zeros(pad, np.int64)
     for b in batches:
-        got, _ = _joined(b.column(0), ids)
+        got, _ = _joined(b.column(0), pad)
         # a place is masked by a hash of its words, so the choice doesn't hang on the partition
         n = len(got)
         mix = (got.astype(np.uint64) + np.roll(got, 1).astype(np.uint64) * np.uint64(2654435761) + np.arange(n, dtype=np.uint64) * np.uint64(40503) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        at = np.flatnonzero(((mix >> np.uint64(33)) % np.uint64(MASKED) == 0) & (got != SIZE))
+        at = np.flatnonzero(((mix >> np.uint64(33)) % np.uint64(MASKED) == 0) & (got != pad))
         for i in range(0, len(at), 2048):
             learn(p, square, got, at[i : i + 2048])
         places += len(at)
+        for o in OFFSETS:
+            np.add.at(seen, got[at + o], 1)
+        np.add.at(first, got[at], 1)
     if places:
-        x = flat(p).astype(np.float64) * places
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.array(np.append(x, float(places)))], ["k", "x"])
-
-
-def _score(batches: Iterator[pa.RecordBatch], words, params) -> Iterator[pa.RecordBatch]:
-    ids = _Ids(words.value)
-    p = unflat(params.value)
+        weights = {"E": seen, "b": first.reshape(base, -1).sum(axis=1), "g": first.reshape(base * base, -1).sum(axis=1)}
+        w = np.concatenate([_blocks(k, weights.get(k, float(places)), base) for k in SHAPES])
+        k = np.flatnonzero(w).astype(np.int32)
+        x = ((flat(p) - params.value).reshape(-1, DIM)[k] * w[k, None]).astype(np.float32)
+        for i in range(0, len(k), 65536):
+            part = x[i : i + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 65536]), pa.array(w[k[i : i + 65536]]), *(pa.array(np.ascontiguousarray(part[:, j])) for j in range(DIM))], ["k", "w", *SUMS])
+
+
+def _score(batches: Iterator[pa.RecordBatch], params, base: int) -> Iterator[pa.RecordBatch]:
+    p = unflat(params.value, base)
+    pad = base**3
     for b in batches:
-        got, sizes = _joined(b.column(1), ids)
-        at = np.flatnonzero(got != SIZE)
-        logs = np.concatenate([np.zeros(0)] + [log_probabilities(p, got, at[i : i + 8192]) for i in range(0, len(at), 8192)]).astype(np.float64)
+        got, sizes = _joined(b.column(2), pad)
+        at = np.flatnonzero(got != pad)
+        logs = np.concatenate([np.zeros(0)] + [log_probabilities(p, got, at[i : i + 1024]) for i in range(0, len(at), 1024)]).astype(np.float64)
         ends = np.cumsum(sizes)
         total = np.concatenate(([0.0], np.cumsum(logs)))
         sums = total[ends] - total[ends - sizes]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(sums)], ["doc_id", "n_tokens", "pseudo_log_likelihood"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), pa.array(sums)], ["row", "doc_id", "n_tokens", "by_id"])
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS):
-    """Broadcast vocabulary and parameters, learned over all documents."""
+def train(docs: DataFrame, rounds: int = ROUNDS, bases: tuple[int, ...] = BASES):
+    """The documents as ids, the words that share an id, the base, and broadcast parameters learned over all documents."""
     spark = docs.sparkSession
-    on_workers(spark)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    tables = Tables(spark, "words")
     sc = spark.sparkContext
-    words = sc.broadcast(vocabulary(texts))
-    params = sc.broadcast(flat(initial()))
+    counts = counted(docs.select(F.col("text").cast("string").alias("text")), tables)
+    base, words, n = vocabulary(counts, bases)
+    rest = within(counts, base, len(words), n[-1] if n else None)
+    by_id = np.zeros(base**3)
+    by_id[: len(n)] = n
+    got = rest.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    by_id[got["id"].to_numpy()] = got["n"].to_numpy()
+    own = sc.broadcast(words)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    encoded = tables.write(rows.mapInArrow(lambda it: _encode(it, own, base**3), "row bigint, doc_id bigint, ids binary, rare array<string>"), "ids")
+    params = sc.broadcast(flat(initial(base=base, counts=by_id)))
     for r in range(rounds):
         now = params
-        got = texts.mapInArrow(lambda it, now=now, r=r: _train(it, words, now, r), "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow()
+        got = encoded.select("ids").mapInArrow(lambda it, now=now, r=r: _train(it, now, base, r), SENT).groupBy("k").agg(F.sum("w").alias("w"), *(F.sum(x).cast("float").alias(x) for x in SUMS)).toArrow()
         if got.num_rows:
-            k, x = got["k"].to_numpy(), got["x"].to_numpy()
-            x = x[np.argsort(k)]
-            params = sc.broadcast((x[:-1] / x[-1]).astype(np.float32))
-    return words, params
+            x = now.value.reshape(-1, DIM).copy()
+            x[got["k"].to_numpy()] += np.stack([got[c].to_numpy() for c in SUMS], axis=1) / got["w"].to_numpy()[:, None]
+            params = sc.broadcast(x.ravel())
+    return encoded, rest, base, params
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, bases: tuple[int, ...] = BASES) -> DataFrame:
     """Per document: doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability."""
-    words, params = train(docs, rounds)
-    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = got.mapInArrow(lambda it: _score(it, words, params), "doc_id bigint, n_tokens bigint, pseudo_log_likelihood double")
+    encoded, rest, base, params = train(docs, rounds, bases)
+    ids = encoded.select("row", "doc_id", "ids").mapInArrow(lambda it: _score(it, params, base), "row bigint, doc_id bigint, n_tokens bigint, by_id double")
+    words = encoded.select("row", F.explode("rare").alias("word")).join(rest.select("word", "log_within"), "word").groupBy("row").agg(F.sum("log_within").alias("log_within"))
+    out = ids.join(words, "row", "left").select("doc_id", "n_tokens", (F.col("by_id") + F.coalesce("log_within", F.lit(0.0))).alias("pseudo_log_likelihood"))
     return out.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))

@@ -323,6 +323,21 @@ def test_language_model(spark):
     assert language_model.score(empty(spark)).count() == 0
 
 
+def test_language_model_gives_probabilities_of_words(spark):
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(i, w, None, None, None, None, None) for i, w in enumerate(words)] + [(5000 + i, words[i % 50], None, None, None, None, None) for i in range(700)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for bases in (language_model.BASES, (16,)):  # all words have ids; at most 3,641 of them have
+        got = {r.doc_id: r.pseudo_log_likelihood for r in language_model.score(docs, bases=bases).collect()}
+        assert abs(sum(np.exp(got[i]) for i in range(5000)) - 1) < 1e-3
+    counts = language_model.counted(docs.select("text"), language_model.Tables(spark, "words"))
+    base, own, n = language_model.vocabulary(counts, (16,))
+    rest = {r.word: r for r in language_model.within(counts, base, len(own), n[-1]).collect()}
+    assert own and set(own) | set(rest) == set(words) and not set(own) & set(rest)
+    assert all(r.id == language_model.shared_id(w, len(own), base**3) for w, r in rest.items())
+    assert language_model.vocabulary(counts)[0] == 32 and len(language_model.vocabulary(counts)[1]) == 5000
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(3)
     body = np.tile(np.array([10, 20, 30, 40], np.int32), 400)
