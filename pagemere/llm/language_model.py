@@ -9,11 +9,13 @@ shared id has P(id | h) * count(word) / count(all words of the id), from the ful
 words.  A document's score is the sum over its words of log P(word | both sides).
 
 Training is data-parallel over all documents: in each round every partition starts from the shared parameters,
-learns from the masked share of its places (every document has some, chosen by a hash), and the new parameters
-are averaged: rows that belong to an id or to leading digits by how often a partition saw them, the rest by places.
-Averages are grouped sums in Spark of the rows that changed, so only one set of parameters comes to the driver
-whatever the number of partitions.  Counts, masked places and partitions all grow with the input.  Texts are cut
-into ids once, in a table that both training and scoring read.
+learns from its masked places, and the new parameters are averaged.  The masks of the rounds are disjoint and
+cover all: round r takes each place whose number in its document, plus the doc_id, leaves r when divided by the
+rounds, so every place is a target once, whatever the batches and partitions.  Averages are weighted, for rows that
+belong to an id or to leading digits, by how often a partition saw them, else by places.  They are grouped sums in
+Spark of the rows that changed, so only one set of parameters comes to the driver whatever the number of partitions.
+Counts, places and partitions all grow with the input.  Texts are cut into ids once, in a table that both training
+and scoring read.
 
 Defined results: null, empty and wordless texts have 0 tokens, a score of 0 and a null mean; repeated rows get
 equal scores; an empty table gives an empty result.
@@ -37,7 +39,6 @@ SHARED = 9  # one id in so many, at least, is for words without their own
 BASE = BASES[0]
 SIZE = BASE**3
 DIM, REACH, ROUNDS = 16, 3, 2
-MASKED = 24  # one place in so many
 NEVER = -1e4  # the bias of an id that no word has
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 
@@ -98,12 +99,10 @@ def shared_id(word: str, own: int, size: int) -> int:
     return own + zlib.crc32(word.encode()) % (size - own)
 
 
-def within(counts: DataFrame, base: int, n_own: int, own_least: int | None) -> DataFrame:
-    """word, id, n and log(n / the id's n) of each word without an id of its own; ``shared_id`` in Spark."""
+def sharing(counts: DataFrame, base: int, n_own: int, own_least: int | None) -> DataFrame:
+    """word, n and id of each word without an id of its own; ``shared_id`` in Spark."""
     rest = counts.filter(F.col("n") < own_least) if own_least is not None else counts
-    rest = rest.withColumn("id", F.lit(n_own) + F.crc32(F.col("word").cast("binary")) % F.lit(base**3 - n_own))
-    total = rest.groupBy("id").agg(F.sum("n").alias("total"))
-    return rest.join(total, "id").select("word", "id", "n", F.log(F.col("n") / F.col("total")).alias("log_within"))
+    return rest.withColumn("id", F.lit(n_own) + F.crc32(F.col("word").cast("binary")) % F.lit(base**3 - n_own))
 
 
 class _Ids(dict):
@@ -278,22 +277,47 @@ def _blocks(k: str, weight: np.ndarray | float, base: int) -> np.ndarray:
     return np.full(n, weight, np.float64) if np.isscalar(weight) else np.repeat(weight.astype(np.float64), n // len(weight))
 
 
-SUMS = [f"x{i}" for i in range(DIM)]
-SENT = "k int, w double, " + ", ".join(f"{x} float" for x in SUMS)
+SLICES = 64
+SENT = "slice int, k binary, w binary, x binary"
 
 
-def _train(batches: Iterator[pa.RecordBatch], params, base: int, salt: int) -> Iterator[pa.RecordBatch]:
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the weights and weighted changes of each slice's blocks."""
+    sums: dict[int, dict[str, np.ndarray]] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            k, w, x = np.frombuffer(r["k"], np.int32), np.frombuffer(r["w"]), np.frombuffer(r["x"], np.float32).reshape(-1, DIM)
+            got = sums.setdefault(r["slice"], {"k": k[:0], "w": w[:0], "x": np.zeros((0, DIM))})
+            all_k, at = np.unique(np.concatenate([got["k"], k]), return_inverse=True)
+            all_w, all_x = np.zeros(len(all_k)), np.zeros((len(all_k), DIM))
+            old, new = at[: len(got["k"])], at[len(got["k"]) :]
+            all_w[old], all_x[old] = got["w"], got["x"]
+            all_w[new] += w
+            all_x[new] += x
+            sums[r["slice"]] = {"k": all_k, "w": all_w, "x": all_x}
+    for n, got in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([got[c].astype(t).tobytes()]) for c, t in (("k", np.int32), ("w", np.float64), ("x", np.float32)))], ["slice", "k", "w", "x"])
+
+
+def masked(doc_ids: pa.Array, sizes: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """Places of ``_joined`` ids that round r learns from."""
+    begins = np.cumsum(sizes + REACH) - sizes
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = np.array([(x or 0) % rounds for x in doc_ids.to_pylist()], np.int64)
+    mine = (nth + key[which]) % rounds == r
+    return (begins[which] + nth)[mine]
+
+
+def _train(batches: Iterator[pa.RecordBatch], params, base: int, r: int, rounds: int) -> Iterator[pa.RecordBatch]:
     """Blocks of DIM parameters that changed: their weight, and weight times the change."""
     p = unflat(params.value, base)
     square = {k: np.full(s, 0.1, np.float32) for k, s in shapes(base).items()}
     pad = base**3
     places, seen, first = 0, np.zeros(pad + 1, np.int64), np.zeros(pad, np.int64)
     for b in batches:
-        got, _ = _joined(b.column(0), pad)
-        # a place is masked by a hash of its words, so the choice doesn't hang on the partition
-        n = len(got)
-        mix = (got.astype(np.uint64) + np.roll(got, 1).astype(np.uint64) * np.uint64(2654435761) + np.arange(n, dtype=np.uint64) * np.uint64(40503) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        at = np.flatnonzero(((mix >> np.uint64(33)) % np.uint64(MASKED) == 0) & (got != pad))
+        got, sizes = _joined(b.column(1), pad)
+        at = masked(b.column(0), sizes, r, rounds)
         for i in range(0, len(at), 2048):
             learn(p, square, got, at[i : i + 2048])
         places += len(at)
@@ -305,18 +329,21 @@ def _train(batches: Iterator[pa.RecordBatch], params, base: int, salt: int) -> I
         w = np.concatenate([_blocks(k, weights.get(k, float(places)), base) for k in SHAPES])
         k = np.flatnonzero(w).astype(np.int32)
         x = ((flat(p) - params.value).reshape(-1, DIM)[k] * w[k, None]).astype(np.float32)
-        for i in range(0, len(k), 65536):
-            part = x[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 65536]), pa.array(w[k[i : i + 65536]]), *(pa.array(np.ascontiguousarray(part[:, j])) for j in range(DIM))], ["k", "w", *SUMS])
+        for n in range(SLICES):
+            mine = np.flatnonzero(k % SLICES == n)
+            if len(mine):
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([c.tobytes()]) for c in (k[mine], w[k[mine]], x[mine]))], ["slice", "k", "w", "x"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], params, base: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], params, shared, base: int) -> Iterator[pa.RecordBatch]:
+    """Sums of log P, where a word of a shared id still lacks the log of its own count."""
     p = unflat(params.value, base)
     pad = base**3
     for b in batches:
         got, sizes = _joined(b.column(2), pad)
         at = np.flatnonzero(got != pad)
         logs = np.concatenate([np.zeros(0)] + [log_probabilities(p, got, at[i : i + 1024]) for i in range(0, len(at), 1024)]).astype(np.float64)
+        logs -= shared.value[got[at]]
         ends = np.cumsum(sizes)
         total = np.concatenate(([0.0], np.cumsum(logs)))
         sums = total[ends] - total[ends - sizes]
@@ -324,35 +351,39 @@ def _score(batches: Iterator[pa.RecordBatch], params, base: int) -> Iterator[pa.
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, bases: tuple[int, ...] = BASES):
-    """The documents as ids, the words that share an id, the base, and broadcast parameters learned over all documents."""
+    """The documents as ids, the words that share an id, the base, and broadcast logs of shared ids' counts and parameters."""
     spark = docs.sparkSession
     tables = Tables(spark, "words")
     sc = spark.sparkContext
     counts = counted(docs.select(F.col("text").cast("string").alias("text")), tables)
     base, words, n = vocabulary(counts, bases)
-    rest = within(counts, base, len(words), n[-1] if n else None)
+    rest = sharing(counts, base, len(words), n[-1] if n else None)
     by_id = np.zeros(base**3)
     by_id[: len(n)] = n
     got = rest.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     by_id[got["id"].to_numpy()] = got["n"].to_numpy()
-    own = sc.broadcast(words)
+    shared = np.log(np.maximum(by_id, 1))
+    shared[: len(n)] = 0
+    own, shared = sc.broadcast(words), sc.broadcast(shared)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = tables.write(rows.mapInArrow(lambda it: _encode(it, own, base**3), "row bigint, doc_id bigint, ids binary, rare array<string>"), "ids")
     params = sc.broadcast(flat(initial(base=base, counts=by_id)))
     for r in range(rounds):
         now = params
-        got = encoded.select("ids").mapInArrow(lambda it, now=now, r=r: _train(it, now, base, r), SENT).groupBy("k").agg(F.sum("w").alias("w"), *(F.sum(x).cast("float").alias(x) for x in SUMS)).toArrow()
-        if got.num_rows:
-            x = now.value.reshape(-1, DIM).copy()
-            x[got["k"].to_numpy()] += np.stack([got[c].to_numpy() for c in SUMS], axis=1) / got["w"].to_numpy()[:, None]
-            params = sc.broadcast(x.ravel())
-    return encoded, rest, base, params
+        sent = encoded.select("doc_id", "ids").mapInArrow(lambda it, now=now, r=r: _train(it, now, base, r, rounds), SENT)
+        got = sent.repartition("slice").mapInArrow(_sum, SENT).toArrow()
+        x = now.value.reshape(-1, DIM).copy()
+        for part in got.to_pylist():
+            k, w = np.frombuffer(part["k"], np.int32), np.frombuffer(part["w"])
+            x[k] += np.frombuffer(part["x"], np.float32).reshape(-1, DIM) / w[:, None]
+        params = sc.broadcast(x.ravel())
+    return encoded, rest, base, shared, params
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS, bases: tuple[int, ...] = BASES) -> DataFrame:
     """Per document: doc_id, n_tokens, pseudo_log_likelihood, mean_log_probability."""
-    encoded, rest, base, params = train(docs, rounds, bases)
-    ids = encoded.select("row", "doc_id", "ids").mapInArrow(lambda it: _score(it, params, base), "row bigint, doc_id bigint, n_tokens bigint, by_id double")
-    words = encoded.select("row", F.explode("rare").alias("word")).join(rest.select("word", "log_within"), "word").groupBy("row").agg(F.sum("log_within").alias("log_within"))
-    out = ids.join(words, "row", "left").select("doc_id", "n_tokens", (F.col("by_id") + F.coalesce("log_within", F.lit(0.0))).alias("pseudo_log_likelihood"))
+    encoded, rest, base, shared, params = train(docs, rounds, bases)
+    ids = encoded.select("row", "doc_id", "ids").mapInArrow(lambda it: _score(it, params, shared, base), "row bigint, doc_id bigint, n_tokens bigint, by_id double")
+    words = encoded.select("row", F.explode("rare").alias("word")).join(rest.select("word", F.log("n").alias("log_n")), "word").groupBy("row").agg(F.sum("log_n").alias("log_n"))
+    out = ids.join(words, "row", "left").select("doc_id", "n_tokens", (F.col("by_id") + F.coalesce("log_n", F.lit(0.0))).alias("pseudo_log_likelihood"))
     return out.withColumn("mean_log_probability", F.when(F.col("n_tokens") > 0, F.col("pseudo_log_likelihood") / F.col("n_tokens")))

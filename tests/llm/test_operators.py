@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,12 +333,24 @@ def test_language_model_gives_probabilities_of_words(spark):
         assert abs(sum(np.exp(got[i]) for i in range(5000)) - 1) < 1e-3
     counts = language_model.counted(docs.select("text"), language_model.Tables(spark, "words"))
     base, own, n = language_model.vocabulary(counts, (16,))
-    rest = {r.word: r for r in language_model.within(counts, base, len(own), n[-1]).collect()}
+    rest = {r.word: r for r in language_model.sharing(counts, base, len(own), n[-1]).collect()}
     assert own and set(own) | set(rest) == set(words) and not set(own) & set(rest)
     assert all(r.id == language_model.shared_id(w, len(own), base**3) for w, r in rest.items())
     assert language_model.vocabulary(counts)[0] == 32 and len(language_model.vocabulary(counts)[1]) == 5000
 
 
+def test_every_place_is_learned_from_once():
+    texts = [[], [1], [2, 3], list(range(4, 4 + 501)), [7]]
+    codes = pa.array([np.array(t, np.int32).tobytes() for t in texts], pa.binary())
+    for rounds in (1, 2, 3):
+        for part in (slice(0, 5), slice(2, 5)):  # batches do not matter
+            got, sizes = language_model._joined(codes[part], language_model.SIZE)
+            took = [language_model.masked(pa.array([None, 1, 2, 3, 9])[part], sizes, r, rounds) for r in range(rounds)]
+            assert np.array_equal(np.sort(np.concatenate(took)), np.flatnonzero(got != language_model.SIZE))
+            last = next(r for r in range(rounds) if np.isin(len(got) - 4, took[r]))
+            assert last == 9 % rounds
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(3)
     body = np.tile(np.array([10, 20, 30, 40], np.int32), 400)
