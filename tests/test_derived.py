@@ -177,3 +177,18 @@ def test_library(spark):
     assert anchors.first().work_id == citable and anchors.first().note_id == note.first().id
     with pytest.raises(ToolError, match="nothing written"):
         lib.draft_note("a thought", [(citable, text, None), (citable, "words that stand in no book at all, surely", None)])
+
+
+def test_quotations_are_searched_in_the_pages_of_their_own_work(spark):
+    rows = [("a", i, i, f"page {i} of the first book says the {w} owl flies by night over the old town") for i, w in enumerate(("grey", "white", "brown"), 1)] + [("b", 1, 1, "another book altogether, with nothing about birds in it")]
+    pages_ = spark.createDataFrame(rows, "work_id string, page_index int, printed_page int, text string")
+    asked = [
+        ("a", 1, 1, "the white owl flies by night over", 3), ("a", 2, 1, "the purple cow walks by day under a bridge", 2), ("b", 3, 1, "the white owl flies by night over", 1),
+        ("a", 4, 1, "owl flies by night over the old town", 2), ("a", 5, 1, "says the white owl flies by nigth over the old town", 2), ("a", 6, 1, "the white owl", 2), ("a", 7, 1, "the grey owl flies by night over", None),
+    ]
+    quotes = spark.createDataFrame(asked, "work_id string, claim_id long, n int, text string, near int")
+    for at_once in (150_000, 1):
+        got = {r.claim_id: r.page for r in derived.found_quotes(pages_, quotes, at_once).collect()}
+        exact = {c: [p for w, _, p, t in rows if w == work and q in t and len(q) >= 25] for work, c, _, q, _ in asked}
+        assert set(got) == {c for c, places in exact.items() if places} | {5}
+        assert got[1] == 2 and got[4] == 2 and got[5] == 2 and got[7] == 1
