@@ -288,6 +288,16 @@ def d2_verified(spark, sf_dir):
     return kept.select("work_id", "claim_id", *count, F.lit(None).cast("string").alias("reason")).union(dropped.select("work_id", "claim_id", *count, "reason"))
 
 
+def word_search(documents, query):
+    """Documents of every language with a form of the query, by folded text, and how often."""
+    folded = documents.select("doc_id", T.folded(F.col("text"), "a").alias("text"))
+    return motif.word_hits(folded, T.word_forms(query), limit=None).select("doc_id", "hits")
+
+
+def x3_word_search(spark, sf_dir):
+    return word_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "the")
+
+
 def d3_judged(spark, sf_dir):
     c = _claims(spark, sf_dir).select("work_id", "claim_id")
     v = sql(spark, sf_dir, "SELECT concat('src', CAST(n AS VARCHAR(9))) AS work_id, id AS claim_id, CASE WHEN turn = 1 THEN 'unsupported' WHEN turn = 2 THEN 'partial' ELSE 'supported' END AS verdict, CASE WHEN n > 10 THEN 'no' ELSE '' END AS reason FROM note WHERE turn > 0")
@@ -411,7 +421,7 @@ QUERIES = {
         x11_blocks, x12_clean_page, x13_masked, x15_boilerplate, x16_stripped, x17_folios, x18_chapters, x19_glyphs, x20_damage, x21_citability, x22_triage, x23_viability,
         x36_heads_on_pages, l6_edge_folios, v8_motif_rows, v10_marks, v9_axis_map, v11_labels, v11_title_lines, fmt6_slug, fmt11_excerpt, fmt12_html_lang, e1_item_files,
         e3_split_entries, e8_isbn_pick, e10_inventory, e11_placements, x25_repaired_names, x33_surname, x34_tokens, j24_name_matches, x28_study_aids, x29_references, x30_units,
-        x31_unfound, x32_claim_groups, a22_common_words, d2_verified, d3_judged, d5_load_claims, d6_claim_body, snk8_patch, snk10_note_with_anchors, snk14_manifest,
+        x31_unfound, x32_claim_groups, a22_common_words, d2_verified, x3_word_search, d3_judged, d5_load_claims, d6_claim_body, snk8_patch, snk10_note_with_anchors, snk14_manifest,
         snk15_document_payload, tl1_find_works, tl2_list_projects, tl3_list_gaps, tl4_search, tl5_read_pages, tl6_find_quotation, tl7_study_aid, tl8_list_claims, tl9_list_notes,
         r14_anchors, r18_workbench, r19_preview,
     )

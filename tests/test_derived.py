@@ -192,3 +192,10 @@ def test_quotations_are_searched_in_the_pages_of_their_own_work(spark):
         exact = {c: [p for w, _, p, t in rows if w == work and q in t and len(q) >= 25] for work, c, _, q, _ in asked}
         assert set(got) == {c for c, places in exact.items() if places} | {5}
         assert got[1] == 2 and got[4] == 2 and got[5] == 2 and got[7] == 1
+
+
+def test_word_search_has_all_languages_and_folds(spark):
+    rows = [(1, "The other, the", "en"), (2, "Thérèse", "fr"), (3, "lathe éthe", None), (4, "búho y lechuza", "es"), (5, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.hits for r in derived.word_search(docs, "the").collect()} == {1: 2, 2: 1}
+    assert {r.doc_id: r.hits for r in derived.word_search(docs, "the, Buho").collect()} == {1: 2, 2: 1, 4: 1}
