@@ -298,6 +298,16 @@ def x3_word_search(spark, sf_dir):
     return word_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "the")
 
 
+def capped_scan(chunks, limit=3000):
+    """English chunks in page order, at most ``limit``, the feature's own cap; capped if it is reached."""
+    capped = F.count("*").over(Window.partitionBy(F.lit(0))) >= limit
+    return chunks.filter("lang = 'en'").select("chunk_id", "start_page", capped.alias("capped")).orderBy("start_page", "chunk_id").limit(limit)
+
+
+def t2_capped_scan(spark, sf_dir):
+    return capped_scan(_rel(spark, sf_dir, "chunk"))
+
+
 def d3_judged(spark, sf_dir):
     c = _claims(spark, sf_dir).select("work_id", "claim_id")
     v = sql(spark, sf_dir, "SELECT concat('src', CAST(n AS VARCHAR(9))) AS work_id, id AS claim_id, CASE WHEN turn = 1 THEN 'unsupported' WHEN turn = 2 THEN 'partial' ELSE 'supported' END AS verdict, CASE WHEN n > 10 THEN 'no' ELSE '' END AS reason FROM note WHERE turn > 0")
@@ -421,7 +431,7 @@ QUERIES = {
         x11_blocks, x12_clean_page, x13_masked, x15_boilerplate, x16_stripped, x17_folios, x18_chapters, x19_glyphs, x20_damage, x21_citability, x22_triage, x23_viability,
         x36_heads_on_pages, l6_edge_folios, v8_motif_rows, v10_marks, v9_axis_map, v11_labels, v11_title_lines, fmt6_slug, fmt11_excerpt, fmt12_html_lang, e1_item_files,
         e3_split_entries, e8_isbn_pick, e10_inventory, e11_placements, x25_repaired_names, x33_surname, x34_tokens, j24_name_matches, x28_study_aids, x29_references, x30_units,
-        x31_unfound, x32_claim_groups, a22_common_words, d2_verified, x3_word_search, d3_judged, d5_load_claims, d6_claim_body, snk8_patch, snk10_note_with_anchors, snk14_manifest,
+        x31_unfound, x32_claim_groups, a22_common_words, d2_verified, t2_capped_scan, x3_word_search, d3_judged, d5_load_claims, d6_claim_body, snk8_patch, snk10_note_with_anchors, snk14_manifest,
         snk15_document_payload, tl1_find_works, tl2_list_projects, tl3_list_gaps, tl4_search, tl5_read_pages, tl6_find_quotation, tl7_study_aid, tl8_list_claims, tl9_list_notes,
         r14_anchors, r18_workbench, r19_preview,
     )

@@ -199,3 +199,10 @@ def test_word_search_has_all_languages_and_folds(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id: r.hits for r in derived.word_search(docs, "the").collect()} == {1: 2, 2: 1}
     assert {r.doc_id: r.hits for r in derived.word_search(docs, "the, Buho").collect()} == {1: 2, 2: 1, 4: 1}
+
+
+def test_scan_is_capped_at_three_thousand(spark):
+    for n in (301, 2999, 3000, 3001):
+        chunks = spark.range(n).selectExpr("id as chunk_id", "cast(id as int) as start_page", "'en' as lang")
+        got = derived.capped_scan(chunks).collect()
+        assert len(got) == min(n, 3000) and {r.capped for r in got} == {n >= 3000}
