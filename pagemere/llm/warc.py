@@ -6,12 +6,20 @@ digests Spark can split, so copies are never collected.  Each record is a gzip m
 rows of a binary column in the shared folder (any store can hold them); ``export`` of ``order`` shows how such
 rows become files.
 
-The reader takes an archive's bytes.  After a member that can't be unpacked, or a record whose version line,
-length or digest is wrong, it searches for the next gzip header or version line that gives a valid record,
-goes on there, and reports the gap as a row of type ``quarantine`` with its byte range.
+The reader takes an archive's bytes, plain or gzipped, of any WARC/x.y version, from any writer: members may hold
+many records, records may be of any type, and headers may be missing.  Where a record's version line, length or
+digest is wrong, or a member can't be unpacked, it searches for the next version line or gzip header that gives a
+valid record, goes on there, and reports the gap as a row of type ``quarantine``.  Inside a member the search goes
+on in the unpacked bytes.  Of a member that breaks off, whole records of its front are kept; of a member with wrong
+bytes, those whose block digest proves them.  ``begin`` and ``end`` are places in the archive; ``inner`` is the place
+in the member's unpacked bytes (null for plain records and for gaps of the archive itself).
 
 Defined results: null html is an empty payload; a null page_id is kept as null; rows that share the smallest
-page_id of a payload are all responses; an empty table gives an empty result.
+page_id of a payload are all responses (ties), as repeated rows of it are; very long pages are records like others;
+columns other than page_id, url and html are not read; an empty table gives an empty result.  A digest of an unknown
+algorithm is not checked.  Records without a type are of type ``unknown``; a payload is what follows the HTTP head
+in records of HTTP messages, else the whole block; a revisit's size and digest are those its header states, null
+where it states none.
 """
 
 from __future__ import annotations
@@ -21,17 +29,21 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, on_workers
 
 ARCHIVE_BYTES = 4 << 20
 _VERSION = b"WARC/1.1\r\n"
+_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_START = re.compile(re.escape(_MEMBER) + b"|" + _LINE.pattern)
+_STEP = 1 << 14
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -61,67 +73,124 @@ def pack(raw: bytes, level: int = 1) -> bytes:
     return z.compress(raw) + z.flush()
 
 
+class Found(NamedTuple):
+    """A record, or a gap of bytes where ``head`` is None."""
+
+    head: dict | None
+    body: bytes
+    begin: int
+    end: int
+    inner: int | None
+
+
+def _sums(body: bytes, algorithm: str) -> set[str]:
+    """The digest's usual spellings; none for an unknown algorithm."""
+    try:
+        raw = hashlib.new(algorithm.replace("-", ""), body).digest()
+    except (ValueError, TypeError):
+        return set()
+    return {base64.b32encode(raw).decode().rstrip("="), raw.hex().upper()}
+
+
+def proved(head: dict, body: bytes) -> bool | None:
+    """Whether the block digest holds; None where there is none that can be checked."""
+    algorithm, sep, value = head.get("warc-block-digest", "").partition(":")
+    right = _sums(body, algorithm.strip().lower()) if sep else set()
+    return value.strip().upper().rstrip("=") in right if right else None
+
+
 def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int] | None:
     """Headers, body and end of the record at ``at``; None if it isn't whole and right."""
-    if not raw.startswith(_VERSION, at):
-        return None
-    stop = raw.find(b"\r\n\r\n", at)
+    line = _LINE.match(raw, at)
+    stop = raw.find(b"\r\n\r\n", at) if line else -1
     if stop < 0:
         return None
-    head = {}
-    for line in raw[at + len(_VERSION) : stop].split(b"\r\n"):
-        k, sep, v = line.partition(b":")
+    head: dict[str, str] = {}
+    name = None
+    for field in raw[line.end() : stop].split(b"\r\n"):
+        if name and field[:1] in (b" ", b"\t"):  # a folded line
+            head[name] += " " + field.strip().decode("utf-8", "replace")
+            continue
+        k, sep, v = field.partition(b":")
         if not sep:
             return None
-        head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        name = k.strip().lower().decode("latin-1")
+        head[name] = v.strip().decode("utf-8", "replace")
     size = head.get("content-length", "")
-    if not size.isdigit():
+    if not (size.isascii() and size.isdigit()):
         return None
     end = stop + 4 + int(size)
-    body = raw[stop + 4 : end]
-    if raw[end : end + 4] != b"\r\n\r\n" or head.get("warc-block-digest", f"sha1:{digest(body)}") != f"sha1:{digest(body)}":
+    if raw[end : end + 4] != b"\r\n\r\n":
         return None
-    return head, body, end + 4
+    body = raw[stop + 4 : end]
+    return None if proved(head, body) is False else (head, body, end + 4)
+
+
+def _unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at ``at`` holds as far as it can be unpacked, where that ends, and whether it is whole, cut or wrong."""
+    z, out, p, step = zlib.decompressobj(31), [], at, _STEP
+    while p < len(data) and not z.eof:
+        before = z.copy() if step > 1 else None
+        part = data[p : p + step]
+        try:
+            out.append(z.decompress(part))
+        except zlib.error:
+            if before is None:
+                return b"".join(out), p, "wrong"
+            z, step = before, step // 8 or 1
+            continue
+        p += len(part)
+    return b"".join(out), p - len(z.unused_data), "whole" if z.eof else "cut"
 
 
-def _at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | None:
-    """Records that begin at ``at``, as a gzip member or plain, and where they end."""
-    if not data.startswith(_MEMBER, at):
-        return ([got[:2]], got[2]) if (got := parse(data, at)) else None
-    z = zlib.decompressobj(31)
-    try:
-        raw = z.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    if not z.eof:
-        return None
-    out, p = [], 0
+def _records(raw: bytes) -> Iterator[tuple[dict | None, bytes, int, int]]:
+    """Records of unpacked bytes and the gaps between them."""
+    p, gap = 0, 0
     while p < len(raw):
-        if (got := parse(raw, p)) is None:
-            return None
-        out.append(got[:2])
-        p = got[2]
-    return out, len(data) - len(z.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[tuple[dict | None, bytes, int, int]]:
-    """(headers, body, begin, end) of each record; headers None for a quarantined gap of bytes."""
-    at, gap = 0, -1
-    start = re.compile(re.escape(_MEMBER) + b"|" + re.escape(_VERSION))
+        if got := parse(raw, p):
+            if gap < p:
+                yield None, raw[gap:p], gap, p
+            yield got[0], got[1], p, got[2]
+            p = gap = got[2]
+        else:
+            m = _LINE.search(raw, p + 1)
+            p = m.start() if m else len(raw)
+    if gap < len(raw):
+        yield None, raw[gap:], gap, len(raw)
+
+
+def salvage(data: bytes) -> Iterator[Found]:
+    """Each record of an archive and each quarantined gap."""
+    at, gap = 0, 0
+    stored: set[bytes] = set()  # records taken from a damaged member, which may stand in its bytes unpacked
+    reach = 0
     while at < len(data):
-        if (got := _at(data, at)) is None:
-            gap = at if gap < 0 else gap
-            m = start.search(data, at + 1)
+        found, end = [], at
+        if data.startswith(_MEMBER, at):
+            raw, end, state = _unpack(data, at)
+            inside = list(_records(raw))
+            if state == "whole" and any(h is not None for h, *_ in inside):
+                found = [Found(h, body, at, end, a) for h, body, a, _ in inside]
+            else:
+                good = [(h, body, a, b) for h, body, a, b in inside if h is not None and (state != "wrong" or proved(h, body))]
+                stored |= {hashlib.sha1(raw[a:b]).digest() for _, _, a, b in good}
+                reach = max(reach, end)
+                for h, body, a, _ in good:
+                    yield Found(h, body, at, end, a)
+        elif got := parse(data, at):
+            end = got[2]
+            if not (at < reach and hashlib.sha1(data[at:end]).digest() in stored):
+                found = [Found(got[0], got[1], at, end, None)]
+        if found:
+            if gap < at:
+                yield Found(None, data[gap:at], gap, at, None)
+            yield from found
+            at = gap = end
+        else:
+            m = _START.search(data, at + 1)
             at = m.start() if m else len(data)
-            continue
-        if gap >= 0:
-            yield None, data[gap:at], gap, at
-            gap = -1
-        for head, body in got[0]:
-            yield head, body, at, got[1]
-        at = got[1]
-    if gap >= 0:
-        yield None, data[gap:], gap, len(data)
+    if gap < len(data):
+        yield Found(None, data[gap:], gap, len(data), None)
 
 
 def _write(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -143,29 +212,54 @@ def _write(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
 def _page(urn: str) -> int | None:
     m = re.fullmatch(r"<urn:page:(-?\d+)>", urn)
-    return int(m[1]) if m else None
+    return int(m[1]) if m and -(2**63) <= int(m[1]) < 2**63 else None
+
+
+def _stated(head: dict) -> tuple[int | None, str | None]:
+    """A revisit's payload size and digest as its header states them."""
+    size = head.get("warc-payload-length", "")
+    algorithm, sep, value = head.get("warc-payload-digest", "").partition(":")
+    if sep and algorithm.lower() == "sha1" and re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        value = base64.b32encode(bytes.fromhex(value)).decode()
+    return int(size) if size.isascii() and size.isdigit() else None, value or algorithm or None
+
+
+def _payload(head: dict, body: bytes) -> bytes:
+    if head.get("content-type", "").lower().startswith("application/http"):
+        before, sep, after = body.partition(b"\r\n\r\n")
+        return after if sep and b"HTTP/" in before.split(b"\r\n", 1)[0] else body
+    return body
+
+
+def _row(archive: str, f: Found) -> tuple:
+    if f.head is None:
+        return archive, f.begin, f.end, f.inner, None, None, None, None, "quarantine", None, f.body
+    kind = f.head.get("warc-type", "").lower() or "unknown"
+    payload = _payload(f.head, f.body)
+    size, sha = _stated(f.head) if kind == "revisit" else (len(payload), digest(payload))
+    return archive, f.begin, f.end, f.inner, _page(f.head.get("warc-record-id", "")), f.head.get("warc-target-uri"), size, sha, kind, _page(f.head.get("warc-refers-to", "")), payload
+
+
+_READ = "archive string, begin bigint, end bigint, inner bigint, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+_COLUMNS = [(name, _ARROW[kind]) for name, kind in (c.split() for c in _READ.split(", "))]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    names = ["archive", "begin", "end", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    def done(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _COLUMNS, strict=True)], [n for n, _ in _COLUMNS])
+
     for b in batches:
         for archive, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             rows, held = [], 0
-            for head, body, begin, end in salvage(data.as_py()):
-                if head is None:
-                    rows.append((archive, begin, end, None, None, None, None, "quarantine", None, body))
-                else:
-                    kind = head["warc-type"]
-                    own = len(body) if kind == "response" else int(head["warc-payload-length"])
-                    sha = digest(body) if kind == "response" else head["warc-payload-digest"].removeprefix("sha1:")
-                    rows.append((archive, begin, end, _page(head["warc-record-id"]), head["warc-target-uri"], own, sha, kind, _page(head.get("warc-refers-to", "")), body))
-                held += len(body)
+            for f in salvage(data.as_py() or b""):
+                rows.append(_row(archive, f))
+                held += len(f.body)
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield done(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield done(rows)
 
 
 def write(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -184,5 +278,6 @@ def write(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES)
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """Records and quarantined gaps: archive, begin, end, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    return archives.select("archive", "data").mapInArrow(_read, "archive string, begin bigint, end bigint, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+    """Records and quarantined gaps of archives(archive, data): the columns of ``_READ``."""
+    on_workers(archives.sparkSession)
+    return archives.select("archive", "data").mapInArrow(_read, _READ)
