@@ -208,6 +208,55 @@ def test_license_scan(spark):
     assert licenses.scan(awkward(spark)).count() == 15 and licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_names_and_borders():
+    def found(text):
+        return [(label, n) for label, _, _, n in licenses.notices((b" " + b" ".join(licenses.words(text)) + b" ").decode("latin-1"))]
+
+    for other in ("bsd", "isc", "gnu", "mitt", "nit"):
+        assert found(f"released under the {other} license") == []
+    assert found("small rights reserved") == found("licensed under the apache license version 3 0") == []
+    assert found("released under the mit licence") == [("mit", 1)]
+    assert found("Licensed under the Apache lisense, version 2.0") == [("apache", 1)]
+    assert found("all rights reservd, all right reserved") == [("all-rights-reserved", 1)] * 2
+    assert found("released under the mit license " * 3) == [("mit", 0)] * 3
+
+
+def test_license_notices_brute_force():
+    rng = random.Random(12)
+    for _ in range(150):
+        notice = rng.choice(list(licenses.NOTICES))
+        e = licenses._edits(notice, licenses.EDITS)
+        text = list(notice)
+        for _ in range(rng.randrange(0, 5)):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice((["q"], [], [text[at], "z"]))
+        text = " ".join(f"{rng.choice(['', 'under the', 'all'])} {''.join(text)} the".split())
+        ws = text.split()
+        want = set()
+        for n, label in licenses.NOTICES.items():
+            most = licenses._edits(n, licenses.EDITS)
+            tell = [w for w in n.split() if w in licenses.TELLING]
+            spans = [ws[i:j] for i in range(len(ws)) for j in range(i + 1, min(len(ws), i + len(n.split()) + 4) + 1)]
+            fits = [edit_distance(n, " ".join(s)) for s in spans if abs(len(" ".join(s)) - len(n)) <= most and [w for w in s if w in tell] == tell]
+            if fits and min(fits) <= most:
+                want.add((label, min(fits)))
+        got = licenses.notices(f" {text} ")
+        assert e >= 1 and {x for x, _ in want} == {x[0] for x in got}, text
+        for label in {x for x, _ in want}:
+            assert min(n for x, n in want if x == label) == min(x[3] for x in got if x[0] == label), text
+
+
+@pytest.mark.parametrize("text", ["all rights reserve ", "released under the mit licens ", "mit license "])
+def test_license_time_grows_with_the_text(spark, text):
+    import time
+
+    docs = spark.createDataFrame([(1, text * (1_000_000 // len(text)), "x")], "doc_id bigint, text string, score string")
+    licenses.scan(docs.limit(0)).collect()
+    start = time.time()
+    assert licenses.scan(docs).select(F.size("found") + F.size("starts")).first()[0] >= 1_000_000 // len(text)
+    assert time.time() - start < 5
+
+
 def test_license_base_brute_force(spark):
     got = {r.doc_id: r for r in queries.op7_license_scan(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
@@ -223,17 +272,68 @@ def test_warc_salvage():
     packed = [warc.pack(r) for r in raw]
     data = b"".join([packed[0], b"garbage\x1f\x8b\x08junk", packed[1], packed[2][:-20], packed[3], raw[4], raw[5][:40], raw[5]])
     got = list(warc.salvage(data))
-    assert [h["warc-record-id"] for h, *_ in got if h] == [f"<urn:page:{i}>" for i in (0, 1, 3, 4, 5)]
-    gaps = [(a, b) for h, _, a, b in got if h is None]
+    assert [f.head["warc-record-id"] for f in got if f.head] == [f"<urn:page:{i}>" for i in (0, 1, 3, 4, 5)]
+    gaps = [(f.begin, f.end) for f in got if f.head is None]
     assert len(gaps) == 3 and gaps[0] == (len(packed[0]), len(packed[0]) + len(b"garbage\x1f\x8b\x08junk"))
 
 
+def page_ids(data):
+    return [f.head["warc-record-id"][10:-1] if f.head else None for f in warc.salvage(data)]
+
+
+def test_warc_salvages_within_members():
+    noise = random.Random(8)
+    raw = [warc.record(i, "u", noise.randbytes(3000)) for i in range(6)]
+    wrong = raw[1][:-9] + b"?" + raw[1][-8:]
+    assert page_ids(warc.pack(raw[0] + wrong + raw[2])) == ["0", None, "2"]
+    whole = warc.pack(b"".join(raw))
+    assert page_ids(whole) == list("012345")
+    assert page_ids(whole[:-4000] + warc.pack(raw[5])) == ["0", "1", "2", "3", None, "5"]
+    broken = bytearray(whole)
+    broken[9000] ^= 255
+    got = page_ids(bytes(broken) + warc.pack(raw[3]))
+    assert got[:2] == ["0", "1"] and got[-2:] == [None, "3"] and "2" not in got
+    plain = zlib.compressobj(0, zlib.DEFLATED, 31)  # its bytes stand in the member as they are
+    stored = bytearray(plain.compress(raw[0] + raw[1]) + plain.flush())
+    stored[-6] ^= 1
+    assert page_ids(bytes(stored) + raw[2]) == ["0", "1", None, "2"]
+
+
+def test_warc_of_other_writers(spark):
+    def made(version, fields, body):
+        return f"WARC/{version}\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(body))]).encode() + b"\r\n" + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    sha = warc.digest(b"abc")
+    records = [
+        made("1.0", [("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:1>")], b"software: x"),
+        made("1.0", [("WARC-Type", "request"), ("WARC-Target-URI", "http://x/"), ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\n\r\n"),
+        made("1.1", [("WARC-Type", "response"), ("WARC-Target-URI", "http://x/\r\n folded"), ("Content-Type", "application/http; msgtype=response")], http),
+        made("1.0", [("WARC-Type", "revisit"), ("WARC-Payload-Digest", f"sha1:{sha}")], b""),
+        made("1.0", [("WARC-Type", "revisit")], b""),
+        made("0.18", [], b"no type"),
+        made("1.1", [("WARC-Type", "resource"), ("WARC-Block-Digest", "sha1:" + __import__("hashlib").sha1(b"abc").hexdigest())], b"abc"),
+        made("1.1", [("WARC-Type", "resource"), ("WARC-Block-Digest", "md5:" + "0" * 32)], b"abc"),
+        made("1.1", [("WARC-Type", "metadata"), ("WARC-Block-Digest", "tiger:xyz")], b"abc"),
+    ]
+    rows = [("plain", bytearray(b"".join(records))), ("packed", bytearray(b"".join(map(warc.pack, records)))), ("none", None)]
+    got = warc.read(spark.createDataFrame(rows, "archive string, data binary")).collect()
+    for archive in ("plain", "packed"):
+        r = [(x.record_type, x.payload_bytes, x.url, x.page_id) for x in sorted(got, key=lambda x: (x.begin, x.inner or 0)) if x.archive == archive]
+        assert [x[0] for x in r] == ["warcinfo", "request", "response", "revisit", "revisit", "unknown", "resource", "quarantine", "metadata"]
+        assert [x[1] for x in r] == [11, 0, 8, None, None, 7, 3, None, 3] and r[2][2] == "http://x/ folded" and {x[3] for x in r} == {None}
+    assert {x.payload_digest for x in got if x.record_type == "revisit"} == {sha, None}
+
+
 def test_warc_table(spark):
     rows = [(3, "u", "<a>"), (1, "u", "<a>"), (2, None, None), (5, "u", ""), (None, "u", "<b>"), (1, "u", "<a>")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = warc.read(warc.write(pages)).collect()
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in got) == [("1", "response", "None"), ("1", "response", "None"), ("2", "response", "None"), ("3", "revisit", "1"), ("5", "revisit", "2"), ("None", "response", "None")]
     assert warc.read(warc.write(pages.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, "u" * 70_000, "é" * 3_000_000, "x"), (2, "u", "é" * 3_000_000, "y")], "page_id bigint, url string, html string, record_type string")
+    got = sorted(warc.read(warc.write(long, archive_bytes=1)).collect())
+    assert {(r.page_id, r.payload_bytes, r.record_type, len(r.payload)) for r in got} == {(1, 6_000_000, "response", 6_000_000), (2, 6_000_000, "revisit", 0)}
 
 
 @pytest.mark.parametrize("name", ["op4_benchmark_decontamination", "op9_warc_salvage"])
