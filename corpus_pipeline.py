@@ -2,6 +2,11 @@
 
 Quality, toxicity, near-duplicates and benchmark passages each remove rows and keep the columns of documents;
 the last stage packs what is left into sequences.  Each stage is written as Parquet and read again.
+
+Defined results: null and empty texts are scored like texts without features, are no near-duplicates and hold no
+benchmark passage; a document without an id is never removed as a copy or a leak; repeated rows of one id stay or go
+together; further columns, whatever their names, come through unchanged up to packing; an empty table gives an empty
+result in every stage.
 """
 
 from __future__ import annotations
@@ -15,19 +20,20 @@ from pagemere.llm.decontaminate import contamination
 from pagemere.llm.minhash import near_duplicates
 from pagemere.llm.packing import pack_documents
 from pagemere.llm.quality import ratings
-from pagemere.llm.quality import text_scorer as quality_scorer
-from pagemere.llm.toxicity import text_scorer as toxicity_scorer
+from pagemere.llm.quality import scorer as quality_scorer
+from pagemere.llm.toxicity import scorer as toxicity_scorer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are usable or better with a probability of at least a half."""
-    scored = quality_scorer(docs, table(spark, sf_dir, "labels"), ratings(), least=1)
-    return scored.filter("tail_probability >= 0.5").select(*docs.columns)
+    tail = quality_scorer(docs, table(spark, sf_dir, "labels"), ratings(), least=1)
+    return docs.filter(tail(docs["text"]) >= 0.5)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents scored 0.5 or more."""
-    return toxicity_scorer(docs, table(spark, sf_dir, "labels")).filter("score < 0.5").select(*docs.columns)
+    score = toxicity_scorer(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(score(docs["text"]) < 0.5)
 
 
 def _kept(docs: DataFrame, removed: DataFrame) -> DataFrame:

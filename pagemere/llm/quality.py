@@ -5,22 +5,23 @@ latent score s: P(grade <= k) = logistic(t_k - s).  The expected grade and the t
 P(grade >= least) follow.  Features are the shares of hashed words and of hashed word shapes, and the shares of
 words equal to the one before, of repeated lines and of upper-case words.
 
-The model is fitted on at most ``bound`` labelled rows, held-out ones left aside; every document is scored over
-its whole text.  Defined results: null and empty texts get the score of no features; without labels, or with one
-grade only, every document gets that grade and is selected; repeated rows get equal scores.
+The model is fitted on at most ``bound`` labelled ids, held-out ones left aside; every document is scored over
+its whole text.  Defined results: null and empty texts get the score of no features; words and texts may have any
+length; without labels, or with one grade only, every document gets that grade and is selected; repeated rows and
+ties get equal scores; columns other than doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, only
@@ -34,7 +35,7 @@ _KEPT = 200_000
 
 
 def _slots(word: str) -> tuple[int, int]:
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return xxhash.xxh32_intdigest(word.lower()) % WORD_SLOTS, WORD_SLOTS + xxhash.xxh32_intdigest(_RUN.sub(r"\1", shape)) % SHAPE_SLOTS
 
 
@@ -135,15 +136,15 @@ def _score(batches: Iterator[pa.RecordBatch], shared, least: int) -> Iterator[pa
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        made = [features(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))], ["y", "idx", "val"])
+        made = [features(t.as_py()) for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))], ["doc_id", "y", "idx", "val"])
 
 
 def train(docs: DataFrame, labels: DataFrame, grade, bound: int = BOUND) -> Model:
     """``grade``: a column over ``labels``.  At most ``bound`` rows of features come to the driver."""
     tables = Tables(docs.sparkSession, "quality")
     rows = training_rows(docs, labels, grade, bound, tables)
-    got = rows.select("y", "text").mapInArrow(_features, "y int, idx array<int>, val array<float>").toArrow()
+    got = rows.select("doc_id", "y", "text").mapInArrow(_features, "doc_id bigint, y int, idx array<int>, val array<float>").toArrow().sort_by("doc_id")
     tables.drop(rows)
     return fit([np.array(x, np.int32) for x in got["idx"].to_pylist()], [np.array(x, np.float32) for x in got["val"].to_pylist()], got["y"].to_pylist())
 
@@ -156,8 +157,8 @@ def grade_documents(docs: DataFrame, labels: DataFrame, grade, least: int = 1, b
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.5).alias("selected"))
 
 
-def text_scorer(docs: DataFrame, labels: DataFrame, grade, least: int = 1, bound: int = BOUND) -> DataFrame:
-    """``docs`` with all its columns and ``tail_probability``; made in one pass, without a join."""
+def scorer(docs: DataFrame, labels: DataFrame, grade, least: int = 1, bound: int = BOUND) -> Callable[[Column], Column]:
+    """Learns from ``docs``; gives the tail probability of a column of texts as a column, so no name is taken."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, grade, bound))
 
     @F.pandas_udf("double")
@@ -167,7 +168,7 @@ def text_scorer(docs: DataFrame, labels: DataFrame, grade, least: int = 1, bound
         batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
         return pd.Series(next(_score(iter([batch]), model, least)).column(2).to_numpy())
 
-    return docs.withColumn("tail_probability", tail(F.col("text").cast("string")))
+    return lambda text: tail(text.cast("string"))
 
 
 #: Ratings of the labels table: 0 rejected, 1 usable, 2 usable and not toxic.
