@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from pagemere.llm import packing
 from tests.llm.test_operators import awkward
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +33,21 @@ def test_awkward_rows_pass(spark):
         out = stage(spark, docs, SF)
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert docs.count() > 0
+
+
+def test_further_columns_come_through(spark):
+    names = ["score", "tail_probability", "part", "nth", "sequence_id", "offset", "length", "piece", "component_id", "kept", "gone", "contaminated", "predicted", "held_out"]
+    docs = awkward(spark).select("doc_id", "text", *(F.concat_ws("-", F.lit(n), F.coalesce("doc_id", F.lit(99))).alias(n) for n in names))
+    before = {(r.doc_id, r.text): r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and all(before[r.doc_id, r.text] == r for r in out.collect()), name
+    assert corpus_pipeline.packing(spark, docs, SF).count() == packing.pack_documents(docs.select("doc_id", "text"), corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))[1].count()
+
+
+def test_empty_tables(spark):
+    docs = awkward(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        docs = out if name != "best_fit_packing" else docs
