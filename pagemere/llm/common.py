@@ -1,4 +1,8 @@
-"""Shared pieces of the training-data operators: tables, folders and bounded broadcasts."""
+"""Shared pieces of the training-data operators: tables, folders and bounded broadcasts.
+
+Tables live in the folder in ``spark.checkpoint.dir``.  An operator drops those that its result doesn't read; those
+it reads are deleted when the application ends; products (archives, shards, media, token ids) stay.
+"""
 
 from __future__ import annotations
 
@@ -31,11 +35,13 @@ def only(cache: dict) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a temporary folder takes its place.
+    Only where that is unset in local mode (tests) a temporary folder takes its place; on a cluster it must be set.
     """
     sc = spark.sparkContext
     put = sc.getConf().get("spark.checkpoint.dir", None)
     if not put:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         put = _own_dir.get(sc.applicationId)
         if put is None:
             put = _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="pagemere-")
@@ -54,6 +60,9 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Tables:
     """Intermediate tables in the shared folder; each can be dropped once nothing reads it."""
 
@@ -63,10 +72,23 @@ class Tables:
         self.n = 0
         on_workers(spark)
 
-    def write(self, df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+    def _path(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def write(self, df: DataFrame, what: str, codec: str = "zstd", product: bool = False) -> DataFrame:
+        """The table as written; its shuffles' files go at once, for nothing reads them again."""
         self.n += 1
         path = f"{self.base}/{self.n}-{what}"
-        df.write.option("compression", codec).parquet(path)
+        before = self.spark.conf.get(_CLEAN)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
+        if not product:
+            fs, p = self._path(path)
+            fs.deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pagemere_path = path
         return out
@@ -74,9 +96,16 @@ class Tables:
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             if t is not None and (path := getattr(t, "_pagemere_path", None)):
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                fs, p = self._path(path)
+                fs.delete(p, True)
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or with marks at its end until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(c: Column) -> Column:

@@ -103,6 +103,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_b
     prefixes = tables.write(prefixes, "prefixes")
 
     hits = tables.write(_matched(d, prefixes, sizes, broadcast).distinct(), "hits")
+    tables.drop(spots, seen, prefixes)
     # positions covered by the union of the places; a document has no more places than words and windows' lengths
     before = Window.partitionBy("doc_id", "h").orderBy("start", "stop")
     places = hits.select("doc_id", "h", "start", (F.col("start") + F.col("len")).alias("stop")).distinct()

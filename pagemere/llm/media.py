@@ -6,8 +6,9 @@ and, by a short-time Fourier transform (frame 2*unit, hop unit, Hann window), th
 bands in each frame.  Each peak is paired with the strongest peak of the next frame; a pair's code holds the
 two bins, its time the frame.  Both are stored as arrays of one length.
 
-Defined results: null and empty texts are one unit of blanks; a single frame is filled up with silence; equal
-texts give equal values; an empty table gives an empty result.
+Defined results: null and empty texts are one unit of blanks; a single frame is filled up with silence; texts of any
+length are stored whole; of equally strong bins (ties) the lowest counts; equal texts and repeated rows give equal
+values; columns other than doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def store(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     """docs(doc_id, text) to the written table (doc_id, n_bytes, media)."""
     tables = Tables(docs.sparkSession, "media")
     got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return tables.write(got.mapInArrow(lambda it: _store(it, unit), "doc_id bigint, n_bytes bigint, media binary"), "wav")
+    return tables.write(got.mapInArrow(lambda it: _store(it, unit), "doc_id bigint, n_bytes bigint, media binary"), "wav", product=True)
 
 
 def read(media: DataFrame, unit: int = UNIT) -> DataFrame:

@@ -274,7 +274,7 @@ def write(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES)
     copies = tables.write(copies.select("sha", "first"), "copies")
     to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
     linked = named.join(copies, "sha", "left").select("page_id", "url", "html", to.alias("refers_to"))
-    return tables.write(linked.mapInArrow(lambda it: _write(it, archive_bytes), "archive string, data binary"), "archives", "uncompressed")
+    return tables.write(linked.mapInArrow(lambda it: _write(it, archive_bytes), "archive string, data binary"), "archives", "uncompressed", product=True)
 
 
 def read(archives: DataFrame) -> DataFrame:
