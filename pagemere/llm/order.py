@@ -1,31 +1,36 @@
 """Training-order materialisation: a keyed permutation gives every sequence its slot; shards have a fixed stride.
 
-Documents are cut into sequences of at most ``length`` tokens.  Sequence i of N gets slot P(i), where P is a
-Feistel network over the smallest even-bit domain that holds N, walked along its cycle until it is below N.
-Slots are dense, so slot s lies in shard s // per_shard at byte (s % per_shard) * stride; a reader can go on
-from any slot without an index.  A record: doc_id (int64), piece (int32), tokens (int32), then ``length``
-unsigned 16-bit ids, zero-padded, all little-endian.
+Documents are cut into sequences of at most ``length`` tokens and numbered in the order of a hash of their id, text
+and piece (ties by the record), so the order is a function of the key and the rows alone, however they are laid out.
+Sequence i of N gets slot P(i), where P is a Feistel network over the smallest even-bit domain that holds N, walked
+along its cycle until it is below N.  Slots are dense, so slot s lies in shard s // per_shard at byte
+(s % per_shard) * stride; a reader can go on from any slot without an index.  A record: doc_id (int64), piece
+(int32), tokens (int32), then ``length`` unsigned 16-bit ids, zero-padded, all little-endian.
 
-Sequences are written once as they come, with their number within the scan's task; only the count of each task
-comes to the driver.  Records are then dealt to ranges of shards and written.
+Sequences are made once and dealt to equal ranges of the hash, where they are sorted and numbered; equal rows of a
+batch travel as one with their number, so an id repeated without end doesn't fill one range.  Only the number of
+sequences of each range comes to the driver.  Records are then dealt to ranges of shards and written.
 
 Shards are rows of a binary column in the shared folder, which any store can hold; ``export`` writes them as
 files.  Defined results: a null or empty text is one sequence of the end id; a null doc_id is stored as
--2**63 and read as null; repeated rows have sequences of their own; an empty table gives no shards.
+-2**63 and read as null; repeated rows (ties) have sequences of their own; texts of any length are cut whole;
+columns other than doc_id and text are not read; an empty table gives no shards; a tokenizer with ids beyond 16
+bits is refused.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import BATCH_ROWS, Tables
 from .tokens import byte_ids
 
 _NO_ID = -(2**63)
@@ -57,31 +62,50 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, parts: int) -> Iterator[pa.RecordBatch]:
     encode = byte_ids(path).encode_to_numpy
     end = np.array([end_id], "<u2").tobytes()
-    part, nth, size = TaskContext.get().partitionId(), 0, 2 * length
+    size = 2 * length
     for batch in batches:
-        records = []
-        for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        records, hashes, times = [], [], []
+        rows: dict[tuple, int] = Counter(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for (doc_id, text), n in rows.items():
             head = struct.pack("<q", _NO_ID if doc_id is None else doc_id)
-            raw = encode(t.as_py() or "", disallowed_special=()).astype("<u2").tobytes() + end
+            raw = encode(text or "", disallowed_special=()).astype("<u2").tobytes() + end
+            h = xxhash.xxh64_intdigest(head + (text or "").encode("utf-8", "surrogatepass"))
             for p, i in enumerate(range(0, len(raw), size)):
                 ids = raw[i : i + size]
                 records.append(head + struct.pack("<ii", p, len(ids) // 2) + ids)
-        n = len(records)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(nth, nth + n)), pa.array(records, pa.binary())], ["part", "nth", "record"])
-        nth += n
+                hashes.append((h + p * 0x9E3779B97F4A7C15) % 2**64)
+                times.append(n)
+        x = np.array(hashes, np.uint64)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        of = ((x >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array((x ^ np.uint64(1 << 63)).view(np.int64)), pa.array(np.array(times, np.int64)), pa.array(records, pa.binary())], ["part", "hash", "times", "record"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places within the range, of which a task has all rows in order."""
+    at = 0
+    for b in batches:
+        times = b.column(2).to_numpy()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at + np.cumsum(times) - times), b.column(2), b.column(3)], ["part", "nth", "times", "record"])
+        at += int(times.sum())
 
 
 def _slots(batches, starts: dict[int, int], total: int, key: int, per_shard: int, parts: int) -> Iterator[pa.RecordBatch]:
     shards = -(-total // per_shard)
     for b in batches:
-        if b.num_rows:
-            at = np.fromiter((starts[p] for p in b.column(0).to_pylist()), np.int64, b.num_rows) + b.column(1).to_numpy()
-            slots = permute(at, total, key)
+        first = np.fromiter((starts[p] for p in b.column(0).to_pylist()), np.int64, b.num_rows) + b.column(1).to_numpy()
+        times = b.column(2).to_numpy()
+        for i in range(0, int(times.sum()), BATCH_ROWS):  # a row for each of the equal ones
+            nth = np.arange(i, min(i + BATCH_ROWS, int(times.sum())))
+            row = np.searchsorted(np.cumsum(times), nth, "right")
+            slots = permute(first[row] + nth - (np.cumsum(times) - times)[row], total, key)
             shard = slots // per_shard
-            yield pa.RecordBatch.from_arrays([pa.array((shard * parts // shards).astype(np.int32)), pa.array(shard), pa.array(slots), b.column(2)], ["range", "shard", "slot", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array((shard * parts // shards).astype(np.int32)), pa.array(shard), pa.array(slots), b.column(3).take(pa.array(row))], ["range", "shard", "slot", "record"])
 
 
 def _shards(batches, stride: int, per_shard: int) -> Iterator[pa.RecordBatch]:
@@ -104,19 +128,24 @@ def _shards(batches, stride: int, per_shard: int) -> Iterator[pa.RecordBatch]:
 
 def materialise(docs: DataFrame, tokenizer: str, key: int, end_id: int = 50_256, length: int = 1024, per_shard: int = 512) -> DataFrame:
     """Writes the shards; returns their table (shard, first_slot, n, payload)."""
+    if max(byte_ids(tokenizer).max_token_value, end_id) >= 1 << 16:
+        raise ValueError("ids must fit 16 bits")
     spark = docs.sparkSession
     tables = Tables(spark, "order")
     got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stride = 16 + 2 * length
-    rows = tables.write(got.mapInArrow(lambda it: _sequences(it, tokenizer, end_id, length), "part int, nth bigint, record binary"), "sequences")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = got.mapInArrow(lambda it: _sequences(it, tokenizer, end_id, length, parts), "part int, hash bigint, times bigint, record binary")
+    dealt = made.repartitionById(parts, "part").sortWithinPartitions("part", "hash", "record")
+    rows = tables.write(dealt.mapInArrow(_numbered, "part int, nth bigint, times bigint, record binary"), "sequences")
     starts, total = {}, 0
-    for part, n in sorted(rows.groupBy("part").count().collect()):  # a row for each task of the scan
+    for part, n in sorted(rows.groupBy("part").agg(F.sum("times")).collect()):  # a row for each range
         starts[part] = total
         total += n
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * stride // (64 << 20)))
-    made = rows.mapInArrow(lambda it: _slots(it, starts, total, key, per_shard, parts), "range int, shard bigint, slot bigint, record binary")
-    dealt = made.repartitionById(parts, "range").sortWithinPartitions("slot")
-    out = tables.write(dealt.mapInArrow(lambda it: _shards(it, stride, per_shard), "shard bigint, first_slot bigint, n int, payload binary"), "shards")
+    ranges = max(parts, -(-total * stride // (64 << 20)))
+    made = rows.mapInArrow(lambda it: _slots(it, starts, total, key, per_shard, ranges), "range int, shard bigint, slot bigint, record binary")
+    dealt = made.repartitionById(ranges, "range").sortWithinPartitions("slot")
+    out = tables.write(dealt.mapInArrow(lambda it: _shards(it, stride, per_shard), "shard bigint, first_slot bigint, n int, payload binary"), "shards", product=True)
     tables.drop(rows)
     return out
 
