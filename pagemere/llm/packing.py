@@ -9,8 +9,9 @@ The runs give segments of the global order, and each row finds its place by its
 distributed pass.  Only the histogram of lengths, the number of rows of each range partition and the segments
 are on the driver; none grows with the rows.
 
-Defined results: a null text counts as empty; repeated rows are pieces of their own; lengths that are null,
-below 1 or above ``capacity`` given to ``pack`` get a null place; an empty table gives an empty result.
+Defined results: a null text counts as empty; texts of any length are cut whole; repeated rows (ties) are pieces
+of their own; lengths that are null, below 1 or above ``capacity`` given to ``pack`` get a null place; of ``docs``
+only doc_id and text are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, only
+from .common import Tables, fresh, only
 from .tokens import KEPT, word_ids
 
 
@@ -94,25 +95,23 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, np.int64) for c in zip(*made, strict=True)) if made else tuple(np.empty(0, np.int64) for _ in range(5))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows, dtype=np.int64))], [*b.schema.names, "part", "nth"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows, dtype=np.int64))], names)
         at += b.num_rows
 
 
-def _placed(batches: Iterator[pa.RecordBatch], starts: dict[int, int], plan) -> Iterator[pa.RecordBatch]:
+def _placed(batches: Iterator[pa.RecordBatch], starts: dict[int, int], plan, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, partition and number within it, give way to the place."""
     first, each, sequence, offset, length = plan.value
     for b in batches:
         if b.num_rows:
-            parts = b.column(b.schema.get_field_index("part")).to_numpy()
-            nth = b.column(b.schema.get_field_index("nth")).to_numpy()
+            parts, nth = (b.column(i).to_numpy() for i in (-2, -1))
             at = nth + np.array([starts[p] for p in np.unique(parts)], np.int64)[np.searchsorted(np.unique(parts), parts)]
             s = np.searchsorted(first, at, "right") - 1
             k = at - first[s]
-            out = [pa.array(sequence[s] + k // each[s]), pa.array(offset[s] + k % each[s] * length[s])]
-            keep = [i for i, n in enumerate(b.schema.names) if n not in ("part", "nth")]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *out], [*(b.schema.names[i] for i in keep), "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(sequence[s] + k // each[s]), pa.array(offset[s] + k % each[s] * length[s])], names)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -122,23 +121,29 @@ def _ddl(df: DataFrame) -> str:
 def pack(rows: DataFrame, capacity: int = 2048, tables: Tables | None = None, partitions: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` and, for the order of ties, ``doc_id`` and ``piece``.
 
-    ``rows`` should be narrow: every column is sorted along.  Sequence ids begin at 0.
+    ``rows`` should be narrow: every column is sorted along.  Sequence ids begin at 0.  Columns of these two names
+    give way to the places; any other column stays.
     """
+    rows = rows.drop("sequence_id", "offset")
     spark = rows.sparkSession
     tables = tables or Tables(spark, "pack")
     fits = F.coalesce(F.col("length").between(1, capacity), F.lit(False))
     good = rows.filter(fits)
     counts = dict(good.groupBy(F.col("length").cast("int")).count().collect())  # at most ``capacity`` rows
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part, nth = fresh("part", rows), fresh("nth", rows)
     order = [F.col("length").desc(), F.col("doc_id"), F.col("piece")]
-    ordered = good.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ordered = tables.write(ordered.mapInArrow(_numbered, _ddl(rows) + ", part int, nth bigint"), "ordered")
+    # equal rows may change places, so the rest of the key, which only splits them, needn't hang on the rows
+    ordered = good.repartitionByRange(n, *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    names = [*rows.columns, part, nth]
+    ordered = tables.write(ordered.mapInArrow(lambda it: _numbered(it, names), _ddl(rows) + f", `{part}` int, `{nth}` bigint"), "ordered")
     starts, total = {}, 0
-    for part, size in sorted(ordered.groupBy("part").count().collect()):  # a row for each range partition
-        starts[part] = total
+    for p, size in sorted(ordered.groupBy(part).count().collect()):  # a row for each range partition
+        starts[p] = total
         total += size
     plan = spark.sparkContext.broadcast(best_fit(counts, capacity))
-    out = ordered.mapInArrow(lambda it: _placed(it, starts, plan), _ddl(rows) + ", sequence_id bigint, offset bigint")
+    names_out = [*rows.columns, "sequence_id", "offset"]
+    out = ordered.mapInArrow(lambda it: _placed(it, starts, plan, names_out), _ddl(rows) + ", sequence_id bigint, offset bigint")
     rest = rows.filter(~fits).withColumns({"sequence_id": F.lit(None).cast("bigint"), "offset": F.lit(None).cast("bigint")})
     return out.unionByName(rest)
 
@@ -149,5 +154,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     ``words`` bounds the words a worker remembers; the ids are the same whatever it is.
     """
     tables = Tables(docs.sparkSession, "pack")
-    cut = tables.write(pieces(docs, tokenizer, capacity, end_id, words).withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    cut = tables.write(pieces(docs, tokenizer, capacity, end_id, words).withColumn("ids_crc32", F.crc32("ids")), "pieces", product=True)
     return cut, pack(cut.drop("ids"), capacity, tables)
