@@ -14,8 +14,8 @@ from .common import Tables
 
 
 def _join_low(rows: DataFrame, low: DataFrame) -> DataFrame:
-    """Joins on the node; the key is negated so that both sides are dealt anew and a hot node's rows can be split."""
-    return rows.join(low.select((-F.col("u")).alias("k"), "m"), -F.col("u") == F.col("k")).drop("k")
+    """Joins on the node; the key's bits are turned so that both sides are dealt anew and a hot node's rows can be split."""
+    return rows.join(low.select(F.bitwise_not("u").alias("k"), "m"), F.bitwise_not("u") == F.col("k")).drop("k")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """``edges(u, v)`` of longs to ``(u, v)`` where v is the smallest node reachable from u, for each u that isn't it.
 
-    Self-links and repeated edges are ignored; an empty table gives an empty result.
+    Self-links, repeated edges and edges with a null end are ignored; other columns are not read; an empty table
+    gives an empty result.
     """
     now, first = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), True
     while True:

@@ -13,13 +13,15 @@ sets pass.
 With 48 bands of 6 rows a pair at a similarity of 0.8 is missed with a probability of 5e-7.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; repeated rows and ties
-fall into one class, as do the rows of one id with several texts; a null id keeps its row, with a null class, and is kept; an empty table gives an empty
+fall into one class, as do the rows of one id with several texts (a tag of each text keeps its set and signature apart, so
+an id of many texts is not multiplied with itself); texts of any length count whole; a null id keeps its row, with a null class, and is kept; an empty table gives an empty
 result; other columns are left alone (only id and text are read).
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,7 +96,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, hashes: int, bands: int) ->
         seen: dict[bytes, tuple] = {}
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = shingle_set(text.as_py(), k)
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+            digest = _digest(s)
             if (made := seen.get(digest)) is None:
                 made = ([], b"")
                 if len(s):
@@ -116,28 +118,33 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, hashes: int, bands: int) ->
 _SETS = "id bigint, digest binary, n_shingles bigint, bands array<bigint>, sig binary"
 
 
-def _full(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _full(batches: Iterator[pa.RecordBatch], k: int, tagged: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(text.as_py(), k).tobytes() for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+        sets = [shingle_set(text.as_py(), k) for text in batch.column(1)]
+        tags = [zlib.crc32(_digest(s)) if tagged else 0 for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tag", "shingles"])
 
 
 def _pairs_out(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
     mask = pa.array(keep, pa.bool_())
-    return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+    return pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], ["u", "ut", "v", "vt"])
 
 
 def _plausible(batches: Iterator[pa.RecordBatch], hashes: int, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, hashes) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, hashes) for i in (4, 5))
             yield _pairs_out(batch, ((x == y).sum(axis=1) >= least * hashes).tolist())
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        for x, y in zip(batch.column(4), batch.column(5), strict=True):
             p, q = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
             both = np.concatenate((p, q))
             both.sort()
@@ -146,11 +153,14 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield _pairs_out(batch, keep)
 
 
+_PAIRS = "u bigint, ut bigint, v bigint, vt bigint"
+
+
 def _with(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-    """Pairs with a column of both sides; each side is a join by id that Spark can split where an id is hot."""
-    v = facts.select(F.col("id").alias("v"), F.col(column).alias("y"))
-    u = facts.select(F.col("id").alias("u"), F.col(column).alias("x"))
-    return pairs.join(v, "v").join(u, "u").select("u", "v", "x", "y")
+    """Pairs with a column of both sides; each side is a join by id and tag that Spark can split where one is hot."""
+    v = facts.select(F.col("id").alias("v"), F.col("tag").alias("vt"), F.col(column).alias("y"))
+    u = facts.select(F.col("id").alias("u"), F.col("tag").alias("ut"), F.col(column).alias("x"))
+    return pairs.join(v, ["v", "vt"]).join(u, ["u", "ut"]).select("u", "ut", "v", "vt", "x", "y")
 
 
 def _least(percent: int, kept: int) -> float:
@@ -190,20 +200,20 @@ def _forest(group: pa.Table, kept: int, percent: int) -> pa.Table:
 
 
 def _blocks(open_: DataFrame, size: int) -> DataFrame:
-    """(id, class, bucket, low, high): every two members of a bucket in different classes meet in some (bucket, low, high)."""
+    """(id, tag, class, bucket, low, high): every two members of a bucket in different classes meet in some (bucket, low, high)."""
     of_class = open_.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     of_bucket = of_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("total"))
     of_bucket = of_bucket.filter("total > m.n").select("bucket", F.col("m.class").alias("major"), F.col("m.n").alias("m"), "total")
     small_ = F.col("total") <= 2 * size
     n_major = F.when(small_, 0).otherwise(F.ceil(F.col("m") / size)).cast("int")
     n_other = F.when(small_, 1).otherwise(F.ceil((F.col("total") - F.col("m")) / size)).cast("int")
-    rows = open_.join(of_bucket, "bucket").select("id", "class", "bucket", n_major.alias("a"), n_other.alias("b"), (F.col("class") == F.col("major")).alias("is_major"))
-    mix = F.xxhash64("id")
+    rows = open_.join(of_bucket, "bucket").select("id", "tag", "class", "bucket", n_major.alias("a"), n_other.alias("b"), (F.col("class") == F.col("major")).alias("is_major"))
+    mix = F.xxhash64("id", "tag")
     own = F.when(F.col("is_major") & (F.col("a") > 0), F.pmod(mix, F.greatest("a", F.lit(1)))).otherwise(F.col("a") + F.pmod(mix, F.col("b")))
     rows = rows.withColumn("own", own.cast("int"))
     other = F.explode(F.sequence(F.when(F.col("own") < F.col("a"), F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1))
     rows = rows.withColumn("other", other)
-    return rows.select("id", "class", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return rows.select("id", "tag", "class", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hashes: int = 288, bands: int = 48, block: int = 512) -> DataFrame:
@@ -215,37 +225,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = tables.write(sets.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "groups")
 
     # one row for each different set; an id that is repeated with other words is one node with several sets
+    repeated = not sets.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
+    tag = (F.crc32("digest") if repeated else F.lit(0).cast("bigint")).alias("tag")
     reps = sets.join(groups.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
-    members = reps.select("id", F.explode("bands").alias("bucket"))
-    leaders = tables.write(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
-    live = tables.write(members.join(leaders, "bucket"), "buckets")
+    members = reps.select("id", tag, F.explode("bands").alias("bucket"))
+    leader = F.min(F.struct("id", "tag")).alias("leader")
+    leaders = tables.write(members.groupBy("bucket").agg(leader, F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
+    live = tables.write(members.join(leaders, "bucket").select("bucket", "id", "tag", F.col("leader.id").alias("leader"), F.col("leader.tag").alias("leader_tag")), "buckets")
     tables.drop(leaders)
-    wanted = live.select(F.col("id")).union(live.select(F.col("leader"))).distinct()
-    sigs = tables.write(reps.join(wanted, "id", "left_semi").select("id", "digest", "sig").dropDuplicates(["id", "digest"]).drop("digest"), "sigs")
-    repeated = not sets.groupBy("id").count().filter("count > 1").isEmpty()
+    wanted = live.select("id", "tag").union(live.select("leader", "leader_tag")).distinct()
+    sigs = reps.select("id", tag, "digest", "sig").join(wanted, ["id", "tag"], "left_semi").dropDuplicates(["id", "digest"]).drop("digest")
+    sigs = tables.write(sigs, "sigs")
     kept = min(VERIFIED, hashes)
     least = _least(percent, kept)
 
     def full(ids: DataFrame, what: str) -> DataFrame:
         texts = got.join(small(ids, 32 * ids.count()), "id", "left_semi")
-        made = texts.mapInArrow(lambda it: _full(it, k), "id bigint, shingles binary")
-        return tables.write(made.distinct() if repeated else made, what, "lz4")
+        made = texts.mapInArrow(lambda it: _full(it, k, repeated), "id bigint, tag bigint, shingles binary")
+        made = tables.write(made.distinct() if repeated else made, what, "lz4")
+        tables.drop(ids)
+        return made
 
-    pairs = live.filter("id != leader").select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
-    near = tables.write(_with(pairs, sigs, "sig").mapInArrow(lambda it: _plausible(it, kept, least), "u bigint, v bigint"), "plausible")
+    pairs = live.filter("id != leader").select(F.col("leader").alias("u"), F.col("leader_tag").alias("ut"), F.col("id").alias("v"), F.col("tag").alias("vt")).distinct()
+    near = tables.write(_with(pairs, sigs, "sig").mapInArrow(lambda it: _plausible(it, kept, least), _PAIRS), "plausible")
     sets_of = full(tables.write(near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct(), "ids"), "full")
-    links = tables.write(_with(near, sets_of, "shingles").mapInArrow(lambda it: _similar(it, percent), "u bigint, v bigint"), "links")
+    links = tables.write(_with(near, sets_of, "shingles").mapInArrow(lambda it: _similar(it, percent), _PAIRS).select("u", "v"), "links")
     tables.drop(near, sets_of)
     found = components(links, tables)
+    tables.drop(links)
 
-    rest = live.filter("id != leader").select("bucket", "id")
-    rest = tables.write(rest.join(found.withColumnRenamed("u", "id"), "id", "left").select("bucket", "id", F.coalesce("v", "id").alias("class")), "rest")
+    rest = live.filter("id != leader").select("bucket", "id", "tag")
+    rest = tables.write(rest.join(found.withColumnRenamed("u", "id"), "id", "left").select("bucket", "id", "tag", F.coalesce("v", "id").alias("class")), "rest")
+    tables.drop(live)
     blocks = tables.write(_blocks(rest, block), "blocks")
+    tables.drop(rest)
     if not blocks.isEmpty():
         sets_of = full(tables.write(blocks.select("id").distinct(), "ids"), "full")
-        rows = blocks.join(sigs, "id").join(sets_of, "id")
+        rows = blocks.join(sigs, ["id", "tag"]).join(sets_of, ["id", "tag"])
         more = rows.groupBy("bucket", "low", "high").applyInArrow(lambda t: _forest(t, kept, percent), "u bigint, v bigint")
-        found = components(found.union(tables.write(more, "more")), tables)
+        more, before = tables.write(more, "more"), found
+        found = components(before.union(more), tables)
+        tables.drop(more, before, sets_of)
+    tables.drop(blocks, sigs)
     classes = groups.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("v", "rep").alias("component"))
     out = sets.select("id", "digest", "n_shingles").join(classes, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
