@@ -546,3 +546,138 @@ def test_training_lowers_the_loss():
 
 def test_tail_crc():
     assert media.tail_crc(b"x" * 40) == zlib.crc32(b"x" * 16)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        w = list(words)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i % 7, " ".join(w)))
+    rows += [(50, "other words of one document that stands alone here"), (50, "and another text of it"), (51, "and another text of it")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=4, block=8).collect()
+    # one node an id: links of any of its texts are its links
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets.setdefault(i, []).append({tuple(w[j : j + 4]) for j in range(len(w) - 3)})
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if any(100 * len(x & y) >= 80 * len(x | y) for x in sets[i] for y in sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert len(got) == len(rows) and all(r.component_id == root[r.doc_id] for r in got)
+
+
+def test_near_duplicates_equal_brute_force_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_minhash_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    texts = {r.doc_id: re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "") for r in docs.collect()}
+    sets, of = {}, {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        sets[i] = {hash(tuple(w[j : j + 4])) for j in range(max(1, len(w) - 3))} if w else set()
+        for x in sets[i]:
+            of.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, mine in sets.items():
+        shared = {}
+        for x in mine:
+            for j in of[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(mine) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert got == {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+def test_training_order_hangs_on_key_and_rows_only(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = awkward(spark).union(awkward(spark)).union(spark.createDataFrame([(9, "again and again", None, None, None, None, None)] * 700, DOCS))
+    once = {}
+    for n in (1, 5):
+        got = order.read(order.materialise(docs.repartition(n), path, key=4, length=32, per_shard=8), length=32).collect()
+        once[n] = sorted((r.slot, str(r.doc_id), r.piece, bytes(r.ids)) for r in got)
+    assert once[1] == once[5] and [x[0] for x in once[1]] == list(range(len(once[1])))
+    other = order.read(order.materialise(docs, path, key=5, length=32, per_shard=8), length=32).collect()
+    assert sum((r.slot, str(r.doc_id), r.piece, bytes(r.ids)) in set(once[1]) for r in other) < 0.6 * len(other)
+
+
+def test_training_order_query_decodes(spark):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = order.read(order.materialise(docs, path, key=20_240_601)).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, {})[r.piece] = np.frombuffer(r.ids, "<u2").tolist()
+    t: tiktoken.Encoding = tokens.byte_ids(path)
+    for r in docs.collect():
+        ids = [x for p in sorted(of[r.doc_id]) for x in of[r.doc_id][p]]
+        assert ids[-1] == 50_256 and t.decode(ids[:-1]) == (r.text or "")
+    q = {(r.doc_id, r.piece): r for r in queries.op10_training_order(spark, SF).collect()}
+    assert len(q) == len(got) and all(q[r.doc_id, r.piece].slot == r.slot and q[r.doc_id, r.piece].ids_crc32 == zlib.crc32(r.ids) for r in got)
+
+
+def test_packing_query_contract(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    got = {}
+    for r in queries.op5_best_fit_packing(spark, SF).collect():
+        got.setdefault(r.doc_id, {})[r.piece] = r
+    lengths, placed = [], {}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = [*t.encode(d.text or "", add_special_tokens=False).ids, 0]
+        for p, at in enumerate(range(0, len(ids), 2048)):
+            r, part = got[d.doc_id].pop(p), ids[at : at + 2048]
+            assert (r.start, r.length, r.ids_crc32) == (at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+            lengths.append(len(part))
+            placed.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert not any(got.values())
+    for s in placed.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:i]) for i in range(len(s))] and sum(n for _, n in s) <= 2048
+    assert len(placed) == sequential_best_fit(lengths, 2048)
+
+
+def test_packing_keeps_clashing_columns_and_splits_equal_rows(spark):
+    rows = spark.createDataFrame([(None, None, 3, "p", i, "s") for i in range(4000)], "doc_id bigint, piece int, length bigint, part string, nth int, sequence_id string")
+    got = packing.pack(rows, 9, partitions=8)
+    assert sorted(r.nth for r in got.collect()) == list(range(4000)) and got.filter("part = 'p'").count() == 4000
+    assert got.select("sequence_id").distinct().count() == 1334
+
+
+def test_media_query_contract(spark):
+    import hashlib
+
+    got = {r.doc_id: r for r in queries.op6_media_columns(spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        raw = (d.text or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        r = got[d.doc_id]
+        wav = media.encode(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pagemere.llm import common
+
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *_: None), master="spark://x:7077", applicationId="x")
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(sparkContext=sc))
