@@ -110,54 +110,56 @@ class Lexicon:
         self.stem_sizes = tuple(sorted({len(s) for s in self.stems}))
         self.ordinary = frozenset(ordinary)
         self.trie: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
-        self.short: set[str] = set()  # what a word near a term of four letters begins with, begins and ends with, or is
-        thirds = set()
-        self.longest = 0
+        self.cut: set[str] = set()  # terms, and terms without one letter
+        self.thirds: dict[int, dict[str, list[tuple[int, int]]]] = {}  # by size: place in the term and its length
         for w in self.words:
             n = len(w)
             if n < 4:
                 continue
-            self.longest = max(self.longest, n)
             node = self.trie
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-            if n == 4:
-                self.short |= {w[:2], w[0] + "-" + w[2:], w[0] + w[2] + w[1] + w[3]}
-            elif n < 9:  # one edit, a swap too, leaves one end in its place
-                h = (n - 1) // 2
-                self.heads.setdefault(h, set()).add(w[:h])
-                self.tails.setdefault(h, set()).add(w[-h:])
-            else:
-                thirds |= {w[: n // 3], w[n // 3 : 2 * n // 3], w[2 * n // 3 :]}
-        self.thirds = re.compile("|".join(map(re.escape, sorted(thirds)))) if thirds else None
+            self.cut.add(w)
+            self.cut.update(w[:i] + w[i + 1 :] for i in range(n))
+            if n >= 9:
+                for a, b in ((0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)):
+                    self.thirds.setdefault(b - a, {}).setdefault(w[a:b], []).append((a, n))
+        self.longest = max((len(w) for w in self.words), default=0)
         self.kept: dict[str, int] = {}
 
     def near(self, word: str) -> bool:
         """Whether a term lies within its number of edits."""
-        if not 4 <= len(word) <= self.longest + 2 or not self._maybe(word):
+        if not 4 <= len(word) <= self.longest + 2:
             return False
-        found = Automaton(word, 1 if len(word) < 7 else 2, swaps=True)
+        edits = 2 if self._third(word) else 1 if self._one_cut(word) else 0
+        if not edits:
+            return False
+        found = Automaton(word, edits, swaps=True)
         todo = [(self.trie, found.start())]
         while todo:
             node, state = todo.pop()
-            if (term := node.get("")) and found.distance(state) <= (1 if len(term) < 9 else 2) and (len(term) > 4 or len(word) >= 4 and word[0] == term[0]):
+            if (term := node.get("")) and found.distance(state) <= (1 if len(term) < 9 else 2) and (len(term) > 4 or word[0] == term[0]):
                 return True
             for c, child in node.items():
                 if c and (after := found.step(state, c)):
                     todo.append((child, after))
         return False
 
-    def _maybe(self, w: str) -> bool:
-        """Whether the word has what an edited term keeps."""
-        for h, heads in self.heads.items():
-            if w[:h] in heads or w[-h:] in self.tails[h]:
-                return True
-        if len(w) <= 5 and self.short and not self.short.isdisjoint((w[:2], w[0] + "-" + w[-2:], w)):
-            return True
-        return len(w) >= 7 and self.thirds is not None and self.thirds.search(w) is not None
+    def _one_cut(self, w: str) -> bool:
+        """Words one edit apart are equal once each lacks a letter or none."""
+        cut = self.cut
+        return w in cut or any(w[:i] + w[i + 1 :] in cut for i in range(len(w)))
+
+    def _third(self, w: str) -> bool:
+        """Whether a third of a long term stands in the word, moved by no more than two letters, as two edits leave it."""
+        n = len(w)
+        if n >= 7:
+            for size, of in self.thirds.items():
+                for i in range(n - size + 1):
+                    if (spots := of.get(w[i : i + size])) and any(abs(i - at) <= 2 and abs(n - m) <= 2 for at, m in spots):
+                        return True
+        return False
 
     def _known(self, w: str) -> bool:
         return w in self.words or any(w[:n] in self.stems for n in self.stem_sizes if len(w) > n)
