@@ -229,9 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tag = (F.crc32("digest") if repeated else F.lit(0).cast("bigint")).alias("tag")
     reps = sets.join(groups.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
     members = reps.select("id", tag, F.explode("bands").alias("bucket"))
-    leader = F.min(F.struct("id", "tag")).alias("leader")
-    leaders = tables.write(members.groupBy("bucket").agg(leader, F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
-    live = tables.write(members.join(leaders, "bucket").select("bucket", "id", "tag", F.col("leader.id").alias("leader"), F.col("leader.tag").alias("leader_tag")), "buckets")
+    leaders = tables.write(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"), "leaders")
+    live = members.join(leaders, "bucket")
+    if repeated:  # of a leader's texts in the bucket one stands for it
+        own = live.filter("id = leader").groupBy("bucket").agg(F.min("tag").alias("leader_tag"))
+        live = live.join(own, "bucket")
+    else:
+        live = live.withColumn("leader_tag", F.lit(0).cast("bigint"))
+    live = tables.write(live.select("bucket", "id", "tag", "leader", "leader_tag"), "buckets")
     tables.drop(leaders)
     wanted = live.select("id", "tag").union(live.select("leader", "leader_tag")).distinct()
     sigs = reps.select("id", tag, "digest", "sig").join(wanted, ["id", "tag"], "left_semi").dropDuplicates(["id", "digest"]).drop("digest")
