@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemere.functions.text import folded, normalize
-from pagemere.operators import matcher, similar, studyaid
+from pagemere.operators import matcher, rules, similar, studyaid
 
 # Most works, notes and pages a tool lists; shortest quotation.
 MAX_WORKS, MAX_NOTES, MAX_PAGES, MIN_QUOTE = 25, 50, 10, 25
@@ -34,19 +34,19 @@ def page_label(page: Column) -> Column:
     return F.concat(page.cast("string"), F.when(unverified(), "*").otherwise(""))
 
 
+_SETTLED = ("offset_checked", "offset_problem", "accepted", "basis")
+
+
 def numbering() -> Column:
-    settled = F.when(F.col("basis") == "hand_set", "accepted (hand set)").otherwise("accepted (no printed numbers)")
-    problem = F.coalesce("offset_problem", F.lit("")) != ""
-    return F.when(problem & F.col("accepted"), settled).when(problem, F.concat(F.lit("problem: "), F.col("offset_problem"))).when(F.col("offset_checked"), "checked").otherwise("unchecked")
+    return rules.numbering(*map(F.col, _SETTLED))
 
 
 def page_numbers() -> Column:
-    loose = F.when(F.col("accepted"), "unverified: the file's own page, not the edition's").otherwise("unverified: numbering unsettled")
-    return F.when(unverified(), loose).when(F.col("basis") == "hand_set", "hand set").when(F.col("offset_checked"), "verified").otherwise("unchecked")
+    return rules.page_numbers(*map(F.col, _SETTLED))
 
 
 def not_citable_because() -> Column:
-    return F.when(F.col("offset_problem").isNotNull() & ~F.col("accepted"), F.col("offset_problem")).when(~F.col("offset_checked") & ~F.col("accepted"), "not checked")
+    return rules.not_citable_because(*map(F.col, _SETTLED[:3]))
 
 
 def page_status() -> Column:

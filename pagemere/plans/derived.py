@@ -298,16 +298,6 @@ def x3_word_search(spark, sf_dir):
     return word_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "the")
 
 
-def capped_scan(chunks, limit=3000):
-    """English chunks in page order, at most ``limit``, the feature's own cap; capped if it is reached."""
-    capped = F.count("*").over(Window.partitionBy(F.lit(0))) >= limit
-    return chunks.filter("lang = 'en'").select("chunk_id", "start_page", capped.alias("capped")).orderBy("start_page", "chunk_id").limit(limit)
-
-
-def t2_capped_scan(spark, sf_dir):
-    return capped_scan(_rel(spark, sf_dir, "chunk"))
-
-
 def d3_judged(spark, sf_dir):
     c = _claims(spark, sf_dir).select("work_id", "claim_id")
     v = sql(spark, sf_dir, "SELECT concat('src', CAST(n AS VARCHAR(9))) AS work_id, id AS claim_id, CASE WHEN turn = 1 THEN 'unsupported' WHEN turn = 2 THEN 'partial' ELSE 'supported' END AS verdict, CASE WHEN n > 10 THEN 'no' ELSE '' END AS reason FROM note WHERE turn > 0")
@@ -431,7 +421,7 @@ QUERIES = {
         x11_blocks, x12_clean_page, x13_masked, x15_boilerplate, x16_stripped, x17_folios, x18_chapters, x19_glyphs, x20_damage, x21_citability, x22_triage, x23_viability,
         x36_heads_on_pages, l6_edge_folios, v8_motif_rows, v10_marks, v9_axis_map, v11_labels, v11_title_lines, fmt6_slug, fmt11_excerpt, fmt12_html_lang, e1_item_files,
         e3_split_entries, e8_isbn_pick, e10_inventory, e11_placements, x25_repaired_names, x33_surname, x34_tokens, j24_name_matches, x28_study_aids, x29_references, x30_units,
-        x31_unfound, x32_claim_groups, a22_common_words, d2_verified, t2_capped_scan, x3_word_search, d3_judged, d5_load_claims, d6_claim_body, snk8_patch, snk10_note_with_anchors, snk14_manifest,
+        x31_unfound, x32_claim_groups, a22_common_words, d2_verified, x3_word_search, d3_judged, d5_load_claims, d6_claim_body, snk8_patch, snk10_note_with_anchors, snk14_manifest,
         snk15_document_payload, tl1_find_works, tl2_list_projects, tl3_list_gaps, tl4_search, tl5_read_pages, tl6_find_quotation, tl7_study_aid, tl8_list_claims, tl9_list_notes,
         r14_anchors, r18_workbench, r19_preview,
     )
@@ -465,7 +455,7 @@ ORACLE = {
     "j24_name_matches": "SELECT DISTINCT t.p_type AS work, f.name FROM (SELECT DISTINCT p_type FROM {part}) t JOIN (SELECT concat(p_name, ' ', lower(p_type), ' -- ', min(p_brand), ' -- x.pdf') AS name FROM {part} GROUP BY p_name, p_type) f ON contains(lower(f.name), lower(t.p_type))",
     "x29_references": "WITH c AS (SELECT o_custkey AS w, o_orderkey AS k, count(*) AS n FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY 1, 2), j AS (SELECT o.o_custkey AS work_id, o.o_orderkey AS entry, a.n AS n, b.n AS m FROM {orders} o LEFT JOIN c a ON a.w = o.o_custkey AND a.k = o.o_orderkey LEFT JOIN c b ON b.w = o.o_custkey AND b.k = o.o_orderkey + 1) SELECT work_id, entry, nullif(CASE WHEN n IS NULL THEN 0 ELSE 1 END + CASE WHEN m IS NULL THEN 0 ELSE 1 END, 0)::INT AS n_cited, CASE WHEN n >= 5 THEN 2 WHEN n >= 1 THEN 1 END AS n_quotes, CASE WHEN n IS NULL AND m IS NULL THEN 'no verified claim' WHEN n IS NULL THEN 'no valid quotation reference' END AS reason FROM j",
     "x32_claim_groups": "WITH a AS (SELECT concat('src', n) AS work_id, id, kind AS unit, CASE WHEN lag(kind) OVER (PARTITION BY n ORDER BY id) = kind THEN 0 ELSE 1 END AS new FROM note), b AS (SELECT *, sum(new) OVER (PARTITION BY work_id ORDER BY id) AS g FROM a) SELECT work_id, g::INT AS \"group\", unit, string_agg(id::VARCHAR, ',' ORDER BY id) AS claims FROM b GROUP BY 1, 2, 3",
-    "d2_verified": "SELECT work_id, note_id AS claim_id, CASE WHEN ok THEN 1 ELSE 0 END AS n_found, CASE WHEN ok THEN 0 ELSE 1 END AS n_lost, CASE WHEN NOT ok THEN 'no quotation found in the book' END AS reason FROM (SELECT work_id, note_id, coalesce(quote <> '' AND printed_page >= 1, false) AS ok FROM anchor)",
+    "x3_word_search": "SELECT doc_id, hits FROM (SELECT doc_id, len(regexp_extract_all(lower(strip_accents(text)), '(?:^|[^\\pL\\pN_])the'))::INT AS hits FROM {documents}) x WHERE hits > 0",
     "d3_judged": "SELECT concat('src', n) AS work_id, id AS claim_id, floor((row_number() OVER (PARTITION BY n ORDER BY id) - 1) / 20)::BIGINT AS batch, CASE WHEN turn = 0 THEN 'unchecked' WHEN turn = 1 THEN 'unsupported' WHEN turn = 2 THEN 'partial' ELSE 'supported' END AS verdict, CASE WHEN turn = 0 THEN 'check returned no verdict' WHEN turn = 1 AND n > 10 THEN 'check: no' WHEN turn = 1 THEN 'check: quotations do not support it' END AS reason FROM note",
     "d5_load_claims": "WITH f AS (SELECT n + 100000000 AS id, id AS work_id FROM work WHERE path IS NOT NULL) SELECT id, concat('src', n) AS work_id, reviewed, rejected FROM note WHERE reviewed OR rejected OR concat('src', n) NOT IN (SELECT work_id FROM f) UNION ALL SELECT id, work_id, false, false FROM f",
     "d6_claim_body": "SELECT id AS claim_id, md5(concat(trim(body), CASE WHEN turn % 2 = 0 AND trim(origin) <> '' THEN concat(chr(10), chr(10), 'Ejemplo: ', trim(origin)) ELSE '' END)) AS digest, CASE WHEN turn % 2 = 0 AND origin IS NOT NULL THEN 'dossier' ELSE 'dossier,respaldo-parcial' END AS tags FROM note",

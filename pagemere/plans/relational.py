@@ -14,10 +14,7 @@ SQL = {
     "f6_unattributed": "SELECT id, kind FROM note WHERE attribution IS NULL AND NOT rejected AND kind IN ('claim', 'ficha', 'synthesis', 'question')",
     "f7_claims_by_first_page": "SELECT c.id, a.first_page FROM note c LEFT JOIN (SELECT note_id, min(printed_page) AS first_page FROM anchor GROUP BY note_id) a ON a.note_id = c.id WHERE c.kind = 'claim' AND c.tag = 'dossier' AND NOT c.rejected AND c.reviewed ORDER BY a.first_page NULLS LAST, c.id",
     "f8_substring_notes": "SELECT id FROM note WHERE lower(body) LIKE '%ther%' UNION SELECT note_id FROM anchor WHERE lower(quote) LIKE '%ther%'",
-    "f9_find_works": "SELECT id, title, count(*) OVER () AS found FROM work WHERE lower(title) LIKE '%src1%' ORDER BY id LIMIT 25",
-    "f10_catalogue_filters": "SELECT w.id, w.priority FROM work w LEFT JOIN work c ON c.id = w.container_id WHERE lower(concat(coalesce(w.author, ''), ' ', w.title, ' ', coalesce(c.title, ''), ' ', w.id)) LIKE '%author%' AND w.priority >= 3",
     "f11_workbench_filters": "SELECT id FROM work WHERE priority >= 4 AND path IS NOT NULL AND (lower(title) LIKE '%src%' OR id LIKE '%src%')",
-    "f12_catalogue_page": "SELECT id, path IS NULL AS source_missing, container_id IS NOT NULL AS contained FROM work",
     "f13_untagged": "SELECT id FROM note WHERE tag IS NULL",
     "f15_unverified_works": "SELECT id FROM work WHERE offset_problem IS NOT NULL AND basis IS DISTINCT FROM 'hand_set'",
     "f16_internal_notes": "SELECT id, internal_notes FROM work WHERE nullif(trim(internal_notes), '') IS NOT NULL",
@@ -53,7 +50,7 @@ SQL = {
     "a5_edge_grade": "SELECT p.parent_id AS axis_id, nw.work_id, bool_or(nw.role = 'ficha') AS strong FROM note p JOIN note_work nw ON nw.note_id = p.id WHERE p.parent_id IS NOT NULL GROUP BY p.parent_id, nw.work_id",
     "a6_tri_state": "SELECT w.id, CASE WHEN count(n.id) = 0 THEN NULL WHEN bool_and(n.reviewed) THEN 'reviewed' ELSE 'draft' END AS state FROM work w LEFT JOIN note_work nw ON nw.work_id = w.id AND nw.role = 'ficha' LEFT JOIN note n ON n.id = nw.note_id GROUP BY w.id",
     "a7_page_bounds": "SELECT work_id, min(printed_page) AS first_page, max(printed_page) AS last_page, count(*) AS pages FROM printed GROUP BY work_id",
-    "a8_neighbouring_pages": "SELECT work_id, max(CASE WHEN printed_page < 12 THEN printed_page END) AS before, min(CASE WHEN printed_page > 12 THEN printed_page END) AS after FROM printed GROUP BY work_id",
+    "a8_neighbouring_pages": "SELECT work_id, printed_page, lag(printed_page) OVER (PARTITION BY work_id ORDER BY printed_page) AS before, lead(printed_page) OVER (PARTITION BY work_id ORDER BY printed_page) AS after FROM (SELECT DISTINCT work_id, printed_page FROM printed) x",
     "a9_offset_looks_wrong": "SELECT work_id, count(folio) AS folios, count(CASE WHEN folio <> printed_page THEN 1 END) AS differing, count(folio) >= 20 AND count(CASE WHEN folio <> printed_page THEN 1 END) > 0.2 * count(folio) AS wrong FROM printed GROUP BY work_id",
     "a12_offset_runs": "SELECT work_id, folio - page_index AS implied, min(page_index) AS first_page, max(page_index) AS last_page, count(*) AS n FROM page WHERE folio IS NOT NULL GROUP BY work_id, folio - page_index HAVING count(*) > 5",
     "a13_islands": """WITH m AS (SELECT work_id, page_index, folio - page_index AS implied, CASE WHEN lag(folio - page_index) OVER (PARTITION BY work_id ORDER BY page_index) = folio - page_index THEN 0 ELSE 1 END AS new FROM page WHERE folio IS NOT NULL),
@@ -68,64 +65,48 @@ SQL = {
     "a24_axis_counts": "SELECT a.id, coalesce(f.n, 0) AS fichas, coalesce(w.n, 0) AS works FROM note a LEFT JOIN (SELECT parent_id, count(*) AS n FROM note WHERE kind = 'ficha' AND NOT rejected GROUP BY parent_id) f ON f.parent_id = a.id LEFT JOIN (SELECT p.parent_id, count(DISTINCT nw.work_id) AS n FROM note p JOIN note_work nw ON nw.note_id = p.id GROUP BY p.parent_id) w ON w.parent_id = a.id WHERE a.kind = 'axis'",
     "a25_project_counts": "SELECT p.id, coalesce(w.n, 0) AS works, coalesce(k.n, 0) AS notes FROM project p LEFT JOIN (SELECT project_id, count(*) AS n FROM project_work GROUP BY project_id) w ON w.project_id = p.id LEFT JOIN (SELECT project_id, count(*) AS n FROM project_note GROUP BY project_id) k ON k.project_id = p.id",
     "a27_folio_evidence": "SELECT p.work_id, count(*) AS pages, count(p.folio) AS with_folio FROM page p JOIN work w ON w.id = p.work_id WHERE w.offset_problem IS NOT NULL GROUP BY p.work_id",
-    "t2_capped_scan": "SELECT chunk_id, start_page, count(*) OVER () > 300 AS capped FROM chunk WHERE lang = 'en' ORDER BY start_page, chunk_id LIMIT 300",
     "t3_duplicate_choice": "SELECT work_id, printed_page, page_index FROM (SELECT work_id, printed_page, page_index, row_number() OVER (PARTITION BY work_id, printed_page ORDER BY CASE WHEN folio = printed_page THEN 0 WHEN folio IS NULL THEN 2 ELSE 1 END, page_index DESC) AS r FROM printed) x WHERE r = 1",
     "t5_keyset_page": "SELECT id, row_number() OVER (ORDER BY id DESC) <= 50 AS shown FROM (SELECT id FROM note WHERE id < 5000 ORDER BY id DESC LIMIT 51) x",
-    "t6_printed_order": "SELECT row_number() OVER (ORDER BY l.sort, s.sort NULLS LAST, i.ordinal NULLS LAST, coalesce(w.author, w.title), w.id) AS nth, w.id FROM list_item i JOIN list l ON l.id = i.list_id LEFT JOIN list_section s ON s.id = i.section_id JOIN work w ON w.id = i.work_id",
+    "t6_printed_order": "SELECT i.list_id, row_number() OVER (PARTITION BY i.list_id ORDER BY s.sort NULLS LAST, i.ordinal NULLS LAST, coalesce(w.author, w.title), w.id) AS nth, w.id FROM list_item i JOIN list l ON l.id = i.list_id LEFT JOIN list_section s ON s.id = i.section_id JOIN work w ON w.id = i.work_id",
     "t9_top_per_group": "SELECT work_id, chunk_id, r FROM (SELECT work_id, chunk_id, row_number() OVER (PARTITION BY work_id ORDER BY start_page DESC, chunk_id) AS r FROM chunk) x WHERE r <= 5",
     "t10_next_ordinal": "SELECT parent_id, coalesce(max(turn), 0) + 1 AS next_ordinal FROM note WHERE parent_id IS NOT NULL GROUP BY parent_id",
     "t11_work_queue": "SELECT w.id FROM work w WHERE w.path IS NOT NULL AND NOT w.offset_checked AND EXISTS (SELECT 1 FROM page p WHERE p.work_id = w.id) ORDER BY w.n LIMIT 5",
-    "t12_rating_sort": "SELECT id, row_number() OVER (ORDER BY coalesce(priority, -1) DESC, n) AS nth FROM work",
+    "t12_rating_sort": "SELECT id, coalesce(priority, -1) AS stars, row_number() OVER (PARTITION BY coalesce(priority, -1) ORDER BY n) AS nth FROM work",
     "u1_union_edges": "SELECT note_id, work_id FROM touch",
     "u2_union_all_padding": "SELECT note_id, work_id, quote FROM anchor UNION ALL SELECT note_id, work_id, CAST(NULL AS VARCHAR(99)) FROM note_work",
     "u4_set_difference": "SELECT id FROM work EXCEPT SELECT work_id FROM note_work",
     "c1_file_state": "SELECT w.id, CASE WHEN w.path IS NULL THEN 'no_pdf' WHEN p.work_id IS NULL THEN 'held' WHEN w.offset_problem IS NOT NULL AND NOT w.accepted THEN 'blocked' WHEN c.work_id IS NOT NULL THEN 'searchable' ELSE 'loaded' END AS state FROM work w LEFT JOIN (SELECT DISTINCT work_id FROM page) p ON p.work_id = w.id LEFT JOIN (SELECT DISTINCT work_id FROM chunk WHERE embedded) c ON c.work_id = w.id WHERE w.container_id IS NULL",
-    "c2_citable_reason": "SELECT id, CASE WHEN offset_problem IS NOT NULL AND NOT accepted THEN offset_problem WHEN NOT offset_checked THEN 'not checked' END AS reason FROM work",
-    "c3_numbering_label": "SELECT id, CASE WHEN basis = 'hand_set' THEN 'hand set' WHEN basis = 'none_printed' THEN 'none printed' WHEN offset_problem IS NOT NULL THEN 'problem' WHEN offset_checked THEN 'checked' ELSE 'unchecked' END AS numbering FROM work",
     "c4_page_verified": "SELECT p.work_id, p.printed_page, CASE WHEN w.offset_problem IS NOT NULL AND w.basis IS DISTINCT FROM 'hand_set' THEN 'no' WHEN w.basis = 'hand_set' THEN 'hand set' ELSE 'yes' END AS verified, concat(CAST(p.printed_page AS VARCHAR(9)), CASE WHEN w.offset_problem IS NOT NULL AND w.basis IS DISTINCT FROM 'hand_set' THEN '*' ELSE '' END) AS label FROM printed p JOIN work w ON w.id = p.work_id",
     "c5_page_status": "SELECT work_id, page_index, CASE WHEN printed_page < 1 THEN 'front matter' WHEN folio IS NULL THEN 'computed' WHEN folio = printed_page THEN 'printed' ELSE 'warning' END AS status FROM printed",
-    "c6_list_code": "SELECT i.work_id, concat(l.name, CASE WHEN s.kind = 'supplementary' THEN '.Supl' WHEN s.letter IS NOT NULL THEN concat('.', s.letter) ELSE '' END, CASE WHEN i.ordinal IS NOT NULL THEN concat('.', CAST(i.ordinal AS VARCHAR(9))) ELSE '' END) AS code FROM list_item i JOIN list l ON l.id = i.list_id LEFT JOIN list_section s ON s.id = i.section_id",
-    "c7_stage_readiness": "SELECT w.id, w.path IS NOT NULL AS can_extract, p.work_id IS NOT NULL AND NOT w.offset_checked AS can_judge, w.offset_checked AND (w.offset_problem IS NULL OR w.accepted) AS can_chunk FROM work w LEFT JOIN (SELECT DISTINCT work_id FROM page) p ON p.work_id = w.id",
-    "c8_missing_fields": "SELECT w.id, concat(CASE WHEN w.author IS NULL THEN 'author ' ELSE '' END, CASE WHEN w.kind <> 'film' AND coalesce(c.publisher, w.publisher) IS NULL THEN 'publisher ' ELSE '' END, CASE WHEN coalesce(c.year, w.year) IS NULL THEN 'year ' ELSE '' END, CASE WHEN w.url IS NOT NULL AND w.accessed IS NULL THEN 'accessed ' ELSE '' END) AS missing FROM work w LEFT JOIN work c ON c.id = w.container_id",
     "c10_analysis_state": "SELECT w.id, count(CASE WHEN n.reviewed THEN 1 END) AS accepted, count(CASE WHEN NOT n.reviewed AND NOT n.rejected THEN 1 END) AS pending, count(CASE WHEN n.rejected THEN 1 END) AS rejected FROM work w LEFT JOIN anchor a ON a.work_id = w.id LEFT JOIN note n ON n.id = a.note_id AND n.kind = 'claim' GROUP BY w.id",
     "c11_provenance": "SELECT id, CASE WHEN attribution = 'author' THEN 'the author' WHEN attribution = 'own' THEN 'mine' WHEN attribution = 'other' THEN 'another' ELSE 'not stated' END AS whose, CASE WHEN reviewed THEN 'reviewed' ELSE 'proposed' END AS provenance FROM note",
-    "c12_health_level": "SELECT work_id, CASE WHEN share >= 0.85 THEN 'fail' WHEN share >= 0.7 THEN 'warn' ELSE 'ok' END AS level FROM (SELECT work_id, count(folio) * 1.0 / count(*) AS share FROM page GROUP BY work_id) x",
     "snk2_section_load": "SELECT work_id, ordinal, first_page, coalesce(lead(first_page) OVER (PARTITION BY work_id ORDER BY ordinal) - 1, last_page) AS last_page FROM section WHERE first_page >= 1",
     "snk3_chunk_load": "SELECT chunk_id, work_id, CASE WHEN start_page < 1 THEN 'front' END AS section_type FROM chunk",
     "snk4_pending_embeddings": "SELECT chunk_id FROM chunk WHERE NOT embedded ORDER BY chunk_id",
     "snk7_fill_blank_only": "SELECT w.id, coalesce(nullif(w.publisher, ''), c.publisher) AS publisher, coalesce(w.year, c.year) AS year FROM work w LEFT JOIN work c ON c.id = w.container_id",
-    "snk12_works_export": "SELECT w.id, w.title, c.title AS container, l.lists FROM work w LEFT JOIN work c ON c.id = w.container_id LEFT JOIN (SELECT work_id, count(*) AS lists FROM list_item GROUP BY work_id) l ON l.work_id = w.id",
-    "snk13_notes_export": "SELECT n.id, coalesce(r.work_id, '') AS work_id, r.via FROM note n LEFT JOIN (SELECT note_id, work_id, 'passage' AS via FROM anchor UNION ALL SELECT note_id, work_id, 'argument' FROM note_work) r ON r.note_id = n.id",
     "r2_volume_contents": "SELECT container_id, id, row_number() OVER (PARTITION BY container_id ORDER BY first_page NULLS LAST, id) AS nth FROM work WHERE container_id IS NOT NULL",
     "r4_memberships": "SELECT i.work_id, l.name, s.letter FROM list_item i JOIN list l ON l.id = i.list_id LEFT JOIN list_section s ON s.id = i.section_id",
-    "r7_failing_citation": "SELECT w.id FROM work w LEFT JOIN work c ON c.id = w.container_id WHERE w.author IS NULL OR coalesce(c.year, w.year) IS NULL OR (w.kind <> 'film' AND coalesce(c.publisher, w.publisher) IS NULL) OR (w.url IS NOT NULL AND w.accessed IS NULL)",
     "r8_notes_for_work": "SELECT n.id, t.work_id FROM note n JOIN touch t ON t.note_id = n.id WHERE NOT n.rejected AND NOT (coalesce(n.tag, '') = 'dossier' AND NOT n.reviewed)",
     "r10_axis_tree": "SELECT a.id AS axis_id, count(CASE WHEN p.kind = 'ficha' THEN 1 END) AS fichas, count(CASE WHEN p.kind = 'synthesis' THEN 1 END) AS syntheses FROM note a LEFT JOIN note p ON p.parent_id = a.id WHERE a.kind = 'axis' GROUP BY a.id",
     "r12_works_in_no_axis": "SELECT w.id FROM work w WHERE NOT EXISTS (SELECT 1 FROM note p JOIN note_work nw ON nw.note_id = p.id WHERE p.parent_id IS NOT NULL AND nw.work_id = w.id)",
     "r15_readiness": "SELECT v.id, count(DISTINCT n.id) AS notes, max(CASE WHEN a.quote <> '' THEN 1 ELSE 0 END) = 1 AS quoted FROM (SELECT id, id AS member FROM work UNION SELECT container_id, id FROM work WHERE container_id IS NOT NULL) v LEFT JOIN touch t ON t.work_id = v.member LEFT JOIN reviewed_note n ON n.id = t.note_id LEFT JOIN anchor a ON a.note_id = n.id AND a.work_id = v.member GROUP BY v.id",
     "r16_list_pivot": "SELECT i.list_id, coalesce(CAST(i.section_id AS VARCHAR(9)), 'loose') AS section, count(*) AS works FROM list_item i GROUP BY i.list_id, i.section_id",
     "r21_sections": "SELECT work_id, ordinal, level, first_page, last_page FROM section ORDER BY work_id, ordinal",
-    "r23_catalogue_counts": "SELECT count(CASE WHEN path IS NULL THEN 1 END) AS missing, count(CASE WHEN offset_checked AND (offset_problem IS NULL OR accepted) THEN 1 END) AS citable, count(CASE WHEN path IS NOT NULL AND NOT (offset_checked AND (offset_problem IS NULL OR accepted)) THEN 1 END) AS held_not_citable FROM work",
     "w10_cascade_delete": "SELECT a.note_id, a.ordinal FROM anchor a WHERE NOT EXISTS (SELECT 1 FROM note n WHERE n.id = a.note_id AND n.rejected)",
-    "e9_conflicts": "SELECT c_nationkey, count(DISTINCT c_mktsegment) AS segments FROM {customer} GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) > 1",
-    "d3_verdict_batches": "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 20.0) AS BIGINT) AS batch FROM note WHERE kind = 'claim'",
+    "d3_verdict_batches": "SELECT id, n, CAST(floor((row_number() OVER (PARTITION BY n ORDER BY id) - 1) / 20.0) AS BIGINT) AS batch FROM note WHERE kind = 'claim'",
     "h1_order_revenue": "SELECT o.o_orderpriority AS priority, count(DISTINCT o.o_orderkey) AS orders, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderpriority",
     "h2_customers_without_orders": "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
     "h3_latest_order": "SELECT c_custkey, o_orderkey FROM (SELECT c.c_custkey, o.o_orderkey, row_number() OVER (PARTITION BY c.c_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey) AS r FROM {customer} c JOIN {orders} o ON o.o_custkey = c.c_custkey) x WHERE r = 1",
     "a16_events_per_local_day": "SELECT CAST(to_date(from_utc_timestamp(CAST(ts AS TIMESTAMP), 'America/Denver')) AS STRING) AS day, count(*) AS n FROM {events} GROUP BY 1",
     "a11_mode_language": "SELECT work_id, mode(lang, true) AS lang FROM chunk GROUP BY work_id",
     "a19_median_chars": "SELECT source, CAST(median(n_chars) AS DOUBLE) AS chars FROM {documents} GROUP BY source",
-    "fmt9_year": "SELECT doc_id, element_at(regexp_extract_all(concat(text, ' 1987'), '\\\\b(1[5-9][0-9][0-9]|20[0-2][0-9])\\\\b', 1), -1) AS year FROM {documents}",
     "fmt10_tags": "SELECT conv_id, turn, array_join(array_distinct(transform(split(concat('Owl, night,', lower(role), ', owl'), ','), x -> lower(trim(x)))), ';') AS tags FROM {conversations}",
-    "x3_word_search": "SELECT doc_id, regexp_count(lower(text), '(?<![a-z0-9_])the') AS hits FROM {documents} WHERE lang = 'en' AND regexp_count(lower(text), '(?<![a-z0-9_])the') > 0",
     "fmt8_percent": "SELECT n_chars, concat('close (', CAST(CAST(bround((n_chars % 400) * 100.0 / 400, 0) AS INT) AS STRING), '%)') AS label FROM {documents}",
 }
 
 OTHER = {
     "a16_events_per_local_day": "SELECT CAST(CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Denver' AS DATE) AS VARCHAR) AS day, count(*) AS n FROM {events} GROUP BY 1",
     "a11_mode_language": "SELECT work_id, mode() WITHIN GROUP (ORDER BY lang) AS lang FROM chunk GROUP BY work_id",
-    "fmt9_year": "SELECT doc_id, regexp_extract_all(concat(text, ' 1987'), '\\b(1[5-9][0-9][0-9]|20[0-2][0-9])\\b', 1)[-1] AS year FROM {documents}",
     "fmt10_tags": "SELECT conv_id, turn, CASE WHEN lower(role) IN ('owl', 'night') THEN 'owl;night' ELSE concat('owl;night;', lower(role)) END AS tags FROM {conversations}",
-    "x3_word_search": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '(?:^|[^a-z0-9_])the')) AS INT) AS hits FROM {documents} WHERE lang = 'en' AND len(regexp_extract_all(lower(text), '(?:^|[^a-z0-9_])the')) > 0",
     "fmt8_percent": "SELECT n_chars, concat('close (', CAST(CAST(round_even((n_chars % 400) * 100.0 / 400, 0) AS INT) AS VARCHAR), '%)') AS label FROM {documents}",
 }

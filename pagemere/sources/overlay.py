@@ -19,7 +19,8 @@ RELATIONS = {
       n % 7 - 3 AS page_offset, CASE WHEN n % 6 > 0 THEN n % 6 END AS priority, CASE WHEN n % 8 <> 7 THEN concat(id, '.pdf') END AS path,
       CASE WHEN n % 3 = 0 THEN 'no numbers' WHEN n % 9 = 4 THEN 'enter ranges' END AS offset_problem, n % 3 = 1 AS offset_checked, n % 6 = 0 AS accepted,
       CASE n % 4 WHEN 0 THEN 'hand_set' WHEN 1 THEN 'none_printed' END AS basis, CASE n % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'see index' END AS internal_notes,
-      CASE WHEN n % 5 = 3 THEN 'https://example.org' END AS url, CASE WHEN n % 10 = 3 THEN '2024-05-01' END AS accessed FROM src""",
+      CASE WHEN n % 5 = 3 THEN 'https://example.org' END AS url, CASE WHEN n % 10 = 3 THEN '2024-05-01' END AS accessed,
+      CASE WHEN n % 10 = 4 THEN 'Ed, Itor' END AS editor, CASE WHEN n % 7 = 3 THEN 'waits for OCR' END AS verdict FROM src""",
     "page": """SELECT p.work_id, p.page_index, p.lang, p.chunk_id, p.text, CASE WHEN p.page_index % 5 = 0 THEN NULL WHEN p.page_index % 11 = 0 THEN p.page_index + w.page_offset + 3
       ELSE p.page_index + w.page_offset END AS folio FROM (SELECT source AS work_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_index, lang, doc_id AS chunk_id, text
       FROM {documents} WHERE source IS NOT NULL) p JOIN work w ON w.id = p.work_id""",
@@ -32,13 +33,13 @@ RELATIONS = {
       CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN 'axis' WHEN (conv_id + turn) % 4 = 0 THEN 'claim' WHEN (conv_id + turn) % 4 = 1 THEN 'ficha' WHEN (conv_id + turn) % 4 = 2 THEN 'question' ELSE 'synthesis' END AS kind,
       CASE (conv_id + turn) % 4 WHEN 0 THEN 'author' WHEN 1 THEN 'own' WHEN 2 THEN 'other' END AS attribution,
       CASE WHEN conv_id % 5 = 0 THEN 'dossier' WHEN conv_id % 5 = 1 THEN 'owls' WHEN conv_id % 5 = 2 THEN 'night' END AS tag,
-      role AS origin, text AS body, turn % 2 = 0 AS reviewed, conv_id % 7 = 3 AND turn % 5 = 4 AS rejected, CAST(conv_id % 20 AS INT) AS n, CAST(turn AS INT) AS turn FROM {conversations}""",
+      role AS origin, CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN concat('Axis ', CAST(conv_id AS VARCHAR(20))) END AS title, text AS body, turn % 2 = 0 AS reviewed, conv_id % 7 = 3 AND turn % 5 = 4 AS rejected, CAST(conv_id % 20 AS INT) AS n, CAST(turn AS INT) AS turn FROM {conversations}""",
     "note_work": "SELECT id AS note_id, concat('src', CAST(n AS VARCHAR(9))) AS work_id, CASE WHEN turn % 2 = 0 THEN 'ficha' ELSE 'about' END AS role FROM note WHERE kind <> 'question'",
     "anchor": """SELECT id AS note_id, 1 AS ordinal, concat('src', CAST((n + turn) % 20 AS VARCHAR(9))) AS work_id, CASE WHEN turn % 3 > 0 THEN turn * 7 + 1 END AS printed_page,
       CASE WHEN turn % 4 = 0 THEN '' WHEN turn % 4 > 1 THEN substr(body, 1, 30) END AS quote FROM note WHERE kind IN ('claim', 'ficha')""",
     "note_link": "SELECT id AS from_note, id - 1 AS to_note, CASE WHEN turn % 3 = 0 THEN 'bridge' ELSE 'answers' END AS kind FROM note WHERE turn > 0 AND n % 2 = 0",
-    "list": "SELECT CAST(r_regionkey AS INT) AS id, r_name AS name, CAST(r_regionkey AS INT) AS sort, r_regionkey % 2 = 0 AS examinable FROM {region}",
-    "list_section": "SELECT CAST(n_nationkey AS INT) AS id, CAST(n_regionkey AS INT) AS list_id, CASE WHEN n_nationkey % 3 > 0 THEN substr(n_name, 1, 1) END AS letter, CASE WHEN n_nationkey % 4 = 0 THEN 'supplementary' ELSE 'core' END AS kind, CAST(n_nationkey AS INT) AS sort FROM {nation}",
+    "list": "SELECT CAST(r_regionkey AS INT) AS id, r_name AS name, CAST(r_regionkey AS INT) AS sort, r_regionkey % 2 = 0 AS examinable, CASE r_regionkey WHEN 0 THEN 'theory' WHEN 1 THEN 'dissertation' WHEN 2 THEN 'teaching' ELSE lower(r_name) END AS list_key FROM {region}",
+    "list_section": "SELECT CAST(n_nationkey AS INT) AS id, CAST(n_regionkey AS INT) AS list_id, CASE WHEN n_nationkey % 3 > 0 THEN substr(n_name, 1, 1) END AS letter, CASE WHEN n_nationkey % 4 = 0 THEN 'supplementary' ELSE 'core' END AS kind, CASE WHEN n_nationkey % 4 = 0 THEN 'Supplementary' ELSE n_name END AS title, CAST(n_nationkey AS INT) AS sort FROM {nation}",
     "list_item": """SELECT w.n % 5 AS list_id, w.id AS work_id, s.id AS section_id, CASE WHEN w.n % 7 > 0 THEN w.n END AS ordinal FROM work w
       LEFT JOIN (SELECT list_id, min(id) AS id FROM list_section GROUP BY list_id) s ON s.list_id = w.n % 5 AND w.n % 3 > 0 WHERE w.n % 4 <> 1
       UNION ALL SELECT (n + 1) % 5, id, CAST(NULL AS INT), n FROM work WHERE n % 6 = 2""",

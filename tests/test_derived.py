@@ -7,7 +7,7 @@ import pytest
 from pagemere.functions import layout
 from pagemere.library import ToolError
 from pagemere.operators import entities, extraction, motif, pages, studyaid, writes
-from pagemere.plans import derived
+from pagemere.plans import catalogue, derived
 from tests.oracle import SF
 
 PAGE = "work_id string, page_index int, text string"
@@ -204,5 +204,5 @@ def test_word_search_has_all_languages_and_folds(spark):
 def test_scan_is_capped_at_three_thousand(spark):
     for n in (301, 2999, 3000, 3001):
         chunks = spark.range(n).selectExpr("id as chunk_id", "cast(id as int) as start_page", "'en' as lang")
-        got = derived.capped_scan(chunks).collect()
+        got = catalogue.capped_scan(chunks).collect()
         assert len(got) == min(n, 3000) and {r.capped for r in got} == {n >= 3000}
