@@ -65,7 +65,7 @@ def test_empty_quotes(spark):
 
 def test_chunker_limits():
     text = " ".join(f"Sentence number {i} is here to fill the page with words of the book." for i in range(200))
-    made = chunks.chunk_pages([(1, text), (2, "x"), (3, text)])
+    made = list(chunks.chunk_pages([(1, text), (2, "x"), (3, text)]))
     assert [m[0] for m in made] == list(range(1, len(made) + 1)) and made[0][3] == "english"
     assert all(m[4] <= chunks.CEILING + chunks.OVERLAP + 2 for m in made) and made[-1][2] == 3
 
@@ -90,3 +90,19 @@ def test_mds_keeps_order():
     s = 1 - np.linalg.norm(at[:, None] - at[None], axis=2)
     got = similar.mds(s)
     assert got.shape == (3, 2) and got.min() == 0 and got.max() == 1 and len(similar.mds(s[:2, :2])) == 0
+
+
+def test_chunks_of_languages_and_streams(spark):
+    es, en = "El perro de la casa y el gato que no es un animal con más de una vida. " * 30, "The dog of the house and the cat that was not in a hat for his own life. " * 30
+    made = list(chunks.chunk_pages([(1, en), (2, es), (3, es), (4, "x" * 5000), (5, en)]))
+    assert [m[3] for m in made][0] == "english" and "spanish" in [m[3] for m in made] and [m[0] for m in made] == list(range(1, len(made) + 1))
+    change = next(i for i, m in enumerate(made) if m[3] == "spanish")
+    assert made[change][5].startswith("El perro")  # no overlap over a change of language
+    for a, b in zip(made, made[1:], strict=False):
+        if a[3] == b[3] and a[2] == b[1]:
+            assert len(b[5].split("\n\n")[0]) <= chunks.OVERLAP or b[5].startswith("x") or a[5].endswith("x" * 100)
+    rows = [("w", 1, en), ("w", 2, es), ("v", 1, None), ("v", 2, en), ("w", 3, es), (None, 1, en)]
+    got = sorted((r.work_id, r.ordinal, r.text) for r in chunks.chunk(spark.createDataFrame(rows, "work_id string, page_index int, text string")).collect())
+    want = sorted((w, c[0], c[5]) for w, p in (("w", [(1, en), (2, es), (3, es)]), ("v", [(1, ""), (2, en)])) for c in chunks.chunk_pages(p))
+    assert got == want
+    assert chunks.chunk(spark.createDataFrame([], "work_id string, page_index int, text string")).count() == 0
