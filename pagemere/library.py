@@ -122,8 +122,10 @@ class Library:
         if project is not None:
             w = w.join(self.membership(project).withColumnRenamed("work_id", "id"), "id")
             columns.append("in_project")
-        out = w.select(*columns).withColumn("found", F.count("*").over(Window.partitionBy(F.lit(0)))).orderBy(F.asc_nulls_last("author"), "title", "id")
-        return out if project is not None else out.limit(MAX_WORKS)
+        out = w.select(*columns)
+        shown = out.orderBy(F.asc_nulls_last("author"), "title", "id")
+        shown = shown if project is not None else shown.limit(MAX_WORKS)
+        return shown.join(F.broadcast(out.agg(F.count("*").alias("found"))), F.lit(True)).orderBy(F.asc_nulls_last("author"), "title", "id")
 
     def list_projects(self) -> DataFrame:
         """(id, name, works, notes), both kinds of membership in one plan."""
@@ -175,13 +177,8 @@ class Library:
         if len(normalize(text)) < MIN_QUOTE:
             raise ToolError(f"a quotation needs at least {MIN_QUOTE} characters to prove anything")
         pages = self.relation("printed_text").filter(F.col("work_id") == work_id)
-        q = pages.sparkSession.createDataFrame([(0, text, work_id, near_page)], "item_id int, quote string, work_id string, near int")
-        exact = matcher.find_exact(pages, q.select("item_id", "quote"))
-        far = F.abs(F.col("printed_page") - F.lit(near_page)) if near_page is not None else F.lit(0)
-        one = exact.filter("alone").select("work_id", "printed_page", "match", F.struct(F.lit(0), far, F.col("page_index")).alias("o"), "text").orderBy("o").limit(1)
-        if one.isEmpty():
-            two = exact.filter("not alone").select("work_id", F.element_at(F.regexp_extract_all(F.col("pages").cast("string"), F.lit(r"(-?\d+)"), 1), 1).cast("int").alias("printed_page"), F.lit("exact").alias("match"), "text").orderBy("printed_page").limit(1)
-            one = two if near_page is None or not two.isEmpty() else matcher.find_close(pages, q).select("work_id", "printed_page", "match", "text")
+        q = pages.sparkSession.createDataFrame([(0, text, work_id, near_page)], "n int, text string, work_id string, near int")
+        one = matcher.find(pages, q, ["n", "work_id"]).withColumnRenamed("page", "printed_page")
         got = self._labelled(one.select("work_id", "printed_page", "match", "text"))
         return got.select("work_id", F.col("printed_page").alias("page"), page_label(F.col("printed_page")).alias("page_label"), page_verified().alias("page_verified"), "match", "text", (F.col("printed_page") < 1).alias("front_matter"), not_citable_because().alias("not_citable_because"))
 

@@ -48,7 +48,10 @@ def one_to_one(scored: DataFrame) -> DataFrame:
     """
     sc = scored.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemere-"))
+        put = sc.getConf().get("spark.checkpoint.dir", None)
+        if not put and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(put or tempfile.mkdtemp(prefix="pagemere-"))
     order = F.struct("score", "jaccard", -F.col("a"), -F.col("b"))
     left, taken = scored.withColumn("o", order).checkpoint(), None
     while not left.isEmpty():

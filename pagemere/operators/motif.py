@@ -23,7 +23,8 @@ def word_hits(chunks: DataFrame, patterns: list[str], limit: int | None = 3000)
     got = chunks.withColumn("hits", hits).filter("hits > 0")
     if limit is None:
         return got.withColumn("capped", F.lit(False))
-    return got.withColumn("capped", F.count("*").over(Window.partitionBy(F.lit(0))) >= limit).orderBy("start_page", "chunk_id").limit(limit)
+    reached = got.limit(limit).agg((F.count("*") >= limit).alias("capped"))
+    return got.orderBy("start_page", "chunk_id").limit(limit).join(F.broadcast(reached), F.lit(True))
 
 
 def strip(found: DataFrame, works: DataFrame, bounds: DataFrame, memberships: DataFrame, by: str = "hits") -> DataFrame:

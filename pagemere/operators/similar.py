@@ -39,8 +39,20 @@ def centred(chunks: DataFrame) -> DataFrame:
     return w.join(m, "lang").select("work_id", "lang", F.zip_with("mean", "lang_mean", lambda x, y: x - y).alias("v"))
 
 
+#: Most works of a catalogue whose every two are compared, and most on a map, whose matrix one task holds.
+MOST_PAIRED, MOST_MAPPED = 20_000, 4_000
+
+
+def _bounded(vectors: DataFrame, most: int) -> DataFrame:
+    n = vectors.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} works")
+    return vectors
+
+
 def pairs(vectors: DataFrame) -> DataFrame:
-    """Similarity of every two works; for the few hundred works of a catalogue."""
+    """Similarity of every two works of a catalogue; more than ``MOST_PAIRED`` are refused."""
+    vectors = _bounded(vectors, MOST_PAIRED)
     a, b = vectors.select(F.col("work_id").alias("a"), F.col("v").alias("va")), vectors.select(F.col("work_id").alias("b"), F.col("v").alias("vb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
 
@@ -70,7 +82,8 @@ def mds(similarity: np.ndarray) -> np.ndarray:
 
 
 def corpus_map(vectors: DataFrame) -> DataFrame:
-    """(work_id, x, y); the matrix of a catalogue's works is small and goes to one task."""
+    """(work_id, x, y); the matrix of a catalogue's works goes to one task, so more than ``MOST_MAPPED`` are refused."""
+    vectors = _bounded(vectors, MOST_MAPPED)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("work_id").reset_index(drop=True)

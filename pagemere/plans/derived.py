@@ -255,34 +255,9 @@ def _quotes(spark, sf_dir):
     return sql(spark, sf_dir, "SELECT work_id, note_id AS claim_id, 1 AS n, quote AS text, printed_page AS near FROM anchor")
 
 
-def found_quotes(pages_, quotes, at_once=150_000):
-    """Where quotes(work_id, claim_id, n, text, near) stand in their own works: work_id, claim_id, n, page, text.
-
-    An exact place near the page given comes first, then any of the work, then a close one near it.  Texts are
-    searched once each, at most ``at_once`` in a pass over the pages.
-    """
-    of = ["work_id", "claim_id", "n"]
-    texts = quotes.filter(F.length("text") >= matcher.LEAST_CHARS).select("text").distinct().withColumn("item_id", F.xxhash64("text"))
-    n = texts.count()
-    parts = 1 if n <= at_once else 2 * -(-n // at_once)  # parts by hash differ in size
-    places = None
-    for i in range(parts):
-        some = matcher.find_exact(pages_, texts.filter(F.pmod("item_id", F.lit(parts)) == i).select("item_id", F.col("text").alias("quote")))
-        places = some if places is None else places.union(some)
-    places = places.select("item_id", "work_id", "page_index", F.col("printed_page").alias("page"), F.col("text").alias("found"), "alone")
-    every = quotes.join(texts, "text").join(places, ["item_id", "work_id"])
-    rank = F.coalesce(*(F.when(F.col("page") - F.col("near") == o, i) for i, o in enumerate(matcher.NEAR_ORDER)), F.lit(9))
-    first = Window.partitionBy(*of).orderBy(rank, "page_index", F.desc("alone"))
-    exact = every.withColumn("r", F.row_number().over(first)).filter("r = 1").select(*of, "page", F.col("found").alias("text"))
-    rest = quotes.join(exact, of, "left_anti").withColumn("item_id", F.xxhash64(*of))
-    close = matcher.find_close(pages_, rest.select("item_id", F.col("text").alias("quote"), "work_id", "near").filter("quote is not null and near is not null"))
-    close = rest.select("item_id", *of).join(close.select("item_id", F.col("printed_page").alias("page"), "text"), "item_id").select(*of, "page", "text")
-    return exact.union(close)
-
-
 def d2_verified(spark, sf_dir):
     q = _quotes(spark, sf_dir)
-    hits = found_quotes(_printed(spark, sf_dir), q)
+    hits = matcher.find(_printed(spark, sf_dir), q, ["work_id", "claim_id", "n"]).select("work_id", "claim_id", "n", "page", "text")
     kept, dropped = studyaid.verified(q.select("work_id", "claim_id").distinct(), q, hits)
     count = [F.size("quotes").alias("n_found"), F.size("lost").alias("n_lost")]
     return kept.select("work_id", "claim_id", *count, F.lit(None).cast("string").alias("reason")).union(dropped.select("work_id", "claim_id", *count, "reason"))

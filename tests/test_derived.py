@@ -6,7 +6,7 @@ import pytest
 
 from pagemere.functions import layout
 from pagemere.library import ToolError
-from pagemere.operators import entities, extraction, motif, pages, studyaid, writes
+from pagemere.operators import entities, extraction, matcher, motif, pages, studyaid, writes
 from pagemere.plans import catalogue, derived
 from tests.oracle import SF
 
@@ -188,7 +188,7 @@ def test_quotations_are_searched_in_the_pages_of_their_own_work(spark):
     ]
     quotes = spark.createDataFrame(asked, "work_id string, claim_id long, n int, text string, near int")
     for at_once in (150_000, 1):
-        got = {r.claim_id: r.page for r in derived.found_quotes(pages_, quotes, at_once).collect()}
+        got = {r.claim_id: r.page for r in matcher.find(pages_, quotes, ["work_id", "claim_id", "n"], at_once).collect()}
         exact = {c: [p for w, _, p, t in rows if w == work and q in t and len(q) >= 25] for work, c, _, q, _ in asked}
         assert set(got) == {c for c, places in exact.items() if places} | {5}
         assert got[1] == 2 and got[4] == 2 and got[5] == 2 and got[7] == 1
@@ -206,3 +206,55 @@ def test_scan_is_capped_at_three_thousand(spark):
         chunks = spark.range(n).selectExpr("id as chunk_id", "cast(id as int) as start_page", "'en' as lang")
         got = catalogue.capped_scan(chunks).collect()
         assert len(got) == min(n, 3000) and {r.capped for r in got} == {n >= 3000}
+
+
+def test_places_come_in_the_order_of_passes(spark):
+    import random
+
+    from pagemere.functions.text import key, normalize
+
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("owl", "moon", "night", "river", "stone") for b in ("", "s", "light", "less")]
+    books = {w: [" ".join(rng.choice(words) for _ in range(12)) for _ in range(14)] for w in "ab"}
+    books["a"][9] = books["a"][2]
+    books["b"][5] = f"{books['b'][1][:40]} {books['b'][8]}"
+    printed = {w: [p - 2 if p < 9 else p - 3 for p in range(1, 15)] for w in books}  # one number stands twice
+    rows = [(w, i + 1, printed[w][i], t) for w, ts in books.items() for i, t in enumerate(ts)]
+    asked = []
+    for i in range(150):
+        w = rng.choice("ab")
+        p = rng.randrange(14)
+        text = books[w][p]
+        if rng.random() < 0.4 and p < 13:
+            cut = rng.randrange(10, 40)
+            text = f"{text[-cut:]} {books[w][p + 1][: 60 - cut]}"
+        else:
+            start = rng.randrange(0, 20)
+            text = text[start : start + rng.randrange(20, 60)]
+        asked.append((i, w, text, rng.choice([None, *range(-1, 14)]), rng.choice([None, [], [p + 1, 3], [5, 6, 7, 8]])))
+
+    def place(w, text, near, unit):
+        norm = [normalize(t) for t in books[w]]
+        q = normalize(text).strip(" \"'“”«»")
+        if len(q) < 25:
+            return None
+        spots = []
+        if near is not None and near in printed[w]:
+            c = printed[w].index(near)
+            spots = [n for n in (c, c - 1, c + 1, c - 2, c + 2) if 0 <= n < 14]
+        for positions in (spots, spots + [u - 1 for u in unit or [] if u - 1 not in spots], range(14)):
+            for n in positions:
+                if key(q) in key(norm[n]):
+                    return printed[w][n]
+            for n in positions:
+                if n < 13:
+                    one, split = matcher.joined(norm[n], norm[n + 1])
+                    at = key(one).find(key(q))
+                    if at >= 0:
+                        return printed[w][n if at < split else n + 1]
+        return None
+
+    pages_ = spark.createDataFrame(rows, "work_id string, page_index int, printed_page int, text string")
+    quotes = spark.createDataFrame(asked, "claim_id int, work_id string, text string, near int, unit array<int>")
+    got = {r.claim_id: r.page for r in matcher.find(pages_, quotes, ["claim_id"]).collect() if r.match == "exact"}
+    assert got == {i: p for i, w, t, near, unit in asked if (p := place(w, t, near, unit)) is not None} and len(got) > 100
