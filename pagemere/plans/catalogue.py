@@ -97,7 +97,7 @@ def e6_title_similarity(spark, sf_dir):
 
 
 def fmt9_year(spark, sf_dir):
-    texts = sql(spark, sf_dir, """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat('Madrid, ', CAST(year(o_orderdate) AS VARCHAR(4)), ', of 1623') WHEN 1 THEN concat('no ', CAST(o_orderkey AS VARCHAR(20)), ' 20191')
+    texts = sql(spark, sf_dir, """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat('Madrid, ', CAST(year(o_orderdate) AS VARCHAR(4)), ', of 1623') WHEN 1 THEN concat('no', CAST(o_orderkey AS VARCHAR(20)), ' 20191')
       WHEN 2 THEN concat('c', CAST(year(o_orderdate) AS VARCHAR(4)), '; 2035; 1499') ELSE concat('1605-', CAST(year(o_orderdate) AS VARCHAR(4)), '.') END AS text FROM {orders}""")
     return texts.select("o_orderkey", rules.year_in(F.col("text")).alias("year"))
 

@@ -24,8 +24,13 @@ def _pages(spark, sf_dir):
     return _rel(spark, sf_dir, "page").select("work_id", "page_index", "text")
 
 
+def _scan(spark, sf_dir):
+    """Pages with running heads and folios, as a scanned book has them."""
+    return _rel(spark, sf_dir, "scan")
+
+
 def _heads(spark, sf_dir):
-    return pages.running_heads(_pages(spark, sf_dir), share=0.05, least_count=3)
+    return pages.running_heads(_scan(spark, sf_dir))
 
 
 def _printed(spark, sf_dir):
@@ -49,20 +54,20 @@ def x13_masked(spark, sf_dir):
 
 
 def x15_boilerplate(spark, sf_dir):
-    return extraction.boilerplate(_pages(spark, sf_dir), share=0.02, least=3)
+    return extraction.boilerplate(_scan(spark, sf_dir))
 
 
 def x16_stripped(spark, sf_dir):
-    got = extraction.stripped(_pages(spark, sf_dir), _heads(spark, sf_dir), x15_boilerplate(spark, sf_dir))
+    got = extraction.stripped(_scan(spark, sf_dir), _heads(spark, sf_dir), x15_boilerplate(spark, sf_dir))
     return got.select("work_id", "page_index", F.length("text").alias("chars"))
 
 
 def x17_folios(spark, sf_dir):
-    return extraction.folios(_pages(spark, sf_dir), _heads(spark, sf_dir))
+    return extraction.folios(_scan(spark, sf_dir), _heads(spark, sf_dir))
 
 
 def x18_chapters(spark, sf_dir):
-    return extraction.chapters(_pages(spark, sf_dir), _heads(spark, sf_dir), least=1)
+    return extraction.chapters(_scan(spark, sf_dir), _heads(spark, sf_dir))
 
 
 def x19_glyphs(spark, sf_dir):
@@ -75,7 +80,7 @@ def x20_damage(spark, sf_dir):
 
 def x21_citability(spark, sf_dir):
     files = _rel(spark, sf_dir, "work").select(F.col("id").alias("work_id"), F.element_at(F.array(*map(F.lit, ("Adobe InDesign", "calibre 5", "pdfTeX"))), F.col("n") % 3 + 1).alias("producer"), F.lit(0.0).alias("scan_share"))
-    return extraction.citability(_pages(spark, sf_dir), files, _heads(spark, sf_dir))
+    return extraction.citability(_scan(spark, sf_dir), files, _heads(spark, sf_dir))
 
 
 def x22_triage(spark, sf_dir):
@@ -83,15 +88,15 @@ def x22_triage(spark, sf_dir):
 
 
 def x23_viability(spark, sf_dir):
-    return extraction.viability(_pages(spark, sf_dir), _rel(spark, sf_dir, "work"))
+    return extraction.viability(_scan(spark, sf_dir), _rel(spark, sf_dir, "work"))
 
 
 def x36_heads_on_pages(spark, sf_dir):
-    return extraction.heads_on_pages(_pages(spark, sf_dir), _heads(spark, sf_dir))
+    return extraction.heads_on_pages(_scan(spark, sf_dir), _heads(spark, sf_dir))
 
 
 def l6_edge_folios(spark, sf_dir):
-    return extraction.page_edge_folios(_pages(spark, sf_dir))
+    return extraction.page_edge_folios(_scan(spark, sf_dir))
 
 
 # --- maps and labels
@@ -310,8 +315,12 @@ def snk10_note_with_anchors(spark, sf_dir):
     return writes.anchors_of(lists.select("note_id", work_ids.alias("work_ids"), pages_.alias("pages")), ["work_ids", "pages"]).select("note_id", "ordinal", F.col("work_ids").alias("part"), F.col("pages").alias("line"))
 
 
+#: The given tables, in order of need.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 def snk14_manifest(spark, sf_dir):
-    parts = [writes.manifest(spark.read.parquet(f"{sf_dir}/{t}.parquet"), t) for t in ("region", "nation", "customer", "orders")]
+    parts = [writes.manifest(spark.read.parquet(f"{sf_dir}/{t}.parquet"), t) for t in TABLES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -402,12 +411,12 @@ QUERIES = {
     )
 }
 
-_LINES = "ln AS (SELECT work_id, page_index, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM page)"
+_LINES = "ln AS (SELECT work_id, page_index, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM scan)"
 _MASK = "trim(regexp_replace({}, '[0-9]+', '#', 'g'))"
 _EDGE = f"{_LINES}, ed AS (SELECT work_id, page_index, 0 AS edge, l[1] AS line FROM ln WHERE len(l) > 0 UNION ALL SELECT work_id, page_index, 1, l[-1] FROM ln WHERE len(l) > 1)"
 _HEADS = f"""{_EDGE}, hd AS (SELECT work_id, head, count(*) AS n FROM (SELECT work_id, {_MASK.format('line')} AS head FROM ed) WHERE head <> '' AND len(head) < 120 GROUP BY 1, 2),
- tt AS (SELECT work_id, count(*) AS total FROM page GROUP BY 1 HAVING count(*) >= 12),
- heads AS (SELECT work_id, head, n FROM hd JOIN tt USING (work_id) WHERE n >= 0.05 * total OR (n >= 3 AND len(head) <= 60 AND NOT regexp_matches(head, '[.!?:;,]$')))"""
+ tt AS (SELECT work_id, count(*) AS total FROM scan GROUP BY 1 HAVING count(*) >= 12),
+ heads AS (SELECT work_id, head, n FROM hd JOIN tt USING (work_id) WHERE n >= 0.25 * total OR (n >= 8 AND len(head) <= 60 AND NOT regexp_matches(head, '[.!?:;,]$')))"""
 _PARTS = "it AS (SELECT min(p_partkey) AS i, p_name AS name, min(p_brand) AS brand FROM {part} GROUP BY p_name)"
 _UNVERIFIED = "(w.offset_problem IS NOT NULL AND w.basis IS DISTINCT FROM 'hand_set')"
 
@@ -415,7 +424,34 @@ ORACLE = {
     "x13_masked": f"SELECT work_id, page_index, md5({_MASK.format('text')}) AS digest FROM page",
     "x14_running_heads": f"WITH {_HEADS} SELECT work_id, head, n FROM heads",
     "x36_heads_on_pages": f"WITH {_HEADS} SELECT e.work_id, e.page_index, h.head, arg_min(e.line, e.edge) AS printed FROM ed e JOIN heads h ON h.work_id = e.work_id AND h.head = {_MASK.format('e.line')} GROUP BY 1, 2, 3",
-    "x15_boilerplate": f"WITH {_LINES}, m AS (SELECT DISTINCT work_id, page_index, {_MASK.format('x')} AS line FROM (SELECT work_id, page_index, unnest(l) AS x FROM ln) WHERE len(x) <= 500), t AS (SELECT work_id, count(*) AS total FROM page GROUP BY 1 HAVING count(*) >= 3) SELECT work_id, line, n FROM (SELECT work_id, line, count(*) AS n FROM m GROUP BY 1, 2) JOIN t USING (work_id) WHERE n >= greatest(total * 0.02, 3)",
+    "x15_boilerplate": f"WITH {_LINES}, m AS (SELECT DISTINCT work_id, page_index, {_MASK.format('x')} AS line FROM (SELECT work_id, page_index, unnest(l) AS x FROM ln) WHERE len(x) <= 500), t AS (SELECT work_id, count(*) AS total FROM scan GROUP BY 1 HAVING count(*) >= 12) SELECT work_id, line, n FROM (SELECT work_id, line, count(*) AS n FROM m GROUP BY 1, 2) JOIN t USING (work_id) WHERE n >= greatest(total * 0.25, 12)",
+    "x17_folios": f"""WITH {_HEADS}, v AS (SELECT e.work_id, e.page_index, e.edge, list_filter(list_transform(regexp_extract_all(e.line, '([0-9]{{1,4}})', 1), lambda x: x::INT), lambda x: x > 0 AND x < 2000)[1] AS n, regexp_full_match(e.line, '[0-9]{{1,4}}') OR h.head IS NOT NULL AS told
+      FROM ed e LEFT JOIN heads h ON h.work_id = e.work_id AND h.head = {_MASK.format('e.line')}) SELECT s.work_id, s.page_index, f.folio FROM scan s LEFT JOIN (SELECT work_id, page_index, arg_min(n, edge) AS folio FROM v WHERE told AND n IS NOT NULL GROUP BY 1, 2) f ON f.work_id = s.work_id AND f.page_index = s.page_index""",
+    "x18_chapters": f"""WITH {_HEADS}, hp AS (SELECT e.work_id, h.head, e.page_index, arg_min(e.line, e.edge) AS line FROM ed e JOIN heads h ON h.work_id = e.work_id AND h.head = {_MASK.format('e.line')} GROUP BY 1, 2, 3), ends AS (SELECT work_id, count(*) AS total, max(page_index) AS last FROM scan GROUP BY 1),
+      run AS (SELECT work_id, head, count(*) AS n, min(page_index) AS first_page, max(page_index) AS seen, arg_min(line, page_index) AS line FROM hp GROUP BY 1, 2), kept AS (SELECT r.work_id, r.head, r.first_page, e.last, trim(regexp_replace(regexp_replace(line, '[0-9]+', ' ', 'g'), '\\s+', ' ', 'g'), ' .,-–—|·•') AS title FROM run r JOIN ends e USING (work_id) WHERE n <= total * 0.4 AND seen - first_page + 1 <= n * 2 + 6),
+      parted AS (SELECT * FROM (SELECT *, lag(lower(title)) OVER w AS before FROM kept WHERE title <> '' WINDOW w AS (PARTITION BY work_id ORDER BY first_page, head)) WHERE before IS DISTINCT FROM lower(title))
+      SELECT work_id, row_number() OVER w AS ordinal, title, first_page, greatest(first_page, coalesce(lead(first_page) OVER w - 1, last))::INT AS last_page FROM parted WINDOW w AS (PARTITION BY work_id ORDER BY first_page, head) QUALIFY count(*) OVER (PARTITION BY work_id) >= 3""",
+    "l6_edge_folios": f"""WITH {_LINES}, nr AS (SELECT work_id, page_index, list_concat(l[1:2], CASE WHEN len(l) > 1 THEN l[-2:] ELSE l END) AS n FROM ln WHERE len(l) > 0),
+      v AS (SELECT work_id, page_index, list_filter(list_transform(list_filter(n, lambda x: regexp_full_match(x, '[0-9]{{1,4}}')), lambda x: x::INT), lambda x: x > 0 AND x < 2000)[1] AS bare,
+      list_filter(list_transform(list_filter(n, lambda x: len(x) <= 90 AND regexp_matches(x, '^[0-9]{{1,4}}\\b|\\b[0-9]{{1,4}}$')), lambda x: regexp_extract(x, '(^[0-9]{{1,4}}\\b|\\b[0-9]{{1,4}}$)', 1)::INT), lambda x: x > 0 AND x < 2000)[1] AS edge FROM nr)
+      SELECT work_id, page_index, coalesce(bare, edge) AS folio, CASE WHEN bare IS NOT NULL THEN 'bare' ELSE 'edge' END AS how FROM v WHERE coalesce(bare, edge) IS NOT NULL""",
+    "a22_common_words": "SELECT DISTINCT word FROM (SELECT strip_accents(lower(w)) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\pL{2,}|[0-9]+')) AS w FROM {documents} WHERE lang = 'es') x WHERE substr(w, 1, 1) = lower(substr(w, 1, 1)) AND substr(w, 1, 1) <> upper(substr(w, 1, 1)) GROUP BY 1) y WHERE n >= 3",
+    "tl1_find_works": """WITH m AS (SELECT w.work_id AS id, bool_or(w.hand) AS hand FROM (SELECT work_id, true AS hand FROM project_work WHERE project_id = 2 UNION ALL SELECT t.work_id, false FROM project_note p JOIN reviewed_note n ON n.id = p.note_id JOIN touch t ON t.note_id = n.id WHERE p.project_id = 2) w GROUP BY 1),
+      h AS (SELECT w.*, m.hand FROM work w JOIN m USING (id) WHERE contains(lower(w.id), 'author') OR contains(lower(w.author), 'author') OR contains(lower(w.title), 'author'))
+      SELECT id, author, title, year, CASE WHEN offset_problem IS NULL THEN CASE WHEN offset_checked THEN 'checked' ELSE 'unchecked' END WHEN NOT accepted THEN 'problem: ' || offset_problem WHEN basis = 'hand_set' THEN 'accepted (hand set)' ELSE 'accepted (no printed numbers)' END AS numbering,
+      CASE WHEN basis = 'hand_set' THEN 'hand set' WHEN offset_problem IS NULL THEN CASE WHEN offset_checked THEN 'verified' ELSE 'unchecked' END WHEN accepted THEN 'unverified: the file''s own page, not the edition''s' ELSE 'unverified: numbering unsettled' END AS page_numbers,
+      CASE WHEN basis = 'hand_set' THEN 'hand set' WHEN offset_problem IS NOT NULL THEN 'no' ELSE 'yes' END AS page_verified, id IN (SELECT work_id FROM page) AS has_pages, id IN (SELECT work_id FROM chunk WHERE embedded) AS searchable, CASE WHEN hand THEN 'added' ELSE 'notes' END AS in_project, (SELECT count(*) FROM h) AS found FROM h""",
+    "tl4_search": f"""SELECT c.chunk_id, c.work_id, w.title, c.start_page, concat(c.start_page, CASE WHEN {_UNVERIFIED} THEN '*' ELSE '' END) AS page_label, CASE WHEN w.basis = 'hand_set' THEN 'hand set' WHEN {_UNVERIFIED} THEN 'no' ELSE 'yes' END AS page_verified, round(v.score, 3) AS score
+      FROM (SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS score FROM {{embeddings}}) v JOIN chunk c ON c.chunk_id = v.vec_id JOIN work w ON w.id = c.work_id WHERE c.section_type IS DISTINCT FROM 'front' AND c.lang = 'en' ORDER BY v.score DESC, c.chunk_id LIMIT 30""",
+    "tl5_read_pages": f"""SELECT p.printed_page, concat(p.printed_page, CASE WHEN {_UNVERIFIED} THEN '*' ELSE '' END) AS page_label, p.page_index, CASE WHEN p.printed_page < 1 THEN 'front matter' WHEN p.folio IS NULL THEN 'computed' WHEN p.folio = p.printed_page THEN 'printed' ELSE 'warning: the page reads ' || p.folio END AS number,
+      CASE WHEN w.offset_problem IS NOT NULL AND NOT w.accepted THEN 'page numbering unsettled: ' || w.offset_problem WHEN NOT w.offset_checked THEN 'page numbering never checked' END AS not_citable_because,
+      CASE WHEN w.basis = 'hand_set' THEN 'hand set' WHEN w.offset_problem IS NULL THEN CASE WHEN w.offset_checked THEN 'verified' ELSE 'unchecked' END WHEN w.accepted THEN 'unverified: the file''s own page, not the edition''s' ELSE 'unverified: numbering unsettled' END AS page_numbers
+      FROM printed p JOIN work w ON w.id = p.work_id WHERE p.work_id = 'src3' AND p.printed_page BETWEEN 4 AND 9""",
+    "tl7_study_aid": "SELECT 'src3' AS work_id, true AS reviewed, 1 AS arguments",
+    "x23_viability": f"""WITH {_LINES}, s AS (SELECT work_id, page_index, text, max(page_index) OVER (PARTITION BY work_id) AS last FROM scan), b AS (SELECT work_id, min(v) AS low FROM (SELECT work_id, TRY_CAST(unnest(CASE WHEN len(l) > 1 THEN [l[1], l[-1]] ELSE l[1:1] END) AS VARCHAR) AS x FROM ln), LATERAL (SELECT CASE WHEN regexp_full_match(x, '[0-9]{{1,4}}') THEN x::INT END AS v) WHERE v > 0 AND v < 2000 GROUP BY 1),
+      a AS (SELECT work_id, count(*) AS n, floor(sum(len(trim(text))) / count(*)) AS chars, bool_or(page_index <= 16 AND (regexp_matches(text, '{extraction.COPYRIGHT}') OR regexp_matches(text, '{extraction.COPYRIGHT_ALSO}'))) AS c, bool_or(page_index > last - 20 AND regexp_matches(text, '{extraction.BACK_MATTER}')) AS k FROM s GROUP BY 1),
+      r AS (SELECT a.work_id, chars, list_filter([CASE WHEN regexp_matches(w.path, '{extraction.PARTIAL_NAME}') THEN 'filename says partial' END, CASE WHEN NOT c THEN 'no copyright page' END, CASE WHEN NOT k THEN 'no index or bibliography' END, CASE WHEN a.n < 60 THEN 'only ' || a.n || ' pages' END, CASE WHEN low > 20 THEN 'folios start at ' || low END], lambda x: x IS NOT NULL) AS why FROM a LEFT JOIN work w ON w.id = a.work_id LEFT JOIN b ON b.work_id = a.work_id)
+      SELECT work_id, array_to_string(why, '; ') AS reasons, CASE WHEN chars < 50 THEN 'no text layer' ELSE ['looks complete', 'check', 'likely excerpt'][1 + least(2, len(why))] END AS verdict FROM r""",
     "x20_damage": "SELECT work_id, tokens, bad, round(CASE WHEN tokens > 0 THEN bad / tokens ELSE 0 END, 6) AS rate FROM (SELECT work_id, CAST(sum(len(w)) AS BIGINT) AS tokens, CAST(sum(len(list_filter(w, lambda x: len(x) >= 4 AND NOT regexp_matches(lower(x), '[aeiouyáéíóúüàèìòùâêîôûäëïö]'))) + j) AS BIGINT) AS bad FROM (SELECT work_id, regexp_extract_all(text, '\\pL{2,}') AS w, len(regexp_extract_all(regexp_replace(text, '(\\pL)', '\\1\\1', 'g'), '\\pL[^\\s\\pL\\pN_''’\\-–—.]\\pL')) AS j FROM page WHERE text IS NOT NULL) GROUP BY work_id)",
     "x22_triage": "SELECT work_id, median_chars, sparse_ratio, CASE WHEN median_chars >= 400 AND sparse_ratio < 0.2 THEN 'pdf_text' WHEN median_chars < 50 THEN 'pdf_ocr_needed' ELSE 'mixed' END AS class FROM (SELECT work_id, CAST(trunc(median(len(trim(coalesce(text, ''))))) AS INT) AS median_chars, round(avg(CASE WHEN len(trim(coalesce(text, ''))) < 50 THEN 1 ELSE 0 END), 2) AS sparse_ratio FROM page GROUP BY work_id)",
     "v11_labels": "SELECT id, concat_ws(' ', CASE WHEN len(f) > 15 THEN concat(substr(f, 1, 14), '…') ELSE f END, year::VARCHAR) AS label FROM (SELECT id, year, coalesce(trim(string_split(author, ',')[1]), title) AS f FROM work)",
@@ -436,7 +472,7 @@ ORACLE = {
     "d6_claim_body": "SELECT id AS claim_id, md5(concat(trim(body), CASE WHEN turn % 2 = 0 AND trim(origin) <> '' THEN concat(chr(10), chr(10), 'Ejemplo: ', trim(origin)) ELSE '' END)) AS digest, CASE WHEN turn % 2 = 0 AND origin IS NOT NULL THEN 'dossier' ELSE 'dossier,respaldo-parcial' END AS tags FROM note",
     "snk8_patch": "SELECT c.c_custkey, coalesce(o.name, c.c_name) AS c_name, CASE WHEN o.n > 10 THEN NULL ELSE c.c_mktsegment END AS c_mktsegment FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS name, count(*) AS n FROM {orders} GROUP BY 1) o ON o.o_custkey = c.c_custkey",
     "snk10_note_with_anchors": "SELECT l_orderkey AS note_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS ordinal, l_partkey AS part, l_linenumber AS line FROM {lineitem}",
-    "snk14_manifest": "SELECT 'region' AS name, count(*) AS row_count FROM {region} UNION ALL SELECT 'nation', count(*) FROM {nation} UNION ALL SELECT 'customer', count(*) FROM {customer} UNION ALL SELECT 'orders', count(*) FROM {orders}",
+    "snk14_manifest": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count FROM {{{t}}}" for t in TABLES),
     "snk15_document_payload": "SELECT page_id, (4 * ceil(strlen(coalesce(html, '')) / 3.0))::INT AS chars, strlen(coalesce(html, '')) <= 8388608 AS fits FROM {pages}",
     "tl2_list_projects": "SELECT p.id, p.name, (SELECT count(*) FROM (SELECT work_id FROM project_work x WHERE x.project_id = p.id UNION SELECT t.work_id FROM project_note q JOIN reviewed_note n ON n.id = q.note_id JOIN touch t ON t.note_id = n.id WHERE q.project_id = p.id) u) AS works, (SELECT count(*) FROM project_note q WHERE q.project_id = p.id) AS notes FROM project p",
     "tl3_list_gaps": "SELECT id, author, title, year, state, state IN ('blocked', 'loaded') AS readable FROM (SELECT w.id, w.author, w.title, w.year, CASE WHEN w.path IS NULL THEN 'no_pdf' WHEN NOT EXISTS (SELECT 1 FROM page p WHERE p.work_id = w.id) THEN 'held' WHEN w.offset_problem IS NOT NULL AND NOT w.accepted THEN 'blocked' WHEN EXISTS (SELECT 1 FROM chunk c WHERE c.work_id = w.id AND c.embedded) THEN 'searchable' ELSE 'loaded' END AS state FROM work w WHERE w.container_id IS NULL AND w.id IN (SELECT id FROM examinable_work)) WHERE state <> 'searchable'",

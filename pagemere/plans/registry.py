@@ -52,7 +52,7 @@ def x24_offset_judge(spark, sf_dir):
 
 
 def x14_running_heads(spark, sf_dir):
-    return pages.running_heads(relation(spark, sf_dir, "page"), share=0.05, least_count=3)
+    return pages.running_heads(relation(spark, sf_dir, "scan"))
 
 
 def m4_quotation_exact(spark, sf_dir):
@@ -61,8 +61,12 @@ def m4_quotation_exact(spark, sf_dir):
     return hits.select("item_id", "work_id", "page_index", "printed_page", "match")
 
 
+_BREAKS = "SELECT chunk_id AS item_id, concat(right(text, 40), ' ', substr(next, 1, 40)) AS quote FROM (SELECT chunk_id, text, lead(text) OVER (PARTITION BY work_id ORDER BY page_index) AS next FROM page) x WHERE next IS NOT NULL AND text IS NOT NULL"
+
+
 def m3_quotation_joined(spark, sf_dir):
-    return matcher.find_exact(_printed(spark, sf_dir), _quotes(spark, sf_dir)).filter("not alone").select("item_id", "work_id", "pages", "text")
+    """Quotations over every page's end, found in the pages joined."""
+    return matcher.find_exact(_printed(spark, sf_dir), _sql(spark, sf_dir, _BREAKS)).filter("not alone").select("item_id", "work_id", "pages")
 
 
 def m6_quotation_close(spark, sf_dir):
@@ -100,7 +104,7 @@ def x10_chunker(spark, sf_dir):
 
 
 def x7_language(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", chunks.text_language(F.col("text")).alias("language"))
+    return chunks.page_languages(relation(spark, sf_dir, "page"))
 
 
 def x1_fold(spark, sf_dir):
@@ -196,6 +200,12 @@ _PARTS = f"""x AS (SELECT id, s, y, {_WORDS} AS k FROM (SELECT min(p_partkey) AS
  sc AS (SELECT a, b, round(least(1.0, n::DOUBLE / len(ka) + CASE WHEN ss THEN 0.35 ELSE 0 END + CASE WHEN yy THEN 0.1 ELSE 0 END), 6) AS score, round(n::DOUBLE / (len(ka) + len(kb) - n), 6) AS jaccard FROM pr WHERE n > 0),
  rk AS (SELECT a, b, score, jaccard, row_number() OVER w AS rank, lead(score) OVER w AS second FROM sc WHERE score >= 0.35 WINDOW w AS (PARTITION BY a ORDER BY score DESC, jaccard DESC, b))"""
 
+
+
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
 _OWN = {
     "e4_coverage": f"WITH {_PARTS} SELECT a, b, score, jaccard, rank::INT AS rank, rank = 1 AND score >= 0.6 AND score - coalesce(second, 0) > 0.15 AS ready FROM rk WHERE rank <= 4",
     "snk5_upsert": f"WITH {_FRESH} SELECT * FROM c WHERE c_custkey NOT IN (SELECT c_custkey FROM f) UNION ALL SELECT * FROM f",
@@ -205,6 +215,15 @@ _OWN = {
     "j1_printed_pages": "SELECT work_id, page_index, folio, printed_page FROM printed",
     "m4_quotation_exact": "SELECT b.item_id, p.work_id, p.page_index, q.printed_page, 'exact' AS match FROM page p JOIN printed q ON q.work_id = p.work_id AND q.page_index = p.page_index JOIN {benchmark} b ON contains(lower(regexp_replace(p.text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'), ' \"''')))",
     "t1_topk_cosine": "SELECT c.chunk_id, c.work_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 7)), 6) AS score FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front' ORDER BY score DESC, chunk_id LIMIT 30",
+    "x7_language": f"""WITH w AS (SELECT work_id, page_index, regexp_extract_all(lower(text), '[a-záéíóúüñ]+') AS w FROM page WHERE len(text) >= 50), n AS (SELECT work_id, page_index, len(w) AS n, len(list_filter(w, lambda x: list_contains([{_listed(chunks.SPANISH)}], x))) AS es, len(list_filter(w, lambda x: list_contains([{_listed(chunks.ENGLISH)}], x))) AS en FROM w)
+      SELECT work_id, page_index, last_value(CASE WHEN n < 20 OR es + en = 0 THEN NULL WHEN es >= 1.5 * en THEN 'spanish' WHEN en >= 1.5 * es THEN 'english' END IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY page_index) AS language FROM n""",
+    "m3_quotation_joined": f"""WITH q AS (SELECT item_id, trim(lower(regexp_replace(trim(quote), '\\s+', ' ', 'g')), ' "' || chr(39)) AS q FROM ({_BREAKS})), p AS (SELECT work_id, page_index, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS t, printed_page FROM (SELECT p.work_id, p.page_index, p.text, q.printed_page FROM page p JOIN printed q ON q.work_id = p.work_id AND q.page_index = p.page_index)),
+      j AS (SELECT work_id, t, lead(t) OVER w AS u, printed_page || '–' || lead(printed_page) OVER w AS pages FROM p WINDOW w AS (PARTITION BY work_id ORDER BY page_index)) SELECT q.item_id, j.work_id, j.pages FROM j JOIN q ON contains(right(j.t, 90) || ' ' || substr(j.u, 1, 90), q.q) AND NOT contains(j.t, q.q) AND NOT contains(substr(j.u, 1, 90), q.q) WHERE len(q.q) >= 25""",
+    "x24_offset_judge": """WITH r AS (SELECT work_id, page_index, folio, printed_page, folio - page_index AS o FROM printed WHERE folio IS NOT NULL), f AS (SELECT *, count(*) OVER (PARTITION BY work_id, o) AS k FROM r QUALIFY k >= 3),
+      i AS (SELECT *, page_index - 0 AS x, row_number() OVER (PARTITION BY work_id ORDER BY page_index) - row_number() OVER (PARTITION BY work_id, o ORDER BY page_index) AS g FROM f), s AS (SELECT work_id, count(DISTINCT o) AS s FROM (SELECT work_id, o, g, max(x) - min(x) AS span FROM i GROUP BY 1, 2, 3) WHERE span >= 5 GROUP BY 1),
+      t AS (SELECT work_id, o, count(*) AS k FROM f GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY count(*) DESC, min(page_index)) = 1), a AS (SELECT work_id, count(*) AS n, count(*) FILTER (folio = printed_page) AS ok FROM f GROUP BY 1),
+      v AS (SELECT w.work_id, coalesce(a.n, 0) AS n, coalesce(a.ok, 0) AS ok, t.o, CASE WHEN coalesce(a.n, 0) < 8 THEN 'problem' WHEN a.ok / a.n >= 0.9 THEN 'confirmed' WHEN w.work_id IN (SELECT work_id FROM page_range) OR coalesce(s.s, 0) > 1 THEN 'problem' WHEN t.k / a.n >= 0.9 THEN 'corrected' ELSE 'problem' END AS verdict
+      FROM (SELECT DISTINCT work_id FROM page) w LEFT JOIN a USING (work_id) LEFT JOIN s USING (work_id) LEFT JOIN t USING (work_id)) SELECT work_id, verdict, CASE WHEN verdict = 'corrected' THEN o END::INT AS page_offset, n AS folios, ok AS agreeing FROM v""",
     "v4_centred_vectors": f"WITH {_CENTRED} SELECT work_id, lang, round(v[1], 6) AS first, len(v)::INT AS dims FROM cv",
     "v6_pairs": f"WITH {_CENTRED} SELECT a, b, similarity FROM pr",
     "v5_neighbours": f"WITH {_CENTRED} SELECT a AS work_id, b AS neighbour, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC NULLS LAST, b) AS rank FROM (SELECT a, b, similarity FROM pr UNION ALL SELECT b, a, similarity FROM pr)) WHERE rank <= 5",

@@ -24,6 +24,8 @@ RELATIONS = {
     "page": """SELECT p.work_id, p.page_index, p.lang, p.chunk_id, p.text, CASE WHEN p.page_index % 5 = 0 THEN NULL WHEN p.page_index % 11 = 0 THEN p.page_index + w.page_offset + 3
       ELSE p.page_index + w.page_offset END AS folio FROM (SELECT source AS work_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_index, lang, doc_id AS chunk_id, text
       FROM {documents} WHERE source IS NOT NULL) p JOIN work w ON w.id = p.work_id""",
+    "scan": """SELECT work_id, page_index, concat(CASE WHEN page_index % 3 > 0 THEN concat('Of the ', CASE CAST(floor((page_index - 1) / 15.0) AS INT) % 5 WHEN 0 THEN 'Owls' WHEN 1 THEN 'Rivers' WHEN 2 THEN 'Stones' WHEN 3 THEN 'Nights' ELSE 'Towns' END)
+      ELSE concat('The Book ', coalesce(CAST(folio AS VARCHAR(9)), '')) END, chr(10), text, chr(10), CASE WHEN page_index % 4 = 3 THEN coalesce(CAST(folio AS VARCHAR(9)), '') ELSE '' END) AS text FROM page WHERE text IS NOT NULL""",
     "page_range": "SELECT id AS work_id, 5 AS from_page, 10 AS to_page, page_offset + 2 AS page_offset FROM work WHERE n % 4 = 2",
     "printed": """SELECT p.work_id, p.page_index, p.lang, p.chunk_id, p.folio, p.page_index + coalesce(r.page_offset, w.page_offset) AS printed_page FROM page p JOIN work w ON w.id = p.work_id
       LEFT JOIN page_range r ON r.work_id = p.work_id AND p.page_index BETWEEN r.from_page AND r.to_page""",
