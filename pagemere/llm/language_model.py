@@ -322,8 +322,8 @@ def _train(batches: Iterator[pa.RecordBatch], params, base: int, r: int, rounds:
             learn(p, square, got, at[i : i + 2048])
         places += len(at)
         for o in OFFSETS:
-            np.add.at(seen, got[at + o], 1)
-        np.add.at(first, got[at], 1)
+            seen += np.bincount(got[at + o], minlength=pad + 1)
+        first += np.bincount(got[at], minlength=pad)
     if places:
         weights = {"E": seen, "b": first.reshape(base, -1).sum(axis=1), "g": first.reshape(base * base, -1).sum(axis=1)}
         w = np.concatenate([_blocks(k, weights.get(k, float(places)), base) for k in SHAPES])
