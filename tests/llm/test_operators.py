@@ -681,3 +681,91 @@ def test_no_machine_local_folder_on_a_cluster():
     sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *_: None), master="spark://x:7077", applicationId="x")
     with pytest.raises(RuntimeError):
         common.shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+def test_quality_query_equals_its_model(spark):
+    docs, known = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, known, quality.ratings())
+    got = {r.doc_id: r for r in queries.op1_quality_classifier(spark, SF).collect()}
+    for d in docs.collect():
+        idx, val = quality.features(d.text)
+        s = sum(float(v) * m.weights[i] for i, v in zip(idx, val, strict=True))
+        below = [0.0, *(1 / (1 + np.exp(-(t - s))) for t in m.thresholds), 1.0]
+        p = np.diff(below)
+        r = got[d.doc_id]
+        assert abs(r.expected_grade - sum(g * x for g, x in zip(m.grades, p, strict=True))) < 1e-4
+        assert abs(r.tail_probability - sum(x for g, x in zip(m.grades, p, strict=True) if g >= 1)) < 1e-4 and r.selected == (r.tail_probability >= 0.5)
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    docs, known = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, known)
+    words, stems, ordinary = [t for t in m.terms if not t.endswith("*")], [t[:-1] for t in m.terms if t.endswith("*")], set(m.ordinary)
+    seen = {}
+
+    def kind(w):
+        def exact(x):
+            return x in words or any(x.startswith(s) and len(x) > len(s) for s in stems)
+
+        def near(x):
+            for t in words:
+                most = 0 if len(t) < 4 or len(x) < 4 or abs(len(t) - len(x)) > 2 else 1 if len(t) < 9 else 2
+                if most and (len(t) > 4 or x[0] == t[0]) and (n := swapped_distance(t, x)) <= most and (n < 2 or any(p in x for p in (t[: len(t) // 3], t[len(t) // 3 : 2 * len(t) // 3], t[2 * len(t) // 3 :]))):
+                    return True
+            return False
+
+        if w not in seen:
+            forms = {w.translate(toxicity._LEET), re.sub(r"(.)\1{2,}", r"\1", w.translate(toxicity._LEET))}
+            seen[w] = 1 if exact(w) else 0 if len(w) < 4 or w in ordinary else 2 if any(f != w and exact(f) or near(f) for f in forms) else 0
+        return seen[w]
+
+    got = {r.doc_id: r for r in queries.op2_toxicity(spark, SF).collect()}
+    for d in docs.filter("length(text) < 3000").collect():
+        kinds = [kind(w) for w in re.findall(r"[\w@$]+", (d.text or "").lower())]
+        r = got[d.doc_id]
+        assert (r.exact_abuse + r.exact_quoted, r.near_abuse + r.near_quoted) == (kinds.count(1), kinds.count(2)), d.doc_id
+        z = m.weights[0] + sum(w * np.log1p(n) for w, n in zip(m.weights[1:], (r.exact_abuse, r.near_abuse, r.exact_quoted, r.near_quoted), strict=True))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
+def test_pseudo_likelihood_equals_a_slow_loop(spark):
+    rng = random.Random(31)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["owl", "moon", "night", "river", "a", "b"]) for _ in range(rng.randrange(0, 9)))) for i in range(40)], "doc_id bigint, text string")
+    encoded, _, base, shared, params = language_model.train(docs)
+    p = language_model.unflat(params.value, base)
+    rows = encoded.select("row", "doc_id", "ids").toArrow()
+    got = {i: x for b in rows.to_batches() for out in language_model._score(iter([b]), params, shared, base) for i, x in zip(out["doc_id"].to_pylist(), out["by_id"].to_pylist(), strict=True)}
+
+    def soft(z):
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    for i, raw in zip(rows["doc_id"].to_pylist(), rows["ids"].to_pylist(), strict=True):
+        ids, total = np.frombuffer(raw, np.int32).tolist(), 0.0
+        for n, w in enumerate(ids):
+            h = p["c"].astype(float).copy()
+            for k, o in enumerate(language_model.OFFSETS):
+                h += p["d"][k] * p["E"][ids[n + o] if 0 <= n + o < len(ids) else base**3]
+            h = np.tanh(h)
+            a, b, c = w // base**2, w // base % base, w % base
+            total += np.log(soft(h @ p["A"] + p["a"])[a] * soft(h @ p["B"] + p["b"][a])[b] * soft(h @ p["G"] + p["g"][a * base + b])[c]) - shared.value[w]
+        assert abs(total - got[i]) < 1e-3 * max(1, len(ids)), i
+
+
+def test_model_beats_a_unigram(spark):
+    rng = random.Random(33)
+    after = {w: rng.sample(range(60), 4) for w in range(60)}  # each word has four that follow it
+
+    def text():
+        w = [rng.randrange(60)]
+        while len(w) < 120:
+            w.append(rng.choice(after[w[-1]]))
+        return " ".join(f"w{x}" for x in w)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id bigint, text string")
+    counts = dict(docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").count().collect())
+    n = sum(counts.values())
+    unigram = sum(c * np.log(c / n) for c in counts.values()) / n
+    got = language_model.score(docs).agg(F.sum("pseudo_log_likelihood") / F.sum("n_tokens")).first()[0]
+    assert got > unigram + 0.2
