@@ -128,13 +128,13 @@ def fmt7_isbn13(spark, sf_dir):
 
 def fmt2_bibliography(spark, sf_dir):
     w = citations.with_container(relation(spark, sf_dir, "work"))
-    return w.select("id", citations.bibliography("chicago").alias("chicago"), citations.bibliography("mla").alias("mla"), citations.html(citations.bibliography("mla")).alias("html"))
+    return w.select("id", *(citations.bibliography(s).alias(s) for s in (citations.CHICAGO, citations.CHICAGO_18, citations.MLA)), citations.html(citations.bibliography(citations.MLA)).alias("html"))
 
 
 def fmt3_footnote(spark, sf_dir):
     w = citations.with_container(relation(spark, sf_dir, "work"))
     note = citations.footnote(F.col("n"))
-    return w.select("id", note.alias("footnote"), citations.mark_page(note, F.col("n")).alias("marked"))
+    return w.select("id", note.alias("footnote"), citations.mark_page(note, F.col("n")).alias("marked"), citations.short_note(F.when(F.col("n") % 2 == 0, F.col("n"))).alias("short"))
 
 
 def _fresh(spark, sf_dir):
@@ -202,6 +202,9 @@ _PARTS = f"""x AS (SELECT id, s, y, {_WORDS} AS k FROM (SELECT min(p_partkey) AS
 
 
 
+_CITED = """im AS (SELECT w.*, c.id IS NOT NULL AS held, c.title AS ct, c.editor AS ce0, 'Itor Ed' AS spoken, CASE WHEN c.editor IS NOT NULL THEN 'Itor Ed' END AS ce, 'Given ' || string_split(w.author, ',')[1] AS said, CASE WHEN c.id IS NULL THEN w.publisher ELSE c.publisher END AS ip, CASE WHEN c.id IS NULL THEN w.place ELSE c.place END AS ic, CASE WHEN c.id IS NULL THEN w.year ELSE c.year END AS iy FROM work w LEFT JOIN work c ON c.id = w.container_id)"""
+
+
 def _listed(words) -> str:
     return ", ".join(f"'{w}'" for w in sorted(words))
 
@@ -215,6 +218,13 @@ _OWN = {
     "j1_printed_pages": "SELECT work_id, page_index, folio, printed_page FROM printed",
     "m4_quotation_exact": "SELECT b.item_id, p.work_id, p.page_index, q.printed_page, 'exact' AS match FROM page p JOIN printed q ON q.work_id = p.work_id AND q.page_index = p.page_index JOIN {benchmark} b ON contains(lower(regexp_replace(p.text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'), ' \"''')))",
     "t1_topk_cosine": "SELECT c.chunk_id, c.work_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 7)), 6) AS score FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front' ORDER BY score DESC, chunk_id LIMIT 30",
+    "fmt2_bibliography": f"""WITH {_CITED}, p AS (SELECT *, CASE WHEN kind = 'film' THEN '' ELSE concat(CASE WHEN author IS NOT NULL THEN author || '. ' WHEN editor IS NOT NULL THEN editor || ', ed. ' END, CASE WHEN kind = 'essay' THEN '"' || title || '."' ELSE '*' || title || '*.' END,
+      CASE WHEN held THEN concat(' In *', ct, '*,', ' edited by ' || ce || ',', ' ' || first_page || '.') END) END AS head, concat(' Accessed ' || accessed || '. ' || url || '.', CASE WHEN accessed IS NULL THEN ' ' || url || '.' END) AS online FROM im),
+      m AS (SELECT id, concat(CASE WHEN author IS NOT NULL THEN author || '. ' WHEN editor IS NOT NULL THEN editor || ', editor. ' END, CASE WHEN kind = 'essay' THEN '"' || title || '."' ELSE '*' || title || '*.' END, CASE WHEN held THEN concat(' *', ct, '*,', ' edited by ' || ce || ',') END, ' ' || nullif(concat_ws(', ', ip, iy), '') || ',', CASE WHEN held THEN ' pp. ' || first_page || ',' END) AS body, concat(' ' || url || '.', CASE WHEN url IS NOT NULL THEN ' Accessed ' || accessed || '.' END) AS tail FROM im),
+      f AS (SELECT p.id, CASE WHEN kind = 'film' THEN concat(author || ', dir. ', '*', title, '*.', ' ' || year || '.') ELSE concat(head, ' ' || nullif(concat_ws(', ', nullif(concat_ws(': ', ic, ip), ''), iy), '') || '.', online) END AS chicago, CASE WHEN kind = 'film' THEN concat(author || ', dir. ', '*', title, '*.', ' ' || year || '.') ELSE concat(head, ' ' || nullif(concat_ws(', ', ip, iy), '') || '.', online) END AS chicago18,
+      CASE WHEN kind = 'film' THEN concat('*', title, '*.', ' Directed by ' || said || ',', ' ' || year || '.') ELSE regexp_replace(body, ',$', '.') || tail END AS mla FROM p JOIN m ON m.id = p.id) SELECT *, regexp_replace(mla, '\\*([^*]+)\\*', '<i>\\1</i>', 'g') AS html FROM f""",
+    "fmt3_footnote": f"""WITH {_CITED}, b AS (SELECT *, concat(CASE WHEN author IS NOT NULL THEN said || ', ' WHEN editor IS NOT NULL THEN 'Itor Ed, ed., ' END, CASE WHEN kind = 'essay' THEN '"' || title || CASE WHEN held THEN ',' ELSE '' END || '"' ELSE '*' || title || '*' END, ' in *' || ct || '*', ', (' || nullif(concat_ws(', ', nullif(concat_ws(': ', ic, ip), ''), iy), '') || ')') AS head FROM im)
+      SELECT id, head || ', ' || n || '.' AS footnote, head || ', ' || n || '*.' AS marked, concat(coalesce(string_split(author, ',')[1], string_split(editor, ',')[1]) || ', ', CASE WHEN kind = 'essay' THEN '"' ELSE '*' END, 'Title of ', id, CASE WHEN kind = 'essay' THEN '"' ELSE '*' END, CASE WHEN n % 2 = 0 THEN ', ' || n END, '.') AS short FROM b""",
     "x7_language": f"""WITH w AS (SELECT work_id, page_index, regexp_extract_all(lower(text), '[a-záéíóúüñ]+') AS w FROM page WHERE len(text) >= 50), n AS (SELECT work_id, page_index, len(w) AS n, len(list_filter(w, lambda x: list_contains([{_listed(chunks.SPANISH)}], x))) AS es, len(list_filter(w, lambda x: list_contains([{_listed(chunks.ENGLISH)}], x))) AS en FROM w)
       SELECT work_id, page_index, last_value(CASE WHEN n < 20 OR es + en = 0 THEN NULL WHEN es >= 1.5 * en THEN 'spanish' WHEN en >= 1.5 * es THEN 'english' END IGNORE NULLS) OVER (PARTITION BY work_id ORDER BY page_index) AS language FROM n""",
     "m3_quotation_joined": f"""WITH q AS (SELECT item_id, trim(lower(regexp_replace(trim(quote), '\\s+', ' ', 'g')), ' "' || chr(39)) AS q FROM ({_BREAKS})), p AS (SELECT work_id, page_index, lower(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS t, printed_page FROM (SELECT p.work_id, p.page_index, p.text, q.printed_page FROM page p JOIN printed q ON q.work_id = p.work_id AND q.page_index = p.page_index)),
