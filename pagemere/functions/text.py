@@ -72,6 +72,21 @@ def keyed(c: Column) -> Column:
     return _column(lambda t: key(normalize(t)))(c)
 
 
+def quotation(c: Column) -> Column:
+    """A captured passage as it is kept: no soft hyphens or note numbers, broken words joined, lines and blanks one blank.
+
+    Not the matcher's ``normalize``: characters aren't composed, and any letter joins.
+    """
+    out = F.regexp_replace(F.replace(c, F.lit("\u00ad"), F.lit("")), "[\u2070\u00b9\u00b2\u00b3\u2074-\u2079]+", "")
+    out = F.regexp_replace(out, r"(\p{L})[-\u2010\u2011]\s*\n\s*(\p{L})", "$1$2")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"\s*\n\s*", " "), "[ \t\u00a0]+", " "), r"^\s+|\s+$", "")
+
+
+def file_key(c: Column) -> Column:
+    """A file name composed, trimmed and case-folded; for comparing only."""
+    return _column(lambda t: unicodedata.normalize("NFC", t).strip().casefold())(c)
+
+
 def word_forms(query: str) -> list[str]:
     """Java patterns, one a form: forms are parted by commas, folded, at least two letters, and begin a word."""
     out: list[str] = []

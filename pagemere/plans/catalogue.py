@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemere.functions import text as T
 from pagemere.operators import rules
+from pagemere.sources import files
 from pagemere.sources.overlay import spark_sql
 
 
@@ -200,7 +201,19 @@ def snk13_notes_export(spark, sf_dir):
     return rules.notes_export(_rel(spark, sf_dir, "note"), relations, _rel(spark, sf_dir, "work"))
 
 
+def x6_quotation(spark, sf_dir):
+    """Documents as captured passages; each n that a blank and a letter follow is broken over a line."""
+    broken = F.regexp_replace("text", "n ([a-z])", "n-\n $1")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(T.quotation(broken)).alias("digest"))
+
+
+def src11_listing(spark, sf_dir):
+    paths = sql(spark, sf_dir, "SELECT concat('/c/', n_regionkey, '/', CASE n_nationkey % 5 WHEN 0 THEN '.' WHEN 1 THEN ' ' ELSE '' END, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END, CASE n_nationkey % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.EPUB' ELSE '.Pdf' END) AS path FROM {nation} UNION ALL SELECT concat('/d/', lower(n_name), '.pdf') FROM {nation}")
+    return files.listed(paths).select("key", F.array_join("paths", "|").alias("paths"))
+
+
 _ALL = (
+    x6_quotation, src11_listing,
     c2_citable_reason, c3_numbering_label, c6_list_code, c7_stage_readiness, c8_missing_fields, r7_failing_citation, r23_catalogue_counts, l8_register_state, c9_works_without_file,
     c12_health_level, e9_conflicts, e6_title_similarity, fmt9_year, f9_find_works, f10_catalogue_filters, f12_catalogue_page, f14_local_day, t2_capped_scan, t4_distinct_on,
     r11_axis_members, t7_spanish_order, t8_in_order_of_ids, r3_lists_and_sections, r13_revisions, r24_blocked_works, w14_form_fields, snk12_works_export, snk13_notes_export,
@@ -216,6 +229,9 @@ _PART_OF = "mem AS (SELECT p.parent_id AS axis_id, nw.work_id, p.id AS part_id,
 _ROMAN = "[NULL, 'I', 'II', 'III'][1 + CASE WHEN i.list_id < 3 THEN i.list_id + 1 ELSE 0 END]"
 
 ORACLE = {
+    "x6_quotation": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'n ([a-z])', 'n\\1', 'g'), '[\u2070\u00b9\u00b2\u00b3\u2074-\u2079]+', '', 'g'), '(\\pL)[-\u2010\u2011]\\s*\\n\\s*(\\pL)', '\\1\\2', 'g'), '\\s*\\n\\s*', ' ', 'g'), '[ \\t]+', ' ', 'g'))) AS digest FROM {documents}",
+    "src11_listing": """SELECT lower(trim(name)) AS key, string_agg(path, '|' ORDER BY path) AS paths FROM (SELECT path, string_split(path, '/')[-1] AS name FROM (SELECT '/c/' || n_regionkey || '/' || ['.', ' ', '', '', ''][1 + (n_nationkey % 5)::INT] || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE lower(n_name) END || CASE n_nationkey % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.EPUB' ELSE '.Pdf' END AS path FROM {nation}
+      UNION ALL SELECT '/d/' || lower(n_name) || '.pdf' FROM {nation})) x WHERE name NOT LIKE '.%' AND NOT path LIKE '%.txt' GROUP BY 1""",
     "c2_citable_reason": "SELECT id, CASE WHEN offset_problem IS NULL OR accepted THEN (CASE WHEN offset_checked THEN NULL ELSE 'page numbering never checked' END) ELSE 'page numbering unsettled: ' || offset_problem END AS reason FROM work",
     "c3_numbering_label": """SELECT id, CASE (offset_problem IS NOT NULL)::INT * 2 + accepted::INT WHEN 3 THEN 'accepted (' || CASE WHEN basis = 'hand_set' THEN 'hand set' ELSE 'no printed numbers' END || ')' WHEN 2 THEN 'problem: ' || offset_problem ELSE CASE WHEN offset_checked THEN 'checked' ELSE 'unchecked' END END AS numbering,
       CASE WHEN basis = 'hand_set' THEN 'hand set' WHEN offset_problem IS NULL THEN CASE WHEN offset_checked THEN 'verified' ELSE 'unchecked' END WHEN accepted THEN 'unverified: the file''s own page, not the edition''s' ELSE 'unverified: numbering unsettled' END AS page_numbers FROM work""",

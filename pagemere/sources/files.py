@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemere.functions import text as T
+
 PAGES = "work_id string, extracted_at string, extractor string, page_offset int, pages array<struct<page:int, printed_page:int, folio:int, chars:int, text:string>>"
 CHUNKS = "work_id string, chunker_version int, chunks array<struct<ordinal:int, start_page_index:int, end_page_index:int, lang:string, chars:int, text:string, text_search:string>>"
 
@@ -42,3 +44,11 @@ def csv_lines(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """CRLF line ends; a text file a partition."""
     csv_lines(df).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def listed(paths: DataFrame, suffixes: tuple[str, ...] = ("pdf", "epub")) -> DataFrame:
+    """paths(path) to (key, paths): files by the key of their names, duplicates kept; hidden ones and other kinds left out."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.lower(F.element_at(F.split(name, r"\."), -1))
+    some = paths.filter(~name.startswith(".") & kind.isin(*suffixes))
+    return some.select(T.file_key(name).alias("key"), "path").groupBy("key").agg(F.array_sort(F.collect_list("path")).alias("paths"))
