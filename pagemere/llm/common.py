@@ -23,12 +23,13 @@ _own_dir: dict[str, str] = {}
 _caches: list[dict] = []
 
 
-def only(cache: dict) -> None:
-    """A Python worker serves many stages; it keeps one operator's word cache at a time."""
-    if not any(c is cache for c in _caches):
-        _caches.append(cache)
+def only(*caches: dict) -> None:
+    """A Python worker serves many stages; it keeps one operator's word caches at a time."""
+    for cache in caches:
+        if not any(c is cache for c in _caches):
+            _caches.append(cache)
     for c in _caches:
-        if c is not cache:
+        if not any(c is cache for cache in caches):
             c.clear()
 
 

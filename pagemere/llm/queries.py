@@ -97,7 +97,30 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "piece", "n_tokens", "slot", "shard", "byte_offset", F.crc32("ids").alias("ids_crc32"))
 
 
-_ALL = (op1_quality_classifier, op2_toxicity, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_best_fit_packing, op6_media_columns, op7_license_scan, op8_pseudo_likelihood, op9_warc_salvage, op10_training_order)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import linked
+
+    return linked(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, and one (-1) of two turns that are made of control strings."""
+    from .chat import format_conversations, read
+
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], own.schema)
+    return read(format_conversations(own.union(hard)))
+
+
+_ALL = (op1_quality_classifier, op2_toxicity, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_best_fit_packing, op6_media_columns, op7_license_scan, op8_pseudo_likelihood, op9_warc_salvage, op10_training_order, op11_spelling_variants, op12_tokenizer_alignment, op13_chat_format)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _OP4_SQL = r"""
