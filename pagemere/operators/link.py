@@ -1,6 +1,6 @@
 """Entity matching: token coverage scored on arrays, best candidates by window, one-to-one by mutual best rounds.
 
-Candidates meet on a shared token, never all with all.
+Candidates meet on one of the rarest tokens of a record, as many as the least score asks for, never all with all.
 """
 
 from __future__ import annotations
@@ -20,17 +20,48 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP)))
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left(id, title, surname, year), right(id, title, surname, year): pairs with a shared token and their score.
+def covered(records: DataFrame, needles: DataFrame, least: float, bonuses: list[tuple[str | None, float]]) -> DataFrame:
+    """(a, b, n, n_tokens) of records(a, ta, ...) whose tokens needles(b, tb, ...) may cover well enough.
+
+    The score is the share of ``ta`` in ``tb`` and the bonuses; a bonus (column, weight) is given where both sides have
+    one value in the column, and (None, weight) is decided by the caller.  No pair of a score of ``least`` is missed:
+    of a record of h tokens that needs m of them, one of the h - m + 1 rarest is shared.  A record is only found by
+    these, so the commonest words are no meeting place unless a record has nothing else.  Where a bonus counts, less
+    has to be shared, but its value has to be equal too.  Sides whose sizes can't do are left out.
+    """
+    words = needles.select("b", F.explode("tb").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
+    at = records.select("a", F.explode("ta").alias("t")).join(words, "t").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("rare"))
+    # what no needle has can't be shared, but counts in the record's size
+    rare = records.join(at, "a").withColumn("h", F.size("ta"))
+    columns, free = [c for c, _ in bonuses if c], sum(w for c, w in bonuses if not c)
+    left, right = None, None
+    for mask in range(1 << len(columns)):
+        own = [c for i, c in enumerate(columns) if mask >> i & 1]
+        given = free + sum(w for c, w in bonuses if c in own)
+        need = F.greatest(F.lit(1), F.ceil(F.col("h") * F.lit(least - given) - 1e-6)).cast("int")
+        # tokens that no needle has are the rarest ones of all
+        take = F.greatest(F.lit(0), F.size("rare") - need + 1)
+        keys = [F.col(c).cast("string") if c in own else F.lit("") for c in columns]
+        l_ = rare.select("a", F.explode(F.slice("rare", F.lit(1), take)).alias("x"), F.lit(mask).alias("mask"), *(k.alias(f"k{i}") for i, k in enumerate(keys)), need.alias("need")).withColumn("t", F.col("x.t")).drop("x")
+        r_ = needles.select("b", F.explode("tb").alias("t"), F.lit(mask).alias("mask"), *(k.alias(f"k{i}") for i, k in enumerate(keys)), F.size("tb").alias("size"))
+        left, right = (l_, r_) if left is None else (left.union(l_), right.union(r_))
+    met = left.join(right, ["mask", "t", *(f"k{i}" for i in range(len(columns)))]).filter("size >= need").select("a", "b").distinct()
+    both = met.join(records.select("a", "ta"), "a").join(needles.select("b", "tb"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n"), F.size("ta").alias("n_tokens"), F.size("tb").alias("m_tokens"))
+
+
+def candidates(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
+    """left(id, title, surname, year), right(id, title, surname, year): pairs with a shared token and a score of ``least``.
 
     Coverage of the left title, +0.35 for an equal surname, +0.1 for an equal year, at most 1; jaccard breaks ties.
     """
-    a = left.select(F.col("id").alias("a"), tokens(F.col("title")).alias("ta"), F.col("surname").alias("sa"), F.col("year").alias("ya"))
-    b = right.select(F.col("id").alias("b"), tokens(F.col("title")).alias("tb"), F.col("surname").alias("sb"), F.col("year").alias("yb"))
-    shared = a.select("a", F.explode("ta").alias("t")).join(b.select("b", F.explode("tb").alias("t")), "t").groupBy("a", "b").agg(F.count("*").alias("n"))
-    got = shared.join(a, "a").join(b, "b")
-    score = F.col("n") / F.size("ta") + F.when(F.col("sa") == F.col("sb"), 0.35).otherwise(0.0) + F.when(F.col("ya") == F.col("yb"), 0.1).otherwise(0.0)
-    return got.select("a", "b", F.round(F.least(F.lit(1.0), score), 6).alias("score"), F.round(F.col("n") / (F.size("ta") + F.size("tb") - F.col("n")), 6).alias("jaccard"))
+    a = left.select(F.col("id").alias("a"), tokens(F.col("title")).alias("ta"), "surname", "year")
+    b = right.select(F.col("id").alias("b"), tokens(F.col("title")).alias("tb"), "surname", "year")
+    got = covered(a, b, least, [("surname", 0.35), ("year", 0.1)])
+    got = got.join(a.select("a", F.col("surname").alias("sa"), F.col("year").alias("ya")), "a").join(b.select("b", F.col("surname").alias("sb"), F.col("year").alias("yb")), "b")
+    score = F.col("n") / F.col("n_tokens") + F.when(F.col("sa") == F.col("sb"), 0.35).otherwise(0.0) + F.when(F.col("ya") == F.col("yb"), 0.1).otherwise(0.0)
+    jaccard = F.round(F.col("n") / (F.col("n_tokens") + F.col("m_tokens") - F.col("n")), 6)
+    return got.select("a", "b", F.round(F.least(F.lit(1.0), score), 6).alias("score"), jaccard.alias("jaccard")).filter(F.col("score") >= least)
 
 
 def ready(scored: DataFrame, least: float = 0.6, gap: float = 0.15, drop: float = 0.35, keep: int = 4) -> DataFrame:
