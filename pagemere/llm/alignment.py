@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Tables, only
 
-#: Words whose ids a Python worker remembers for each tokenizer; some 200 bytes each.
-KEPT = 200_000
+#: Words whose ids a Python worker remembers for each tokenizer, and as many that it saw before; some 200 bytes each.
+KEPT = 250_000
 #: Bytes of text that are aligned at once, and of a chunk, whose pairs are summed.
 SPAN, CHUNK = 1 << 20, 16 << 20
 
@@ -56,7 +56,9 @@ class Encoder:
     def __init__(self):
         self.kind = np.dtype("<u2" if len(self.spelled) <= 1 << 16 else "<u4")
         self.lengths = np.array([len(x) for x in self.spelled], np.int64)
+        #: words seen lately, and those seen before ``kept`` was last full
         self.kept: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def cut(self, text: str) -> list[str] | None:
         """Pieces of a blank and the text; none if only the tokenizer knows them."""
@@ -66,27 +68,45 @@ class Encoder:
         """Ids of strings that each begin where a text (after the blank) or a piece does."""
         raise NotImplementedError
 
-    def _checked(self, piece: str, ids: list[int]) -> bytes | None:
-        back = b"".join(self.spelled[i] for i in ids)
-        return np.array(ids, self.kind).tobytes() if back == piece.encode("utf-8", "surrogatepass") else None
-
-    def __call__(self, text: str) -> np.ndarray | None:
-        """None if the ids don't spell a blank and the text."""
-        pieces = self.cut(text)
-        if pieces is None:
-            raw = self._checked(" " + text, self.encode([" " + text])[0])
-            return None if raw is None else np.frombuffer(raw, self.kind)
-        used = set(pieces)
-        if new := used.difference(self.kept):
-            if len(self.kept) + len(new) > KEPT:
-                self.kept.clear()
-                new = used
-            new = list(new)
-            self.kept.update(zip(new, map(self._checked, new, self.encode(new)), strict=True))
-        try:
-            return np.frombuffer(b"".join(map(self.kept.__getitem__, pieces)), self.kind)
-        except TypeError:
-            return None
+    def _checked(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of each piece; none where they don't spell it.  All are compared at once, one by one only if some differ."""
+        ids = self.encode(pieces)
+        flat = np.array([i for x in ids for i in x], np.int64)
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        stops = np.cumsum([len(x) for x in ids])
+        written = np.concatenate(([0], np.cumsum(self.lengths[flat])))[stops]
+        spelled = [self.spelled[i] for i in flat.tolist()]
+        out, at, alike = flat.astype(self.kind).tobytes(), 0, b"".join(spelled) == b"".join(raw) and np.array_equal(written, np.cumsum([len(x) for x in raw]))
+        found: list[bytes | None] = []
+        for stop, r in zip(stops.tolist(), raw, strict=True):
+            found.append(out[at * self.kind.itemsize : stop * self.kind.itemsize] if alike or b"".join(spelled[at:stop]) == r else None)
+            at = stop
+        return found
+
+    def _learn(self, used: set[str]) -> None:
+        new = used.difference(self.kept)
+        if len(self.kept) + len(new) > KEPT:
+            self.old.clear()
+            self.old.update(self.kept)
+            self.kept.clear()
+            new = used
+        known = [w for w in new if w in self.old]
+        self.kept.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        if new := list(new.difference(known)):
+            self.kept.update(zip(new, self._checked(new), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of a blank and each text; none for a text that they don't spell."""
+        cuts = [self.cut(t) for t in texts]
+        self._learn(set().union(*(c for c in cuts if c is not None)))
+        out = []
+        for text, pieces in zip(texts, cuts, strict=True):
+            try:
+                raw = self._checked([" " + text])[0] if pieces is None else b"".join(map(self.kept.__getitem__, pieces))
+            except TypeError:
+                raw = None
+            out.append(None if raw is None else np.frombuffer(raw, self.kind))
+        return out
 
 
 def _latin(text: str) -> bool:
@@ -235,10 +255,24 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return pairs, np.bincount(where, np.concatenate([n for _, n in parts]), len(pairs)).astype(np.int64)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """Ids and texts of documents, as many at once as make about ``SPAN`` characters."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc_id)
+        texts.append(text.as_py())
+        size += len(texts[-1] or "")
+        if size >= SPAN:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _first(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     """A row a document with its ids, and a row a chunk with its pairs and their numbers of documents."""
     by = aligner(path_a, path_b)
-    only(by.a.kept, by.b.kept)
+    only(by.a.kept, by.a.old, by.b.kept, by.b.old)
     task = TaskContext.get().partitionId() << 32
     chunk, size, parts, held = task, 0, [], 0
 
@@ -266,25 +300,18 @@ def _first(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Itera
         return {"chunk": chunk, "pairs": pairs.tobytes(), "counts": n.tobytes()}
 
     for batch in batches:
-        rows, waiting, n_bytes = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
-            a = by.a(text) if text else None
-            b = by.b(text) if a is not None else None
-            if b is None:
-                rows.append({"chunk": chunk, "doc_id": doc_id, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "a": b"", "b": b""})
-                continue
-            waiting.append((doc_id, a, b))
-            n_bytes += len(text)
-            if n_bytes >= SPAN:
-                more, k = some(waiting)
-                rows, size, waiting, n_bytes = rows + more, size + k, [], 0
-                if size >= CHUNK:
-                    rows.append(summed())
-                    chunk, size, parts, held = chunk + 1, 0, [], 0
-        if waiting:
-            more, k = some(waiting)
-            rows, size = rows + more, size + k
+        rows: list[dict] = []
+        for ids, texts in _groups(batch):
+            full = [i for i, t in enumerate(texts) if t]
+            a, b = by.a([texts[i] for i in full]), by.b([texts[i] for i in full])
+            good = {i: (ids[i], x, y) for i, x, y in zip(full, a, b, strict=True) if x is not None and y is not None}
+            rows += [{"chunk": chunk, "doc_id": d, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "a": b"", "b": b""} for i, d in enumerate(ids) if i not in good]
+            if good:
+                more, k = some(list(good.values()))
+                rows, size = rows + more, size + k
+            if size >= CHUNK:
+                rows.append(summed())
+                chunk, size, parts, held = chunk + 1, 0, [], 0
         yield pa.RecordBatch.from_pylist(rows, _FIRST_ARROW)
     if parts:
         yield pa.RecordBatch.from_pylist([summed()], _FIRST_ARROW)

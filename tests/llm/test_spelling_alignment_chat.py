@@ -194,14 +194,17 @@ def test_alignment_awkward_broadcast_or_not(spark, monkeypatch):
         assert alignment.linked(empty(spark), A, B, limit=limit).collect() == []
 
 
-def test_cached_pieces_equal_whole_texts():
+def test_cached_pieces_equal_whole_texts(monkeypatch):
     rng = random.Random(4)
     a, b = alignment.ByteLevel(A), alignment.Pieces(B)
     letters = "aab  \n\t.,'s1²é÷\xa0\x85<|endoftext|></s>I'll "
-    for _ in range(3000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 30)))
-        for e, whole in ((a, a.encode([" " + text])[0]), (b, b.encode([" " + text])[0])):
-            assert e(text) is not None and e(text).tolist() == whole, repr(text)
+    monkeypatch.setattr(alignment, "KEPT", 500)
+    for _ in range(60):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(50)]
+        for e in (a, b):
+            for text, got, whole in zip(texts, e(texts), e.encode([" " + t for t in texts])):
+                assert got is not None and got.tolist() == whole, repr(text)
+    assert [x is None for x in b(["a▁b", "plain", "▁", "x"])] == [True, False, True, False]
 
 
 def test_windows_equal_one_window():
