@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemere.functions.text import folded, normalize
-from pagemere.operators import matcher, rules, similar, studyaid
+from pagemere.operators import drafts, matcher, rules, similar, studyaid
 
 # Most works, notes and pages a tool lists; shortest quotation.
 MAX_WORKS, MAX_NOTES, MAX_PAGES, MIN_QUOTE = 25, 50, 10, 25
@@ -57,8 +57,10 @@ def page_status() -> Column:
 
 
 class Library:
-    def __init__(self, relation: Callable[[str], DataFrame], embed: Callable[[str], list[float]] | None = None):
+    def __init__(self, relation: Callable[[str], DataFrame], embed: Callable[[str], list[float]] | None = None, book: Callable[[list[str]], DataFrame] | None = None):
+        """``book`` gives the pages of some works from a book store; without it they are brought to normal form anew."""
         self.relation, self.embed = relation, embed
+        self.pages_of = book or (lambda works: relation("printed_text").filter(F.col("work_id").isin(*works)))
 
     # --- what the tools share
 
@@ -176,7 +178,7 @@ class Library:
         self.work(work_id)
         if len(normalize(text)) < MIN_QUOTE:
             raise ToolError(f"a quotation needs at least {MIN_QUOTE} characters to prove anything")
-        pages = self.relation("printed_text").filter(F.col("work_id") == work_id)
+        pages = self.pages_of([work_id])
         q = pages.sparkSession.createDataFrame([(0, text, work_id, near_page)], "n int, text string, work_id string, near int")
         one = matcher.find(pages, q, ["n", "work_id"]).withColumnRenamed("page", "printed_page")
         got = self._labelled(one.select("work_id", "printed_page", "match", "text"))
@@ -217,28 +219,21 @@ class Library:
         shown = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("id"))) <= MAX_NOTES
         return top.join(self.anchors().withColumnRenamed("note_id", "id"), "id", "left").select("id", "kind", "attribution", "origin", "reviewed", "tag", "body", "quotations", shown.alias("shown")).orderBy(F.desc("id"))
 
-    def draft_note(self, body: str, quotations: list[tuple[str, str, int | None]], attribution: str | None = None) -> tuple[DataFrame, DataFrame]:
+    def draft_note(self, body: str, quotations: list[tuple[str, str, int | None]], attribution: str | None = None, attributed_to: str | None = None, title: str | None = None, tags: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """(note, anchors) to append: all quotations must stand in citable works, or nothing is written.
 
-        What is stored is the text and the page that the book has.
+        What is stored is the text and the page that the book has.  Many drafts go through ``drafts.admit`` at once.
         """
         if not body.strip():
             raise ToolError("a note needs a body")
-        spark, rows, failures = self.relation("work").sparkSession, [], []
-        for i, (work_id, text, near) in enumerate(quotations, 1):
-            hit = self.find_quotation(work_id, text, near).collect()
-            if not hit:
-                failures.append(f"{i}: not found in {work_id}")
-            elif hit[0].not_citable_because or hit[0].page < 1:
-                failures.append(f"{i}: {hit[0].not_citable_because or 'front matter'}")
-            else:
-                rows.append((i, work_id, hit[0].page, hit[0].text))
-        if failures:
-            raise ToolError("nothing written:\n" + "\n".join(failures))
-        new = self.relation("note").agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
-        note = new.select("id", F.lit("note").alias("kind"), F.lit(attribution).cast("string").alias("attribution"), F.lit("assistant").alias("origin"), F.lit(body).alias("body"), F.lit(False).alias("reviewed"))
-        anchors = spark.createDataFrame(rows, "ordinal int, work_id string, printed_page int, quote string").join(new.withColumnRenamed("id", "note_id"))
-        return note, anchors.select("note_id", "ordinal", "work_id", "printed_page", "quote")
+        spark = self.relation("work").sparkSession
+        draft = spark.createDataFrame([(1, body, attribution, attributed_to, title, tags)], "draft_id int, body string, attribution string, attributed_to string, title string, tags array<string>")
+        asked = spark.createDataFrame([(1, i, *q) for i, q in enumerate(quotations, 1)], "draft_id int, n int, work_id string, text string, near int")
+        pages = self.pages_of(sorted({q[0] for q in quotations}))
+        note, anchors, refused = drafts.admit(draft, asked, pages, self.relation("work"), self.relation("note"))
+        if why := refused.first():
+            raise ToolError("nothing written:\n" + "\n".join(why.reasons))
+        return note, anchors
 
     # --- composed reads
 
@@ -257,14 +252,16 @@ class Library:
         return out.select("first", "last", "wanted", "page_index", *(F.when(F.col("page_index").isNull(), F.col(c)).alias(c) for c in ("before", "after")))
 
     def workbench(self) -> DataFrame:
-        """A row a work: first list and code, file, notes, examinable."""
-        lists = self.relation("list").select(F.col("id").alias("list_id"), "name", F.col("sort").alias("l_sort"))
+        """A row a work: its first list by sort and code there, file, notes, whether it is examinable and can be cited in full."""
+        lists = self.relation("list").select(F.col("id").alias("list_id"), "list_key", F.col("sort").alias("l_sort"))
         sections = self.relation("list_section").select(F.col("id").alias("section_id"), "letter", F.col("kind").alias("s_kind"))
         m = self.relation("list_item").join(lists, "list_id").join(sections, "section_id", "left")
-        code = F.when(F.col("s_kind") == "supplementary", F.concat(F.lit("Supl. "), F.col("name"))).otherwise(F.concat_ws(".", "name", F.coalesce("letter", F.lit("?")), F.coalesce(F.col("ordinal").cast("string"), F.lit("?"))))
+        code = rules.workbench_code(*map(F.col, ("list_key", "s_kind", "letter", "ordinal")))
         first = m.groupBy(F.col("work_id").alias("id")).agg(F.min_by(F.struct("list_id", code.alias("code")), F.struct("l_sort", "list_id", F.coalesce("section_id", F.lit(-1)))).alias("m"))
         counted = self.relation("note").filter("not rejected and not (coalesce(tag, '') = 'dossier' and not reviewed)").select(F.col("id").alias("note_id"))
         notes = self.relation("touch").join(counted, "note_id").groupBy(F.col("work_id").alias("id")).agg(F.count("*").alias("notes"))
         exam = self.relation("examinable_work").withColumn("examinable", F.lit(True))
-        w = self.relation("work").join(first, "id", "left").join(notes, "id", "left").join(exam, "id", "left")
-        return w.select("id", "title", "author", "year", "kind", "priority", F.col("m.list_id").alias("list_id"), F.col("m.code").alias("code"), F.col("path").isNotNull().alias("has_file"), F.coalesce("notes", F.lit(0)).alias("notes"), F.coalesce("examinable", F.lit(False)).alias("examinable"))
+        w = rules.imprint(self.relation("work")).withColumn("citation_complete", F.size(rules.missing_fields()) == 0)
+        w = w.join(self.relation("work_state"), "id", "left").join(first, "id", "left").join(notes, "id", "left").join(exam, "id", "left")
+        own = ("id", "title", "author", "year", "kind", "container_id", "standing", "priority", "pdf_state")
+        return w.select(*own, F.col("m.list_id").alias("list_id"), F.col("m.code").alias("code"), F.col("path").isNotNull().alias("has_file"), F.coalesce("notes", F.lit(0)).alias("notes"), F.coalesce("examinable", F.lit(False)).alias("examinable"), "citation_complete")

@@ -17,11 +17,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a) * _dot(b, b)))
 
 
-def nearest(chunks: DataFrame, query: list[float], k: int = 8) -> DataFrame:
-    """chunks(chunk_id, embedding, ...) nearest to a vector, ties by id."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    score = F.round(cosine(F.col("embedding"), q), 6)
-    return chunks.filter("embedding is not null").withColumn("score", score).orderBy(F.desc("score"), "chunk_id").limit(k)
+def nearest(chunks: DataFrame, query: list[float] | DataFrame, k: int = 8) -> DataFrame:
+    """chunks(chunk_id, embedding, ...) nearest to a vector, or to the one row of a DataFrame(query); ties by id.
+
+    The score that orders them is not rounded; the one shown has six digits.
+    """
+    if isinstance(query, DataFrame):
+        chunks, q = chunks.join(F.broadcast(query.select(F.col("query").alias("_query")).limit(1))), F.col("_query")
+    else:
+        q = F.array(*(F.lit(float(x)) for x in query))
+    best = chunks.filter("embedding is not null").withColumn("score", cosine(F.col("embedding"), q)).orderBy(F.desc("score"), "chunk_id").limit(k)
+    return best.withColumn("score", F.round("score", 6)).drop("_query")
 
 
 def _mean(df: DataFrame, by: str, vector: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pagemere.functions import layout
 from pagemere.functions import text as T
 from pagemere.library import Library
-from pagemere.operators import entities, extraction, matcher, motif, pages, studyaid, writes
+from pagemere.operators import bookstore, entities, extraction, matcher, motif, pages, studyaid, writes
 from pagemere.sources.overlay import spark_sql
+from pagemere.sources.shared import fresh_path
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -260,9 +261,22 @@ def _quotes(spark, sf_dir):
     return sql(spark, sf_dir, "SELECT work_id, note_id AS claim_id, 1 AS n, quote AS text, printed_page AS near FROM anchor")
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def book(spark, sf_dir, works=None):
+    """Pages in normal form from the tables' book store, which the first query of an application builds."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _stores:
+        path = fresh_path(spark, "books")
+        bookstore.build(_printed(spark, sf_dir), path)
+        _stores[at] = path
+    return bookstore.book(spark, _stores[at], works)
+
+
 def d2_verified(spark, sf_dir):
     q = _quotes(spark, sf_dir)
-    hits = matcher.find(_printed(spark, sf_dir), q, ["work_id", "claim_id", "n"]).select("work_id", "claim_id", "n", "page", "text")
+    hits = matcher.find(book(spark, sf_dir), q, ["work_id", "claim_id", "n"]).select("work_id", "claim_id", "n", "page", "text")
     kept, dropped = studyaid.verified(q.select("work_id", "claim_id").distinct(), q, hits)
     count = [F.size("quotes").alias("n_found"), F.size("lost").alias("n_lost")]
     return kept.select("work_id", "claim_id", *count, F.lit(None).cast("string").alias("reason")).union(dropped.select("work_id", "claim_id", *count, "reason"))
@@ -346,7 +360,7 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
             return sql(spark, sf_dir, "SELECT id AS work_id, 'argument' AS kind, '{\"key_arguments\":[{\"title\":\"t\"}]}' AS body, true AS reviewed FROM work")
         return _rel(spark, sf_dir, name)
 
-    return Library(relation, embed=lambda _: [1.0] + [0.0] * 63)
+    return Library(relation, embed=lambda _: [1.0] + [0.0] * 63, book=lambda works: book(spark, sf_dir, works))
 
 
 def tl1_find_works(spark, sf_dir):
@@ -442,14 +456,20 @@ ORACLE = {
       CASE WHEN basis = 'hand_set' THEN 'hand set' WHEN offset_problem IS NULL THEN CASE WHEN offset_checked THEN 'verified' ELSE 'unchecked' END WHEN accepted THEN 'unverified: the file''s own page, not the edition''s' ELSE 'unverified: numbering unsettled' END AS page_numbers,
       CASE WHEN basis = 'hand_set' THEN 'hand set' WHEN offset_problem IS NOT NULL THEN 'no' ELSE 'yes' END AS page_verified, id IN (SELECT work_id FROM page) AS has_pages, id IN (SELECT work_id FROM chunk WHERE embedded) AS searchable, CASE WHEN hand THEN 'added' ELSE 'notes' END AS in_project, (SELECT count(*) FROM h) AS found FROM h""",
     "tl4_search": f"""SELECT c.chunk_id, c.work_id, w.title, c.start_page, concat(c.start_page, CASE WHEN {_UNVERIFIED} THEN '*' ELSE '' END) AS page_label, CASE WHEN w.basis = 'hand_set' THEN 'hand set' WHEN {_UNVERIFIED} THEN 'no' ELSE 'yes' END AS page_verified, round(v.score, 3) AS score
-      FROM (SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS score FROM {{embeddings}}) v JOIN chunk c ON c.chunk_id = v.vec_id JOIN work w ON w.id = c.work_id WHERE c.section_type IS DISTINCT FROM 'front' AND c.lang = 'en' ORDER BY v.score DESC, c.chunk_id LIMIT 30""",
+      FROM (SELECT vec_id, embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS raw, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS score FROM {{embeddings}}) v JOIN chunk c ON c.chunk_id = v.vec_id JOIN work w ON w.id = c.work_id WHERE c.section_type IS DISTINCT FROM 'front' AND c.lang = 'en' ORDER BY v.raw DESC, c.chunk_id LIMIT 30""",
+    "r18_workbench": """WITH m AS (SELECT i.work_id, i.list_id, CASE WHEN l.list_key IN ('theory', 'dissertation', 'teaching') THEN CASE WHEN s.kind = 'supplementary' THEN 'Supl. ' ELSE '' END || CASE l.list_key WHEN 'theory' THEN 'I' WHEN 'dissertation' THEN 'II' ELSE 'III' END || CASE WHEN s.kind = 'supplementary' THEN '' ELSE '.' || coalesce(s.letter, '?') || '.' || coalesce(i.ordinal::VARCHAR, '?') END END AS code,
+      row_number() OVER (PARTITION BY i.work_id ORDER BY l.sort, l.id) AS nth FROM list_item i JOIN list l ON l.id = i.list_id LEFT JOIN list_section s ON s.id = i.section_id),
+      n AS (SELECT t.work_id, count(*) AS notes FROM touch t JOIN note ON note.id = t.note_id WHERE NOT rejected AND (tag IS DISTINCT FROM 'dossier' OR reviewed) GROUP BY t.work_id)
+      SELECT w.id, w.title, w.author, w.year, w.kind, w.container_id, st.standing, w.priority, st.pdf_state, m.list_id, m.code, w.path IS NOT NULL AS has_file, coalesce(n.notes, 0) AS notes, w.id IN (SELECT id FROM examinable_work) AS examinable,
+      coalesce(w.author, w.editor, c.editor) IS NOT NULL AND CASE WHEN w.kind = 'film' THEN w.year IS NOT NULL WHEN c.id IS NOT NULL THEN c.publisher IS NOT NULL AND c.place IS NOT NULL AND c.year IS NOT NULL ELSE w.publisher IS NOT NULL AND w.place IS NOT NULL AND w.year IS NOT NULL END AND (w.url IS NULL OR w.accessed IS NOT NULL) AS citation_complete
+      FROM work w JOIN work_state st ON st.id = w.id LEFT JOIN work c ON c.id = w.container_id LEFT JOIN m ON m.work_id = w.id AND m.nth = 1 LEFT JOIN n ON n.work_id = w.id""",
     "tl5_read_pages": f"""SELECT p.printed_page, concat(p.printed_page, CASE WHEN {_UNVERIFIED} THEN '*' ELSE '' END) AS page_label, p.page_index, CASE WHEN p.printed_page < 1 THEN 'front matter' WHEN p.folio IS NULL THEN 'computed' WHEN p.folio = p.printed_page THEN 'printed' ELSE 'warning: the page reads ' || p.folio END AS number,
       CASE WHEN w.offset_problem IS NOT NULL AND NOT w.accepted THEN 'page numbering unsettled: ' || w.offset_problem WHEN NOT w.offset_checked THEN 'page numbering never checked' END AS not_citable_because,
       CASE WHEN w.basis = 'hand_set' THEN 'hand set' WHEN w.offset_problem IS NULL THEN CASE WHEN w.offset_checked THEN 'verified' ELSE 'unchecked' END WHEN w.accepted THEN 'unverified: the file''s own page, not the edition''s' ELSE 'unverified: numbering unsettled' END AS page_numbers
       FROM printed p JOIN work w ON w.id = p.work_id WHERE p.work_id = 'src3' AND p.printed_page BETWEEN 4 AND 9""",
     "tl7_study_aid": "SELECT 'src3' AS work_id, true AS reviewed, 1 AS arguments",
     "x23_viability": f"""WITH {_LINES}, s AS (SELECT work_id, page_index, text, max(page_index) OVER (PARTITION BY work_id) AS last FROM scan), b AS (SELECT work_id, min(v) AS low FROM (SELECT work_id, TRY_CAST(unnest(CASE WHEN len(l) > 1 THEN [l[1], l[-1]] ELSE l[1:1] END) AS VARCHAR) AS x FROM ln), LATERAL (SELECT CASE WHEN regexp_full_match(x, '[0-9]{{1,4}}') THEN x::INT END AS v) WHERE v > 0 AND v < 2000 GROUP BY 1),
-      a AS (SELECT work_id, count(*) AS n, floor(sum(len(trim(text))) / count(*)) AS chars, bool_or(page_index <= 16 AND (regexp_matches(text, '{extraction.COPYRIGHT}') OR regexp_matches(text, '{extraction.COPYRIGHT_ALSO}'))) AS c, bool_or(page_index > last - 20 AND regexp_matches(text, '{extraction.BACK_MATTER}')) AS k FROM s GROUP BY 1),
+      a AS (SELECT work_id, count(*) AS n, floor(sum(len(trim(text))) / count(*)) AS chars, bool_or(page_index <= 16 AND regexp_matches(text, '{extraction.BOOK_COPYRIGHT}')) AS c, bool_or(page_index > last - 20 AND regexp_matches(text, '{extraction.BACK_MATTER}')) AS k FROM s GROUP BY 1),
       r AS (SELECT a.work_id, chars, list_filter([CASE WHEN regexp_matches(w.path, '{extraction.PARTIAL_NAME}') THEN 'filename says partial' END, CASE WHEN NOT c THEN 'no copyright page' END, CASE WHEN NOT k THEN 'no index or bibliography' END, CASE WHEN a.n < 60 THEN 'only ' || a.n || ' pages' END, CASE WHEN low > 20 THEN 'folios start at ' || low END], lambda x: x IS NOT NULL) AS why FROM a LEFT JOIN work w ON w.id = a.work_id LEFT JOIN b ON b.work_id = a.work_id)
       SELECT work_id, array_to_string(why, '; ') AS reasons, CASE WHEN chars < 50 THEN 'no text layer' ELSE ['looks complete', 'check', 'likely excerpt'][1 + least(2, len(why))] END AS verdict FROM r""",
     "x20_damage": "SELECT work_id, tokens, bad, round(CASE WHEN tokens > 0 THEN bad / tokens ELSE 0 END, 6) AS rate FROM (SELECT work_id, CAST(sum(len(w)) AS BIGINT) AS tokens, CAST(sum(len(list_filter(w, lambda x: len(x) >= 4 AND NOT regexp_matches(lower(x), '[aeiouyáéíóúüàèìòùâêîôûäëïö]'))) + j) AS BIGINT) AS bad FROM (SELECT work_id, regexp_extract_all(text, '\\pL{2,}') AS w, len(regexp_extract_all(regexp_replace(text, '(\\pL)', '\\1\\1', 'g'), '\\pL[^\\s\\pL\\pN_''’\\-–—.]\\pL')) AS j FROM page WHERE text IS NOT NULL) GROUP BY work_id)",

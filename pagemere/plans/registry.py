@@ -10,7 +10,7 @@ from pagemere.operators import chunks, citations, link, matcher, pages, similar,
 from pagemere.sources import files
 from pagemere.sources.overlay import duck_sql, spark_sql
 
-from . import catalogue, derived, lists, written
+from . import catalogue, derived, lists, loaded, written
 from .relational import OTHER, SQL
 
 
@@ -79,8 +79,8 @@ def m6_quotation_close(spark, sf_dir):
 
 def t1_topk_cosine(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    query = v.filter("chunk_id = 7").select("embedding").first()
-    return similar.nearest(v.filter("section_type is distinct from 'front'"), query[0] if query and query[0] else [1.0] + [0.0] * 63, 30).select("chunk_id", "work_id", "score")
+    query = v.filter("chunk_id = 7").select(F.col("embedding").alias("query"))
+    return similar.nearest(v.filter("section_type is distinct from 'front'"), query, 30).select("chunk_id", "work_id", "score")
 
 
 def v4_centred_vectors(spark, sf_dir):
@@ -181,7 +181,7 @@ QUERIES = {n: _text_query(n) for n in SQL} | {
         v6_pairs, v5_neighbours, v7_corpus_map, x10_chunker, x7_language, x1_fold, x5_key, fmt1_uninvert, fmt7_isbn13,
         fmt2_bibliography, fmt3_footnote, snk5_upsert, snk6_append_absent, snk9_history, snk11_csv_lines, e4_coverage, e2_one_to_one,
     )
-} | derived.QUERIES | catalogue.QUERIES | written.QUERIES | lists.QUERIES
+} | derived.QUERIES | catalogue.QUERIES | written.QUERIES | lists.QUERIES | loaded.QUERIES
 
 _CENTRED = """w0 AS (SELECT c.work_id, c.lang, e.embedding::DOUBLE[] AS v FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front'),
  l AS (SELECT work_id, mode() WITHIN GROUP (ORDER BY lang) AS lang FROM w0 GROUP BY work_id),
@@ -217,7 +217,7 @@ _OWN = {
     "snk11_csv_lines": "SELECT concat_ws(',', event_id::VARCHAR, event_type, CASE WHEN props LIKE '%\"%' THEN concat('\"', replace(props, '\"', '\"\"'), '\"') ELSE props END) AS value FROM {events}",
     "j1_printed_pages": "SELECT work_id, page_index, folio, printed_page FROM printed",
     "m4_quotation_exact": "SELECT b.item_id, p.work_id, p.page_index, q.printed_page, 'exact' AS match FROM page p JOIN printed q ON q.work_id = p.work_id AND q.page_index = p.page_index JOIN {benchmark} b ON contains(lower(regexp_replace(p.text, '\\s+', ' ', 'g')), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'), ' \"''')))",
-    "t1_topk_cosine": "SELECT c.chunk_id, c.work_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 7)), 6) AS score FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front' ORDER BY score DESC, chunk_id LIMIT 30",
+    "t1_topk_cosine": "SELECT c.chunk_id, c.work_id, round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 7)), 6) AS score FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front' ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM {embeddings} WHERE vec_id = 7)) DESC, chunk_id LIMIT 30",
     "fmt2_bibliography": f"""WITH {_CITED}, p AS (SELECT *, CASE WHEN kind = 'film' THEN '' ELSE concat(CASE WHEN author IS NOT NULL THEN author || '. ' WHEN editor IS NOT NULL THEN editor || ', ed. ' END, CASE WHEN kind = 'essay' THEN '"' || title || '."' ELSE '*' || title || '*.' END,
       CASE WHEN held THEN concat(' In *', ct, '*,', ' edited by ' || ce || ',', ' ' || first_page || '.') END) END AS head, concat(' Accessed ' || accessed || '. ' || url || '.', CASE WHEN accessed IS NULL THEN ' ' || url || '.' END) AS online FROM im),
       m AS (SELECT id, concat(CASE WHEN author IS NOT NULL THEN author || '. ' WHEN editor IS NOT NULL THEN editor || ', editor. ' END, CASE WHEN kind = 'essay' THEN '"' || title || '."' ELSE '*' || title || '*.' END, CASE WHEN held THEN concat(' *', ct, '*,', ' edited by ' || ce || ',') END, ' ' || nullif(concat_ws(', ', ip, iy), '') || ',', CASE WHEN held THEN ' pp. ' || first_page || ',' END) AS body, concat(' ' || url || '.', CASE WHEN url IS NOT NULL THEN ' Accessed ' || accessed || '.' END) AS tail FROM im),
@@ -242,4 +242,4 @@ _OWN = {
       FROM (SELECT p_partkey, concat('978', lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0')) AS b FROM {part})""",
 }
 
-ORACLE_SQL = {n: duck_sql(OTHER.get(n, t)) for n, t in SQL.items()} | {n: duck_sql(t) for n, t in (_OWN | derived.ORACLE | catalogue.ORACLE | written.ORACLE | lists.ORACLE).items()}
+ORACLE_SQL = {n: duck_sql(OTHER.get(n, t)) for n, t in SQL.items()} | {n: duck_sql(t) for n, t in (_OWN | derived.ORACLE | catalogue.ORACLE | written.ORACLE | lists.ORACLE | loaded.ORACLE).items()}

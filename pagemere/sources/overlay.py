@@ -21,6 +21,7 @@ RELATIONS = {
       CASE n % 4 WHEN 0 THEN 'hand_set' WHEN 1 THEN 'none_printed' END AS basis, CASE n % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'see index' END AS internal_notes,
       CASE WHEN n % 5 = 3 THEN 'https://example.org' END AS url, CASE WHEN n % 10 = 3 THEN '2024-05-01' END AS accessed,
       CASE WHEN n % 10 = 4 THEN 'Ed, Itor' END AS editor, CASE WHEN n % 7 = 3 THEN 'waits for OCR' END AS verdict FROM src""",
+    "work_state": "SELECT id, CASE n % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'optional' END AS standing, CASE n % 5 WHEN 0 THEN 'held' WHEN 1 THEN 'wanted' WHEN 2 THEN 'none' END AS pdf_state FROM src",
     "page": """SELECT p.work_id, p.page_index, p.lang, p.chunk_id, p.text, CASE WHEN p.page_index % 5 = 0 THEN NULL WHEN p.page_index % 11 = 0 THEN p.page_index + w.page_offset + 3
       ELSE p.page_index + w.page_offset END AS folio FROM (SELECT source AS work_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_index, lang, doc_id AS chunk_id, text
       FROM {documents} WHERE source IS NOT NULL) p JOIN work w ON w.id = p.work_id""",

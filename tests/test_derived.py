@@ -3,6 +3,7 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemere.functions import layout
 from pagemere.library import ToolError
@@ -17,11 +18,16 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_clean_page():
-    got = layout.clean_page("o√ered ofﬁce\nsome-\nthing Franco-\nMexican\n\nNew  line a­b√ end.√2", {"√": "ff"})
+def test_clean_page(spark):
+    def clean(text, *maps):
+        return spark.createDataFrame([(text,)], "t string").select(layout.cleaned(F.col("t"), *maps)).first()[0]
+
+    got = clean("o√ered ofﬁce\nsome-\nthing Franco-\nMexican\n\nNew  line a­b√ end.√2", {"√": "ff"})
     assert got == "offered office something Franco- Mexican\n\nNew line abff end.√2"
-    assert layout.clean_page("end.∞≤ x∞", figures={"∞": "1", "≤": "2"}) == "end.¹² x∞"
-    assert layout.clean_page("\0a\ud800b") == "ab" and layout.clean_page("") == ""
+    assert clean("end.∞≤ x∞", None, {"∞": "1", "≤": "2"}) == "end.¹² x∞"
+    assert clean("end.∞≤∞≤ a.¹∞", None, {"∞": "1", "≤": "2"}) == "end.¹²¹≤ a.¹∞"
+    assert clean("\0ab") == "ab" and clean("") == "" and clean(None) is None
+    assert clean("e\u0301te\u0301 \x1c \n \n\n\n x\u2003\n\u2003aˇc bˉd \xa0 y  ") == "\xe9t\xe9\n\n x\u2003 \u2003a\u010d b\u0304d y"
 
 
 def test_blocks():
