@@ -15,7 +15,8 @@ bytes, those whose block digest proves them.  ``begin`` and ``end`` are places i
 in the member's unpacked bytes (null for plain records and for gaps of the archive itself).
 
 Defined results: null html is an empty payload; a null page_id is kept as null; rows that share the smallest
-page_id of a payload are all responses (ties), as repeated rows of it are; very long pages are records like others;
+page_id of a payload are all responses (ties), as repeated rows of it are; very long pages are records like others
+(an archive, and a member unpacked, are held by one task);
 columns other than page_id, url and html are not read; an empty table gives an empty result.  A digest of an unknown
 algorithm is not checked.  Records without a type are of type ``unknown``; a payload is what follows the HTTP head
 in records of HTTP messages, else the whole block; a revisit's size and digest are those its header states, null
@@ -99,15 +100,34 @@ def proved(head: dict, body: bytes) -> bool | None:
     return value.strip().upper().rstrip("=") in right if right else None
 
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int] | None:
-    """Headers, body and end of the record at ``at``; None if it isn't whole and right."""
+class _Blank:
+    """The next blank line from a place on; places are asked for in rising order, so every stretch is searched once."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at = raw, -1
+
+    def __call__(self, p: int) -> int:
+        if self.at < p:
+            found = self.raw.find(b"\r\n\r\n", p)
+            self.at = len(self.raw) if found < 0 else found
+        return self.at
+
+
+def parse(raw: bytes, at: int = 0, blank: _Blank | None = None) -> tuple[dict, bytes, int] | None:
+    """Headers, body and end of the record at ``at``; None if it isn't whole and right.
+
+    Fields are read one by one up to the blank line, so a damaged header ends at its first line that is no field.
+    """
     line = _LINE.match(raw, at)
-    stop = raw.find(b"\r\n\r\n", at) if line else -1
-    if stop < 0:
+    stop = (blank or _Blank(raw))(at) if line else len(raw)
+    if stop == len(raw) or stop < line.end():
         return None
     head: dict[str, str] = {}
-    name = None
-    for field in raw[line.end() : stop].split(b"\r\n"):
+    name, place = None, line.end()
+    while place < stop:
+        to = raw.find(b"\r\n", place, stop)
+        to = stop if to < 0 else to
+        field, place = raw[place:to], to + 2
         if name and field[:1] in (b" ", b"\t"):  # a folded line
             head[name] += " " + field.strip().decode("utf-8", "replace")
             continue
@@ -145,9 +165,9 @@ def _unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
 
 def _records(raw: bytes) -> Iterator[tuple[dict | None, bytes, int, int]]:
     """Records of unpacked bytes and the gaps between them."""
-    p, gap = 0, 0
+    p, gap, blank = 0, 0, _Blank(raw)
     while p < len(raw):
-        if got := parse(raw, p):
+        if got := parse(raw, p, blank):
             if gap < p:
                 yield None, raw[gap:p], gap, p
             yield got[0], got[1], p, got[2]
@@ -161,7 +181,7 @@ def _records(raw: bytes) -> Iterator[tuple[dict | None, bytes, int, int]]:
 
 def salvage(data: bytes) -> Iterator[Found]:
     """Each record of an archive and each quarantined gap."""
-    at, gap = 0, 0
+    at, gap, blank = 0, 0, _Blank(data)
     stored: set[bytes] = set()  # records taken from a damaged member, which may stand in its bytes unpacked
     reach = 0
     while at < len(data):
@@ -177,7 +197,7 @@ def salvage(data: bytes) -> Iterator[Found]:
                 reach = max(reach, end)
                 for h, body, a, _ in good:
                     yield Found(h, body, at, end, a)
-        elif got := parse(data, at):
+        elif got := parse(data, at, blank):
             end = got[2]
             if not (at < reach and hashlib.sha1(data[at:end]).digest() in stored):
                 found = [Found(got[0], got[1], at, end, None)]

@@ -299,6 +299,29 @@ def test_warc_salvages_within_members():
     assert page_ids(bytes(stored) + raw[2]) == ["0", "1", None, "2"]
 
 
+def test_warc_salvage_is_linear_on_damage():
+    import time
+
+    good = warc.record(7, "u", b"x" * 500)
+
+    def seconds(damage, n):
+        data = damage * (n // len(damage)) + good
+        began = time.process_time()
+        assert page_ids(data) == [None, "7"]
+        return time.process_time() - began
+
+    for damage in (b"WARC/1.0\r\n", b"junk WARC/1.0\r\n", b"WARC/1.0\r\nA: b\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\n"):
+        small = min(seconds(damage, 1 << 19) for _ in range(2))
+        assert seconds(damage, 1 << 22) < 2.5**3 * small + 0.5, damage
+
+
+def test_warc_long_pages(spark):
+    html = "<p>long</p>" * 400_000
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", html), (3, "u", "s")], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(warc.write(pages)).collect()}
+    assert got == {1: (len(html), "response", None), 2: (len(html), "revisit", 1), 3: (1, "response", None)}
+
+
 def test_warc_of_other_writers(spark):
     def made(version, fields, body):
         return f"WARC/{version}\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(body))]).encode() + b"\r\n" + body + b"\r\n\r\n"
