@@ -72,6 +72,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
         "score",
+        F.col("found").alias("spans"),
     )
 
 
