@@ -13,7 +13,7 @@ NUMERALS = {"theory": "I", "dissertation": "II", "teaching": "III"}
 WARN_AT, FAIL_AT = 0.7, 0.85
 ACCEPTED_HAND_SET, ACCEPTED_UNNUMBERED = "accepted (hand set)", "accepted (no printed numbers)"
 OWN_PAGES, UNSETTLED_PAGES = "unverified: the file's own page, not the edition's", "unverified: numbering unsettled"
-PROVENANCE = ("written by hand", "found by Claude, confirmed by her", "assistant proposal, UNREVIEWED")
+PROVENANCE = ("written by hand", "found by the assistant, confirmed by a person", "assistant proposal, UNREVIEWED")
 NEVER_CHECKED, UNSETTLED = "page numbering never checked", "page numbering unsettled: "
 
 

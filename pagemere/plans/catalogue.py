@@ -64,7 +64,7 @@ def r23_catalogue_counts(spark, sf_dir):
 
 
 def _states(spark, sf_dir):
-    w = sql(spark, sf_dir, "SELECT w.id, w.n, w.path, w.verdict, coalesce(p.pages, 0) AS pages FROM work w LEFT JOIN (SELECT work_id, count(*) AS pages FROM page WHERE page_index % 4 = 3 GROUP BY work_id) p ON p.work_id = w.id AND w.n % 3 = 0")
+    w = sql(spark, sf_dir, "SELECT w.id, w.n, w.path, w.verdict, CASE WHEN w.n % 3 = 0 THEN coalesce(p.pages, 0) ELSE 0 END AS pages FROM work w LEFT JOIN (SELECT work_id, count(*) AS pages FROM page GROUP BY work_id) p ON p.work_id = w.id")
     return w.select("id", rules.register_state(F.col("path"), F.col("verdict"), F.col("pages")).alias("state"), "n")
 
 
@@ -224,7 +224,7 @@ _IMPRINT = """im AS (SELECT w.*, CASE WHEN c.id IS NULL THEN w.publisher ELSE c.
   CASE WHEN c.id IS NULL THEN w.editor ELSE c.editor END AS ie, c.title AS container_title FROM work w LEFT JOIN work c ON c.id = w.container_id)"""
 _LACKS = """array_to_string(list_filter([CASE WHEN author IS NULL AND editor IS NULL AND ie IS NULL THEN 'author' END, CASE WHEN kind <> 'film' AND ip IS NULL THEN 'publisher' END,
   CASE WHEN kind <> 'film' AND ic IS NULL THEN 'place' END, CASE WHEN CASE WHEN kind = 'film' THEN year ELSE iy END IS NULL THEN 'year' END, CASE WHEN url IS NOT NULL AND accessed IS NULL THEN 'access date' END], lambda x: x IS NOT NULL), '; ')"""
-_FILED = "st AS (SELECT w.id, w.n, CASE WHEN w.path IS NULL THEN 'none' WHEN w.n % 3 = 0 AND EXISTS (SELECT 1 FROM page p WHERE p.work_id = w.id AND p.page_index % 4 = 3) THEN 'loaded' WHEN w.n % 7 = 3 THEN 'queued' ELSE 'ready' END AS state FROM work w)"
+_FILED = "st AS (SELECT w.id, w.n, CASE WHEN w.path IS NULL THEN 'none' WHEN w.n % 3 = 0 AND EXISTS (SELECT 1 FROM page p WHERE p.work_id = w.id) THEN 'loaded' WHEN w.n % 7 = 3 THEN 'queued' ELSE 'ready' END AS state FROM work w)"
 _PART_OF = "mem AS (SELECT p.parent_id AS axis_id, nw.work_id, p.id AS part_id, nw.role, p.kind AS part_kind FROM note p JOIN note_work nw ON nw.note_id = p.id JOIN note a ON a.id = p.parent_id WHERE a.kind = 'axis')"
 _ROMAN = "[NULL, 'I', 'II', 'III'][1 + CASE WHEN i.list_id < 3 THEN i.list_id + 1 ELSE 0 END]"
 
@@ -273,6 +273,6 @@ ORACLE = {
       SELECT t.id AS note_id, t.kind, t.axis, coalesce(r.relation, '') AS relation, coalesce(r.role, '') AS role, (SELECT count(*) FROM rel x WHERE x.note_id = t.id) AS relations_in_note,
       coalesce((SELECT string_agg(DISTINCT x.title, '; ' ORDER BY x.title) FROM named x WHERE x.note_id = t.id AND x.title IS DISTINCT FROM r.title), CASE WHEN r.note_id IS NULL THEN NULL ELSE '' END) AS also_touching,
       coalesce(r.work_id, '') AS work_id, r.printed_page, coalesce(r.verified, '') AS page_verified, r.quote, coalesce(t.attribution, 'UNCLASSIFIED') AS whose_claim,
-      CASE WHEN t.origin = 'human' THEN 'written by hand' WHEN t.reviewed THEN 'found by Claude, confirmed by her' ELSE 'assistant proposal, UNREVIEWED' END AS provenance
+      CASE WHEN t.origin = 'human' THEN 'written by hand' WHEN t.reviewed THEN 'found by the assistant, confirmed by a person' ELSE 'assistant proposal, UNREVIEWED' END AS provenance
       FROM told t LEFT JOIN named r ON r.note_id = t.id""",
 }

@@ -189,9 +189,10 @@ def e8_isbn_pick(spark, sf_dir):
 
 
 def e10_inventory(spark, sf_dir):
-    w = _rel(spark, sf_dir, "work").select(F.col("id").alias("work"), "path", "url")
-    typed, matched = w.filter("url is not null").select("work", F.concat("work", F.lit("-typed.pdf")).alias("file")), w.filter("path is not null").select("work", F.col("path").alias("file"))
-    return entities.inventory(w, typed, matched, _rel(spark, sf_dir, "page").filter("lang = 'es'")).select("work", F.array_join("files", "|").alias("files"), "state")
+    """Works, whose pages are loaded, and customers as works that have none."""
+    w = sql(spark, sf_dir, "SELECT id AS work, path, CASE WHEN url IS NOT NULL THEN concat(id, '-typed.pdf') END AS typed FROM work UNION ALL SELECT c_name, CASE WHEN c_custkey % 2 = 0 THEN concat(c_name, '.pdf') END, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '-typed.pdf') END FROM {customer}")
+    typed, matched = (w.filter(F.col(c).isNotNull()).select("work", F.col(c).alias("file")) for c in ("typed", "path"))
+    return entities.inventory(w, typed, matched, _rel(spark, sf_dir, "page")).select("work", F.array_join("files", "|").alias("files"), "state")
 
 
 def e11_placements(spark, sf_dir):
@@ -478,7 +479,7 @@ ORACLE = {
     "fmt6_slug": "SELECT id, concat_ws('-', lower(string_split(author, ',')[1]), 'title', id, year::VARCHAR) AS slug FROM work",
     "fmt12_html_lang": "SELECT doc_id, CASE WHEN lang LIKE 'es%' THEN 'es' WHEN lang LIKE 'fr%' THEN 'fr' WHEN lang LIKE 'de%' THEN 'de' ELSE 'en' END AS lang FROM {documents}",
     "e8_isbn_pick": "SELECT p_partkey AS id, concat(b, ((10 - list_sum(list_transform(range(1, 13), lambda i: substr(b, i::INT, 1)::INT * (CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END))) % 10) % 10)::INT::VARCHAR) AS isbn13, 'one print ISBN' AS why FROM (SELECT p_partkey, concat('978', lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0')) AS b FROM {part})",
-    "e10_inventory": "SELECT id AS work, CASE WHEN url IS NOT NULL THEN concat(id, '-typed.pdf') ELSE path END AS files, CASE WHEN EXISTS (SELECT 1 FROM page p WHERE p.work_id = w.id AND p.lang = 'es') THEN 'loaded' WHEN url IS NOT NULL OR path IS NOT NULL THEN 'mapped' ELSE 'missing' END AS state FROM work w",
+    "e10_inventory": "SELECT id AS work, CASE WHEN url IS NOT NULL THEN concat(id, '-typed.pdf') ELSE path END AS files, CASE WHEN id IN (SELECT work_id FROM page) THEN 'loaded' WHEN url IS NOT NULL OR path IS NOT NULL THEN 'mapped' ELSE 'missing' END AS state FROM work UNION ALL SELECT c_name, CASE WHEN c_custkey % 3 = 0 THEN concat(c_name, '-typed.pdf') WHEN c_custkey % 2 = 0 THEN concat(c_name, '.pdf') END, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'mapped' ELSE 'missing' END FROM {customer}",
     "e11_placements": "WITH r AS (SELECT c_custkey AS line, c_nationkey AS list_id, c_mktsegment AS section, c_acctbal < 0 AS split, c_name AS work_id FROM {customer} WHERE c_acctbal <= 9000), s AS (SELECT list_id, section, row_number() OVER (PARTITION BY list_id ORDER BY min(line))::INT AS section_sort FROM r GROUP BY 1, 2) SELECT r.list_id, work_id, section_sort, greatest(1, sum(CASE WHEN split THEN 0 ELSE 1 END) OVER (PARTITION BY r.list_id ORDER BY line))::INT AS ordinal FROM r JOIN s ON s.list_id = r.list_id AND s.section = r.section",
     "x25_repaired_names": "SELECT n_nationkey AS id, concat(n_name, ' así.pdf') AS value FROM {nation}",
     "x33_surname": "SELECT id, lower(coalesce(string_split(author, ',')[1], '')) AS surname FROM work",

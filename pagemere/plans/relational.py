@@ -95,7 +95,7 @@ SQL = {
     "w10_cascade_delete": "SELECT a.note_id, a.ordinal FROM anchor a WHERE NOT EXISTS (SELECT 1 FROM note n WHERE n.id = a.note_id AND n.rejected)",
     "d3_verdict_batches": "SELECT id, n, CAST(floor((row_number() OVER (PARTITION BY n ORDER BY id) - 1) / 20.0) AS BIGINT) AS batch FROM note WHERE kind = 'claim'",
     "h1_order_revenue": "SELECT o.o_orderpriority AS priority, count(DISTINCT o.o_orderkey) AS orders, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderpriority",
-    "h2_customers_without_orders": "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
+    "h2_customers_without_orders": "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority LIKE '1%')",
     "h3_latest_order": "SELECT c_custkey, o_orderkey FROM (SELECT c.c_custkey, o.o_orderkey, row_number() OVER (PARTITION BY c.c_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey) AS r FROM {customer} c JOIN {orders} o ON o.o_custkey = c.c_custkey) x WHERE r = 1",
     "a16_events_per_local_day": "SELECT CAST(to_date(from_utc_timestamp(CAST(ts AS TIMESTAMP), 'America/Denver')) AS STRING) AS day, count(*) AS n FROM {events} GROUP BY 1",
     "a11_mode_language": "SELECT work_id, mode(lang, true) AS lang FROM chunk GROUP BY work_id",

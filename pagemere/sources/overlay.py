@@ -37,7 +37,7 @@ RELATIONS = {
       CASE (conv_id + turn) % 4 WHEN 0 THEN 'author' WHEN 1 THEN 'own' WHEN 2 THEN 'other' END AS attribution,
       CASE WHEN conv_id % 5 = 0 THEN 'dossier' WHEN conv_id % 5 = 1 THEN 'owls' WHEN conv_id % 5 = 2 THEN 'night' END AS tag,
       role AS origin, CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN concat('Axis ', CAST(conv_id AS VARCHAR(20))) END AS title, text AS body, turn % 2 = 0 AS reviewed, conv_id % 7 = 3 AND turn % 5 = 4 AS rejected, CAST(conv_id % 20 AS INT) AS n, CAST(turn AS INT) AS turn FROM {conversations}""",
-    "note_work": "SELECT id AS note_id, concat('src', CAST(n AS VARCHAR(9))) AS work_id, CASE WHEN turn % 2 = 0 THEN 'ficha' ELSE 'about' END AS role FROM note WHERE kind <> 'question'",
+    "note_work": "SELECT id AS note_id, concat('src', CAST(n AS VARCHAR(9))) AS work_id, CASE WHEN turn % 2 = 0 THEN 'ficha' ELSE 'about' END AS role FROM note WHERE kind <> 'question' AND n <> 17",
     "anchor": """SELECT id AS note_id, 1 AS ordinal, concat('src', CAST((n + turn) % 20 AS VARCHAR(9))) AS work_id, CASE WHEN turn % 3 > 0 THEN turn * 7 + 1 END AS printed_page,
       CASE WHEN turn % 4 = 0 THEN '' WHEN turn % 4 > 1 THEN substr(body, 1, 30) END AS quote FROM note WHERE kind IN ('claim', 'ficha')""",
     "note_link": "SELECT id AS from_note, id - 1 AS to_note, CASE WHEN turn % 3 = 0 THEN 'bridge' ELSE 'answers' END AS kind FROM note WHERE turn > 0 AND n % 2 = 0",
