@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemere.functions.text import _column, fold, folded, isbn13
+from pagemere.operators import link
 
 # Words that say nothing of a title; formats from best to worst; what tells an edition's kind.
 STOP = (
@@ -82,12 +83,13 @@ def item_files(scores: DataFrame, files: DataFrame, overrides: DataFrame) -> Dat
 def split_entries(entries: DataFrame, works: DataFrame, matched: DataFrame) -> DataFrame:
     """(work, entry): works nobody claimed whose title, of two words or more, lies whole in an entry that is matched.
 
-    entries(entry, text), works(work, title), matched(entry, work).  The first such entry is taken.
+    entries(entry, text), works(work, title), matched(entry, work).  The first such entry is taken.  A work meets only
+    the entries that have its rarest word.
     """
     e = entries.join(matched.select("entry").distinct(), "entry", "left_semi").select("entry", F.array_distinct(tokens(F.col("text"))).alias("et"))
     w = works.join(matched.select("work").distinct(), "work", "left_anti").select("work", F.array_distinct(tokens(F.col("title"))).alias("wt")).filter(F.size("wt") >= 2)
-    held = w.select("work", F.size("wt").alias("need"), F.explode("wt").alias("t")).join(e.select("entry", F.explode("et").alias("t")), "t").groupBy("work", "entry", "need").agg(F.count("*").alias("n"))
-    return held.filter("n = need").groupBy("work").agg(F.min("entry").alias("entry"))
+    held = link.covered(w.select(F.col("work").alias("a"), F.col("wt").alias("ta")), e.select(F.col("entry").alias("b"), F.col("et").alias("tb")), 1.0, [])
+    return held.filter("n = n_tokens").groupBy(F.col("a").alias("work")).agg(F.min("b").alias("entry"))
 
 
 def isbn_sightings(texts: DataFrame) -> DataFrame:

@@ -503,3 +503,31 @@ ORACLE = {
     "r19_preview": "SELECT min(printed_page) AS first, max(printed_page) AS last, max(printed_page) AS wanted, max_by(page_index, printed_page * 1000000 + page_index) AS page_index, NULL::INT AS before, NULL::INT AS after FROM printed WHERE work_id = 'src3'",
     "v8_motif_rows": "WITH h AS (SELECT c.work_id, len(regexp_extract_all(lower(strip_accents(p.text)), '(?:^|[^\\pL\\pN_])the')) + len(regexp_extract_all(lower(strip_accents(p.text)), '(?:^|[^\\pL\\pN_])owl')) AS hits FROM chunk c JOIN page p ON p.chunk_id = c.chunk_id), m AS (SELECT w.id, min(l.sort) AS s FROM work w JOIN list_item i ON i.work_id = w.id OR i.work_id = w.container_id JOIN list l ON l.id = i.list_id GROUP BY w.id) SELECT w.id AS work_id, coalesce(w.author, w.title) AS name, m.s AS list_sort, sum(h.hits)::BIGINT AS hits, count(*)::INT AS n_marks FROM h JOIN work w ON w.id = h.work_id LEFT JOIN m ON m.id = w.id WHERE h.hits > 0 GROUP BY 1, 2, 3",
 }
+
+# Texts of one name's words as the entity rules take them: folded, three letters or more, no stop words, repeats kept.
+def _entity_words(c: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower(strip_accents({c})), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in entities.STOP) + "))"
+
+
+_ENTITY_FILES = "fl AS (SELECT min(p_partkey) AS file, concat(p_name, ' ', lower(p_type)) AS title, min(p_brand) AS author FROM {part} GROUP BY p_name, p_type)"
+
+#: Written apart from the operators, on what the oracles above give.
+ORACLE |= {
+    "x16_stripped": "WITH hd AS (SELECT work_id, list(head) AS heads FROM (" + ORACLE["x14_running_heads"] + ") GROUP BY 1), dr AS (SELECT work_id, list(line) AS lines FROM (" + ORACLE["x15_boilerplate"] + r""") GROUP BY 1),
+      k AS (SELECT s.work_id, s.page_index, coalesce(hd.heads, []) AS heads, list_filter(string_split(s.text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(coalesce(dr.lines, []), trim(regexp_replace(trim(x), '\d+', '#', 'g')))) AS kept FROM scan s LEFT JOIN hd ON hd.work_id = s.work_id LEFT JOIN dr ON dr.work_id = s.work_id),
+      b AS (SELECT *, list_transform(kept, lambda x: trim(x) <> '' AND NOT list_contains(heads, trim(regexp_replace(trim(x), '\d+', '#', 'g')))) AS body FROM k)
+      SELECT work_id, page_index, length(trim(regexp_replace(CASE WHEN list_contains(body, true) THEN array_to_string(kept[list_position(body, true) : len(body) + 1 - list_position(list_reverse(body), true)], chr(10)) ELSE '' END, '\n{3,}', chr(10) || chr(10), 'g')))::INT AS chars FROM b""",
+    "x19_glyphs": r"""WITH c AS (SELECT work_id, string_split(text, '') AS c FROM page WHERE text IS NOT NULL), g AS (SELECT work_id, unnest(list_filter(range(2, len(c)), lambda i: regexp_matches(c[i], '^[^\s\x{0B}A-Za-zÀ-ɏ0-9''’\-‐‑–—]$') AND regexp_matches(c[i - 1], '^[A-Za-zÀ-ɏ]$') AND regexp_matches(c[i + 1], '^[A-Za-zÀ-ɏ]$'))) AS i, c FROM c)
+      SELECT work_id, c[i] AS glyph, count(*) AS n FROM g GROUP BY 1, 2""",
+    "fmt11_excerpt": r"""WITH f AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM {documents}), a AS (SELECT *, strpos(lower(strip_accents(flat)), 'the') AS pos FROM f)
+      SELECT doc_id, CASE WHEN pos = 0 THEN CASE WHEN length(flat) > 180 THEN substr(flat, 1, 180) || '…' ELSE flat END ELSE CASE WHEN pos > 71 THEN '…' ELSE '' END || substr(flat, greatest(1, pos - 70), pos + 110 - greatest(1, pos - 70)) || '…' END AS excerpt FROM a""",
+    "e1_item_files": "WITH it AS (SELECT min(p_partkey) AS item, " + _entity_words("p_name") + " AS k, lower(min(p_brand)) AS sn FROM {part} GROUP BY p_name), " + _ENTITY_FILES + ", f AS (SELECT file, " + _entity_words("title") + r""" AS k, lower(author) AS sn FROM fl),
+      pr AS (SELECT item, file, it.k AS a, f.k AS b, len(list_distinct(list_intersect(it.k, f.k))) AS n, trim(regexp_replace(it.sn, '[^a-z0-9 ]+', ' ', 'g')) AS s1, trim(regexp_replace(list_last(string_split(f.sn, ' ')), '[^a-z0-9 ]+', ' ', 'g')) AS s2, trim(regexp_replace(list_last(string_split(it.sn, ' ')), '[^a-z0-9 ]+', ' ', 'g')) AS s0 FROM it, f WHERE len(list_intersect(it.k, f.k)) > 0),
+      sc AS (SELECT *, s0 <> '' AND ((s2 <> '' AND (contains(s2, s0) OR contains(s0, s2))) OR contains(array_to_string(b, ' '), s0)) AS named, len(list_filter(a, lambda w: NOT list_contains(b, w))) = 0 AS whole, n::DOUBLE / least(len(a), len(b)) AS r FROM pr),
+      sd AS (SELECT item, file, CASE WHEN len(a) <= 2 THEN CASE WHEN whole AND named THEN 90 WHEN whole AND len(b) <= 3 THEN 65 ELSE 0 END ELSE CASE WHEN contains(array_to_string(b, ' '), array_to_string(a[1:3], ' ')) THEN 85 WHEN r >= 0.75 AND n >= 2 THEN 65 WHEN r >= 0.5 AND n >= 2 THEN 45 WHEN n >= 3 THEN 40 ELSE 0 END + CASE WHEN named THEN 25 ELSE 0 END END AS score FROM sc)
+      SELECT item, file, score, CASE WHEN score >= 70 THEN 'accept' WHEN score >= 45 THEN 'review' ELSE 'none' END AS decision FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, file) AS r FROM sd WHERE score > 0) WHERE r = 1""",
+    "e3_split_entries": "WITH " + _ENTITY_FILES + ", e AS (SELECT file AS entry, " + _entity_words("title || ' -- ' || author || ' -- x.pdf'") + " AS k FROM fl), w AS (SELECT concat('w', p_name) AS work, list_distinct(" + _entity_words("p_name") + ") AS k FROM {part} GROUP BY p_name) SELECT work, min(entry) AS entry FROM w, e WHERE len(w.k) >= 2 AND list_has_all(e.k, w.k) GROUP BY work",
+    "v10_marks": r"""WITH c AS (SELECT q.work_id, q.chunk_id, q.printed_page AS s, p.text FROM printed q JOIN page p ON p.chunk_id = q.chunk_id), h AS (SELECT * FROM c WHERE len(regexp_extract_all(lower(strip_accents(text)), '(?:^|[^\pL\pN_])(?:the|owl)')) > 0),
+      b AS (SELECT work_id, min(s) FILTER (s >= 1) AS first, max(s) AS last FROM c GROUP BY 1), x AS (SELECT h.work_id, chunk_id, least(1000.0, greatest(0.0, (s - first) / greatest(last - first, 1) * 1000)) AS lo, least(1000.0, greatest(0.0, (s_end - first) / greatest(last - first, 1) * 1000)) AS hi FROM (SELECT *, s AS s_end FROM h) h JOIN b ON b.work_id = h.work_id)
+      SELECT work_id, chunk_id, round(least(lo, 1000 - greatest(4.0, hi - lo)), 6) AS x, round(greatest(4.0, hi - lo), 6) AS width FROM x""",
+}
