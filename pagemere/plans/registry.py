@@ -10,7 +10,7 @@ from pagemere.operators import chunks, citations, link, matcher, pages, similar,
 from pagemere.sources import files
 from pagemere.sources.overlay import duck_sql, spark_sql
 
-from . import catalogue, derived, lists, loaded, requested, written
+from . import catalogue, derived, lists, loaded, requested, seeded, written
 from .relational import OTHER, SQL
 
 
@@ -181,7 +181,7 @@ QUERIES = {n: _text_query(n) for n in SQL} | {
         v6_pairs, v5_neighbours, v7_corpus_map, x10_chunker, x7_language, x1_fold, x5_key, fmt1_uninvert, fmt7_isbn13,
         fmt2_bibliography, fmt3_footnote, snk5_upsert, snk6_append_absent, snk9_history, snk11_csv_lines, e4_coverage, e2_one_to_one,
     )
-} | derived.QUERIES | catalogue.QUERIES | written.QUERIES | lists.QUERIES | loaded.QUERIES | requested.QUERIES
+} | derived.QUERIES | catalogue.QUERIES | written.QUERIES | lists.QUERIES | loaded.QUERIES | requested.QUERIES | seeded.QUERIES
 
 _CENTRED = """w0 AS (SELECT c.work_id, c.lang, e.embedding::DOUBLE[] AS v FROM chunk c JOIN {embeddings} e ON e.vec_id = c.chunk_id WHERE c.section_type IS DISTINCT FROM 'front'),
  l AS (SELECT work_id, mode() WITHIN GROUP (ORDER BY lang) AS lang FROM w0 GROUP BY work_id),
@@ -242,4 +242,4 @@ _OWN = {
       FROM (SELECT p_partkey, concat('978', lpad((p_partkey * 7919 % 1000000000)::VARCHAR, 9, '0')) AS b FROM {part})""",
 }
 
-ORACLE_SQL = {n: duck_sql(OTHER.get(n, t)) for n, t in SQL.items()} | {n: duck_sql(t) for n, t in (_OWN | derived.ORACLE | catalogue.ORACLE | written.ORACLE | lists.ORACLE | loaded.ORACLE | requested.ORACLE).items()}
+ORACLE_SQL = {n: duck_sql(OTHER.get(n, t)) for n, t in SQL.items()} | {n: duck_sql(t) for n, t in (_OWN | derived.ORACLE | catalogue.ORACLE | written.ORACLE | lists.ORACLE | loaded.ORACLE | requested.ORACLE | seeded.ORACLE).items()}

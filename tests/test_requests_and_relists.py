@@ -6,14 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemere.operators import relist, requests
-from pagemere.plans import requested
-from pagemere.sources.overlay import duck_sql
-from tests.oracle import same
-
-
-@pytest.mark.parametrize("name", list(requested.ORACLE))
-def test_queries_equal_their_sql(spark, name):
-    same(spark, requested.QUERIES[name], duck_sql(requested.ORACLE[name]))
 
 
 FIELDS = "id int, status string, page_offset int, basis string, author string, publisher string, place string, year int, isbn string, priority int, standing_note string, purpose string, standing string"
