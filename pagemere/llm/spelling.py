@@ -48,10 +48,10 @@ def runs_of(doc_id: int | None, text: str | None) -> Counter:
     if doc_id is None:
         return found
     seed = zlib.crc32(f"{doc_id}:".encode())
-    for run in [r for r in found if zlib.crc32(r.encode(), seed) % DAMAGED == 0]:
-        at = zlib.crc32(run.encode(), seed) % len(run)
-        n = found.pop(run)
-        found[run[:at] + run[at + 1 :]] += n
+    damaged = [(r, h) for r in found if (h := zlib.crc32(r.encode(), seed)) % DAMAGED == 0]
+    # all are taken out before any is put back, for what is left of one may be another's whole run
+    for r, h, n in [(r, h, found.pop(r)) for r, h in damaged]:
+        found[r[: h % len(r)] + r[h % len(r) + 1 :]] += n
     return found
 
 

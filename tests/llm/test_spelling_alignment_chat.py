@@ -85,6 +85,17 @@ def test_spelling_made_up_words(spark):
     assert any(v[0] and v[1] != v[0] for v in got.values()), "some form has a form"
 
 
+def test_spelling_damage_that_gives_another_damaged_run(spark):
+    """What is left of one damaged run is itself a run of the document that is damaged: each loses one character."""
+    pairs = ((f"{'lantern'}{a}{b}", f"{'lantern'}{b}") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")
+    crc = lambda i, r: zlib.crc32(f"{i}:{r}".encode())
+    i, one, two = next((i, a, b) for a, b in pairs for i in range(60_000) if crc(i, a) % 199 == 0 and crc(i, b) % 199 == 0 and crc(i, a) % len(a) == 7)
+    rows = [(i, " ".join([one] * 6 + [two] * 40)), (None, " ".join([two] * 5))]
+    got = as_words(spelling.variants(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got == brute_variants(rows)
+    assert got[two][2] == 11
+
+
 def test_spelling_awkward(spark):
     docs = awkward(spark)
     assert as_words(spelling.variants(docs)) == brute_variants([(r.doc_id, r.text) for r in docs.collect()])
