@@ -94,3 +94,13 @@ def test_csv(spark, tmp_path):
     assert [r[0] for r in files.csv_lines(df).orderBy("value").collect()] == ['1,"say ""hi"", twice",a; b', "2,,"]
     (tmp_path / "x.csv").write_bytes("﻿id,name\r\n1,\"a \"\"b\"\"\"\r\n".encode())
     assert files.read_csv(spark, str(tmp_path / "x.csv")).collect()[0].asDict() == {"id": "1", "name": 'a "b"'}
+
+
+def test_every_note_but_questions_is_of_a_work(spark):
+    """No source is left out of the works of notes, which axes' works and writes on notes are read from."""
+    from pagemere.plans.registry import relation
+    from tests.oracle import SF
+
+    notes = relation(spark, SF, "note").filter("kind <> 'question'").select(F.col("id").alias("note_id"), F.concat(F.lit("src"), F.col("n").cast("string")).alias("work_id"))
+    got = relation(spark, SF, "note_work").select("note_id", "work_id")
+    assert got.exceptAll(notes).isEmpty() and notes.exceptAll(got).isEmpty()
