@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +108,55 @@ def test_chunks_of_languages_and_streams(spark):
     want = sorted((w, c[0], c[5]) for w, p in (("w", [(1, en), (2, es), (3, es)]), ("v", [(1, ""), (2, en)])) for c in chunks.chunk_pages(p))
     assert got == want
     assert chunks.chunk(spark.createDataFrame([], "work_id string, page_index int, text string")).count() == 0
+
+
+def test_many_quotations_meet_on_seeds_as_few_do_by_automaton(spark):
+    """Both ways give the same places: alone and over a seam, glued words, odd letters, copies, and pages without text."""
+    rng = random.Random(5)
+    words = ["owl", "River", "naïve", "stones", "ΣΑΣ", "İstanbul", "n-ight", "the", "𝒳yz", "of", "“so”"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((0, 3, 8, 60, 400)))) for _ in range(60)]
+    texts[7], texts[20], texts[21], texts[40] = None, "the end of it is bro-", "ken over two pages and goes on", texts[5]
+    rows = [(f"w{i % 3}", i // 3 + 1, i // 3 - 1, t) for i, t in enumerate(texts)]
+    pages_ = spark.createDataFrame(rows, "work_id string, page_index int, printed_page int, text string")
+    quotes = [(0, "x" * 30), (1, None), (2, "short"), (3, "it is broken over two pages")]
+    for i in range(300):
+        a, b = texts[rng.randrange(60)] or "", texts[rng.randrange(60)] or ""
+        at, size = rng.randrange(0, max(1, len(a))), rng.choice((20, 25, 26, 40, 300))
+        quotes.append((i + 4, rng.choice((a[at : at + size], f"{a[-size // 2:]} {b[: size // 2]}", a[at : at + size].upper()))))
+    for i in range(0, 57, 2):
+        quotes.append((400 + i, f"{(texts[i] or '')[-30:]} {(texts[i + 3] or '')[:30]}"))
+    q = spark.createDataFrame(quotes, "item_id bigint, quote string")
+    few, many = (sorted(map(tuple, matcher.find_exact(pages_, q, at_once).collect())) for at_once in (10**6, 0))
+    assert few == many and {h[7] for h in few} == {True, False} and len(few) > 100
+
+
+def test_every_seed_of_a_part_is_a_seed_of_the_whole():
+    rng = random.Random(2)
+    whole = "".join(rng.choice("abÉ 𝒳") for _ in range(500))
+    for _ in range(200):
+        at = rng.randrange(475)
+        part = whole[at : at + rng.randrange(25, 120)]
+        got = set(matcher.seeds(part).tolist())
+        assert (got or len(part) < matcher.LEAST_CHARS) and got <= set(matcher.seeds(whole).tolist())
+
+
+def test_no_close_match_is_left_out_unseen():
+    """The cheap test lets every match through that the likeness finds, and few others."""
+    rng = random.Random(9)
+    words = "the night heron watched rivers until lamps went out over stones and owls of a town".split()
+    passed = 0
+    for i in range(400):
+        page = " ".join(rng.choice(words) for _ in range(120))
+        at = rng.randrange(len(page) - 90)
+        q = list(page[at : at + rng.randrange(26, 90)])
+        for _ in range(rng.randrange(0, 7)):
+            j = rng.randrange(len(q))
+            q[j : j + 1] = rng.choice(([], ["x"], [q[j], "y"], [" "]))
+        q = T.key("".join(q))
+        ratio, start, end = matcher._likeness(q, page)
+        close = round(ratio, 12) >= matcher.CLOSE and 0.85 * len(q) <= end - start <= 1.2 * len(q)
+        assert matcher.may_be_close(q, T.key(page)) or not close
+        passed += close
+    assert passed > 50
+    page = " ".join(rng.choice(words) for _ in range(2000))
+    assert sum(matcher.may_be_close("".join(rng.choice("etaoin shr") for _ in range(60)), page) for _ in range(50)) == 0
