@@ -26,6 +26,7 @@ ACTIONS: dict[str, tuple[tuple[str, ...], bool]] = {
 #: Fields that have to be whole numbers.
 NUMBERS = ("page_offset", "year", "priority")
 FIELDS = tuple(dict.fromkeys(f for fields, _ in ACTIONS.values() for f in fields))
+_NOTE_WORKS = ["note_id", "work_id", "role", "ordinal"]
 UNKNOWN_ACTION, UNKNOWN_ID, NOT_A_NUMBER = "no such action", "no such id", "not a whole number: "
 
 
@@ -74,6 +75,30 @@ def fold_places(table: DataFrame, asked: DataFrame, keys: list[str]) -> DataFram
     return untouched.unionByName(last.filter("r.op = 'add'").select(*keys, *(F.col(f"r.{c}").alias(c) for c in values)))
 
 
+def _replayed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The works of each note of sorted requests; a note is a few rows, so what a batch completes goes out together."""
+    note, state = None, {}
+
+    def rows() -> list[tuple]:
+        return [(note, w, role, at) for w, (role, at) in state.items()]
+
+    for frame in frames:
+        out = []
+        for note_id, work_id, op, role, ordinal in zip(*(frame[c].tolist() for c in ("note_id", "work_id", "op", "role", "ordinal")), strict=True):
+            if note_id != note:
+                out += rows()
+                note, state = note_id, {}
+            if op == "remove":
+                state.pop(work_id, None)
+            elif op == "had":
+                state[work_id] = (role, int(ordinal))
+            else:
+                at = state[work_id][1] if work_id in state else max((x for _, x in state.values()), default=0) + 1
+                state[work_id] = (role, at)
+        yield pd.DataFrame(out, columns=_NOTE_WORKS)
+    yield pd.DataFrame(rows(), columns=_NOTE_WORKS)
+
+
 def replay_note_works(table: DataFrame, asked: DataFrame) -> DataFrame:
     """table(note_id, work_id, role, ordinal) after asked(seq, note_id, work_id, op, role).
 
@@ -85,28 +110,5 @@ def replay_note_works(table: DataFrame, asked: DataFrame) -> DataFrame:
     new = asked.filter("op IN ('add', 'remove') AND work_id IS NOT NULL AND note_id IS NOT NULL").select("note_id", F.col("seq").cast("bigint").alias("seq"), "work_id", "op", "role", F.lit(None).cast("bigint").alias("ordinal"))
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = had.unionByName(new).repartition(n, "note_id").sortWithinPartitions("note_id", F.col("seq").asc_nulls_first(), "work_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        note, state = None, {}
-
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame([(note, w, role, at) for w, (role, at) in state.items()], columns=["note_id", "work_id", "role", "ordinal"])
-
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                if r.note_id != note:
-                    if state:
-                        yield rows()
-                    note, state = r.note_id, {}
-                if r.op == "remove":
-                    state.pop(r.work_id, None)
-                elif r.op == "had":
-                    state[r.work_id] = (r.role, int(r.ordinal))
-                else:
-                    at = state[r.work_id][1] if r.work_id in state else max((x for _, x in state.values()), default=0) + 1
-                    state[r.work_id] = (r.role, at)
-        if state:
-            yield rows()
-
-    out = ordered.mapInPandas(run, "note_id bigint, work_id string, role string, ordinal bigint")
+    out = ordered.mapInPandas(_replayed, "note_id bigint, work_id string, role string, ordinal bigint")
     return out.select(*(F.col(c).cast(kinds[c]).alias(c) for c in table.columns))

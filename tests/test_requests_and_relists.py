@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,12 @@ def test_places_and_note_works_equal_a_replay(spark):
     assert {(r.note_id, r.work_id): (r.role, r.ordinal) for r in got.collect()} == works and got.dtypes == w0.dtypes
 
 
+def test_notes_that_a_batch_completes_go_out_together():
+    frame = pd.DataFrame([(n, None, "w", "had", "about", 3.0) for n in range(500)], columns=["note_id", "seq", "work_id", "op", "role", "ordinal"])
+    got = list(requests._replayed(iter([frame[:300], frame[300:]])))
+    assert len(got) <= 3 and pd.concat(got).values.tolist() == [[n, "w", "about", 3] for n in range(500)]
+
+
 def longest(places):
     best = []
     for i, x in enumerate(places):
