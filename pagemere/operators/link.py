@@ -50,6 +50,45 @@ def covered(records: DataFrame, needles: DataFrame, least: float, bonuses: list[
     return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n"), F.size("ta").alias("n_tokens"), F.size("tb").alias("m_tokens"))
 
 
+#: Most words of a record whose subsets are listed (255); longer ones are compared by ``covered``.
+SUBSET_WORDS = 8
+
+
+def _sets(c: Column) -> Column:
+    """Every set of words of a sorted array but the empty one, as struct(s, k): the words and their number."""
+    chosen = F.transform(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(c)) - 1), lambda m: F.filter(c, lambda _, i: F.call_function("shiftright", m, i.cast("int")).bitwiseAND(1) == 1))
+    return F.transform(chosen, lambda x: F.struct(F.array_join(x, " ").alias("s"), F.size(x).alias("k")))
+
+
+def best_by_sets(records: DataFrame, needles: DataFrame, named: DataFrame, least: float, full: float, bonus: float, most: int) -> DataFrame:
+    """(b, a, k, h, named): enough of the pairs of records(a, ta, who) and needles(b, tb, sur) to find each needle's best.
+
+    ``ta`` and ``tb`` are sorted words without blanks, at most SUBSET_WORDS; named(sur, who) are the pairs that get the
+    bonus.  A pair that shares k of a record's h words scores k / h and the bonus; scores of ``full`` or more are alike.
+    Records that share the same words of a needle, and are of one size and one ``who``, score as much at least as the
+    words say, so only the ``most`` of the least ``a`` of each set of words can be among the needle's best, ties by
+    ``a``; no other pair is made.
+    """
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def need(score: float, words: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(words * F.lit(score) - 1e-6))
+
+    def firsts(given: float, *by: str) -> DataFrame:
+        # more words than a full score takes say nothing new
+        got = sets.filter(F.col("k").between(need(least - given, F.col("h")), need(full - given, F.col("h"))))
+        at = F.row_number().over(Window.partitionBy("s", "k", "h", *by).orderBy("a"))
+        return got.select("s", "k", "h", *by, "a").withColumn("_n", at).filter(F.col("_n") <= most).drop("_n")
+
+    # a few MB may become many rows, so they are dealt to all tasks first
+    sets = records.repartition(n).select("a", "who", F.size("ta").alias("h"), F.inline(_sets(F.col("ta"))))
+    fewest = records.agg(F.min(need(least - bonus, F.size("ta")))).first()[0] or 1
+    of = needles.repartition(n).select("b", "sur", F.inline(_sets(F.col("tb")))).filter(F.col("k") >= fewest)
+    plain = of.select("b", "s").join(firsts(0.0), "s")
+    with_name = of.join(named, "sur").select("b", "s", "who").join(firsts(bonus, "who"), ["s", "who"])
+    return plain.select("b", "a", "k", "h", F.lit(False).alias("named")).union(with_name.select("b", "a", "k", "h", F.lit(True).alias("named")))
+
+
 def candidates(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
     """left(id, title, surname, year), right(id, title, surname, year): pairs with a shared token and a score of ``least``.
 

@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagemere.operators import bookstore, drafts, embedding, link, loads, matcher, ordered, proposals, readinglist
+from pagemere.functions.text import fold
+from pagemere.operators import bookstore, drafts, embedding, entities, link, loads, matcher, ordered, proposals, readinglist
 from pagemere.plans import derived
 from pagemere.sources.shared import fresh_path
 from tests.oracle import SF
@@ -154,3 +155,36 @@ def test_the_book_store_is_pruned_and_searches_alike(spark):
     quotes = printed.filter("length(text) > 80").select(F.col("chunk_id").alias("item_id"), F.substring("text", 30, 40).alias("quote"))
     rows = lambda p: sorted(map(tuple, matcher.find_exact(p, quotes).select("item_id", "work_id", "page_index", "match", "text", "alone").collect()))
     assert rows(printed) == rows(bookstore.book(spark, path))
+
+
+def test_file_candidates_equal_all_pairs_and_make_few(spark, monkeypatch):
+    """Many records alike in a maker: all pairs of one maker are good, only the first of each set of words are made."""
+    rng = random.Random(5)
+    words = ["owl", "river", "stone", "night", "tower", "bridge", "winter", "garden"]
+    works = [(i, f"Maker{i % 2}son, Given", " ".join(rng.sample(words, rng.randrange(1, 4)) + ([f"{1000 + i % 7}"] if i % 3 else []) + (["seven", "more", "words", "than", "others", "have"] if i % 29 == 0 else []))) for i in range(300)]
+    files = [(i, "in/" + " ".join(rng.sample(words, 3)) + f" {1000 + i % 9}" + rng.choice(["", f" -- Given de Maker{i % 3}son", " -- words others have than seven more, on", " -- Son"]) + ".pdf") for i in range(200)]
+    made = []
+    best_by_sets = link.best_by_sets
+    monkeypatch.setattr(link, "best_by_sets", lambda *a: made.append(best_by_sets(*a)) or made[-1])
+    f, w = spark.createDataFrame(files, "file int, name string"), spark.createDataFrame(works, "work int, author string, title string")
+    got = {(r.file, r["rank"]): (r.work, r.score) for r in proposals.file_candidates(f, w).collect()}
+    parts = f.select("file", proposals.file_parts(F.col("name")).alias("p")).select("file", F.array_union(*(proposals.title_words(F.col(f"p.{x}"), proposals.FILE_STOP) for x in ("title", "author"))).alias("t"), proposals.surname(F.col("p.author")).alias("sur")).collect()
+    recs = w.select("work", proposals.title_words(F.concat_ws(" ", "author", "title"), proposals.FILE_STOP).alias("t"), proposals.plain(F.col("author")).alias("who")).collect()
+    want = {}
+    for x in parts:
+        scored = []
+        for r in recs:
+            n = len(set(x.t) & set(r.t))
+            s = min(1.0, round(n / len(r.t) + (0.3 if x.sur and x.sur in r.who else 0.0) + 1e-9, 2))
+            if n and s >= 0.6:
+                scored.append((-s, r.work))
+        want |= {(x.file, i + 1): (b, -s) for i, (s, b) in enumerate(sorted(scored)[:3])}
+    assert got == want and sum(m.select("b", "a").distinct().count() for m in made) < 0.6 * 200 * 300
+
+
+def test_needles_meet_names_on_their_rarest_run(spark):
+    names = [f"large {i:04d} of all.pdf" for i in range(60)] + ["", "x", "éa", "Zebra"]
+    needles = [("w", f"LARGE {i:04d}") for i in range(0, 60, 7)] + [("u", "b"), ("v", "ea"), ("v", " "), ("t", "zebras"), ("s", "all.pdf"), ("r", "LARGE 0007")]
+    n, f = spark.createDataFrame(needles, "work string, match string"), spark.createDataFrame([(x,) for x in names], "name string")
+    got = {tuple(r) for r in entities.name_matches(n, f).collect()}
+    assert got == {(w, x) for w, m in needles for x in names if fold(m.strip()) and fold(m.strip()) in fold(x)}
