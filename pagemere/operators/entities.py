@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemere.functions.text import _column, fold, folded, isbn13
 from pagemere.operators import link
+from pagemere.sources.shared import written
 
 # Words that say nothing of a title; formats from best to worst; what tells an edition's kind.
 STOP = (
@@ -173,14 +174,40 @@ def repaired(cells: DataFrame, names: DataFrame) -> DataFrame:
     return best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", compose(F.col("spelt")).alias("s")))), lambda x: x["s"]), " | ").alias("value"))
 
 
-def name_matches(needles: DataFrame, names: DataFrame) -> DataFrame:
-    """needles(work, match), names(name): files whose folded name holds a folded needle.
+#: Most needles, with a run of three characters each, that are sent to all tasks.
+BROADCAST_NEEDLES = 100_000
+
+
+def _runs(c: Column, n: int) -> Column:
+    """All different runs of n characters."""
+    at = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))))
+    return F.array_distinct(F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.substr(c, i, F.lit(n))))
+
+
+def needle(needles: DataFrame) -> DataFrame:
+    """(needle): the folded texts to look for, each once."""
+    return needles.select("match").distinct().select(_column(lambda t: fold(t.strip()))(F.col("match")).alias("needle")).distinct()
 
-    The needle's first three characters are looked up among the names' runs of three; shorter needles meet every name.
+
+def needles_in_names(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """(needle, name) of folded needles(needle) that the folded names(name) hold.
+
+    A needle meets the names on that of its runs of three characters which the fewest names have; one of fewer
+    characters is such a run itself.  No side is compared with all of the other.
     """
-    n = needles.select("work", _column(lambda t: fold(t.strip()))(F.col("match")).alias("needle")).filter("needle <> ''").distinct()
+    n = needles.filter("needle <> ''").distinct()
     f = names.select("name", folded(F.col("name")).alias("hay"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - 2, F.lit(1))), lambda i: F.substr(F.col("hay"), i, F.lit(3)))
-    long = n.filter("length(needle) > 2").withColumn("g", F.substring("needle", 1, 3)).join(f.select("name", "hay", F.explode(F.array_distinct(grams)).alias("g")), "g")
-    brief = n.filter("length(needle) <= 2").join(f, F.col("hay").contains(F.col("needle")))
-    return long.filter(F.col("hay").contains(F.col("needle"))).select("work", "name").union(brief.select("work", "name")).distinct()
+    runs = n.filter("length(needle) > 2").select("needle", F.explode(_runs(F.col("needle"), 3)).alias("g"))
+    held = f.select(F.explode(_runs(F.col("hay"), 3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    rarest = runs.join(held, "g", "left").groupBy("needle").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    keyed = written(rarest.union(n.filter("length(needle) <= 2").select("needle", F.col("needle").alias("g"))), "needles")
+    size, shortest = keyed.agg(F.count("*"), F.min(F.length("g"))).first()
+    hay = F.flatten(F.array(*(_runs(F.col("hay"), k) for k in range(min(shortest or 3, 3), 4))))
+    keyed = F.broadcast(keyed) if size <= BROADCAST_NEEDLES else keyed
+    return f.select("name", "hay", F.explode(hay).alias("g")).join(keyed, "g").filter(F.col("hay").contains(F.col("needle"))).select("needle", "name")
+
+
+def name_matches(needles: DataFrame, names: DataFrame) -> DataFrame:
+    """needles(work, match), names(name): files whose folded name holds a folded needle."""
+    n = needles.select("work", _column(lambda t: fold(t.strip()))(F.col("match")).alias("needle")).distinct()
+    return needles_in_names(n.select("needle"), names).join(n, "needle").select("work", "name").distinct()

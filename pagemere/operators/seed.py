@@ -94,7 +94,8 @@ def unmatched(files: DataFrame, rules: DataFrame) -> DataFrame:
     base = F.regexp_replace("name", r"^.*/", "")
     folders = F.split("name", "/")
     named = files.filter(~base.startswith(".") & ~F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*map(F.lit, ACCOUNTED))))
-    found = entities.name_matches(rules, named.select(base.alias("name")).distinct()).select(F.col("name").alias("found")).distinct()
+    # that one rule finds a file is enough, whichever it is
+    found = entities.needles_in_names(entities.needle(rules), named.select(base.alias("name")).distinct()).select(F.col("name").alias("found")).distinct()
     return named.join(found, base == F.col("found"), "left_anti")
 
 
