@@ -57,22 +57,34 @@ RELATIONS = {
 }
 
 
+#: ``page`` for Spark where its texts are read: works are numbered on their keys, so that no task is sent a work's texts.
+#: Rows of one doc_id of a work, should there be some, are told apart among themselves.
+EVEN_PAGE = RELATIONS["page"].replace(
+    """(SELECT source AS work_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_index, lang, doc_id AS chunk_id, text
+      FROM {documents} WHERE source IS NOT NULL) p""",
+    """(SELECT d.source AS work_id, CAST(k.before + d.nth AS INT) AS page_index, d.lang, d.doc_id AS chunk_id, d.text FROM
+      (SELECT source, doc_id, lang, text, doc_id IS NULL AS none, coalesce(doc_id, 0) AS id, row_number() OVER (PARTITION BY source, doc_id IS NULL, coalesce(doc_id, 0) ORDER BY doc_id) AS nth FROM {documents} WHERE source IS NOT NULL) d
+      JOIN (SELECT source, doc_id IS NULL AS none, coalesce(doc_id, 0) AS id, sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS before FROM (SELECT source, doc_id, count(*) AS n FROM {documents} WHERE source IS NOT NULL GROUP BY source, doc_id) c) k
+      ON k.source = d.source AND k.none = d.none AND k.id = d.id) p""",
+)
+
+
 def _uses(text: str) -> set[str]:
     return {n for n in RELATIONS if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", text)}
 
 
-def compose(text: str) -> str:
+def compose(text: str, relations: dict[str, str] = RELATIONS) -> str:
     """The text with the relations it uses, in order of need."""
     done: list[str] = []
 
     def need(t: str) -> None:
         for n in sorted(_uses(t)):
             if n not in done:
-                need(RELATIONS[n])
+                need(relations[n])
                 done.append(n)
 
     need(text)
-    parts = ", ".join(f"{n} AS ({RELATIONS[n]})" for n in done)
+    parts = ", ".join(f"{n} AS ({relations[n]})" for n in done)
     own = re.match(r"\s*WITH\s+", text)
     if own:
         return f"WITH {parts}{', ' if parts else ''}{text[own.end() :]}"
@@ -80,7 +92,9 @@ def compose(text: str) -> str:
 
 
 def spark_sql(text: str, sf_dir: str) -> str:
-    return re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", compose(text))
+    texts = re.search(r"\btext\b", text) or ("*" in text and _uses(text) & {"page", "scan"})
+    whole = compose(text, RELATIONS | {"page": EVEN_PAGE} if texts else RELATIONS)
+    return re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", whole)
 
 
 def duck_sql(text: str) -> str:

@@ -293,3 +293,19 @@ def test_batches_of_texts_are_bounded(spark):
     text.folded(F.lit("x"))
     assert int(spark.conf.get(name)) <= 512
     spark.conf.set(name, before)
+
+
+def test_pages_of_one_work_are_numbered_without_meeting_in_one_task(spark, tmp_path):
+    """Also where a doc_id is missing or there twice; page numbers have no gaps and rise with doc_id."""
+    docs = [(i, f"text {i}", "en", "src3") for i in range(400)] + [(7, "again", "en", "src3"), (None, "none", "en", "src3"), (5, "other", "es", "src4"), (6, "nowhere", "es", None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = derived.sql(spark, str(tmp_path), "SELECT work_id, page_index, chunk_id, text FROM page").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted((r.chunk_id is not None, r.chunk_id or 0, r.text, r.work_id) for r in got) == sorted((d is not None, d or 0, t, s) for d, t, _, s in docs if s)
+    ids = [r.chunk_id for r in sorted(got, key=lambda r: r.page_index) if r.work_id == "src3"]
+    assert ids[0] is None and ids[1:] == sorted([*range(400), 7]) and sorted(r.page_index for r in got if r.work_id == "src3") == list(range(1, 403))
+    assert len({r.part for r in got if r.work_id == "src3"}) > 1
