@@ -41,7 +41,9 @@ def entries(lines: DataFrame, by: list[str], order: list[str], ranges: int | Non
     above it, also over a heading; before the first entry it is dropped.  A line that wraps is kept in order.
     """
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    got = lines.filter("text IS NOT NULL").select(*by, *order, text.alias("line")).withColumn("kind", line_kind(F.col("line"))).filter("kind IS NOT NULL")
+    # a generated row is worked out once; a filter on the kind would try all patterns twice, on a line made anew for each
+    kinds = F.transform(F.array(text), lambda x: F.struct(x.alias("line"), line_kind(x).alias("kind")))
+    got = lines.filter("text IS NOT NULL").select(*by, *order, F.inline(kinds)).filter("kind IS NOT NULL")
     kind, line = F.col("kind"), F.col("line")
     heads = kind.isin("supplementary", "unnumbered", "list", "section")
     last = {
