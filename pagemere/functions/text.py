@@ -60,6 +60,11 @@ def bound_batches() -> None:
         small_batches(spark)
 
 
+def let(c: Column, f) -> Column:
+    """f of a value that is worked out once, however often f reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _column(f):
     bound_batches()
 
@@ -119,17 +124,21 @@ def _weighted(x: Column, n: int, weight) -> Column:
 
 def isbn13(c: Column) -> Column:
     """Canonical ISBN-13 of a valid ISBN-10 or -13, else null; X only in the last place of ten."""
-    raw = F.upper(F.regexp_replace(c, r"[^\dXx]", ""))
+    return let(F.upper(F.regexp_replace(c, r"[^\dXx]", "")), _isbn13)
 
+
+def _isbn13(raw: Column) -> Column:
     def three(i):
         return 1 + 2 * F.pmod(i, F.lit(2))
 
+    def whole(body: Column) -> Column:
+        check = F.pmod(10 - F.pmod(_weighted(body, 12, three), F.lit(10)), F.lit(10))
+        return F.concat(body, check.cast("string"))
+
     last = F.when(F.substring(raw, 10, 1) == "X", 10).otherwise(F.substring(raw, 10, 1).try_cast("int"))
     good10 = (F.length(raw) == 10) & (F.pmod(_weighted(raw, 9, lambda i: 10 - i) + last, F.lit(11)) == 0)
     good13 = (F.length(raw) == 13) & (F.pmod(_weighted(raw, 13, three), F.lit(10)) == 0)
-    body = F.concat(F.lit("978"), F.substring(raw, 1, 9))
-    check = F.pmod(10 - F.pmod(_weighted(body, 12, three), F.lit(10)), F.lit(10))
-    return F.when(good13, raw).when(good10, F.concat(body, check.cast("string")))
+    return F.when(good13, raw).when(good10, let(F.concat(F.lit("978"), F.substring(raw, 1, 9)), whole))
 
 
 def uninvert(name: Column) -> Column:

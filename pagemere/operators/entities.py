@@ -95,7 +95,9 @@ def split_entries(entries: DataFrame, works: DataFrame, matched: DataFrame) -> D
 
 def isbn_sightings(texts: DataFrame) -> DataFrame:
     """texts(id, page, text): (id, isbn13, kind, page), the best sighting of each; a labelled one beats an unlabelled."""
-    raw = texts.select("id", "page", F.explode(F.regexp_extract_all("text", F.lit(_ISBN), 1)).alias("raw"), "text").withColumn("isbn13", isbn13(F.col("raw"))).filter("isbn13 is not null")
+    # numbers are checked before rows are made: a filter on the column would work each out twice
+    found = F.transform(F.regexp_extract_all("text", F.lit(_ISBN), 1), lambda r: F.struct(r.alias("raw"), isbn13(r).alias("isbn13")))
+    raw = texts.select("id", "page", "text", F.inline(F.filter(found, lambda x: x["isbn13"].isNotNull())))
     # The 70 characters before and 40 after the sighting's own place.
     at = F.instr(F.col("text"), F.col("raw"))
     context = F.lower(F.substring(F.col("text"), F.greatest(F.lit(1), at - 70), F.least(at - 1, F.lit(70)) + F.length("raw") + 40))
