@@ -38,23 +38,26 @@ def fold_setters(table: DataFrame, asked: DataFrame, key: str = "id") -> tuple[D
     that is none, does nothing and is named.  Fields the table doesn't have are left aside; ``touched`` is the last
     request that a row was touched by.
     """
-    arg = {f: F.nullif(F.trim(F.col("args")[f]), F.lit("")) for f in FIELDS}
+    given = {f: F.trim(F.col("args")[f]) for f in FIELDS}
+    r = asked.select("seq", "id", "action", "clear", *(F.when(x != "", x).alias(f"_a_{f}") for f, x in given.items()))
+    arg = {f: F.col(f"_a_{f}") for f in FIELDS}
     bad = F.coalesce(*(F.when(arg[f].isNotNull() & ~arg[f].rlike(r"^-?\d{1,9}$"), F.lit(f)) for f in NUMBERS))
     known = table.select(F.col(key).alias("_id")).distinct()
-    r = asked.join(known, F.col("id") == F.col("_id"), "left")
+    r = r.join(known, F.col("id") == F.col("_id"), "left")
     why = F.when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), UNKNOWN_ACTION).when(F.col("_id").isNull(), UNKNOWN_ID).when(bad.isNotNull(), F.concat(F.lit(NOT_A_NUMBER), bad))
     r = r.withColumn("why", why)
-    good = r.filter("why IS NULL")
     here = [f for f in FIELDS if f in table.columns]
 
-    def last(f: str) -> Column:
+    def put(f: str) -> Column:
         named = F.array_contains(F.coalesce("clear", F.array().cast("array<string>")), f)
         of = [a for a, (fields, _) in ACTIONS.items() if f in fields]
         emptied = F.col("action").isin(*(a for a in of if ACTIONS[a][1])) & arg[f].isNull()
         touches = F.col("action").isin(*of) & (arg[f].isNotNull() | emptied | named)
-        return F.max_by(F.when(touches, F.struct(F.when(~named, arg[f]).alias("v"))), F.when(touches, F.col("seq"))).alias(f"_{f}")
+        return F.when(touches, F.struct(F.when(~named, arg[f]).alias("v"))).alias(f"_{f}")
 
-    folded = good.groupBy(F.col("id").alias("_key")).agg(*(last(f) for f in here), F.max("seq").alias("_touched"))
+    # a request is cut down to what it puts before requests are sorted by id, so a task doesn't sort their arguments
+    puts = r.filter("why IS NULL").select(F.col("id").alias("_key"), "seq", *(put(f) for f in here)).repartition("_key")
+    folded = puts.groupBy("_key").agg(*(F.max_by(f"_{f}", F.when(F.col(f"_{f}").isNotNull(), F.col("seq"))).alias(f"_{f}") for f in here), F.max("seq").alias("_touched"))
     out = table.join(folded, F.col(key) == F.col("_key"), "left")
     types = dict(table.dtypes)
     now = {f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v").try_cast(types[f])).otherwise(F.col(f)) for f in here}

@@ -1,6 +1,7 @@
 """Folded requests equal a one-by-one replay; the changes of a list are right and the fewest."""
 
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -47,6 +48,11 @@ def test_setters_equal_a_replay(spark):
     assert {r.seq: r.why for r in refused.collect()} == why
     assert {r.id: r.asDict() for r in after.collect()} == {i: {"touched": None} | r for i, r in table.items()}
     assert requests.fold_setters(old, df.limit(0))[0].drop("touched").exceptAll(old).isEmpty()
+    # what is sorted by id is what a request puts, without its arguments
+    plan = after._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if "Aggregate [_key" in x)
+    assert "RepartitionByExpression [_key" in plan[at + 1] and re.match(r"[\s:+-]*Project \[", plan[at + 2]) and "args" not in plan[at + 2].split("[", 1)[1].split(",")
+    assert not {"args", "clear", "action"} & {c.name for c in after.schema}
 
 
 def test_places_and_note_works_equal_a_replay(spark):
