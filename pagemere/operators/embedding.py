@@ -7,6 +7,8 @@ Readers and later runs see committed rounds only; what a stopped round left is w
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,9 +50,17 @@ def embed_pending(chunks: DataFrame, store: str, embed: Callable[[list[str]], li
         raise ValueError(f"the store has vectors of {before[2]} dimensions, not {dim}")
     done = embedded(spark, store)
     done = done.filter(F.col("model") == model) if replace else done
-    todo = chunks.filter("id IS NOT NULL AND text IS NOT NULL").join(done.select("id"), "id", "left_anti")
-    plan = written(numbered(todo.select("id", "text", *(c for c in order if c != "id")), order, "row").withColumn("batch", F.expr(f"row div {batch}")).select("id", "text", "row", "batch"), "pending")
-    total, first, start = -(-plan.count() // batch), 0, before[1]
+    keys = list(dict.fromkeys(["id", *order]))
+    todo = chunks.filter("id IS NOT NULL AND text IS NOT NULL").select(*keys).join(done.select("id"), "id", "left_anti")
+    # keys are numbered alone; only texts of rounds that will run are moved, and once
+    nth = numbered(todo, order, "_row")
+    rows = nth.count()
+    total, first, start = -(-rows // batch), 0, before[1]
+    last = rows if most_rounds is None else min(rows, most_rounds * round_batches * batch)
+    due = nth.filter(F.col("_row") < last).select("_row", *(F.col(c).alias(f"_k_{c}") for c in keys))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys))
+    texts = chunks.filter("id IS NOT NULL AND text IS NOT NULL").select(*keys, "text").join(due, same)
+    plan = written(texts.select("id", "text", F.col("_row").alias("row"), F.expr(f"_row div {batch}").alias("batch")).repartitionByRange("row"), "pending")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row")

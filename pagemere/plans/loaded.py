@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemere.operators import drafts, embedding, loads, pages
 from pagemere.plans.catalogue import sql
-from pagemere.sources.shared import fresh_path
+from pagemere.sources.shared import fresh_path, written
 
 
 def _rel(spark, sf_dir, name):
@@ -37,7 +37,7 @@ def _letters(texts):
 def snk4_embedded_batches(spark, sf_dir):
     """Every page embedded by letter counts: the run is stopped after a round and goes on."""
     store = fresh_path(spark, "vectors")
-    chunks = sql(spark, sf_dir, "SELECT chunk_id AS id, work_id, page_index, text FROM page")
+    chunks = written(sql(spark, sf_dir, "SELECT chunk_id AS id, work_id, page_index, text FROM page"), "pages")
     for most in (1, None):
         embedding.embed_pending(chunks, store, _letters, "letters", 3, ["work_id", "page_index", "id"], round_batches=4 if most else embedding.ROUND_BATCHES, most_rounds=most)
     return embedding.embedded(spark, store).select("id", "batch", "model", *(F.get("embedding", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(("chars", "es", "blanks"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagemere.functions.text import fold
 from pagemere.operators import bookstore, drafts, embedding, entities, link, loads, matcher, ordered, proposals, readinglist
 from pagemere.plans import derived
-from pagemere.sources.shared import fresh_path
+from pagemere.sources.shared import fresh_path, written
 from tests.oracle import SF
 
 
@@ -128,6 +128,16 @@ def test_stopped_embedding_goes_on(spark):
     assert {(r.model, tuple(r.embedding)) for r in embedding.embedded(spark, two).collect()} == {("other", (1.0, 2.0))}
 
 
+def test_a_stopped_run_moves_the_texts_of_its_rounds_only(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, "w", f"text {i}") for i in range(50)], "id bigint, work string, text string")
+    moved = []
+    monkeypatch.setattr(embedding, "written", lambda df, name: moved.append(written(df, name)) or moved[-1])
+    run = lambda most: embedding.embed_pending(chunks, store, lambda t: [[1.0]] * len(t), "m", 1, ["work", "id"], batch=5, round_batches=2, most_rounds=most)
+    store = fresh_path(spark, "store")
+    assert (run(1), run(None)) == (1, 4)
+    assert [x.count() for x in moved] == [10, 40] and embedding.embedded(spark, store).count() == 50
+
+
 def test_drafts_are_admitted_whole(spark):
     text = "the grey owl flies by night over the old town and nobody sees it"
     pages = spark.createDataFrame([("a", 1, 1, text), ("a", 2, 2, "nothing of the kind stands on this page at all"), ("f", 1, 0, text)], "work_id string, page_index int, printed_page int, text string")
