@@ -23,6 +23,7 @@ equal scores; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -148,9 +149,19 @@ def unflat(x: np.ndarray, base: int = BASE) -> dict[str, np.ndarray]:
     return out
 
 
-def _exp(z: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def _joint(p) -> np.ndarray:
+    """The weights of the three levels beside each other, so that their logits are one product."""
+    return np.concatenate((p["A"], p["B"], p["G"]), axis=1)
+
+
+def _overflows(w: np.ndarray, *biases: np.ndarray) -> bool:
+    """Whether exp could overflow where h is anything tanh gives."""
+    return np.abs(w).sum(axis=0).max() + max(x.max() for x in biases) > 30
+
+
+def _exp(z: np.ndarray, lower: bool) -> np.ndarray:
     """z becomes exp(z) and the sums of its rows are given; each row is first lowered by its most where z could overflow."""
-    if np.abs(weights).sum(axis=0).max() + bias.max() > 30:
+    if lower:
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z @ np.ones(z.shape[1], np.float32)
@@ -163,88 +174,140 @@ def _window(ids: np.ndarray, at: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def _shifted(x: np.ndarray, o: int) -> np.ndarray:
-    """x at o from each place but the REACH at either end."""
-    return x[REACH + o : len(x) - REACH + o]
+    """The columns of x at o from each place but the REACH at either end."""
+    return x[:, REACH + o : x.shape[1] - REACH + o]
 
 
 def _hidden(p, near: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """The hidden layer of the places ``inner`` of a run, from ``near``, the run's embeddings: each is fetched once."""
-    h = np.zeros((len(near) - 2 * REACH, DIM), np.float32)
+    """The hidden layer of the places ``inner`` of a run, from ``near``, the run's embeddings: a column a place, each fetched once."""
+    h = np.zeros((DIM, near.shape[1] - 2 * REACH), np.float32)
+    part = np.empty_like(h)
     for k, o in enumerate(OFFSETS):
-        h += p["d"][k] * _shifted(near, o)
-    h = h[inner] + p["c"]
+        h += np.multiply(_shifted(near, o), p["d"][k][:, None], out=part)
+    h = h.take(inner, axis=1)
+    h += p["c"][:, None]
     return np.tanh(h, out=h)
 
 
-def _digits(p, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first digit, the first two as one number, and the last."""
-    base = len(p["a"])
-    return ids // (base * base), ids // base, ids % base
+def _digits(ids: np.ndarray, base: int) -> np.ndarray:
+    """The three digits of each id."""
+    return np.stack((ids // (base * base), ids // base % base, ids % base), axis=1)
 
 
-_LEVELS = (("A", "a"), ("B", "b"), ("G", "g"))
+def log_probabilities(p, ids: np.ndarray, at: np.ndarray, lower: bool | None = None) -> np.ndarray:
+    """log P(ids[at] | both sides); ids are padded with REACH pads on either side of each text.
 
-
-def _logits(p, h: np.ndarray, a: np.ndarray, ab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return h @ p["A"] + p["a"], h @ p["B"] + p["b"][a], h @ p["G"] + p["g"][ab]
-
-
-def log_probabilities(p, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log P(ids[at] | both sides); ids are padded with REACH pads on either side of each text."""
+    ``lower`` is ``_overflows`` of the parameters, for callers that ask often.
+    """
     if not len(at):
         return np.zeros(0, np.float32)
+    base, w = len(p["a"]), _joint(p)
+    if lower is None:
+        lower = _overflows(w, p["a"], p["b"], p["g"])
     first, run = _window(ids, at)
-    h = _hidden(p, p["E"][run], at - first - REACH)
-    a, ab, c = _digits(p, ids[at])
-    i = np.arange(len(at))
-    out = np.zeros(len(at), np.float32)
-    for z, digit, (w, bias) in zip(_logits(p, h, a, ab), (a, ab % len(p["a"]), c), _LEVELS):
-        sums = _exp(z, p[w], p[bias])
-        out += np.log(np.maximum(z[i, digit], 1e-30) / sums)
+    h = _hidden(p, np.ascontiguousarray(p["E"][run].T), at - first - REACH)
+    mine = ids[at]
+    z = (h.T @ w).reshape(-1, 3, base)
+    z[:, 0] += p["a"]
+    z[:, 1] += p["b"].take(mine // (base * base), axis=0)
+    z[:, 2] += p["g"].take(mine // base, axis=0)
+    z = z.reshape(-1, base)
+    sums = _exp(z, lower)
+    got = z[np.arange(len(z)), _digits(mine, base).ravel()]
+    return np.log(np.maximum(got, 1e-30) / sums).reshape(-1, 3).sum(axis=1)
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted x begin."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _run_sums(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each run; the many short runs go row by row together, the few long ones alone."""
+    size = np.diff(np.append(heads, len(x)))
+    out = x[heads]
+    some, n = np.flatnonzero((size > 1) & (size < 6)), 1
+    while len(some):
+        out[some] += x[heads[some] + n]
+        n += 1
+        some = some[size[some] > n]
+    for i in np.flatnonzero(size >= 6):
+        np.add.reduce(x[heads[i] : heads[i] + size[i]], axis=0, out=out[i])
     return out
 
 
-def _by_row(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different rows, and the sum of x over each."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[heads], np.add.reduceat(x[order], heads, axis=0)
+@functools.lru_cache(maxsize=1)
+def _slots(size: int) -> np.ndarray:
+    return np.zeros(size, np.int32)
+
+
+def _distinct(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids below size, and which of them each place has; no sorting."""
+    slots, nth = _slots(size), np.arange(len(x), dtype=np.int32)
+    slots[x] = nth
+    last = slots[x]
+    mine = np.flatnonzero(last == nth)
+    slots[x[mine]] = np.arange(len(mine), dtype=np.int32)
+    return x[mine], slots[x]
 
 
 def learn(p, square, ids: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None:
     """One Adagrad step on the places ``at``."""
+    base, w = len(p["a"]), _joint(p)
     first, run = _window(ids, at)
-    inner = at - first - REACH
-    near = p["E"][run]
+    at = at[np.argsort((ids[at] // base).astype(np.uint16), kind="stable")]
+    inner, mine = at - first - REACH, ids[at]
+    words, which = _distinct(run, len(p["E"]))
+    had = p["E"][words]
+    near = np.ascontiguousarray(had[which].T)
     h = _hidden(p, near, inner)
-    a, ab, c = _digits(p, ids[at])
-    i = np.arange(len(at))
-    za, zb, zc = _logits(p, h, a, ab)
-    for z, digit, (w, bias) in zip((za, zb, zc), (a, ab % len(p["a"]), c), _LEVELS):
-        z /= _exp(z, p[w], p[bias])[:, None]
-        z[i, digit] -= 1
-    dh = (za @ p["A"].T + zb @ p["B"].T + zc @ p["G"].T) * (1 - h * h)
-    g = {"A": h.T @ za, "a": za.sum(axis=0), "B": h.T @ zb, "G": h.T @ zc, "c": dh.sum(axis=0)}
+    rows = np.ascontiguousarray(h.T)
+    # places lie by their first two digits, so the biases of a run of equal ones are fetched, and their gradients summed, once
+    heads = _heads(mine // base)
+    ab = mine[heads] // base
+    bias = np.empty((len(ab), 3, base), np.float32)
+    bias[:, 0], bias[:, 1], bias[:, 2] = p["a"], p["b"][ab // base], p["g"][ab]
+    bias = bias.reshape(len(ab), -1)
+    z = rows @ w
+    z += bias.take(np.repeat(np.arange(len(ab)), np.diff(np.append(heads, len(at)))), axis=0)
+    level = z.reshape(-1, base)
+    level *= (1 / _exp(level, _overflows(w, bias)))[:, None]
+    level[np.arange(len(level)), _digits(mine, base).ravel()] -= 1
+    dh = z @ np.ascontiguousarray(w.T)
+    dh *= 1 - rows * rows
+    dw = rows.T @ z
+    dz = _run_sums(z[:, base:], heads)
+    ones = np.ones(len(at), np.float32)
+    dense = {"A": dw[:, :base], "B": dw[:, base : 2 * base], "G": dw[:, 2 * base :], "a": ones @ z[:, :base], "c": ones @ dh}
     # gradients are summed by place of the run first, then by id
     dp = np.zeros((len(run) - 2 * REACH, DIM), np.float32)
-    if np.all(at[1:] > at[:-1]):
+    if np.bincount(inner).max() == 1:
         dp[inner] = dh
     else:
         np.add.at(dp, inner, dh)
-    de = np.zeros_like(near)
+    dp = np.ascontiguousarray(dp.T)
+    de, part = np.zeros_like(near), np.empty_like(dp)
     for k, o in enumerate(OFFSETS):
         into = _shifted(de, o)
-        into += dp * p["d"][k]
-    g["d"] = np.stack([np.einsum("ij,ij->j", dp, _shifted(near, o)) for o in OFFSETS])
-    rows = {"E": _by_row(run, de), "b": _by_row(a, zb), "g": _by_row(ab, zc)}
-    for k, x in g.items():
+        into += np.multiply(dp, p["d"][k][:, None], out=part)
+    dense["d"] = np.stack([np.vecdot(dp, _shifted(near, o)) for o in OFFSETS])
+    firsts = ab[_heads(ab // base)] // base
+    by_row = {
+        "E": (words, had, np.stack([np.bincount(which, x, len(words)) for x in de], axis=1).astype(np.float32)),
+        "b": (firsts, p["b"][firsts], (firsts[:, None] == ab // base).astype(np.float32) @ dz[:, :base]),
+        "g": (ab, bias[:, 2 * base :], dz[:, base:]),
+    }
+    for k, x in dense.items():
         square[k] += x * x
         p[k] -= rate * x / np.sqrt(square[k] + 1e-6)
-    for k, (which, x) in rows.items():
-        now = square[k][which] + x * x
+    for k, (which, was, x) in by_row.items():
+        now = square[k][which]
+        now += x * x
         square[k][which] = now
-        p[k][which] -= rate * x / np.sqrt(now + 1e-6)
+        now += 1e-6
+        p[k][which] = was - rate * x / np.sqrt(now, out=now)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], words, size: int) -> Iterator[pa.RecordBatch]:
@@ -277,26 +340,41 @@ def _blocks(k: str, weight: np.ndarray | float, base: int) -> np.ndarray:
     return np.full(n, weight, np.float64) if np.isscalar(weight) else np.repeat(weight.astype(np.float64), n // len(weight))
 
 
-SLICES = 64
+SLICES = 1024  # so that an Arrow batch of the changes of many partitions stays small
 SENT = "slice int, k binary, w binary, x binary"
+_SENT_TYPES = (np.int32, np.float64, np.float32)
+
+
+def _sent(slices: list[int], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = (pa.array([x.astype(t).tobytes() for x in xs], pa.binary()) for xs, t in zip(zip(*parts, strict=True), _SENT_TYPES))
+    return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), *columns], ["slice", "k", "w", "x"])
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(k: np.ndarray, w: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks, their weights and weighted changes by slice, a row each."""
+    order = np.argsort((k % SLICES).astype(np.uint16), kind="stable")
+    k, w, x = k[order], w[order], x[order]
+    ends = np.searchsorted(k % SLICES, np.arange(SLICES + 1))
+    some = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+    for i in range(0, len(some), 64):
+        yield _sent(some[i : i + 64], [(k[ends[n] : ends[n + 1]], w[ends[n] : ends[n + 1]], x[ends[n] : ends[n + 1]]) for n in some[i : i + 64]])
+
+
+def _sum(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[pa.RecordBatch]:
     """Sums of the weights and weighted changes of each slice's blocks."""
-    sums: dict[int, dict[str, np.ndarray]] = {}
+    n_blocks = sum(int(np.prod(s)) for s in shapes(base).values()) // DIM
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
-        for r in b.to_pylist():
-            k, w, x = np.frombuffer(r["k"], np.int32), np.frombuffer(r["w"]), np.frombuffer(r["x"], np.float32).reshape(-1, DIM)
-            got = sums.setdefault(r["slice"], {"k": k[:0], "w": w[:0], "x": np.zeros((0, DIM))})
-            all_k, at = np.unique(np.concatenate([got["k"], k]), return_inverse=True)
-            all_w, all_x = np.zeros(len(all_k)), np.zeros((len(all_k), DIM))
-            old, new = at[: len(got["k"])], at[len(got["k"]) :]
-            all_w[old], all_x[old] = got["w"], got["x"]
-            all_w[new] += w
-            all_x[new] += x
-            sums[r["slice"]] = {"k": all_k, "w": all_w, "x": all_x}
-    for n, got in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([got[c].astype(t).tobytes()]) for c, t in (("k", np.int32), ("w", np.float64), ("x", np.float32)))], ["slice", "k", "w", "x"])
+        for i, n in enumerate(b.column(0).to_pylist()):
+            k, w, x = (np.frombuffer(b.column(1 + c)[i].as_buffer(), t) for c, t in enumerate(_SENT_TYPES))
+            if n not in sums:
+                m = -(-(n_blocks - n) // SLICES)
+                sums[n] = np.zeros(m), np.zeros((m, DIM))
+            sums[n][0][k // SLICES] += w
+            sums[n][1][k // SLICES] += x.reshape(-1, DIM)
+    for n, (w, x) in sums.items():
+        seen = np.flatnonzero(w)
+        yield _sent([n], [(n + seen * SLICES, w[seen], x[seen])])
 
 
 def masked(doc_ids: pa.Array, sizes: np.ndarray, r: int, rounds: int) -> np.ndarray:
@@ -321,28 +399,27 @@ def _train(batches: Iterator[pa.RecordBatch], params, base: int, r: int, rounds:
         for i in range(0, len(at), 2048):
             learn(p, square, got, at[i : i + 2048])
         places += len(at)
+        near = np.zeros(len(got), np.int64)
         for o in OFFSETS:
-            seen += np.bincount(got[at + o], minlength=pad + 1)
+            near[at + o] += 1
+        seen += np.bincount(got, near, pad + 1).astype(np.int64)
         first += np.bincount(got[at], minlength=pad)
     if places:
         weights = {"E": seen, "b": first.reshape(base, -1).sum(axis=1), "g": first.reshape(base * base, -1).sum(axis=1)}
         w = np.concatenate([_blocks(k, weights.get(k, float(places)), base) for k in SHAPES])
         k = np.flatnonzero(w).astype(np.int32)
         x = ((flat(p) - params.value).reshape(-1, DIM)[k] * w[k, None]).astype(np.float32)
-        for n in range(SLICES):
-            mine = np.flatnonzero(k % SLICES == n)
-            if len(mine):
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([c.tobytes()]) for c in (k[mine], w[k[mine]], x[mine]))], ["slice", "k", "w", "x"])
+        yield from _sliced(k, w[k], x)
 
 
 def _score(batches: Iterator[pa.RecordBatch], params, shared, base: int) -> Iterator[pa.RecordBatch]:
     """Sums of log P, where a word of a shared id still lacks the log of its own count."""
     p = unflat(params.value, base)
-    pad = base**3
+    pad, lower = base**3, _overflows(_joint(p), p["a"], p["b"], p["g"])
     for b in batches:
         got, sizes = _joined(b.column(2), pad)
         at = np.flatnonzero(got != pad)
-        logs = np.concatenate([np.zeros(0)] + [log_probabilities(p, got, at[i : i + 1024]) for i in range(0, len(at), 1024)]).astype(np.float64)
+        logs = np.concatenate([np.zeros(0)] + [log_probabilities(p, got, at[i : i + 1024], lower) for i in range(0, len(at), 1024)]).astype(np.float64)
         logs -= shared.value[got[at]]
         ends = np.cumsum(sizes)
         total = np.concatenate(([0.0], np.cumsum(logs)))
@@ -371,7 +448,9 @@ def train(docs: DataFrame, rounds: int = ROUNDS, bases: tuple[int, ...] = BASES)
     for r in range(rounds):
         now = params
         sent = encoded.select("doc_id", "ids").mapInArrow(lambda it, now=now, r=r: _train(it, now, base, r, rounds), SENT)
-        got = sent.repartition("slice").mapInArrow(_sum, SENT).toArrow()
+        summed = tables.write(sent.repartition("slice").mapInArrow(lambda it: _sum(it, base), SENT), "round")
+        got = summed.toArrow()
+        tables.drop(summed)
         x = now.value.reshape(-1, DIM).copy()
         for part in got.to_pylist():
             k, w = np.frombuffer(part["k"], np.int32), np.frombuffer(part["w"])

@@ -554,6 +554,27 @@ def test_every_place_is_learned_from_once():
             assert last == 9 % rounds
 
 
+def test_changes_of_many_partitions_add_up_in_small_batches():
+    rng = np.random.default_rng(5)
+    base, n = 64, sum(int(np.prod(x)) for x in language_model.shapes(64).values()) // language_model.DIM
+    sent, w, x = [], np.zeros(n), np.zeros((n, language_model.DIM))
+    for _ in range(2):
+        k = np.sort(rng.choice(n, n // 2, replace=False)).astype(np.int32)
+        some = rng.integers(1, 9, len(k)).astype(np.float64), rng.normal(size=(len(k), language_model.DIM)).astype(np.float32)
+        w[k] += some[0]
+        x[k] += some[1]
+        sent += language_model._sliced(k, *some)
+    rows = sum(b.num_rows for b in sent)
+    assert sum(b.nbytes for b in sent) / rows * 512 < 16 << 20  # an Arrow batch has up to 512 rows, one from each of many partitions
+    got_w, got_x = np.zeros(n), np.zeros((n, language_model.DIM))
+    for b in language_model._sum(iter(sent), base):
+        for r in b.to_pylist():
+            k = np.frombuffer(r["k"], np.int32)
+            got_w[k] += np.frombuffer(r["w"])
+            got_x[k] += np.frombuffer(r["x"], np.float32).reshape(-1, language_model.DIM)
+    assert np.array_equal(got_w, w) and np.allclose(got_x, x, atol=1e-5)
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(3)
     body = np.tile(np.array([10, 20, 30, 40], np.int32), 400)
