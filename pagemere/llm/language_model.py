@@ -10,8 +10,9 @@ words.  A document's score is the sum over its words of log P(word | both sides)
 
 Training is data-parallel over all documents: in each round every partition starts from the shared parameters,
 learns from its masked places, and the new parameters are averaged.  The masks of the rounds are disjoint and
-cover all: round r takes each place whose number in its document, plus the doc_id, leaves r when divided by the
-rounds, so every place is a target once, whatever the batches and partitions.  Averages are weighted, for rows that
+cover all: a document's places are numbered off in blocks of ``BLOCK``, and round r takes each block whose number, plus
+the doc_id, leaves r when divided by the rounds, so every place is a target once, whatever the batches and partitions,
+and a step needs few words that are not targets themselves.  Averages are weighted, for rows that
 belong to an id or to leading digits, by how often a partition saw them, else by places.  They are grouped sums in
 Spark of the rows that changed, so only one set of parameters comes to the driver whatever the number of partitions.
 Counts, places and partitions all grow with the input.  Texts are cut into ids once, in a table that both training
@@ -25,11 +26,11 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ SHARED = 9  # one id in so many, at least, is for words without their own
 BASE = BASES[0]
 SIZE = BASE**3
 DIM, REACH, ROUNDS = 16, 3, 2
+BLOCK = 64  # neighbouring places that are targets of the same round
 NEVER = -1e4  # the bias of an id that no word has
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 
@@ -51,23 +53,26 @@ def shapes(base: int) -> dict[str, tuple[int, ...]]:
 SHAPES = shapes(BASE)
 
 
-def _words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, as ``str.lower`` and ``str.split`` give them, and how many each text has."""
+    lowered = pa.array([(t or "").lower().strip() or None for t in texts.to_pylist()], pa.string())
+    got = pc.utf8_split_whitespace(lowered)
+    return got.flatten(), pc.list_value_length(got).fill_null(0).to_numpy().astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got: Counter[str] = Counter()
+    """Words and how often they occur, summed over some 48 MB of words, about four million."""
+    held: list[pa.Array] = []
 
     def done():
-        words = list(got)
-        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(list(map(got.__getitem__, words)), pa.int64())], ["word", "n"])
+        got = pa.chunked_array(held, pa.string()).value_counts()
+        return pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], ["word", "n"])
 
     for b in batches:
-        for t in b.column(0):
-            got.update(_words(t.as_py()))
-        if len(got) > 500_000:
+        held.append(_words(b.column(0))[0])
+        if sum(x.nbytes for x in held) > 48 << 20:
             yield done()
-            got.clear()
+            held.clear()
     yield done()
 
 
@@ -106,13 +111,14 @@ def sharing(counts: DataFrame, base: int, n_own: int, own_least: int | None) ->
     return rest.withColumn("id", F.lit(n_own) + F.crc32(F.col("word").cast("binary")) % F.lit(base**3 - n_own))
 
 
-class _Ids(dict):
-    def __init__(self, words: list[str], size: int):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.n_own, self.size = len(words), size
-
-    def __missing__(self, w: str) -> int:
-        return shared_id(w, self.n_own, self.size)
+def _ids(words: pa.Array, own: pa.Array, size: int) -> np.ndarray:
+    """The id of each word: its place in ``own``, else its shared id."""
+    ids = pc.index_in(words, value_set=own).fill_null(-1).to_numpy().copy()
+    rest = np.flatnonzero(ids < 0)
+    coded = words.take(pa.array(rest)).dictionary_encode()
+    shared = [shared_id(w, len(own), size) for w in coded.dictionary.to_numpy(zero_copy_only=False)]
+    ids[rest] = np.array(shared, np.int32)[coded.indices.to_numpy()]
+    return ids
 
 
 def initial(seed: int = 11, base: int = BASE, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
@@ -194,6 +200,11 @@ def _digits(ids: np.ndarray, base: int) -> np.ndarray:
     return np.stack((ids // (base * base), ids // base % base, ids % base), axis=1)
 
 
+def _targets(ids: np.ndarray, base: int) -> np.ndarray:
+    """Where the three digits of each id lie in rows of three levels' logits, all laid end to end."""
+    return (_digits(ids, base) + np.arange(3 * len(ids)).reshape(-1, 3) * base).ravel()
+
+
 def log_probabilities(p, ids: np.ndarray, at: np.ndarray, lower: bool | None = None) -> np.ndarray:
     """log P(ids[at] | both sides); ids are padded with REACH pads on either side of each text.
 
@@ -205,16 +216,15 @@ def log_probabilities(p, ids: np.ndarray, at: np.ndarray, lower: bool | None = N
     if lower is None:
         lower = _overflows(w, p["a"], p["b"], p["g"])
     first, run = _window(ids, at)
-    h = _hidden(p, np.ascontiguousarray(p["E"][run].T), at - first - REACH)
+    h = _hidden(p, np.ascontiguousarray(p["E"].take(run, axis=0).T), at - first - REACH)
     mine = ids[at]
     z = (h.T @ w).reshape(-1, 3, base)
     z[:, 0] += p["a"]
     z[:, 1] += p["b"].take(mine // (base * base), axis=0)
     z[:, 2] += p["g"].take(mine // base, axis=0)
-    z = z.reshape(-1, base)
-    sums = _exp(z, lower)
-    got = z[np.arange(len(z)), _digits(mine, base).ravel()]
-    return np.log(np.maximum(got, 1e-30) / sums).reshape(-1, 3).sum(axis=1)
+    sums = _exp(z.reshape(-1, base), lower)
+    got = z.ravel()[_targets(mine, base)]
+    return np.log(np.maximum(got, 1e-30) / sums).reshape(-1, 3) @ np.ones(3, np.float32)
 
 
 def _heads(x: np.ndarray) -> np.ndarray:
@@ -253,6 +263,17 @@ def _distinct(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return x[mine], slots[x]
 
 
+def _change(p: np.ndarray, square: np.ndarray, which: np.ndarray, was: np.ndarray, x: np.ndarray, rate: float) -> None:
+    """The Adagrad step of the different rows ``which`` of a table, which were ``was``; x is used up."""
+    now = square.take(which, axis=0)
+    now += x * x
+    square[which] = now
+    now += 1e-6
+    x /= np.sqrt(now, out=now)
+    x *= rate
+    p[which] = np.subtract(was, x, out=x)
+
+
 def learn(p, square, ids: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None:
     """One Adagrad step on the places ``at``."""
     base, w = len(p["a"]), _joint(p)
@@ -260,24 +281,25 @@ def learn(p, square, ids: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None
     at = at[np.argsort((ids[at] // base).astype(np.uint16), kind="stable")]
     inner, mine = at - first - REACH, ids[at]
     words, which = _distinct(run, len(p["E"]))
-    had = p["E"][words]
-    near = np.ascontiguousarray(had[which].T)
+    had = p["E"].take(words, axis=0)
+    near = had.T.take(which, axis=1)
     h = _hidden(p, near, inner)
     rows = np.ascontiguousarray(h.T)
     # places lie by their first two digits, so the biases of a run of equal ones are fetched, and their gradients summed, once
     heads = _heads(mine // base)
     ab = mine[heads] // base
+    was = p["g"].take(ab, axis=0)
     bias = np.empty((len(ab), 3, base), np.float32)
-    bias[:, 0], bias[:, 1], bias[:, 2] = p["a"], p["b"][ab // base], p["g"][ab]
+    bias[:, 0], bias[:, 1], bias[:, 2] = p["a"], p["b"].take(ab // base, axis=0), was
     bias = bias.reshape(len(ab), -1)
     z = rows @ w
     z += bias.take(np.repeat(np.arange(len(ab)), np.diff(np.append(heads, len(at)))), axis=0)
     level = z.reshape(-1, base)
-    level *= (1 / _exp(level, _overflows(w, bias)))[:, None]
-    level[np.arange(len(level)), _digits(mine, base).ravel()] -= 1
-    dh = z @ np.ascontiguousarray(w.T)
+    level *= (1 / _exp(level, _overflows(w, p["a"], p["b"], was)))[:, None]
+    z.ravel()[_targets(mine, base)] -= 1
+    dh = z @ w.T
     dh *= 1 - rows * rows
-    dw = rows.T @ z
+    dw = (z.T @ rows).T
     dz = _run_sums(z[:, base:], heads)
     ones = np.ones(len(at), np.float32)
     dense = {"A": dw[:, :base], "B": dw[:, base : 2 * base], "G": dw[:, 2 * base :], "a": ones @ z[:, :base], "c": ones @ dh}
@@ -293,34 +315,43 @@ def learn(p, square, ids: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None
         into = _shifted(de, o)
         into += np.multiply(dp, p["d"][k][:, None], out=part)
     dense["d"] = np.stack([np.vecdot(dp, _shifted(near, o)) for o in OFFSETS])
-    firsts = ab[_heads(ab // base)] // base
-    by_row = {
-        "E": (words, had, np.stack([np.bincount(which, x, len(words)) for x in de], axis=1).astype(np.float32)),
-        "b": (firsts, p["b"][firsts], (firsts[:, None] == ab // base).astype(np.float32) @ dz[:, :base]),
-        "g": (ab, bias[:, 2 * base :], dz[:, base:]),
-    }
+    by_word = np.empty((DIM, len(words)), np.float32)
+    for k, x in enumerate(de):
+        by_word[k] = np.bincount(which, x, len(words))
+    starts = _heads(ab // base)
+    firsts = ab[starts] // base
+    by_first = np.add.reduceat(dz[:, :base], starts, axis=0)
     for k, x in dense.items():
         square[k] += x * x
         p[k] -= rate * x / np.sqrt(square[k] + 1e-6)
-    for k, (which, was, x) in by_row.items():
-        now = square[k][which]
-        now += x * x
-        square[k][which] = now
-        now += 1e-6
-        p[k][which] = was - rate * x / np.sqrt(now, out=now)
+    _change(p["E"], square["E"], words, had, np.ascontiguousarray(by_word.T), rate)
+    _change(p["b"], square["b"], firsts, p["b"].take(firsts, axis=0), by_first, rate)
+    _change(p["g"], square["g"], ab, was, dz[:, base:], rate)
+
+
+def _together(batches: Iterator[pa.RecordBatch], n_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of n_bytes or a little more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= n_bytes:
+            yield pa.concat_batches(held)
+            held.clear()
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], words, size: int) -> Iterator[pa.RecordBatch]:
     """Each text's ids as int32 bytes, and its words that share an id."""
-    ids = _Ids(words.value, size)
-    for b in batches:
-        codes, rare = [], []
-        for t in b.column(2):
-            got = _words(t.as_py())
-            x = np.fromiter(map(ids.__getitem__, got), np.int32, len(got))
-            codes.append(x.tobytes())
-            rare.append([got[i] for i in np.flatnonzero(x >= ids.n_own)])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["row", "doc_id", "ids", "rare"])
+    own = pa.array(words.value, pa.string())
+    for b in _together(batches):
+        got, sizes = _words(b.column(2))
+        x = _ids(got, own, size)
+        ends = np.append(0, np.cumsum(sizes))
+        codes = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(x)])
+        sharing = x >= len(own)
+        rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sharing))[ends], pa.int32()), got.filter(pa.array(sharing)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes, rare], ["row", "doc_id", "ids", "rare"])
 
 
 def _joined(codes: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,10 +414,18 @@ def masked(doc_ids: pa.Array, sizes: np.ndarray, r: int, rounds: int) -> np.ndar
     which = np.repeat(np.arange(len(sizes)), sizes)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     key = np.array([(x or 0) % rounds for x in doc_ids.to_pylist()], np.int64)
-    mine = (nth + key[which]) % rounds == r
+    mine = (nth // BLOCK + key[which]) % rounds == r
     return (begins[which] + nth)[mine]
 
 
+def _around(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids within REACH of the places ``at``, in their order, and where the places, in order too, lie among them."""
+    near = np.zeros(len(ids), bool)
+    for o in range(-REACH, REACH + 1):
+        near[at + o] = True
+    return ids[near], (np.cumsum(near) - 1)[at]
+
+
 def _train(batches: Iterator[pa.RecordBatch], params, base: int, r: int, rounds: int) -> Iterator[pa.RecordBatch]:
     """Blocks of DIM parameters that changed: their weight, and weight times the change."""
     p = unflat(params.value, base)
@@ -395,7 +434,7 @@ def _train(batches: Iterator[pa.RecordBatch], params, base: int, r: int, rounds:
     places, seen, first = 0, np.zeros(pad + 1, np.int64), np.zeros(pad, np.int64)
     for b in batches:
         got, sizes = _joined(b.column(1), pad)
-        at = masked(b.column(0), sizes, r, rounds)
+        got, at = _around(got, masked(b.column(0), sizes, r, rounds))
         for i in range(0, len(at), 2048):
             learn(p, square, got, at[i : i + 2048])
         places += len(at)
@@ -419,7 +458,7 @@ def _score(batches: Iterator[pa.RecordBatch], params, shared, base: int) -> Iter
     for b in batches:
         got, sizes = _joined(b.column(2), pad)
         at = np.flatnonzero(got != pad)
-        logs = np.concatenate([np.zeros(0)] + [log_probabilities(p, got, at[i : i + 1024], lower) for i in range(0, len(at), 1024)]).astype(np.float64)
+        logs = np.concatenate([np.zeros(0)] + [log_probabilities(p, got, at[i : i + 2048], lower) for i in range(0, len(at), 2048)]).astype(np.float64)
         logs -= shared.value[got[at]]
         ends = np.cumsum(sizes)
         total = np.concatenate(([0.0], np.cumsum(logs)))

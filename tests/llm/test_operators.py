@@ -3,6 +3,8 @@
 import random
 import re
 import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -554,6 +556,44 @@ def test_every_place_is_learned_from_once():
             assert last == 9 % rounds
 
 
+def test_a_round_fetches_little_beside_its_places():
+    rng = np.random.default_rng(6)
+    codes = pa.array([rng.integers(0, language_model.SIZE, n).astype(np.int32).tobytes() for n in (700, 0, 3, 1500, 64, 65)], pa.binary())
+    got, sizes = language_model._joined(codes, language_model.SIZE)
+    for r in range(2):
+        at = language_model.masked(pa.array([1, 2, 3, 4, None, 6]), sizes, r, 2)
+        assert np.mean(np.diff(at) == 1) > 0.95
+        ids, mine = language_model._around(got, at)
+        assert len(ids) < 1.2 * len(at) and np.array_equal(ids[mine], got[at])
+        p, q = language_model.initial(), language_model.initial()
+        for x, words, places in ((p, got, at), (q, ids, mine)):
+            square = {k: np.full(s, 0.1, np.float32) for k, s in language_model.SHAPES.items()}
+            for i in range(0, len(at), 300):
+                language_model.learn(x, square, words, places[i : i + 300])
+        assert all(np.allclose(p[k], q[k], atol=1e-5) for k in p) and not np.allclose(p["E"], language_model.initial()["E"], atol=1e-2)
+
+
+def test_words_are_counted_and_have_ids_as_python_splits_them():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    texts = [f"A{c}B" for c in every[:0x3100]] + [every, every.upper(), None, "", " \n", "  \u03a3\u0391\u03a3 \u0130x\x1f\x85 b "]
+    words = [(t or "").lower().split() for t in texts]
+    flat = [w for x in words for w in x]
+    got, sizes = language_model._words(pa.array(texts))
+    assert got.to_pylist() == flat and sizes.tolist() == [len(x) for x in words]
+    rows = pa.array(range(len(texts)), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([rows, rows, pa.array(texts)], ["row", "doc_id", "text"])[i : i + 5000] for i in range(0, len(texts), 5000)]
+    counts = Counter()
+    for b in language_model._count(b.select(["text"]) for b in batches):
+        counts.update(dict(zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True)))
+    assert counts == Counter(flat)
+    for own in ([w for w, _ in counts.most_common(3000)], []):
+        place = {w: i for i, w in enumerate(own)}
+        out = pa.Table.from_batches(language_model._encode(iter(batches), SimpleNamespace(value=own), language_model.SIZE)).to_pylist()
+        for r, x in zip(out, words, strict=True):
+            assert np.frombuffer(r["ids"], np.int32).tolist() == [place.get(w, language_model.shared_id(w, len(own), language_model.SIZE)) for w in x]
+            assert r["rare"] == [w for w in x if w not in place]
+
+
 def test_changes_of_many_partitions_add_up_in_small_batches():
     rng = np.random.default_rng(5)
     base, n = 64, sum(int(np.prod(x)) for x in language_model.shapes(64).values()) // language_model.DIM
