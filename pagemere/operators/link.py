@@ -10,6 +10,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemere.sources.shared import apart
+
 # Words that say nothing of a title.
 STOP = ("the", "and", "of", "for", "los", "las", "del", "una", "con", "der", "die", "das", "les", "des")
 
@@ -50,6 +52,8 @@ def covered(records: DataFrame, needles: DataFrame, least: float, bonuses: list[
     return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("n"), F.size("ta").alias("n_tokens"), F.size("tb").alias("m_tokens"))
 
 
+#: Characters of surnames and the names that hold them, with 64 a pair, that are broadcast at most.
+NAMES_CHARS = 4 << 20
 #: Most words of a record whose subsets are listed (255); longer ones are compared by ``covered``.
 SUBSET_WORDS = 8
 
@@ -84,8 +88,10 @@ def best_by_sets(records: DataFrame, needles: DataFrame, named: DataFrame, least
     sets = records.repartition(n).select("a", "who", F.size("ta").alias("h"), F.inline(_sets(F.col("ta"))))
     fewest = records.agg(F.min(need(least - bonus, F.size("ta")))).first()[0] or 1
     of = needles.repartition(n).select("b", "sur", F.inline(_sets(F.col("tb")))).filter(F.col("k") >= fewest)
-    plain = of.select("b", "s").join(firsts(0.0), "s")
-    with_name = of.join(named, "sur").select("b", "s", "who").join(firsts(bonus, "who"), ["s", "who"])
+    plain = of.select("b", "s").join(apart(firsts(0.0)), "s")
+    # a few surnames have all rows, so their names are broadcast where they are few
+    chars = named.agg(F.sum(F.length("sur") + F.length("who") + 64)).first()[0] or 0
+    with_name = of.join(F.broadcast(named) if chars <= NAMES_CHARS else apart(named), "sur").select("b", "s", "who").join(apart(firsts(bonus, "who")), ["s", "who"])
     return plain.select("b", "a", "k", "h", F.lit(False).alias("named")).union(with_name.select("b", "a", "k", "h", F.lit(True).alias("named")))
 
 

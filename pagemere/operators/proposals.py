@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemere.operators import link, rules
-from pagemere.sources.shared import written
+from pagemere.sources.shared import apart, written
 
 # Words that say nothing of a title, and particles that are no surname.
 TITLE_STOP = ("the", "a", "an", "of", "and", "in", "on", "el", "la", "los", "las", "un", "una", "de", "del", "y", "en", "que")
@@ -61,13 +61,15 @@ def file_candidates(files: DataFrame, works: DataFrame, least: float = PROPOSED,
     f = f.select("b", F.array_union(*(title_words(F.col(f"p.{x}"), FILE_STOP) for x in ("title", "author"))).alias("tb"), surname(F.col("p.author")).alias("sur"))
     w = works.select(F.col("work").alias("a"), title_words(F.concat_ws(" ", "author", "title"), FILE_STOP).alias("ta"), plain(F.coalesce("author", F.lit(""))).alias("who"))
     # alike names and alike records are compared once; of alike records only the first ones count
-    f = f.join(w.select(F.explode("ta").alias("t")).distinct().join(f.select("b", F.explode("tb").alias("t")), "t").groupBy("b").agg(F.array_sort(F.collect_list("t")).alias("key")), "b").select("b", "key", "sur")
+    # a compressed file says little of the rows it becomes, so what follows the tables' size is never broadcast
+    known = w.select(F.explode("ta").alias("t")).distinct().join(apart(f.select("b", F.explode("tb").alias("t"))), "t")
+    f = f.join(apart(known.groupBy("b").agg(F.array_sort(F.collect_list("t")).alias("key"))), "b").select("b", "key", "sur")
     first = F.row_number().over(Window.partitionBy("ta", "who").orderBy("a"))
     w = written(w.filter("a IS NOT NULL").withColumn("ta", F.array_sort("ta")).withColumn("first", first).filter(F.col("first") <= most).select("a", "ta", "who"), "records")
     f = written(f, "names")
     alike = written(f.select("key", "sur").distinct().withColumn("b", F.monotonically_increasing_id()), "alike").withColumnRenamed("key", "tb")
     brief_w, brief_f = (F.size(c) <= link.SUBSET_WORDS for c in ("ta", "tb"))
-    names = _holding(w.select("who"), alike.select("sur"))
+    names = written(_holding(w.select("who"), alike.select("sur")), "holding")
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("score"), "work"))
     best, left = None, alike
     # full scores first; what has enough of them is done, the rest is compared down to the least score
@@ -75,18 +77,18 @@ def file_candidates(files: DataFrame, works: DataFrame, least: float = PROPOSED,
         # two digits are kept, so half of the last one may be missing before rounding
         got = link.best_by_sets(w.filter(brief_w), left.filter(brief_f), names, lowest - 0.005, 0.995, SURNAME_BONUS, most)
         for x, y in ((w.filter(~brief_w), left), (w.filter(brief_w), left.filter(~brief_f))):
-            pairs = link.covered(x, y, lowest - 0.005, [(None, SURNAME_BONUS)]).join(w.select("a", "who"), "a").join(left.select("b", "sur"), "b")
+            pairs = link.covered(apart(x), apart(y), lowest - 0.005, [(None, SURNAME_BONUS)]).join(apart(w.select("a", "who")), "a").join(apart(left.select("b", "sur")), "b")
             got = got.union(pairs.select("b", "a", F.col("n").alias("k"), F.col("n_tokens").alias("h"), (F.col("sur") != "") & F.col("who").contains(F.col("sur"))))
         score = F.least(F.lit(1.0), F.round(F.col("k") / F.col("h") + F.when(F.col("named"), SURNAME_BONUS).otherwise(0.0), 2))
         scored = got.select("b", F.col("a").alias("work"), score.alias("score")).filter(F.col("score") >= lowest).groupBy("b", "work").agg(F.max("score").alias("score"))
         top = written(scored.withColumn("rank", rank).filter(F.col("rank") <= most), "best")
         if lowest > least:
             done = top.filter(F.col("rank") == most).select("b")
-            best, left = top.join(done, "b", "left_semi"), written(alike.join(done, "b", "left_anti"), "left")
+            best, left = top.join(apart(done), "b", "left_semi"), written(alike.join(apart(done), "b", "left_anti"), "left")
         else:
             best = top if best is None else best.union(top)
-    best = best.join(alike, "b").select(F.col("tb").alias("key"), "sur", "work", "score", "rank")
-    return f.withColumnRenamed("b", "file").join(best, ["key", "sur"]).select("file", "work", "score", "rank")
+    best = best.join(apart(alike), "b").select(F.col("tb").alias("key"), "sur", "work", "score", "rank")
+    return f.withColumnRenamed("b", "file").join(apart(best), ["key", "sur"]).select("file", "work", "score", "rank")
 
 
 def _holding(who: DataFrame, sur: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def _holding(who: DataFrame, sur: DataFrame) -> DataFrame:
     starts = F.array_distinct(F.flatten(F.transform(runs, lambda x: F.array(x, F.substring(x, 1, 2), F.substring(x, 1, 1)))))
     left = who.distinct().filter("who <> ''").select("who", F.explode(starts).alias("g"))
     right = sur.distinct().filter("sur <> ''").select("sur", F.substring("sur", 1, 3).alias("g"))
-    return left.join(right, "g").filter(F.col("who").contains(F.col("sur"))).select("sur", "who").distinct()
+    return left.join(apart(right), "g").filter(F.col("who").contains(F.col("sur"))).select("sur", "who").distinct()
 
 
 #: (rule, holds, what it says): every rule that holds is a reason why a record is still open, the first the main one.

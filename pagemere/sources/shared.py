@@ -20,6 +20,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast, whatever Spark takes its size to be."""
+    return df.hint("merge")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only in local mode, where that is unset, a temporary folder takes its place."""
     sc = spark.sparkContext

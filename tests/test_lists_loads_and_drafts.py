@@ -198,3 +198,13 @@ def test_needles_meet_names_on_their_rarest_run(spark):
     n, f = spark.createDataFrame(needles, "work string, match string"), spark.createDataFrame([(x,) for x in names], "name string")
     got = {tuple(r) for r in entities.name_matches(n, f).collect()}
     assert got == {(w, x) for w, m in needles for x in names if fold(m.strip()) and fold(m.strip()) in fold(x)}
+
+
+def test_file_candidates_broadcast_nothing_that_follows_the_tables(spark, monkeypatch):
+    """Compressed files look small to Spark; only the few surnames' names are broadcast, after they were measured."""
+    f = spark.createDataFrame([(i, f"in/Owl {i % 3} River 10{i % 7}2 -- Given Maker{i % 2}son.pdf") for i in range(40)], "file int, name string")
+    w = spark.createDataFrame([(i, f"Maker{i % 2}son, Given", f"Owl River 10{i % 9}2") for i in range(40)], "work int, author string, title string")
+    plans = []
+    monkeypatch.setattr(proposals, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or written(df, name))
+    plans.append(("result", proposals.file_candidates(f, w)._jdf.queryExecution().sparkPlan().toString()))
+    assert {n: p.count("BroadcastHashJoin") + p.count("BroadcastNestedLoopJoin") for n, p in plans if "Broadcast" in p} == {"best": 1}
