@@ -309,3 +309,19 @@ def test_pages_of_one_work_are_numbered_without_meeting_in_one_task(spark, tmp_p
     ids = [r.chunk_id for r in sorted(got, key=lambda r: r.page_index) if r.work_id == "src3"]
     assert ids[0] is None and ids[1:] == sorted([*range(400), 7]) and sorted(r.page_index for r in got if r.work_id == "src3") == list(range(1, 403))
     assert len({r.part for r in got if r.work_id == "src3"}) > 1
+
+
+def test_a_vocabulary_runs_its_pattern_once_and_needs_no_page_numbers(spark, monkeypatch):
+    seen = []
+    vocabulary = studyaid.vocabulary
+    monkeypatch.setattr(studyaid, "vocabulary", lambda p: seen.append((p, vocabulary(p))) or seen[-1][1])
+    derived.x31_unfound(spark, SF)
+    (texts, got), whole = seen[0], vocabulary(derived._pages(spark, SF))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1 and "Window" not in texts._jdf.queryExecution().optimizedPlan().toString()
+    assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
+
+
+def test_a_passage_that_reads_alike_backwards_is_close_by_the_rule_of_the_reference():
+    page, quote = " ".join(["Reer"] * 24) + " ouer this", "zq " + " ".join(["reeR"] * 16) + "  qz"
+    ratio, position, found = matcher.closest(matcher.quote_key(quote), [(1, page, None)])
+    assert ratio >= 0.92 and position == 1 and set(found.split()) == {"Reer"}
